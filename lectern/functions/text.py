@@ -61,7 +61,7 @@ def video_units(c: Column) -> Column:
 
 def bookmark_words(given: Column, text: Column) -> Column:
     """The given count, not under 0, else characters that are not white space; null if there are none."""
-    return F.coalesce(F.greatest(F.lit(0), given), F.nullif(F.length(F.regexp_replace(text, r"\s+", "")), F.lit(0)))
+    return F.coalesce(F.when(given.isNotNull(), F.greatest(F.lit(0), given)), F.nullif(F.length(F.regexp_replace(text, r"\s+", "")), F.lit(0)))
 
 
 def reading_minutes(words: Column) -> Column:

@@ -84,7 +84,7 @@ def assign_origins(rows: DataFrame, registry: DataFrame | None = None) -> DataFr
 def origin_options(assigned: DataFrame) -> DataFrame:
     """origin, label and n, the largest first, unknown before others of its size, then by label."""
     options = assigned.groupBy("origin").agg(F.count("*").alias("n"), F.min_by("label", F.struct("ord", "id")).alias("label"))
-    return options.orderBy(F.desc("n"), F.when(F.col("origin") == "wechat:unknown", 0).otherwise(1), F.collate("label", F.lit("zh")), "origin")
+    return options.orderBy(F.desc("n"), F.when(F.col("origin") == "wechat:unknown", 0).otherwise(1), F.collate("label", "zh"), "origin")
 
 
 def register_names(changes: DataFrame) -> DataFrame:
