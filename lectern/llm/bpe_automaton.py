@@ -27,8 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.chunks import ChunkMemo, split_chunks
+from lectern.llm.shared import text_batches
 
 END = "</w>"
+#: Arcs that the transition table holds before it starts anew.
+TABLE = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -62,6 +65,8 @@ class MergeAutomaton:
         """Whether the finished automaton has an arc for the token from the state."""
         key = state * self.size + token
         if (known := self.table.get(key)) is None:
+            if len(self.table) >= TABLE:
+                self.table.clear()
             known = self.table[key] = self._arc_at(state, token, len(self.halves) + len(self.cut))
         return known
 
@@ -165,4 +170,4 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFra
     schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     names = [x.split()[0] for x in schema.split(", ")]
     kind = docs.schema["doc_id"].dataType
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
+    return text_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))

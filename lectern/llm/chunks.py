@@ -8,7 +8,7 @@ from collections.abc import Callable
 #: Unicode's White_Space, which str.split() matches but for four control characters that it also splits at.
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _CONTROLS = re.compile("[\\x1c-\\x1f]")
-LIMIT = 500_000
+LIMIT = 200_000
 
 
 def split_chunks(text: str) -> list[str]:

@@ -62,3 +62,11 @@ def text_key(text: Column) -> Column:
 def crc_fold(doc_id: Column, folds: int = 3) -> Column:
     """crc32 of the id as text, modulo folds."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)).cast("int")
+
+
+def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with Arrow batches of so many rows in its session, unless the session sets its own: rows hold whole texts."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return df

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.chunks import ChunkMemo, split_chunks
-from lectern.llm.shared import new_folder
+from lectern.llm.shared import new_folder, text_batches
 
 LENGTH, ROWS, END_ID = 2048, 256, 2
 PAD, TOKEN, LAST = 0, 1, 3
@@ -132,7 +132,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             stream.close()
             yield pd.DataFrame([(shard, path, out.n_ids, out.n_docs)], columns=["shard", "path", "n_ids", "n_docs"])
 
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = text_batches(docs).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     made = dealt.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "text").mapInPandas(run, "shard int, path string, n_ids long, n_docs long").collect()  # one row per shard
     table, first = [], 0
     for r in sorted(made):

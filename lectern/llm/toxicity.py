@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.logistic import fit_logistic, probability
-from lectern.llm.shared import crc_fold
+from lectern.llm.shared import crc_fold, text_batches
 
 CUT = 0.7
 #: Bounds of the training sample, for each class, and of the lexicon.
@@ -90,7 +90,7 @@ def evidence(words: list[str], automaton: ahocorasick.Automaton) -> tuple[float,
 
 
 def _with_text(docs: DataFrame, run, schema: str, *columns: str) -> DataFrame:
-    return docs.select(*columns, "text").mapInPandas(run, schema)
+    return text_batches(docs).select(*columns, "text").mapInPandas(run, schema)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
@@ -116,8 +116,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, terms: in
                 words = set(folded_words(text))
                 sig = min((xxhash.xxh64_intdigest(w) for w in words), default=0) >> 1
                 out += [(t, sig, y) for w in words for t in terms_of(w)] + [("", sig, y)]
-            yield pd.DataFrame(out, columns=["term", "sig", "y"]).drop_duplicates()
+                if len(out) >= 50_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
 
+    names = ["term", "sig", "y"]
     counts = _with_text(sample, features, "term string, sig long, y int", "y").distinct().groupBy("term").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     counts = counts.where((F.col("t") >= SUPPORT) | (F.col("term") == "")).persist()
     totals = counts.where("term = ''").first() or {"t": 0, "c": 0}
@@ -149,7 +153,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = N
     id is in no fold. Other columns are ignored; an empty table gives no rows.
     """
     model = model or train(docs, labels)
-    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    out = text_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     held = F.coalesce(crc_fold(F.col("doc_id")) == 1, F.lit(False))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,4 +177,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None =
             x = np.array([evidence(folded_words(t), automaton) for t in batch["text"]]).reshape(-1, 4)
             yield batch[probability(x, model.curve) < CUT]
 
-    return docs.mapInPandas(run, docs.schema)
+    return text_batches(docs).mapInPandas(run, docs.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.decontaminate import _small
-from lectern.llm.shared import new_folder, stored
+from lectern.llm.shared import new_folder, stored, text_batches
 
 LEAST_BYTES = 100
 #: Runs that one task merges, rows of a run's batches, and keys that a run samples.
@@ -178,7 +178,7 @@ def write_archives(pages: DataFrame, folder: str, ts: str = "2024-01-01T00:00:00
         n, sample = _write_run(fs, path, (r for b in batches for r in b.itertuples(index=False, name=None)))
         yield pd.DataFrame([(path, n, sample)], columns=["path", "n", "sample"])
 
-    entries = plan_records(pages, ts).mapInPandas(archive, ENTRY).sortWithinPartitions(*NAMES)
+    entries = plan_records(text_batches(pages), ts).mapInPandas(archive, ENTRY).sortWithinPartitions(*NAMES)
     made = entries.mapInPandas(run, "path string, n long, sample array<string>").where("n > 0").collect()  # a row for each task
     return [(r["path"], r["n"], list(r["sample"])) for r in made]
 
