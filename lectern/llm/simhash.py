@@ -19,8 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.decontaminate import _small
 from lectern.llm.graph import components
-from lectern.llm.shared import SPACES, stored
+from lectern.llm.shared import SPACES, stored, text_batches
 
 BITS, BYTES = 3, 8
 MATCHES = BYTES - BITS
@@ -53,7 +54,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": got.view(np.int64)})
 
     kind = docs.schema["doc_id"].dataType
-    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    named = text_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     return named.mapInPandas(run, "doc_id string, fp long").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
@@ -101,7 +102,9 @@ def forest(members: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
 def links(fps: DataFrame) -> DataFrame:
     """Links a, b between distinct fingerprints (column fp) that keep every component whole."""
     groups = [F.struct(F.lit(g).alias("g"), F.col("fp").bitwiseAND(F.lit(_keep(c))).alias("bytes")) for g, c in enumerate(combinations(range(BYTES), MATCHES))]
-    postings = fps.select("fp", F.explode(F.array(*groups)).alias("at")).select("at.g", "at.bytes", "fp")
+    # a fingerprint is few bytes but gives 56 rows, so few input partitions are dealt anew (by another key, or Spark takes them as dealt)
+    dealt = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
+    postings = dealt.select("fp", F.explode(F.array(*groups)).alias("at")).select("at.g", "at.bytes", "fp")
     lists = postings.groupBy("g", "bytes").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,11 +142,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest id stays; of rows that repeat that id, one."""
-    placed = near_duplicates(spark, docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = stored(placed.groupBy("doc_id").agg(F.count("*").alias("n")), "kept-ids")
+    placed = stored(near_duplicates(spark, docs).select("doc_id", "component_id"), "placed")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # the fewer ids, those that go, are joined with the texts; an id that a staying row shares stays
+    gone = stored(placed.groupBy("doc_id").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("n")).where("n > 1 or not stays"), "gone-ids")
 
-    def rows(ids: DataFrame) -> DataFrame:
-        return docs.alias("d").join(ids.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    def join(ids: DataFrame, how: str) -> DataFrame:
+        return docs.alias("d").join(_small(ids).alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), how)
 
-    kept, repeated = rows(keep.where("n = 1")), keep.where("n > 1")
-    return kept if repeated.isEmpty() else kept.unionByName(rows(repeated).dropDuplicates(["doc_id"]))
+    kept, repeated = join(gone.select("doc_id"), "left_anti"), gone.where("stays").select("doc_id")
+    return kept if repeated.isEmpty() else kept.unionByName(join(repeated, "left_semi").dropDuplicates(["doc_id"]))
