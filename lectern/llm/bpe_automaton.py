@@ -31,7 +31,7 @@ from lectern.llm.shared import text_batches
 
 END = "</w>"
 #: Arcs that the transition table holds before it starts anew.
-TABLE = 500_000
+TABLE = 1_000_000
 
 
 def byte_letters() -> list[str]:

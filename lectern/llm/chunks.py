@@ -8,7 +8,7 @@ from collections.abc import Callable
 #: Unicode's White_Space, which str.split() matches but for four control characters that it also splits at.
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _CONTROLS = re.compile("[\\x1c-\\x1f]")
-LIMIT = 200_000
+LIMIT = 600_000
 
 
 def split_chunks(text: str) -> list[str]:
@@ -26,10 +26,11 @@ class ChunkMemo(dict):
     def __missing__(self, chunk: str):
         if len(self) >= LIMIT:
             self.clear()
-        if chunk[-1] in ".,|" and len(chunk) > 1 and chunk[:-1].isalpha() and chunk.isascii():
-            value = self[chunk[:-1]] + self[chunk[-1]]  # letters and punctuation are words of their own
-        elif chunk.isascii() and chunk.isalpha() and not chunk.islower():
-            value = self[chunk.lower()]
+        head, low = chunk[:-1], chunk.lower()
+        if chunk[-1] in ".,|" and head.isalpha() and low[:-1].isalpha():
+            value = self[head] + self[chunk[-1]]  # letters and punctuation are words of their own
+        elif low != chunk and chunk.isalpha() and low.isalpha() and "Σ" not in chunk:  # the one letter that lower() folds by its place
+            value = self[low]
         else:
             value = self.function(chunk)
         self[chunk] = value
