@@ -1,8 +1,8 @@
 """Token ids in Arrow files of fixed-size lists (dealt operator 1).
 
 Each file is one shard of a token stream in ascending doc_id order. A row is one sequence: tokens, a fixed-size list of
-uint32; mask, a fixed-size list of uint8 of the same length (0 padding, 1 a token, 3 a document's last token); and
-doc_ids, the documents whose last token is in the sequence. All batches but a shard's last have the same number of rows, so
+unsigned integers (16 bits if the vocabulary fits); mask, a fixed-size list of as many bits (set for tokens, not for
+padding); and of the documents that end in the sequence, their places after the last token (ends) and doc_ids. All batches but a shard's last have the same number of rows, so
 sequence k of a mapped file is found by arithmetic and read without a copy (sequence()).
 """
 
@@ -27,7 +27,6 @@ from lectern.llm.chunks import ChunkMemo, split_chunks
 from lectern.llm.shared import new_folder, text_batches
 
 LENGTH, ROWS, END_ID = 2048, 256, 2
-PAD, TOKEN, LAST = 0, 1, 3
 
 
 class Encoder:
@@ -65,28 +64,29 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([("tokens", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length)), ("doc_ids", pa.list_(pa.int64()))])
+def _schema(length: int, kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("tokens", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length)), ("ends", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64()))])
 
 
 class ShardWriter:
     """Cuts a stream of documents into sequences; holds one batch of them."""
 
-    def __init__(self, out, length: int, rows: int):
-        self.length, self.rows = length, rows
-        self.writer = pa.ipc.new_file(out, _schema(length))
-        self.ids, self.mask, self.ends = np.zeros(length * rows, "<u4"), np.zeros(length * rows, "u1"), []
+    def __init__(self, out, length: int, rows: int, vocabulary: int):
+        self.length = length
+        kind = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
+        self.schema = _schema(length, kind)
+        self.writer = pa.ipc.new_file(out, self.schema)
+        self.ids, self.ends = np.zeros(length * rows, kind.to_pandas_dtype()), []
         self.at, self.n_ids, self.n_docs = 0, 0, 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.n_ids, self.n_docs, done = self.n_ids + len(ids), self.n_docs + 1, 0
         while done < len(ids):
             n = min(len(ids) - done, len(self.ids) - self.at)
-            self.ids[self.at : self.at + n], self.mask[self.at : self.at + n] = ids[done : done + n], TOKEN
+            self.ids[self.at : self.at + n] = ids[done : done + n]
             done, self.at = done + n, self.at + n
             if done == len(ids):
-                self.mask[self.at - 1] = LAST
-                self.ends.append(((self.at - 1) // self.length, doc_id))
+                self.ends.append((self.at, doc_id))
             if self.at == len(self.ids):
                 self._flush()
 
@@ -94,12 +94,15 @@ class ShardWriter:
         rows = -(-self.at // self.length)
         if not rows:
             return
-        counts = np.bincount(np.array([r for r, _ in self.ends], "i8"), minlength=rows)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
         n = rows * self.length
-        batch = [pa.FixedSizeListArray.from_arrays(pa.array(x[:n]), self.length) for x in (self.ids, self.mask)]
-        self.writer.write_batch(pa.record_batch([*batch, pa.ListArray.from_arrays(offsets, pa.array([d for _, d in self.ends], pa.int64()))], schema=_schema(self.length)))
-        self.ids[:], self.mask[:], self.at, self.ends = 0, PAD, 0, []
+        self.ids[self.at : n] = 0
+        places = np.array([e for e, _ in self.ends], np.int64)
+        in_row = (places - 1) // self.length
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(in_row, minlength=rows))]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(places - in_row * self.length, pa.int32()), pa.array([d for _, d in self.ends], pa.int64()))]
+        fixed = [pa.FixedSizeListArray.from_arrays(x, self.length) for x in (pa.array(self.ids[:n]), pa.array(np.arange(n) < self.at))]
+        self.writer.write_batch(pa.record_batch([*fixed, *lists], schema=self.schema))
+        self.at, self.ends = 0, []
 
     def close(self) -> None:
         self._flush()
@@ -124,7 +127,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                 fs.create_dir(base)
                 path = posixpath.join(base, f"shard-{shard:06d}-{uuid.uuid4().hex}.arrow")
                 stream = fs.open_output_stream(path)
-                out = ShardWriter(stream, length, rows)
+                out = ShardWriter(stream, length, rows, max(enc.tokenizer.get_vocab_size(), end_id + 1))
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 out.add(None if doc_id == "" else int(doc_id), np.append(np.frombuffer(enc.encode(text), "<u4"), np.uint32(end_id)))
         if out is not None:
@@ -141,12 +144,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     return spark.createDataFrame(table, "shard int, path string, n_ids long, n_docs long, first_id long")
 
 
-def sequence(source: pa.NativeFile, k: int, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+def sequence(source: pa.NativeFile, k: int, rows: int = ROWS) -> tuple[pa.Array, pa.Array]:
     """Tokens and mask of sequence k of an open (memory-mapped) shard, as views of the file."""
     batch = pa.ipc.open_file(source).get_batch(k // rows)
-    n = batch.schema.field("tokens").type.list_size
-    at = slice(k % rows * n, (k % rows + 1) * n)
-    return tuple(batch.column(c).flatten().to_numpy()[at] for c in ("tokens", "mask"))
+    return tuple(batch.column(c)[k % rows].values for c in ("tokens", "mask"))
 
 
 def documents_in(source) -> Iterator[tuple[int | None, list[np.ndarray]]]:
@@ -154,12 +155,13 @@ def documents_in(source) -> Iterator[tuple[int | None, list[np.ndarray]]]:
     reader, held = pa.ipc.open_file(source), []
     for b in range(reader.num_record_batches):
         batch = reader.get_batch(b)
-        ids, mask = (batch.column(c).flatten().to_numpy() for c in ("tokens", "mask"))
-        at = 0
-        for end, doc_id in zip(np.flatnonzero(mask == LAST) + 1, batch.column("doc_ids").flatten().to_pylist(), strict=True):
+        ids, ends, at = batch.column("tokens").flatten().to_numpy(), batch.column("ends"), 0
+        rows = np.repeat(np.arange(len(ends)), ends.value_lengths().to_numpy())
+        length = batch.schema.field("tokens").type.list_size
+        for end, doc_id in zip(rows * length + ends.flatten().to_numpy(), batch.column("doc_ids").flatten().to_pylist(), strict=True):
             yield doc_id, [*held, ids[at:end]]
             held, at = [], end
-        if at < (n := int(np.count_nonzero(mask))):
+        if at < (n := batch.column("mask").flatten().true_count):
             held.append(ids[at:n].copy())
 
 
@@ -175,7 +177,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                     for doc_id, pieces in documents_in(source):
                         n, crc = 0, 0
                         for piece in pieces:
-                            n, crc = n + len(piece), zlib.crc32(piece.astype("<u4", copy=False), crc)
+                            n, crc = n + len(piece), zlib.crc32(piece.astype("<u4"), crc)
                         out.append(("" if doc_id is None else str(doc_id), int(start), n, crc))
                         start += n
                         if len(out) >= 10_000:
