@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import shared_root
+from lectern.llm.shared import stored
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -13,22 +13,22 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
     Each round points every node at its smallest neighbour, or itself if that is smaller, follows two pointers, and draws
     the edges anew between the nodes pointed at. All nodes that are not the smallest of their neighbourhood vanish, so the
-    nodes at least halve. Rounds are cut by checkpoints in the shared folder; sums and minima are taken before a shuffle.
+    nodes at least halve. Rounds are cut by tables in the shared folder (a checkpoint
+    would keep the estimated sizes of its plan, which multiply by rounds); minima are taken before a shuffle.
     """
-    shared_root(spark)
-    edges = edges.where("a <> b").select("a", "b").checkpoint()
+    edges = stored(edges.where("a <> b").select("a", "b"), "edges")
     places = None
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("to"))
         hop = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        step = step.join(hop, "to").select("node", F.col("next").alias("to")).checkpoint()
+        step = stored(step.join(hop, "to").select("node", F.col("next").alias("to")), "step")
         if places is None:
             places = step.select("node", F.col("to").alias("root"))
         else:
             moved = step.select(F.col("node").alias("root"), "to")
             places = places.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        places = places.checkpoint()
+        places = stored(places, "places")
         a, b = (step.select(F.col("node").alias(x), F.col("to").alias(f"to_{x}")) for x in "ab")
-        edges = edges.join(a, "a").join(b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct().checkpoint()
+        edges = stored(edges.join(a, "a").join(b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct(), "edges")
     return places if places is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
