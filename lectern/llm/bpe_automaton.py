@@ -45,12 +45,14 @@ class MergeAutomaton:
     """Deterministic automaton of a merge list. vocab: token text to id; merges: pairs of token texts, in order."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
-        self.vocab = vocab
+        self.vocab = dict(vocab)  # less the tokens that no state has an arc for
         self.longest = max(map(len, vocab), default=1)
         self.size = max(vocab.values(), default=0) + 1
         self.born = [0] * self.size  # rank of the merge that made a token; 0: a base symbol
         self.halves: list[tuple[int, int]] = [(-1, -1)] * self.size
         self.cut: dict[int, int] = {}  # (state, token) whose arc a gadget cut, and that gadget's rank
+        self.dead: set[int] = set()
+        self.text = {i: t for t, i in vocab.items()}
         self.table: dict[int, bool] = {}  # arcs of the finished automaton, as far as resolved
         for rank, (left, right) in enumerate(merges, 1):
             self._gadget(rank, vocab[left], vocab[right], vocab[left + right])
@@ -58,6 +60,10 @@ class MergeAutomaton:
     def _gadget(self, rank: int, u: int, v: int, uv: int) -> None:
         if self.born[uv] or self.cut.get(u * self.size + v):
             raise ValueError("two merges make the same token")
+        if not self._arc_at(u, v, rank - 1):  # no sequence has u and v side by side when the merge's turn comes
+            self.vocab.pop(self.text[uv], None)
+            self.dead.add(uv)
+            return
         self.cut[u * self.size + v] = rank
         self.born[uv], self.halves[uv] = rank, (u, v)
 
@@ -73,6 +79,8 @@ class MergeAutomaton:
     def _arc_at(self, state: int, token: int, rank: int) -> bool:
         """The same once the gadgets up to a rank were applied."""
         born = self.born
+        if state in self.dead or token in self.dead:
+            return False
         while True:
             if self.cut.get(state * self.size + token, rank + 1) <= rank:
                 return False
