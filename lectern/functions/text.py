@@ -156,7 +156,7 @@ def paragraph_html(c: Column) -> Column:
 
 def markdown_text(c: Column) -> Column:
     """Plain text of Markdown: images go, links, emphasis, headings, quotes and list marks leave their text."""
-    for pattern, to in ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^\s{0,3}(?:#{1,6}|>|[-*+]|\d+\.)\s+", ""), (r"\*\*([^*]+)\*\*|__([^_]+)__", "$1$2"), (r"\*([^*\n]+)\*|`([^`\n]+)`", "$1$2")):
+    for pattern, to in ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^[ \t]{0,3}(?:#{1,6}|>|[-*+]|\d+\.)[ \t]+", ""), (r"\*\*([^*]+)\*\*|__([^_]+)__", "$1$2"), (r"\*([^*\n]+)\*|`([^`\n]+)`", "$1$2")):
         c = F.regexp_replace(c, pattern, to)
     return readable_text(c)
 
