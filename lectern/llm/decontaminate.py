@@ -92,6 +92,5 @@ def contamination(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> Data
 def drop_contaminated(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs without the rows in which a window of bench occurs."""
     bad = stored(occurrences(docs, bench, width).where("start is not null").select("doc_id", "text_key").distinct(), "contaminated")
-    tagged = docs.withColumn("_key", text_key(F.col("text"))).alias("d")
-    met = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("d._key").eqNullSafe(F.col("b.text_key"))
-    return tagged.join(_small(bad).alias("b"), met, "left_anti").drop("_key")
+    met = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & text_key(F.col("d.text")).eqNullSafe(F.col("b.text_key"))
+    return docs.alias("d").join(_small(bad).alias("b"), met, "left_anti")

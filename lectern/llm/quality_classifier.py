@@ -128,11 +128,10 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """docs without the rows that score under CUT."""
+    """docs, whatever its other columns, without the rows that score under CUT; nulls and ties as in quality()."""
     curve = train(docs, labels)
-    named = docs.withColumns({"host": F.col(host).cast("string"), "path": F.col(path).cast("string")}) if not {"host", "path"} & set(docs.columns) else None
-    if named is None:
-        raise ValueError("docs must not have columns named host or path")
-    rows = features(named).withColumn("p", chance(curve)).drop("_x")
-    sites, mean = site_posteriors(_evidence(rows.select("doc_id", "host", "path", "p"), labels))
-    return _judged(rows, stored(sites, "posteriors"), mean).where(F.col("score") >= CUT).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the row travels as one column, so no name of docs can clash with those made here
+    named = docs.select(F.struct("*").alias("row"), "doc_id", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "text")
+    rows = features(named).select("row", "doc_id", "host", "path", chance(curve).alias("p"))
+    sites, mean = site_posteriors(_evidence(rows.drop("row"), labels))
+    return _judged(rows, stored(sites, "posteriors"), mean).where(F.col("score") >= CUT).select("row.*")

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,13 +169,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = N
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None) -> DataFrame:
-    """docs without the rows that score CUT or more."""
+    """docs, whatever its other columns, without the rows that score CUT or more; nulls and ties as in toxicity()."""
     model = model or train(docs, labels)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
         for batch in batches:
-            x = np.array([evidence(folded_words(t), automaton) for t in batch["text"]]).reshape(-1, 4)
-            yield batch[probability(x, model.curve) < CUT]
+            x = np.array([evidence(folded_words(t), automaton) for t in batch.column(at).to_pylist()]).reshape(-1, 4)
+            yield batch.filter(pa.array(probability(x, model.curve) < CUT))
 
-    return text_batches(docs).mapInPandas(run, docs.schema)
+    at = docs.columns.index("text")
+    return text_batches(docs).mapInArrow(run, docs.schema)  # Arrow keeps every column's type and nulls

@@ -205,6 +205,17 @@ def test_quality_classifier(spark, docs, labels):
     assert quality_classifier.quality(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_filters_keep_columns_as_they_are(spark):
+    names = "doc_id text host path p posterior score row y _key key _x lang source big".split()
+    table = spark.createDataFrame([(i, "good plain words " * 9, *[None if i % 2 else "z"] * 12, None if i % 2 else 2**62 + i) for i in range(6)], ", ".join(f"{n} {'long' if n in ('doc_id', 'big') else 'string'}" for n in names))
+    known = spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "nowhere to be found")], "item_id long, text string")
+    want = rows(table)
+    for kept in (toxicity.drop_toxic(table, known), quality_classifier.drop_poor(table, known), decontaminate.drop_contaminated(table, bench)):
+        assert kept.columns == names and rows(kept) == want
+    assert simhash.one_of_each(spark, table).columns == names
+
+
 def test_sparse_sites_shrink(spark):
     sites = spark.createDataFrame([("a", "x", 0.0, 1.0), ("a", "y", 900.0, 1000.0), ("b", "x", 100.0, 1000.0)], "host string, path string, good double, n double")
     got = {(r["host"], r["path"]): r["posterior"] for r in quality_classifier.site_posteriors(sites)[0].collect()}
