@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.decontaminate import _small
 from lectern.llm.logistic import fit_logistic
-from lectern.llm.shared import crc_fold, space_words, stored
+from lectern.llm.shared import crc_fold, let, space_words, stored
 
 #: A document is kept from this score on.
 CUT = 0.5
@@ -38,7 +38,7 @@ def features(docs: DataFrame) -> DataFrame:
     per_word = lambda x: F.least(x / n, F.lit(3.0))
     letters = F.length(text) - without(" \t\n\x0b\f\r")
     capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ", ""))
-    next_same = F.size(F.filter(F.transform("_w", lambda w, i: w == F.get("_w", i + 1)), lambda x: x))
+    next_same = let(F.col("_w"), lambda ws: F.size(F.filter(F.transform(ws, lambda w, i: w == F.get(ws, i + 1)), lambda x: x)))
     values = [F.log1p(F.col("_n")), per_word(without("#*$%&<>")), per_word(without("|")), per_word(without("!?")), capitals / F.greatest(letters, F.lit(1)), F.size(F.array_distinct("_w")) / n, F.least(letters / n, F.lit(40)) / 10, next_same / n]
     return out.withColumn("_x", F.array(*[v.cast("double") for v in values])).drop("_w", "_n")
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import SPACES, space_words
+from lectern.llm.shared import SPACES, let, space_words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -31,15 +31,10 @@ POLICIES = {1: BASE, 2: 0b11111}
 CURRENT = 2
 
 
-def _let(value: Column, use) -> Column:
-    """use(value) with the value computed once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _repeated(hashes: Column) -> Column:
     """Words in windows that stand twice or more: windows are sorted by hash, and spans of those with an equal neighbour are joined."""
     ranked = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    twice = _let(ranked, lambda s: F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"])))
+    twice = let(ranked, lambda s: F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"])))
     twice = F.array_sort(F.transform(F.filter(twice, lambda x: x.isNotNull()), lambda x: x["i"]))
     none = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     return F.aggregate(twice, none, lambda a, p: F.struct((p + WINDOW).alias("end"), (a["n"] + WINDOW - F.greatest(F.lit(0), a["end"] - p)).alias("n")), lambda a: a["n"])
@@ -50,7 +45,8 @@ def measurements(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
     out = docs.withColumns({"_words": space_words(F.col("text")), "_lines": lines})
-    hashes = F.when(F.size("_words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("_words") - WINDOW + 1), lambda i: F.xxhash64(F.slice("_words", i, WINDOW))))
+    # the words are bound outside the loop: filters on a ledger put the split in the place of its column
+    hashes = F.when(F.size("_words") >= WINDOW, let(F.col("_words"), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))))
     out = out.withColumn("_hashes", F.coalesce(hashes, F.array().cast("array<bigint>")))
     repeated = F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), _repeated(F.col("_hashes"))).otherwise(0)
     made = {

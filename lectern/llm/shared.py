@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,11 @@ def text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("h"), F.coalesce(F.length(text), F.lit(-1)).alias("n"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, also where a filter moved it into a loop."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def crc_fold(doc_id: Column, folds: int = 3) -> Column:
     """crc32 of the id as text, modulo folds."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)).cast("int")
