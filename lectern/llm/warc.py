@@ -243,7 +243,9 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
             source.close()
 
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    placed = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    # an entry is a few bytes but stands for a record, so the number is given: Spark would join partitions by the entries' size
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = index.select("file", "offset", "length").repartition(tasks, "file").sortWithinPartitions("file", "offset")
     read = placed.mapInPandas(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
     return read.withColumns({"page_id": F.nullif(F.col("page_id"), F.lit("")).cast("long"), "refers_to": F.col("refers_to").cast("long")})
 
