@@ -3,7 +3,8 @@
 Texts are folded first: lower case, look-alike letters to Latin ones, digits and symbols inside words to the letters that
 they stand for. The lexicon has whole words and beginnings of words; a term's weight is the lower bound of its log odds
 between toxic and other training texts. A word counts with the heaviest term that it matches, unless it stands in an
-exception phrase. A text's total is normalised by its length, and a logistic curve makes it a score.
+exception phrase, and once however often a text repeats it. A text's total is normalised by its length, and a logistic curve
+makes it a score.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ class ToxicityModel:
 
 
 def evidence(words: list[str], automaton: ahocorasick.Automaton) -> tuple[float, float, float, float]:
-    """Total, total by length, total by the root of the length, and heaviest term of a text's words."""
+    """Total, total by length, total by the root of the length, and heaviest term of a text's distinct words."""
     best: dict[int, float] = {}
     spared: list[tuple[int, int]] = []
     if len(automaton):
@@ -86,8 +87,9 @@ def evidence(words: list[str], automaton: ahocorasick.Automaton) -> tuple[float,
                 spared.append((start, end))
     if spared:
         best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in spared)}
-    total, n = sum(best.values()), max(20, len(words))
-    return np.log1p(total), total / n, total / n**0.5, max(best.values(), default=0.0)
+    distinct = {line[s : line.index(" ", s + 1)]: w for s, w in best.items()} if best else {}
+    total, n = sum(distinct.values()), max(20, len(words))
+    return np.log1p(total), total / n, total / n**0.5, max(distinct.values(), default=0.0)
 
 
 def _with_text(docs: DataFrame, run, schema: str, *columns: str) -> DataFrame:
