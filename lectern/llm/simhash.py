@@ -62,6 +62,11 @@ def _neighbour_masks(bits: int, most: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(1, most + 1) for c in combinations(range(bits), k)], np.int64)
 
 
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Counts of differing bits. They are taken of unsigned values: of signed ones NumPy counts the bits of the absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def forest(members: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
     """Links (a, b) that join the members within so many bits of each other, one fewer than the members they join."""
     left, links = members.copy(), []
@@ -69,7 +74,7 @@ def forest(members: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
         while len(left):
             front, left = left[:1], left[1:]
             while len(front) and len(left):
-                near = np.bitwise_count(front[:1] ^ left) <= bits
+                near = _differing(front[:1], left) <= bits
                 found, left = left[near], left[~near]
                 links += [(int(front[0]), int(x)) for x in found]
                 front = np.concatenate([front[1:], found])
@@ -112,7 +117,7 @@ def links(fps: DataFrame) -> DataFrame:
             arrays = batch["fps"].to_numpy()
             sizes = np.fromiter(map(len, arrays), np.int64, len(arrays))
             two = np.concatenate([*arrays[sizes == 2], np.zeros(0, np.int64)]).reshape(-1, 2)
-            two = two[np.bitwise_count(two[:, 0] ^ two[:, 1]) <= BITS]
+            two = two[_differing(two[:, 0], two[:, 1]) <= BITS]
             more = [link for x in arrays[sizes > 2] for link in forest(np.sort(np.asarray(x, np.int64)))]
             yield pd.DataFrame(np.concatenate([two, np.array(more, np.int64).reshape(-1, 2)]), columns=["a", "b"])
 

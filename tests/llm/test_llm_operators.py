@@ -314,6 +314,46 @@ def test_forest_by_both_ways(monkeypatch):
     assert len(small) == len(simhash.forest(members)) and all((a ^ b).bit_count() <= 3 for a, b in small)
 
 
+def grouped(pairs, nodes):
+    """The smallest node that pairs reach from each of nodes."""
+    low = {x: x for x in nodes}
+    for _ in nodes:
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+    return low
+
+
+#: XORs with bit 63 that make three bits at most, or more; signed counts give 1 for 0xF0... and 63 for 0x80...01.
+TOP_BITS = [0x8000000000000001, 0x8000000000100000, 0xC000000000000001, 0xF000000000000000, 0xFFFFFF0000000000, 0x8000000000000007]
+
+
+@pytest.mark.parametrize("pairwise", [2048, 1])
+def test_forest_counts_the_top_bit(monkeypatch, pairwise):
+    monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
+    rng = np.random.default_rng(2)
+    for xor in TOP_BITS:  # the members of a list differ in three bytes at most
+        some = [0x123456789ABCDEF0, 0x123456789ABCDEF0 ^ xor]
+        free = [b for b in range(64) if xor >> (b // 8 * 8) & 0xFF]
+        more = [some[0] ^ sum(1 << int(b) for b in rng.choice(free, rng.integers(1, 6), replace=False)) for _ in range(40)]
+        for prints in (some, some + more):
+            members = np.unique(np.array(prints, np.uint64).view(np.int64))
+            nodes = members.tolist()
+            brute = [(a, b) for a in nodes for b in nodes if a < b and ((a ^ b) % 2**64).bit_count() <= 3]
+            assert grouped(simhash.forest(members), nodes) == grouped(brute, nodes)
+
+
+def test_near_duplicates_count_the_top_bit(spark, monkeypatch):
+    bases = [int(x) for x in np.random.default_rng(3).integers(0, 2**63, len(TOP_BITS) + 1)]
+    prints = [x for base, xor in zip(bases, TOP_BITS, strict=False) for x in (base, base ^ xor)] + [bases[-1] ^ x for x in (0, *TOP_BITS)]
+    brute = [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3]
+    low = grouped(brute, range(len(prints)))
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    table = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, table).collect()}
+    assert got == low and len(set(low.values())) > 5
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 102), (101, 102), (7, 7)]
     got = {}
