@@ -16,12 +16,12 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.decontaminate import _small
 from lectern.llm.graph import components
-from lectern.llm.shared import SPACES, stored, text_batches
+from lectern.llm.shared import SPACES, stored, text_batches, text_key
 
 BITS, BYTES = 3, 8
 MATCHES = BYTES - BITS
@@ -46,16 +46,16 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row; null and empty texts have fingerprint zero."""
+    """doc_id, fp (the fingerprint as a signed long), h and n (the fields of text_key) of each row; null and empty texts have fingerprint zero."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = np.fromiter((fingerprint(t) for t in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": got.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": got.view(np.int64), "h": batch["h"], "n": batch["n"]})
 
     kind = docs.schema["doc_id"].dataType
-    named = text_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return named.mapInPandas(run, "doc_id string, fp long").withColumn("doc_id", F.col("doc_id").cast(kind))
+    named = text_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text", text_key(F.col("text")).alias("key")).select("doc_id", "text", "key.h", "key.n")
+    return named.mapInPandas(run, "doc_id string, fp long, h long, n int").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def _neighbour_masks(bits: int, most: int) -> np.ndarray:
@@ -129,6 +129,20 @@ def _keep(positions: tuple[int, ...]) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def _row() -> Column:
+    """What orders rows: by id, those without one last, then by text."""
+    return F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h", "n")
+
+
+def _first_rows(spark: SparkSession, prints: DataFrame) -> DataFrame:
+    """fp and first, the first row of its component, of each distinct fingerprint."""
+    own = prints.groupBy("fp").agg(F.min(_row()).alias("first"))
+    roots = components(spark, links(own.select("fp")))
+    # fingerprints without links are their own component
+    placed = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return placed.select("fp", "root").join(placed.groupBy("root").agg(F.min("first").alias("first")), "root").select("fp", "first")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable by links) of each row of docs.
 
@@ -136,24 +150,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     never names a component unless all its members lack one. Other columns are ignored; an empty table gives no rows.
     """
     prints = stored(fingerprints(docs), "fingerprints")
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    roots = components(spark, links(first.select("fp")))
-    # a root's smallest id; fingerprints without links are their own component
-    placed = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_print = placed.join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(_first_rows(spark, prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest id stays; of rows that repeat that id, one."""
-    placed = stored(near_duplicates(spark, docs).select("doc_id", "component_id"), "placed")
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    # the fewer ids, those that go, are joined with the texts; an id that a staying row shares stays
-    gone = stored(placed.groupBy("doc_id").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("n")).where("n > 1 or not stays"), "gone-ids")
+    """docs without near-duplicates: of each component one row stays, that with the smallest id and, among texts that share it, the smallest text_key."""
+    prints = stored(fingerprints(docs), "fingerprints")
+    keys = prints.groupBy("doc_id", "h", "n", "fp").agg(F.count("*").alias("copies")).join(_first_rows(spark, prints), "fp")
+    # the fewer rows, those that go, are joined with the texts; of those that stay, the repeated ones are thinned
+    touched = keys.withColumn("stays", F.col("first").eqNullSafe(_row())).where("copies > 1 or not stays")
+    touched = stored(touched.select("doc_id", F.struct("h", "n").alias("text_key"), "stays"), "touched-rows")
 
-    def join(ids: DataFrame, how: str) -> DataFrame:
-        return docs.alias("d").join(_small(ids).alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), how)
+    def join(rows: DataFrame, how: str) -> DataFrame:
+        met = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & text_key(F.col("d.text")).eqNullSafe(F.col("k.text_key"))
+        return docs.alias("d").join(_small(rows.select("doc_id", "text_key")).alias("k"), met, how)
 
-    kept, repeated = join(gone.select("doc_id"), "left_anti"), gone.where("stays").select("doc_id")
-    return kept if repeated.isEmpty() else kept.unionByName(join(repeated, "left_semi").dropDuplicates(["doc_id"]))
+    kept, repeated = join(touched, "left_anti"), touched.where("stays")
+    return kept if repeated.isEmpty() else kept.unionByName(join(repeated, "left_semi").dropDuplicates(["doc_id", "text"]))

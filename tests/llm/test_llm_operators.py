@@ -348,12 +348,25 @@ def test_near_duplicates_count_the_top_bit(spark, monkeypatch):
     brute = [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3]
     low = grouped(brute, range(len(prints)))
     signed = np.array(prints, np.uint64).view(np.int64).tolist()
-    table = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")
+    table = spark.createDataFrame([(i, x, i, 0) for i, x in enumerate(signed)], "doc_id long, fp long, h long, n int")
     monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs)
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark, table).collect()}
     assert got == low and len(set(low.values())) > 5
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Rows without an id, or with the id of another text, are members of components of their own."""
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdefg"]
+    table = [
+        (None, words[0]), (None, words[0]), (None, words[1]), (None, words[2]), (9, words[2]), (1, words[3]), (1, words[4]), (1, words[4]), (3, words[4]),
+        (1, words[5]), (0, words[5]), (2, words[6]), (2, words[6]), (4, ""), (None, None), (5, " "),
+    ]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    want = [(None, words[0]), (None, words[1]), (9, words[2]), (1, words[3]), (1, words[4]), (0, words[5]), (2, words[6]), (4, "")]
+    assert rows(simhash.one_of_each(spark, docs)) == sorted(want, key=repr)
+    assert rows(simhash.one_of_each(spark, docs.where("doc_id is null"))) == sorted([*((None, x) for x in words[:3]), (None, None)], key=repr)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 102), (101, 102), (7, 7)]
     got = {}
