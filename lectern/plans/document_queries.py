@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import bookmark_words, clean_summary, feed_excerpt, markdown_text, reading_minutes, readable_units, text_hash, video_units
@@ -234,9 +234,9 @@ def tag_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("action").agg(F.count("*").alias("n"))
 
 
-def _feed_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as RSS: a feed for each source and ten-thousandth part of the ids, so no feed grows with the table."""
-    safe = F.regexp_replace(F.left("text", F.lit(200)), r"[<>&\s]+", " ")
+def _feed_xml(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    """documents with this text as RSS: a feed for each source and ten-thousandth part of the ids, so no feed grows with the table."""
+    safe = F.regexp_replace(text, r"[<>&\s]+", " ")
     item = F.concat(F.lit("<item><title>"), F.left(safe, F.lit(30)), F.lit("</title><link>https://f.example.com/"), (F.col("doc_id") % 400).cast("string"), F.lit("?utm_source=x</link><guid>g"), (F.col("doc_id") % 900).cast("string"), F.lit("</guid><category>c"), (F.col("doc_id") % 3).cast("string"), F.lit("</category><pubDate>Mon, 01 Jan 2024 00:00:00 GMT</pubDate><description>"), safe, F.lit("</description></item>"))
     feed = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 10_000).cast("string"))
     items = _docs(spark, sf_dir).groupBy(feed.alias("feed_id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))).alias("xs"))
@@ -248,15 +248,26 @@ def _feed_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source || '-' || (doc_id // 10000) AS feed_id, count(*) AS n, count(DISTINCT doc_id % 900) AS ids, sum(length(trim(regexp_replace(left(text, 200), '[<>&\s]+', ' ', 'g'))))::BIGINT AS chars, max(1704067200)::BIGINT AS latest FROM documents GROUP BY 1
 """)
 def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of feeds rendered from documents, parsed again."""
-    rows = feeds.entries(_feed_xml(spark, sf_dir))
+    """Entries of feeds rendered from the first 200 characters of documents, as its SQL has them, parsed again; feed_entries_whole has whole texts."""
+    return _feed_totals(feeds.entries(_feed_xml(spark, sf_dir, F.left("text", F.lit(200)))))
+
+
+@query(r"""
+SELECT source || '-' || (doc_id // 10000) AS feed_id, count(*) AS n, count(DISTINCT doc_id % 900) AS ids, sum(length(trim(regexp_replace(text, '[<>&\s]+', ' ', 'g'))))::BIGINT AS chars, max(1704067200)::BIGINT AS latest FROM documents GROUP BY 1
+""")
+def feed_entries_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of feeds rendered from whole documents, parsed again."""
+    return _feed_totals(feeds.entries(_feed_xml(spark, sf_dir, F.col("text"))))
+
+
+def _feed_totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("feed_id").agg(F.count("*").alias("n"), F.countDistinct("external_id").alias("ids"), F.sum(F.length("plain_text")).alias("chars"), F.unix_seconds(F.max("published_at")).alias("latest"))
 
 
 @query()
 def feed_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries folded against stored ones; the fold is greedy, so it is tested against a loop."""
-    new = feeds.entries(_feed_xml(spark, sf_dir))
+    new = feeds.entries(_feed_xml(spark, sf_dir, F.col("text")))
     stored = new.where("pos % 10 = 0")
     gates = new.select("feed_id").distinct().select("feed_id", F.when(F.substr("feed_id", F.lit(4), F.lit(1)) == "1", F.array(F.lit("C1"), F.lit("c2"))).otherwise(F.array().cast("array<string>")).alias("include"), F.lit(None).cast("timestamp").alias("backfill"))
     return feeds.sync_stats(feeds.sync(new, stored, gates))

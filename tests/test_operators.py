@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import dates, text, urls
 from lectern.operators import dedupe, filters, highlights, identity, jobs
+from lectern.plans import registry
 from lectern.sources import feeds, pages, transcripts
 
 
@@ -122,6 +123,15 @@ def test_sync_is_greedy(spark):
     assert [r["reason"] for r in feeds.sync(new, stored, gate).orderBy("pos").collect()] == ["imported", "external_id", "imported", "url", "content", "external_id"]
 
 
+def test_feeds_hold_whole_texts(spark, tmp_path):
+    """Texts that differ after 200 characters only are other contents."""
+    start = "same words " * 30
+    spark.createDataFrame([(1, start + "one", "abc"), (2, start + "two", "abc"), (3, start + "two", "abc")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["feed_sync"](spark, str(tmp_path)).first().asDict()
+    assert {k: v for k, v in got.items() if v} == {"feed_id": "abc-0", "external_id": 1, "imported": 1, "content": 1}
+    assert registry.queries()["feed_entries_whole"](spark, str(tmp_path)).first()["chars"] == 3 * (len(start) + 3)
+
+
 def test_pages(spark):
     body = "<p>" + "Readable words of an article go on here. " * 20 + "</p>"
     html = f'<html lang="EN"><head><title>Site</title><meta property="og:title" content="T"><meta name="author" content="By Ann"><meta property="article:published_time" content="2024-01-01T00:00:00Z"><link rel="canonical" href="/c"></head><body><nav><a href="/x">menu</a></nav><div class="sidebar"><a>ad</a></div><article><h1>T</h1>{body}<img data-src="https://i/x.png"></article></body></html>'
