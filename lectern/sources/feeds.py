@@ -47,7 +47,8 @@ def entries(feeds: DataFrame) -> DataFrame:
     """
     atom = feed_kind(F.col("xml"), F.lit(None).cast("string")) == "atom"
     items = F.when(atom, F.regexp_extract_all("xml", F.lit(r"(?s)<entry[\s>].*?</entry>"), F.lit(0))).otherwise(F.regexp_extract_all("xml", F.lit(r"(?s)<item[\s>].*?</item>"), F.lit(0)))
-    rows = feeds.select("feed_id", "feed_url", atom.alias("atom"), F.posexplode(items).alias("pos", "item"))
+    # what needs the whole feed is taken before the explosion, so no row of an entry carries its feed
+    rows = feeds.select("feed_id", "feed_url", atom.alias("atom"), items.alias("items")).select("feed_id", "feed_url", "atom", F.posexplode("items").alias("pos", "item"))
     links = F.regexp_extract_all("item", F.lit(r"<link\b[^>]*>"), F.lit(0))
     alternate = F.get(F.filter(links, lambda t: ~t.rlike(r"\brel\s*=") | t.rlike(r"\brel\s*=\s*[\"'](?:alternate)?[\"']")), 0)
     href = F.nullif(F.regexp_extract(alternate, r"\bhref\s*=\s*[\"']([^\"']+)[\"']", 1), F.lit(""))
