@@ -36,6 +36,9 @@ TEMPLATES = {
     "reserved": "copyright all rights reserved",
 }
 
+#: Templates that are versions of one license; any other is a family of its own.
+FAMILIES = {"gpl-2.0": "gpl", "gpl-3.0": "gpl", "lgpl": "gpl", "cc-by-4.0": "cc", "cc-by-nc-4.0": "cc"}
+
 
 def patterns(spark: SparkSession, phrases: dict[str, str], templates: dict[str, str]) -> DataFrame:
     """label, exact, toks: a row for each phrase and template."""
@@ -79,13 +82,15 @@ def matches(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[
     return met.select("doc_id", "key", "n", "label", "exact", F.when(F.col("label").isNotNull(), F.col("start")).alias("start"), (F.col("shared") / size).alias("part"))
 
 
-def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, families: dict[str, str] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row of docs (doc_id, text, ...).
 
     The score is the largest containment that a match has, 1 for a phrase and 0 without a match. Null and empty texts have no
     words and no labels. Rows that repeat an id are judged by their own text, and equal rows each give a row. Other columns
-    are ignored; an empty table gives no rows.
+    are ignored; an empty table gives no rows. A template's label goes where a better match of its family is within 32 words;
+    without families, where one of any template is.
     """
+    family = F.lit("") if families is None else F.coalesce(*[F.when(F.col("label") == label, name) for label, name in families.items()], F.col("label"))
     exact = F.col("exact") & F.col("label").isNotNull()
     place = F.when(exact, F.struct("start", "label"))
     met = matches(docs, phrases, templates, threshold)
@@ -93,12 +98,12 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
         F.count_if(F.col("label").isNull()).alias("copies"),
         F.collect_set(place).alias("places"),
         F.max(F.col("part")).alias("score"),
-        F.collect_set(F.when(~F.col("exact"), F.struct("start", "part", "label"))).alias("notices"),
+        F.collect_set(F.when(~F.col("exact"), F.struct("start", "part", "label", family.alias("family")))).alias("notices"),
     )
     joined = lambda x: F.array_join(F.array_sort(x), ",")
     starts = F.transform("places", lambda p: p["start"].cast("long"))
     # of notices in one place, such as two versions of one license, the label is that of the best match
-    better = lambda x: lambda y: (F.abs(y["start"] - x["start"]) <= STRIDE) & (y["part"] > x["part"])
+    better = lambda x: lambda y: (F.abs(y["start"] - x["start"]) <= STRIDE) & (y["part"] > x["part"]) & (y["family"] == x["family"])
     best = F.filter("notices", lambda x: ~F.exists("notices", better(x)))
     labels = F.array_distinct(F.concat(*[F.transform(x, lambda p: p["label"]) for x in (F.col("places"), best)]))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))

@@ -55,6 +55,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op8_license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8_license_scan with every label that reaches the threshold, but for lesser versions of the same license."""
+    return licenses.scan(_table(spark, sf_dir, "documents"), families=licenses.FAMILIES)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archives(spark, _table(spark, sf_dir, "pages"))
 
@@ -70,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    here = [op1_token_files, op2_decontamination, op3_bpe, op4_quality_classifier, op5_quality_rules, op6_toxicity, op7_chat_formatting, op8_license_scan, op9_warc, op10_simhash, pipeline]
+    here = [op1_token_files, op2_decontamination, op3_bpe, op4_quality_classifier, op5_quality_rules, op6_toxicity, op7_chat_formatting, op8_license_scan, op8_license_labels, op9_warc, op10_simhash, pipeline]
     return {f.__name__: f for f in here}
 
 
@@ -123,7 +128,9 @@ FROM s LEFT JOIN f ON s.payload_digest = f.payload_digest AND s.payload_bytes >=
 """
 
 
-def _op8() -> str:
+def _op8(families: dict[str, str] | None = None) -> str:
+    family = "CASE {0}.label " + " ".join(f"WHEN '{label}' THEN '{name}'" for label, name in (families or {}).items()) + " ELSE {0}.label END"
+    same = f" AND {family.format('o')} = {family.format('a')}" if families else ""
     phrases = ", ".join(f"('{t}', '{label}')" for t, label in licenses.PHRASES.items())
     templates = ", ".join(f"('{label}', '{t}')" for label, t in licenses.TEMPLATES.items())
     size, stride = licenses.BLOCK, licenses.STRIDE
@@ -135,7 +142,7 @@ places AS (SELECT r, i - 1 AS i, label FROM (SELECT r, w, p, label, unnest(range
 base AS (SELECT r, count(*)::BIGINT AS n_base, min(i)::BIGINT AS first_word, max(i)::BIGINT AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY r),
 blocks AS (SELECT r, i, w[i + 1 : i + {size}] AS b FROM (SELECT r, w, unnest(range(0, greatest(len(w), 1), {stride})) AS i FROM docs)),
 near AS (SELECT r, i, label, len(list_intersect(b, p)) / len(p)::DOUBLE AS part FROM blocks, templates WHERE len(list_intersect(b, p)) >= ceil({licenses.THRESHOLD} * len(p) - 1e-9)),
-best AS (SELECT a.r, a.label, a.part FROM near a WHERE NOT EXISTS (SELECT 1 FROM near o WHERE o.r = a.r AND abs(o.i - a.i) <= {stride} AND o.part > a.part)),
+best AS (SELECT a.r, a.label, a.part FROM near a WHERE NOT EXISTS (SELECT 1 FROM near o WHERE o.r = a.r AND abs(o.i - a.i) <= {stride} AND o.part > a.part{same})),
 told AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM places UNION ALL SELECT r, label FROM best) GROUP BY r),
 score AS (SELECT r, max(part) AS score FROM (SELECT r, part FROM near UNION ALL SELECT r, 1.0 FROM places) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
@@ -144,7 +151,7 @@ FROM docs LEFT JOIN base USING (r) LEFT JOIN told USING (r) LEFT JOIN score USIN
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"op2_decontamination": _OP2, "op5_quality_rules": _OP5, "op7_chat_formatting": _OP7, "op8_license_scan": _op8(), "op9_warc": _OP9}
+    out = {"op2_decontamination": _OP2, "op5_quality_rules": _OP5, "op7_chat_formatting": _OP7, "op8_license_scan": _op8(), "op8_license_labels": _op8(licenses.FAMILIES), "op9_warc": _OP9}
     import corpus_pipeline
 
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

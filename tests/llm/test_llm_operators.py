@@ -160,6 +160,12 @@ def test_licenses(docs):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_licenses_of_other_families_stay(spark):
+    texts = ["Copyright 2020 Acme. All rights reserved. Redistribution and use in source form, with or without modification, are permitted", "Licensed under the GNU General Public License version 3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan(docs, families=licenses.FAMILIES).collect()} == {0: "bsd-clause,reserved", 1: "gpl,gpl-3.0"}
+
+
 def toxic_table(spark, n=240):
     rng = np.random.default_rng(3)
     out, known = [], []
