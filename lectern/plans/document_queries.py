@@ -297,3 +297,15 @@ def markdown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain text of documents without marks, which Markdown leaves as they are but for spaces."""
     plain = ~F.col("text").rlike(r"[*_`#>\[\]!\r]|(?m)^\s*([-+]|\d+\.)\s|^\s|\s$| \n|\n ")
     return _docs(spark, sf_dir).where(plain).select("doc_id", F.md5(markdown_text(F.col("text")).cast("binary")).alias("t"))
+
+
+@query(r"""
+WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?m)^[ \t]{0,3}(?:#{1,6}|>|[-*+]|\d+\.)[ \t]+', '', 'g'), '\*\*([^*]+)\*\*|__([^_]+)__', '\1\2', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\*([^*\n]+)\*|`([^`\n]+)`', '\1\2', 'g'), '\r\n?', chr(10), 'g') AS t FROM b),
+d AS (SELECT doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), chr(10)) AS t FROM c)
+SELECT doc_id, md5(nullif(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'), '')) AS t FROM d
+""")
+def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain text of every document, with marks or without; markdown_texts has those without, as its SQL does."""
+    return _docs(spark, sf_dir).select("doc_id", F.md5(markdown_text(F.col("text")).cast("binary")).alias("t"))

@@ -1,5 +1,7 @@
 """Reading-corpus operators on small frames: boundaries, nulls, ties and golden cases."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +125,14 @@ def test_sync_is_greedy(spark):
     assert [r["reason"] for r in feeds.sync(new, stored, gate).orderBy("pos").collect()] == ["imported", "external_id", "imported", "url", "content", "external_id"]
 
 
+def test_markdown_of_every_document(spark, tmp_path):
+    texts = ["plain words", "# T\r\n\r\n\r\n- a **b** __c__", "![i](x.png) [l](https://x.y) `code`\n> q\n1. one ", "  edge *it* \n", None, "***"]
+    want = ["plain words", "T\n\na b c", "l code\nq\none", "edge it", None, "***"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["t"] for r in registry.queries()["markdown_documents"](spark, str(tmp_path)).collect()}
+    assert got == {i: x and hashlib.md5(x.encode()).hexdigest() for i, x in enumerate(want)}
+
+
 def test_feeds_hold_whole_texts(spark, tmp_path):
     """Texts that differ after 200 characters only are other contents."""
     start = "same words " * 30
