@@ -8,6 +8,8 @@ from collections.abc import Callable
 #: Unicode's White_Space, which str.split() matches but for four control characters that it also splits at.
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _CONTROLS = re.compile("[\\x1c-\\x1f]")
+#: Letters and after them ASCII marks, which are words of their own; an apostrophe may be part of a word.
+_MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 LIMIT = 600_000
 
 
@@ -26,9 +28,9 @@ class ChunkMemo(dict):
     def __missing__(self, chunk: str):
         if len(self) >= LIMIT:
             self.clear()
-        head, low = chunk[:-1], chunk.lower()
-        if chunk[-1] in ".,|" and head.isalpha() and low[:-1].isalpha():
-            value = self[head] + self[chunk[-1]]  # letters and punctuation are words of their own
+        low, parts = chunk.lower(), None if chunk.isalpha() else _MARKED.fullmatch(chunk)
+        if parts and parts[1].isalpha() and parts[1].lower().isalpha():
+            value = self[parts[1]] + self[parts[2]]
         elif low != chunk and chunk.isalpha() and low.isalpha() and "Σ" not in chunk:  # the one letter that lower() folds by its place
             value = self[low]
         else:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 import posixpath
+import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,8 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.bpe_automaton import byte_letters
 from lectern.llm.chunks import ChunkMemo, split_chunks
-from lectern.llm.shared import new_folder, text_batches
+from lectern.llm.shared import new_folder
 
 LENGTH, ROWS, END_ID = 2048, 256, 2
 
@@ -41,16 +44,31 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         added = [x for x in spec["added_tokens"] if x["lstrip"] or x["rstrip"] or x["single_word"] or any(map(str.isspace, x["content"]))]
-        self.by_chunk = kinds == ["NFC", "Replace", "Lowercase"] and not added and bool(steps) and steps[0]["type"] == "Split" and steps[0]["invert"] and steps[0]["behavior"] == "Removed" and r"[^\s\p{L}\p{N}]" in steps[0]["pattern"]["Regex"]
+        self.by_chunk = (
+            kinds == ["NFC", "Replace", "Lowercase"]
+            and not added
+            and [x["type"] for x in steps] == ["Split", "ByteLevel"]
+            and steps[0]["invert"]
+            and steps[0]["behavior"] == "Removed"
+            and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in steps[0]["pattern"]["Regex"]
+            and not steps[1]["add_prefix_space"]
+            and not steps[1]["use_regex"]
+        )
         self.memo = ChunkMemo(self._bytes)
 
     def _bytes(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.by_chunk and text.isalpha() and text == text.lower() and max(text) < "\u0250" and unicodedata.is_normalized("NFC", text):
+            # one word that the file's other steps leave as it is: only its model has work to do
+            ids = [t.id for t in self.model.tokenize(text if text.isascii() else "".join([self.letters[b] for b in text.encode()]))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
@@ -135,7 +153,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             stream.close()
             yield pd.DataFrame([(shard, path, out.n_ids, out.n_docs)], columns=["shard", "path", "n_ids", "n_docs"])
 
-    dealt = text_batches(docs).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     made = dealt.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "text").mapInPandas(run, "shard int, path string, n_ids long, n_docs long").collect()  # one row per shard
     table, first = [], 0
     for r in sorted(made):
