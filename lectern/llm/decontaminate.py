@@ -12,15 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import letter_words, stored, text_key
+from lectern.llm.shared import is_small, let, letter_words, small, stored, text_key
 
 WIDTH = 10
-#: Rows of a table of keys or windows up to which it is broadcast; beyond it Spark joins by shuffle.
-BROADCAST_ROWS = 500_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _shingle(words: Column, at: Column) -> Column:
@@ -29,10 +23,10 @@ def _shingle(words: Column, at: Column) -> Column:
 
 
 def windows(bench: DataFrame, width: int = WIDTH) -> DataFrame:
-    """win (its words) and items (ids) of each distinct window of bench (item_id, text)."""
+    """item_id and win (its words) of each distinct window of each item of bench (item_id, text)."""
     items = bench.select("item_id", letter_words(F.col("text")).alias("w")).withColumn("len", F.least(F.size("w"), F.lit(width))).where("len > 0")
     placed = items.select("item_id", "len", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("len"))).alias("i"))
-    return placed.select("item_id", F.slice("w", F.col("i") + 1, F.col("len")).alias("win")).groupBy("win").agg(F.collect_set("item_id").alias("items"))
+    return placed.select("item_id", F.slice("w", F.col("i") + 1, F.col("len")).alias("win")).distinct()
 
 
 def _places(docs: DataFrame, single: bool, *keep: str) -> DataFrame:
@@ -46,27 +40,49 @@ def _places(docs: DataFrame, single: bool, *keep: str) -> DataFrame:
     return placed.withColumn("key", F.explode(F.when(one.isNull(), F.array(pair)).otherwise(F.array(pair, one))))
 
 
-def occurrences(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Of each row of docs: doc_id, key (text_key), n; with start, end and items of each window that occurs, and once without."""
-    wins = stored(windows(bench, width), "windows")
-    single = not wins.where(F.size("win") == 1).isEmpty()
+def _prefixes(texts: DataFrame, wins: DataFrame, single: bool) -> DataFrame:
+    """key, off (its place in the window) and win: the rarest shingle of each window that can occur."""
     last = F.greatest(F.size("win") - 2, F.lit(0))
-    shingles = stored(wins.select("win", "items", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: _shingle(F.col("win"), i))).alias("off", "key")), "shingles")
-    texts = docs.select("doc_id", "text").withColumn("words", letter_words(F.col("text"))).withColumn("n", F.size("words"))
+    each = F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: _shingle(F.col("win"), i))).alias("off", "key")
+    shingles = stored(wins.select("win").distinct().select("win", each), "shingles")
     keys = stored(shingles.select("key").distinct(), "shingle-keys")
-    if keys.count() <= BROADCAST_ROWS:
+    if is_small(keys):
         counts = _places(texts, single).select("key").join(F.broadcast(keys), "key", "left_semi").groupBy("key").count()
     else:
         counts = _places(texts, single).groupBy("key").count().join(keys, "key", "left_semi")
+    ranked = shingles.join(counts, "key", "left").groupBy("win")
+    ranked = ranked.agg(F.min(F.struct("count", "off", "key")).alias("rarest"), F.min(F.coalesce("count", F.lit(0))).alias("least"))
     # a window with a shingle that no document has does not occur
-    ranked = shingles.join(counts, "key", "left").groupBy("win").agg(F.min(F.struct("count", "off", "key")).alias("rarest"), F.first("items").alias("items"), F.min(F.coalesce("count", F.lit(0))).alias("least"))
-    prefixes = stored(ranked.where("least > 0").select("rarest.key", "rarest.off", "win", "items"), "prefixes")
-    placed = _places(texts.withColumn("text_key", text_key(F.col("text"))), single, "doc_id", "text_key")
-    met = placed.join(_small(prefixes), "key", "left").where(F.col("win").isNotNull() | (F.col("at") == F.col("n")))
-    start = F.col("at") - F.col("off")
-    inside = (start >= 0) & (start + F.size("win") <= F.col("n"))
-    same = F.when(inside, F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("win")) == F.col("win"))
-    return met.where(F.col("win").isNull() | same).select("doc_id", "text_key", "n", F.when(F.col("win").isNotNull(), start).alias("start"), (start + F.size("win")).alias("end"), "items")
+    return stored(ranked.where("least > 0").select("rarest.key", "rarest.off", "win"), "prefixes")
+
+
+def occurrences(docs: DataFrame, wins: DataFrame) -> DataFrame:
+    """Of each row of docs: doc_id, text_key, n; with start, end and win of each of wins (win) that occurs, and once without.
+
+    A prefix table that is small is broadcast, and words are compared where they are met. A larger one is joined by shuffle
+    with places that carry no words; the candidates of a text then join it once more. Both are linear in the words.
+    """
+    single = not wins.where(F.size("win") == 1).isEmpty()
+    texts = docs.select("doc_id", "text").withColumn("words", letter_words(F.col("text"))).withColumn("n", F.size("words"))
+    prefixes = _prefixes(texts, wins, single)
+    texts = texts.withColumn("text_key", text_key(F.col("text"))).drop("text")
+    start, size = F.col("at") - F.col("off"), F.size("win")
+    inside = (start >= 0) & (start + size <= F.col("n"))
+    if is_small(prefixes):
+        placed = _places(texts, single, "doc_id", "text_key")
+        met = placed.join(F.broadcast(prefixes), "key", "left").where(F.col("win").isNotNull() | (F.col("at") == F.col("n")))
+        same = F.when(inside, F.slice("words", F.greatest(start, F.lit(0)) + 1, size) == F.col("win"))
+        met = met.where(F.col("win").isNull() | same).withColumn("start", F.when(F.col("win").isNotNull(), start))
+    else:
+        placed = _places(texts, single, "doc_id", "text_key").select("doc_id", "text_key", "n", "at", "key").where("key is not null")
+        found = placed.join(prefixes, "key").where(inside).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(start.alias("start"), "win")).alias("found"))
+        own = texts["doc_id"].eqNullSafe(found["doc_id"]) & texts["text_key"].eqNullSafe(found["text_key"])
+        met = texts.join(found, own, "left").select(texts["doc_id"], texts["text_key"], "n", "words", "found")
+        right = let(F.col("words"), lambda w: F.filter("found", lambda x: F.slice(w, x["start"] + 1, F.size(x["win"])) == x["win"]))
+        none = F.array(F.lit(None).cast(met.schema["found"].dataType.elementType))
+        met = met.select("doc_id", "text_key", "n", F.explode(F.concat(none, F.coalesce(right, F.array().cast(met.schema["found"].dataType)))).alias("x"))
+        met = met.select("doc_id", "text_key", "n", "x.start", "x.win")
+    return met.select("doc_id", "text_key", "n", "start", (F.col("start") + size).alias("end"), "win")
 
 
 def contamination(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -76,21 +92,33 @@ def contamination(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> Data
     row. Items without words have no windows; an item without an id marks words but is not counted or listed. Other
     columns are ignored. An empty docs gives no rows; with an empty bench nothing is hit.
     """
-    met = occurrences(docs, bench, width)
+    wins = stored(windows(bench, width), "windows")
+    # rows without a window get a key that no window has, since their null would be one hot key
+    key = F.coalesce("win", F.array(F.lit(""), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    met = occurrences(docs, wins).withColumn("win", key).join(small(wins), "win", "left")
     by_doc = met.groupBy("doc_id", "text_key", "n").agg(
         F.count_if(F.col("start").isNull()).alias("copies"),
         F.sort_array(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "end")))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+        F.collect_set("item_id").alias("items"),
     )
     none = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
-    n_hit = F.aggregate("spans", none, lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["end"]))).alias("n")), lambda a: a["n"])
+    fresh = lambda a, s: F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["end"]))
+    n_hit = F.aggregate("spans", none, lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"), (a["n"] + fresh(a, s)).alias("n")), lambda a: a["n"])
     said = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     out = by_doc.withColumn("n_hit", n_hit.cast("long")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_words"), "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(said, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select(
+        "doc_id", F.col("n").cast("long").alias("n_words"), "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(said, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs without the rows in which a window of bench occurs."""
-    bad = stored(occurrences(docs, bench, width).where("start is not null").select("doc_id", "text_key").distinct(), "contaminated")
+    """docs, whatever its other columns, without the rows in which a window of bench occurs.
+
+    Null and empty texts stay. Rows that repeat an id are judged by their own text, and equal rows stay or go together.
+    With an empty bench all rows stay; an empty docs gives no rows.
+    """
+    wins = stored(windows(bench, width), "windows")
+    bad = stored(occurrences(docs, wins).where("start is not null").select("doc_id", "text_key").distinct(), "contaminated")
     met = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & text_key(F.col("d.text")).eqNullSafe(F.col("b.text_key"))
-    return docs.alias("d").join(_small(bad).alias("b"), met, "left_anti")
+    return docs.alias("d").join(small(bad).alias("b"), met, "left_anti")
