@@ -1,20 +1,20 @@
 """License scans by an exact set-similarity join (dealt operator 8).
 
 Text blocks are windows of 64 words, 32 apart; templates are short notices. A block meets a template if it holds at least
-0.8 of the template's distinct words. Words of templates are ordered by their counts over all documents, rarest first: a
-block that meets the threshold t of a template of n words holds one of its n - ceil(t n) + 1 first words (prefix filter),
-has at least ceil(t n) words (length filter), and, where the first prefix word it holds is the k-th, can share n - k + 1
-words at most (positional filter). Phrases are exact: all words, in order, side by side; their prefix is their rarest word.
+0.8 of the template's distinct words. Words of templates are ordered by their counts over all documents, rarest first, and
+a block is the list of the template words that it holds, in this order. A block that meets the threshold t of a template of
+n words holds one of its n - ceil(t n) + 1 first words (prefix filter) and ceil(t n) template words (length filter). Where the
+first one that they share is the i-th of the template and the j-th of the block, counted from 0, they share no more words than
+the template has from its i-th and the block has from its j-th on (positional filter). What passes is verified. Phrases go
+the same way with a threshold of 1, and then all words must stand in order, side by side.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import letter_words, stored, text_key
+from lectern.llm.shared import let, letter_words, stored, text_key
 
 THRESHOLD, BLOCK, STRIDE = 0.8, 64, 32
 
@@ -41,45 +41,75 @@ FAMILIES = {"gpl-2.0": "gpl", "gpl-3.0": "gpl", "lgpl": "gpl", "cc-by-4.0": "cc"
 
 
 def patterns(spark: SparkSession, phrases: dict[str, str], templates: dict[str, str]) -> DataFrame:
-    """label, exact, toks: a row for each phrase and template."""
-    rows = [(label, True, text.split()) for text, label in phrases.items()] + [(label, False, list(dict.fromkeys(text.split()))) for label, text in templates.items()]
+    """label, exact, toks (in the pattern's order): a row for each phrase and template."""
+    rows = [(label, True, text.split()) for text, label in phrases.items()]
+    rows += [(label, False, list(dict.fromkeys(text.split()))) for label, text in templates.items()]
     return spark.createDataFrame(rows, "label string, exact boolean, toks array<string>")
 
 
-def _prefixes(words: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """tok and the patterns whose prefix holds it: label, exact, toks, off (place in a phrase, or rank from 0 in a template) and need."""
-    toks = stored(known.select("label", "exact", "toks", F.posexplode("toks").alias("off", "tok")), "pattern-words")
-    counts = words.select(F.explode("words").alias("tok")).join(F.broadcast(toks.select("tok").distinct()), "tok", "left_semi").groupBy("tok").count()
-    ranked = toks.join(counts, "tok", "left").na.fill(0, ["count"]).groupBy("label", "exact", "toks").agg(F.sort_array(F.collect_list(F.struct("count", "off", "tok"))).alias("r"))
-    need = F.when(F.col("exact"), F.size("toks")).otherwise(F.ceil(F.size("toks") * F.lit(threshold) - 1e-9)).cast("int")
-    # a phrase whose rarest word has no place has none either; a template needs only some of its words
-    ranked = ranked.withColumn("need", need).where(~F.col("exact") | (F.col("r")[0]["count"] > 0))
-    out = ranked.select("label", "exact", "toks", "need", F.posexplode(F.slice("r", 1, F.when(F.col("exact"), 1).otherwise(F.size("toks") - F.col("need") + 1))).alias("rank", "x"))
-    return stored(out.select(F.col("x.tok").alias("tok"), "label", "exact", "toks", "need", F.when(F.col("exact"), F.col("x.off")).otherwise(F.col("rank")).alias("off")), "prefixes")
+def _ranked(words: DataFrame, known: DataFrame) -> DataFrame:
+    """tok and rank (from 0) of each word of the patterns, the rarest of the documents first."""
+    toks = known.select(F.explode("toks").alias("tok")).distinct()
+    counts = words.select(F.explode("words").alias("tok")).join(F.broadcast(toks), "tok", "left_semi").groupBy("tok").count()
+    counts = toks.join(counts, "tok", "left").na.fill(0, ["count"])
+    order = F.sort_array(F.collect_list(F.struct("count", "tok")))  # of the fixed patterns' words
+    return stored(counts.agg(order.alias("o")).select(F.posexplode("o").alias("rank", "x")).select(F.col("x.tok").alias("tok"), "rank"), "ranks")
+
+
+def _prefixes(known: DataFrame, ranks: DataFrame, threshold: float) -> DataFrame:
+    """tok and the patterns whose prefix holds it: label, exact, toks, size (distinct words), need, and i, its place in the prefix."""
+    each = known.select("label", "exact", "toks", F.explode(F.array_distinct("toks")).alias("tok")).join(F.broadcast(ranks), "tok")
+    rows = each.groupBy("label", "exact", "toks").agg(F.sort_array(F.collect_list(F.struct("rank", "tok"))).alias("r")).withColumn("size", F.size("r"))
+    rows = rows.withColumn("need", F.when(F.col("exact"), F.col("size")).otherwise(F.ceil(F.col("size") * F.lit(threshold) - 1e-9)).cast("int"))
+    rows = rows.select("label", "exact", "toks", "size", "need", F.posexplode(F.slice("r", 1, F.col("size") - F.col("need") + 1)).alias("i", "x"))
+    return stored(rows.select(F.col("x.tok").alias("tok"), "label", "exact", "toks", "size", "need", "i"), "prefixes")
+
+
+def candidates(words: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of words (words: array) by block and pattern that pass the filters, with start, w (the block's words), shared and the
+    pattern's columns; and each row once without them."""
+    ranks = _ranked(words, known)
+    order = [r["tok"] for r in ranks.orderBy("rank").collect()]  # words of the fixed patterns
+    prefixes = _prefixes(known, ranks, threshold)
+    least = prefixes.agg(F.min("need").alias("m")).first()["m"] or 1
+    first_toks = sorted({r["tok"] for r in prefixes.select("tok").collect()})
+
+    def block(w, at):
+        whole = F.slice(w, at + 1, F.lit(BLOCK))
+        return F.struct(at.alias("start"), whole.alias("w"), F.array_intersect(F.lit(order), whole).alias("held"))
+
+    # a word stands in its own block and in the one before; only blocks with a word of some prefix are built
+    of_word = lambda i: F.array_distinct(F.array(i - i % STRIDE, F.greatest(i - i % STRIDE - STRIDE, F.lit(0))))
+    hits = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(first_toks))
+    starts = lambda w: F.when(F.size(w) > 0, F.array_distinct(F.flatten(F.transform(hits(w), of_word)))).otherwise(F.array().cast("array<int>"))
+    blocks = let(F.col("words"), lambda w: F.transform(starts(w), lambda at: block(w, at)))
+    some = F.filter(blocks, lambda b: F.size(b["held"]) >= least)
+    none = F.array(F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("array<string>").alias("w"), F.lit(None).cast("array<string>").alias("held")))
+    rows = words.withColumn("_b", F.explode(F.concat(none, some))).drop("words")
+    rows = rows.select("*", F.posexplode_outer("_b.held").alias("_j", "tok"))
+    met = rows.join(F.broadcast(prefixes), "tok", "left").where(F.col("label").isNotNull() | F.col("_b").getField("start").isNull())
+    held = F.size("_b.held")
+    passed = (held >= F.col("need")) & (F.least(F.col("size") - F.col("i"), held - F.col("_j")) >= F.col("need"))
+    met = met.where(F.col("label").isNull() | passed)
+    return met.select("*", "_b.start", "_b.w", F.size(F.array_intersect("toks", "_b.held")).alias("shared")).drop("_b", "_j", "tok", "i")
 
 
 def matches(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Of each row of docs: doc_id, key, n; with start, label, exact and part (the containment) of each match, and once without.
 
-    start is a phrase's first word, or a block's.
+    start is a phrase's first word, or a block's. A phrase in two blocks is given twice. Null and empty texts have no match;
+    each of equal rows has its own, and other columns are ignored.
     """
-    if any(len(t.split()) > STRIDE for t in templates.values()) or not 0 < threshold <= 1:
-        raise ValueError("templates have at most 32 words, and the threshold is over 0 and at most 1")
-    words = docs.select("doc_id", "text").withColumn("words", letter_words(F.col("text"))).withColumn("n", F.size("words"))
-    prefixes = _prefixes(words, patterns(docs.sparkSession, phrases, templates), threshold)
-    placed = words.select("doc_id", text_key(F.col("text")).alias("key"), "words", "n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("at")).withColumn("tok", F.get("words", "at"))
-    met = placed.join(F.broadcast(prefixes), "tok", "left").where(F.col("label").isNotNull() | (F.col("at") == F.col("n")))
-    first = F.floor(F.col("at") / STRIDE).cast("int")
-    # a word stands in its own block and in the one before; a text's last blocks may be shorter
-    blocks = F.transform(F.array_distinct(F.array(first, F.greatest(first - 1, F.lit(0)))), lambda b: b * STRIDE)
-    met = met.select("*", F.explode(F.when(F.col("exact"), F.array(F.col("at") - F.col("off"))).when(F.col("label").isNotNull(), blocks).otherwise(F.array(F.lit(0)))).alias("start"))
-    size = F.size("toks")
-    block = F.slice("words", F.greatest("start", F.lit(0)) + 1, F.lit(BLOCK))
-    phrase = (F.col("start") >= 0) & (F.col("start") + size <= F.col("n")) & (F.slice("words", F.greatest("start", F.lit(0)) + 1, size) == F.col("toks"))
-    bounds = (F.least(F.lit(BLOCK), F.col("n") - F.col("start")) >= F.col("need")) & (size - F.col("off") >= F.col("need"))
-    shared = F.when(F.col("exact"), F.when(phrase, size)).when(bounds, F.size(F.array_intersect("toks", block)))
-    met = met.withColumn("shared", shared).where(F.col("label").isNull() | (F.col("shared") >= F.col("need")))
-    return met.select("doc_id", "key", "n", "label", "exact", F.when(F.col("label").isNotNull(), F.col("start")).alias("start"), (F.col("shared") / size).alias("part"))
+    if any(len(t.split()) > STRIDE for t in [*templates.values(), *phrases]) or not 0 < threshold <= 1:
+        raise ValueError("templates and phrases have at most 32 words, and the threshold is over 0 and at most 1")
+    words = docs.select("doc_id", text_key(F.col("text")).alias("key"), letter_words(F.col("text")).alias("words")).withColumn("n", F.size("words"))
+    met = candidates(words, patterns(docs.sparkSession, phrases, templates), threshold)
+    met = met.where(F.col("label").isNull() | (F.col("shared") >= F.col("need")))
+    at = F.sequence(F.lit(0), F.greatest(F.size("w") - F.size("toks"), F.lit(0)))
+    places = F.filter(at, lambda k: F.slice("w", k + 1, F.size("toks")) == F.col("toks"))
+    own = F.when(F.col("exact"), F.transform(places, lambda k: k + F.col("start"))).otherwise(F.array("start"))
+    met = met.select("doc_id", "key", "n", "label", "exact", F.explode(own).alias("start"), (F.col("shared") / F.col("size")).alias("part"))
+    return met
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, families: dict[str, str] | None = None) -> DataFrame:
