@@ -2,16 +2,17 @@
 
 Fingerprints that differ in at most 3 of 64 bits share at least 5 of their 8 positional bytes: that is the guaranteed
 minimum number of matches. Lists of a single byte and position would hold 1/256 of all fingerprints each, so the index is
-kept by the combinations of five positions: two fingerprints meet in a list exactly if their tally reaches five. A list's
-members then differ in three bytes at most, so it has at most 2^24 members whatever the number of documents. In a list
-links are verified bit by bit and reduced to a spanning forest, so a dense list gives fewer links than it has members.
-Equal fingerprints are one member. Components follow from contraction (graph.py).
+kept by 14 combinations of four positions, chosen so that any five positions hold one: two fingerprints with the minimum
+meet in a list. There the positional bytes that each pair shares are tallied, pairs under the minimum are dropped, and
+the others are verified bit by bit and reduced to a spanning forest, so a dense list gives fewer links than it has members.
+A list over LONGEST is dealt anew by a fifth byte, which such pairs also share, and a list by five bytes has at most 2^24
+members whatever the number of documents. Equal fingerprints are one member. Components follow from contraction (graph.py).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -19,13 +20,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.decontaminate import _small
-from lectern.llm.graph import components
-from lectern.llm.shared import SPACES, stored, text_batches, text_key
+from lectern.llm.graph import by_pointer, components
+from lectern.llm.shared import SPACES, small, stored, text_key
 
 BITS, BYTES = 3, 8
 MATCHES = BYTES - BITS
-#: Lists up to this length are compared member by member; in longer ones every member looks up its neighbours instead.
+#: A list by four bytes that is longer is dealt anew by a fifth one.
+LONGEST = 8192
+#: Lists by five bytes up to this length are tallied member by member; in longer ones every member looks up its neighbours instead.
 PAIRWISE = 2048
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _SPLIT = str.maketrans(dict.fromkeys(SPACES, " "))
@@ -54,7 +56,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": got.view(np.int64), "h": batch["h"], "n": batch["n"]})
 
     kind = docs.schema["doc_id"].dataType
-    named = text_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text", text_key(F.col("text")).alias("key")).select("doc_id", "text", "key.h", "key.n")
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", text_key(F.col("text")).alias("key")).select("doc_id", "text", "key.h", "key.n")
     return named.mapInPandas(run, "doc_id string, fp long, h long, n int").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
@@ -67,18 +69,38 @@ def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
+def _shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The tally: how many positional bytes are equal."""
+    x = (a ^ b).view(np.uint64)
+    return sum((((x >> np.uint64(8 * i)) & np.uint64(0xFF)) == 0).astype(np.int8) for i in range(BYTES))
+
+
+def _linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs pass the count filter and differ in at most BITS bits; only those that pass are verified."""
+    found = np.flatnonzero(_shared_bytes(a, b) >= MATCHES)
+    out = np.zeros(np.broadcast(a, b).shape, bool)
+    out[found] = _differing(a[found] if len(a) > 1 else a, b[found]) <= BITS
+    return out
+
+
+def tallied_forest(members: np.ndarray) -> list[tuple[int, int]]:
+    """Links (a, b) between members that pass the count filter and the check, one fewer than the members they join."""
+    left, links = members, []
+    while len(left):
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            near = _linked(front[:1], left)
+            found, left = left[near], left[~near]
+            links += [(int(front[0]), int(x)) for x in found]
+            front = np.concatenate([front[1:], found])
+    return links
+
+
 def forest(members: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
-    """Links (a, b) that join the members within so many bits of each other, one fewer than the members they join."""
-    left, links = members.copy(), []
+    """tallied_forest() of members that share five bytes, by looking up neighbours where they are many."""
     if len(members) <= PAIRWISE:
-        while len(left):
-            front, left = left[:1], left[1:]
-            while len(front) and len(left):
-                near = _differing(front[:1], left) <= bits
-                found, left = left[near], left[~near]
-                links += [(int(front[0]), int(x)) for x in found]
-                front = np.concatenate([front[1:], found])
-        return links
+        return tallied_forest(members)
+    links: list[tuple[int, int]] = []
     # members share five bytes: squeeze the other three to 24 bits and look up the neighbours of each
     same = int(np.bitwise_or.reduce(members ^ members[0]).view(np.uint64))
     free = [8 * i for i in range(BYTES) if same >> 8 * i & 0xFF]
@@ -104,29 +126,80 @@ def forest(members: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
     return links
 
 
+def _lists(n: int) -> list[tuple[int, ...]]:
+    """Combinations of n positions such that any MATCHES positions hold one: each time that which most of those without one hold."""
+    left, out = {frozenset(c) for c in combinations(range(BYTES), MATCHES)}, []
+    while left:
+        best = max(combinations(range(BYTES), n), key=lambda c: sum(x.issuperset(c) for x in left))
+        left = {x for x in left if not x.issuperset(best)}
+        out.append(best)
+    return out
+
+
+def _mask(positions: tuple[int, ...]) -> int:
+    mask = sum(0xFF << 8 * p for p in positions)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _keys_change(rows: np.ndarray) -> np.ndarray:
+    """Where the lists of sorted postings (g, bytes, fp) start."""
+    return np.append(0, 1 + np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)))[: len(rows)]
+
+
+def _tallied(rows: np.ndarray) -> np.ndarray:
+    """Links a, b of whole lists of postings; all lists of two members are tallied together."""
+    starts, fps = _keys_change(rows), np.ascontiguousarray(rows[:, 2])
+    sizes = np.diff(np.append(starts, len(fps)))
+    two = starts[sizes == 2]
+    near = _linked(fps[two], fps[two + 1])
+    more = [link for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True) for link in tallied_forest(fps[s : s + n])]
+    return np.concatenate([np.stack([fps[two][near], fps[two + 1][near]], 1), np.array(more, np.int64).reshape(-1, 2)])
+
+
+def _by_list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links a, b (g is -1) of sorted postings (g, bytes, fp), list by list; a list over LONGEST is given back as g, fp, fp."""
+    held, back = np.zeros((0, 3), np.int64), None  # the list that may go on, and the key of the one that goes back
+    for batch in chain(batches, [None]):
+        rows = held if batch is None else np.concatenate([held, batch[["g", "bytes", "fp"]].to_numpy(np.int64)])
+        if not len(rows):
+            continue
+        starts = _keys_change(rows)
+        sizes = np.diff(np.append(starts, len(rows)))
+        long = sizes > LONGEST
+        long[0] |= back == tuple(rows[0, :2])
+        again = np.repeat(long, sizes)
+        yield pd.DataFrame({"g": rows[again, 0], "a": rows[again, 2], "b": rows[again, 2]})
+        back = tuple(rows[-1, :2]) if long[-1] else None
+        held = rows[:0] if long[-1] or batch is None else rows[starts[-1] :]
+        found = _tallied(rows[: len(rows) - len(held)][~again[: len(rows) - len(held)]])
+        yield pd.DataFrame({"g": np.full(len(found), -1), "a": found[:, 0], "b": found[:, 1]})
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Links a, b between distinct fingerprints (column fp) that keep every component whole."""
-    groups = [F.struct(F.lit(g).alias("g"), F.col("fp").bitwiseAND(F.lit(_keep(c))).alias("bytes")) for g, c in enumerate(combinations(range(BYTES), MATCHES))]
-    # a fingerprint is few bytes but gives 56 rows, so few input partitions are dealt anew (by another key, or Spark takes them as dealt)
-    dealt = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
-    postings = dealt.select("fp", F.explode(F.array(*groups)).alias("at")).select("at.g", "at.bytes", "fp")
-    lists = postings.groupBy("g", "bytes").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+    four = _lists(MATCHES - 1)
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.array(*[F.struct(F.lit(g).alias("g"), F.col("fp").bitwiseAND(F.lit(_mask(c))).alias("bytes")) for g, c in enumerate(four)])
+    # a fingerprint is few bytes but gives many rows, so few input partitions are dealt anew (by another key, or Spark takes them as dealt)
+    postings = fps.repartition(tasks, F.xxhash64("fp")).select("fp", F.explode(at).alias("at")).select("at.g", "at.bytes", "fp")
+    lists = postings.repartition("g", "bytes").sortWithinPartitions("g", "bytes", "fp")
+    met = stored(lists.mapInPandas(_by_list, "g int, a long, b long"), "links")
+    found, again = met.where("g < 0").select("a", "b"), met.where("g >= 0").select("g", F.col("a").alias("fp"))
+    return (found if again.isEmpty() else found.union(_by_five_bytes(again, four))).distinct()
+
+
+def _by_five_bytes(again: DataFrame, four: list[tuple[int, ...]]) -> DataFrame:
+    """Links a, b of the lists given back (g, fp), from lists by one more byte; each has at most 2^24 members."""
+    more = [F.lit([_mask((*c, p)) for p in range(BYTES) if p not in c]) for c in four]
+    keys = again.select("fp", F.explode(F.get(F.array(*more), F.col("g"))).alias("mask"))
+    lists = keys.distinct().groupBy("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("bytes")).agg(F.collect_list("fp").alias("fps"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            arrays = batch["fps"].to_numpy()
-            sizes = np.fromiter(map(len, arrays), np.int64, len(arrays))
-            two = np.concatenate([*arrays[sizes == 2], np.zeros(0, np.int64)]).reshape(-1, 2)
-            two = two[_differing(two[:, 0], two[:, 1]) <= BITS]
-            more = [link for x in arrays[sizes > 2] for link in forest(np.sort(np.asarray(x, np.int64)))]
-            yield pd.DataFrame(np.concatenate([two, np.array(more, np.int64).reshape(-1, 2)]), columns=["a", "b"])
-
-    return lists.mapInPandas(run, "a long, b long").distinct()
+            found = [link for x in batch["fps"] for link in forest(np.sort(np.asarray(x, np.int64)))]
+            yield pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
 
-
-def _keep(positions: tuple[int, ...]) -> int:
-    mask = sum(0xFF << 8 * p for p in positions)
-    return mask - (1 << 64) if mask >> 63 else mask
+    return lists.where(F.size("fps") > 1).select("fps").mapInPandas(run, "a long, b long")
 
 
 def _row() -> Column:
@@ -136,11 +209,13 @@ def _row() -> Column:
 
 def _first_rows(spark: SparkSession, prints: DataFrame) -> DataFrame:
     """fp and first, the first row of its component, of each distinct fingerprint."""
-    own = prints.groupBy("fp").agg(F.min(_row()).alias("first"))
+    own = stored(prints.groupBy("fp").agg(F.min(_row()).alias("first")), "distinct-fingerprints")
     roots = components(spark, links(own.select("fp")))
+    placed = stored(own.join(roots.withColumnRenamed("node", "fp"), "fp", "left"), "placed-fingerprints")
+    firsts = placed.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
+    linked = by_pointer(placed.where("root is not null"), firsts, "root", "fp").select("fp", F.col("least").alias("first"))
     # fingerprints without links are their own component
-    placed = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return placed.select("fp", "root").join(placed.groupBy("root").agg(F.min("first").alias("first")), "root").select("fp", "first")
+    return linked.union(placed.where("root is null").select("fp", "first"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -154,7 +229,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component one row stays, that with the smallest id and, among texts that share it, the smallest text_key."""
+    """docs, whatever its other columns, without near-duplicates: of each component one row stays, that with the smallest id and, among
+    texts that share it, the smallest text_key. Rows without an id come last; null and empty texts are one component, of which
+    one row stays too. Of equal rows one stays; an empty table gives no rows."""
     prints = stored(fingerprints(docs), "fingerprints")
     keys = prints.groupBy("doc_id", "h", "n", "fp").agg(F.count("*").alias("copies")).join(_first_rows(spark, prints), "fp")
     # the fewer rows, those that go, are joined with the texts; of those that stay, the repeated ones are thinned
@@ -163,7 +240,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def join(rows: DataFrame, how: str) -> DataFrame:
         met = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & text_key(F.col("d.text")).eqNullSafe(F.col("k.text_key"))
-        return docs.alias("d").join(_small(rows.select("doc_id", "text_key")).alias("k"), met, how)
+        return docs.alias("d").join(small(rows.select("doc_id", "text_key")).alias("k"), met, how)
 
     kept, repeated = join(touched, "left_anti"), touched.where("stays")
     return kept if repeated.isEmpty() else kept.unionByName(join(repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
