@@ -10,23 +10,28 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import json
 import posixpath
 import re
 import uuid
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.decontaminate import _small
-from lectern.llm.shared import new_folder, stored, text_batches
+from lectern.llm.shared import new_folder, small, stored
 
 LEAST_BYTES = 100
+#: The time of captures that have none.
+CAPTURED = "2024-01-01T00:00:00Z"
+#: What orders captures: URL key, timestamp and page.
+Key = tuple[str, str, str]
 #: Runs that one task merges, rows of a run's batches, and keys that a run samples.
 FAN_IN, BATCH, SAMPLES = 64, 1024, 64
 ENTRY = "urlkey string, ts string, page_id string, file string, offset long, length long"
@@ -100,7 +105,7 @@ class LoserTree:
             self._play(top)
 
 
-def _write_run(fs, path: str, rows: Iterable[tuple]) -> tuple[int, list[str]]:
+def _write_run(fs, path: str, rows: Iterable[tuple]) -> tuple[int, list[Key]]:
     """Number of rows and sampled keys of a run written from sorted rows."""
     n, sample, held = 0, [], []
     step = 1
@@ -113,7 +118,7 @@ def _write_run(fs, path: str, rows: Iterable[tuple]) -> tuple[int, list[str]]:
 
         for row in rows:
             if n % step == 0:
-                sample.append(row[0])
+                sample.append(tuple(row[:3]))
                 if len(sample) >= 2 * SAMPLES:  # half of them, from now on half as often
                     sample, step = sample[::2], step * 2
             n += 1
@@ -124,33 +129,37 @@ def _write_run(fs, path: str, rows: Iterable[tuple]) -> tuple[int, list[str]]:
     return n, sample
 
 
-def _read_run(fs, path: str, low: str | None, high: str | None) -> Iterator[tuple]:
+def _read_run(fs, path: str, low: Key | None, high: Key | None) -> Iterator[tuple]:
     """Rows of a run with low <= key < high; batches before low are found by bisection and not read."""
     with fs.open_input_file(path) as source:
         reader = pa.ipc.open_file(source)
-        first = 0
-        if low is not None:
-            first = max(0, bisect_left(range(reader.num_record_batches), low, key=lambda b: reader.get_batch(b).column(0)[0].as_py()) - 1)
+        key = lambda b: tuple(reader.get_batch(b).column(c)[0].as_py() for c in range(3))
+        first = 0 if low is None else max(0, bisect_left(range(reader.num_record_batches), low, key=key) - 1)
         for b in range(first, reader.num_record_batches):
             for row in zip(*(c.to_pylist() for c in reader.get_batch(b).columns), strict=True):
-                if high is not None and row[0] >= high:
+                if high is not None and row[:3] >= high:
                     return
-                if low is None or row[0] >= low:
+                if low is None or row[:3] >= low:
                     yield row
 
 
-def plan_records(pages: DataFrame, ts: str) -> DataFrame:
+def plan_records(pages: DataFrame, captured: Column) -> DataFrame:
     """page_id (string, empty for none), url, html, ts, digest and refers_to of each page."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.lit(ts).alias("ts") if "ts" not in pages.columns else F.col("ts").cast("string").alias("ts"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).alias("bytes"))
-    first = rows.where(F.col("bytes") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    joined = rows.join(_small(stored(first, "payloads")), "digest", "left")
+    ts = F.coalesce(captured.cast("string"), F.lit(CAPTURED))
+    rows = pages.select("page_id", "url", html.alias("html"), ts.alias("ts"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).alias("bytes"))
+    first = rows.where(F.col("bytes") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    first = first.where("n > 1 and first is not null").select("digest", "first")
+    joined = rows.join(small(stored(first, "payloads")), "digest", "left")
     refers = F.when((F.col("bytes") >= LEAST_BYTES) & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first").cast("string"))
     return joined.select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page_id"), "url", "html", "ts", "digest", refers.alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, folder: str, ts: str = "2024-01-01T00:00:00Z") -> list[tuple[str, int, list[str]]]:
-    """Writes archives and runs of pages (page_id, url, html, and ts if there is one) and returns path, rows and sample of each run."""
+def write_archives(pages: DataFrame, folder: str, captured: Column | None = None) -> list[tuple[str, int, list[Key]]]:
+    """Writes archives and runs of pages (page_id, url, html) and returns path, rows and sampled keys of each run.
+
+    captured is the time of each page as WARC writes it; without it, and where it is null, a page has the time CAPTURED.
+    """
 
     def archive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -178,49 +187,71 @@ def write_archives(pages: DataFrame, folder: str, ts: str = "2024-01-01T00:00:00
         n, sample = _write_run(fs, path, (r for b in batches for r in b.itertuples(index=False, name=None)))
         yield pd.DataFrame([(path, n, sample)], columns=["path", "n", "sample"])
 
-    entries = plan_records(text_batches(pages), ts).mapInPandas(archive, ENTRY).sortWithinPartitions(*NAMES)
-    made = entries.mapInPandas(run, "path string, n long, sample array<string>").where("n > 0").collect()  # a row for each task
-    return [(r["path"], r["n"], list(r["sample"])) for r in made]
+    entries = plan_records(pages, F.lit(None) if captured is None else captured).mapInPandas(archive, ENTRY).sortWithinPartitions(*NAMES)
+    made = entries.mapInPandas(run, "path string, n long, sample array<array<string>>").where("n > 0").collect()  # a row for each task
+    return [(r["path"], r["n"], [tuple(k) for k in r["sample"]]) for r in made]
+
+
+def _put(folder: str, value) -> str:
+    """The path of a JSON file in the folder: what all tasks of a pass share is not sent with each."""
+    fs, base = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(base)
+    path = posixpath.join(base, f"{uuid.uuid4().hex}.json")
+    with fs.open_output_stream(path) as out:
+        out.write(json.dumps(value).encode())
+    return path
+
 
+def _get(fs, path: str):
+    with fs.open_input_stream(path) as source:
+        return json.loads(source.read())
 
-def merged_index(spark: SparkSession, folder: str, runs: list[tuple[str, int, list[str]]], ranges: int | None = None) -> DataFrame:
-    """The entries of all runs; partitions are ranges of keys in order, each sorted by key, timestamp and page."""
+
+def merged_index(spark: SparkSession, folder: str, runs: list[tuple[str, int, list[Key]]], ranges: int | None = None) -> DataFrame:
+    """The entries of all runs; partitions are ranges of (URL key, timestamp, page) in order, each sorted by it.
+
+    A task has the numbers of its range and of the runs that it merges; cuts and paths are in files that it reads.
+    """
     keys = sorted(k for _, _, sample in runs for k in sample)
     ranges = max(1, min(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), len(keys)))
     cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)})
-    bounds = list(zip([None, *cuts], [*cuts, None], strict=True))
-    jobs = [(r, low, high, [p for p, _, _ in runs]) for r, (low, high) in enumerate(bounds)]
+    ranges = len(cuts) + 1
+    bounds = _put(folder, [None, *cuts, None])
 
-    def merge(fs, paths: list[str], low: str | None, high: str | None) -> Iterator[tuple]:
-        return iter(LoserTree(_read_run(fs, p, low, high) for p in paths))
+    def rows(fs, level: str, r: int, i: int) -> Iterator[tuple]:
+        low, high = (None if k is None else tuple(k) for k in _get(fs, bounds)[r : r + 2])
+        paths = _get(fs, level)  # of all ranges, or by range
+        mine = paths if isinstance(paths, list) else paths[str(r)]
+        return iter(LoserTree(_read_run(fs, p, low, high) for p in mine[i * FAN_IN : (i + 1) * FAN_IN]))
 
     def to_run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for x in batch.itertuples():
                 path = posixpath.join(base, f"{uuid.uuid4().hex}.run")
-                _write_run(fs, path, merge(fs, list(x.paths), x.low, x.high))
+                _write_run(fs, path, rows(fs, x.level, x.r, x.i))
                 yield pd.DataFrame([(x.r, path)], columns=["r", "path"])
 
     def to_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, _ = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for x in batch.itertuples():
-                held = []
-                for row in merge(fs, list(x.paths), x.low, x.high):
-                    held.append(row)
-                    if len(held) == 8 * BATCH:
-                        yield pd.DataFrame(held, columns=NAMES)
-                        held = []
-                yield pd.DataFrame(held, columns=NAMES)
-
-    schema = "r int, low string, high string, paths array<string>"
-    while any(len(paths) > FAN_IN for *_, paths in jobs):
-        parts = [(r, low, high, paths[i : i + FAN_IN]) for r, low, high, paths in jobs for i in range(0, len(paths), FAN_IN)]
-        made = spark.createDataFrame(parts, schema).repartition(len(parts), "r", "paths").mapInPandas(to_run, "r int, path string").collect()  # a row for each task
-        jobs = [(r, low, high, [m["path"] for m in made if m["r"] == r]) for r, low, high, _ in jobs]
-    rows = spark.createDataFrame(jobs, schema)
-    return rows.repartitionByRange(len(jobs), "r").mapInPandas(to_rows, ENTRY)
+                merged = rows(fs, x.level, x.r, x.i)
+                while held := list(islice(merged, 8 * BATCH)):
+                    yield pd.DataFrame(held, columns=NAMES)
+
+    def tasks(level: str, parts: int) -> DataFrame:
+        at = spark.range(ranges * parts).select((F.col("id") / parts).cast("int").alias("r"), (F.col("id") % parts).cast("int").alias("i"))
+        return at.withColumn("level", F.lit(level))
+
+    level, parts = _put(folder, [p for p, _, _ in runs]), -(-len(runs) // FAN_IN)
+    while parts > 1:
+        made = tasks(level, parts).repartitionByRange(ranges * parts, "r", "i").mapInPandas(to_run, "r int, path string").collect()  # a row for each task
+        by_range: dict[str, list[str]] = {str(r): [] for r in range(ranges)}
+        for m in made:
+            by_range[str(m["r"])].append(m["path"])
+        level, parts = _put(folder, by_range), -(-parts // FAN_IN)
+    return tasks(level, 1).repartitionByRange(ranges, "r").mapInPandas(to_rows, ENTRY)
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
@@ -250,12 +281,12 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
     return read.withColumns({"page_id": F.nullif(F.col("page_id"), F.lit("")).cast("long"), "refers_to": F.col("refers_to").cast("long")})
 
 
-def archives(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
+def archives(spark: SparkSession, pages: DataFrame, folder: str | None = None, captured: Column | None = None) -> DataFrame:
     """Writes pages to archives and returns what read_archives() reads from them through the merged index.
 
     A null html counts as empty, a null url as about:blank. Of equal payloads of at least 100 bytes the smallest page_id is
     the response (rows that repeat that id are all responses), and the others revisit it; a page without an id revisits,
-    but nothing refers to it. Repeated rows each get a record. Other columns are ignored; an empty table gives no rows.
+    but nothing refers to it. A page without a time (captured) has the time CAPTURED. Repeated rows each get a record. Other columns are ignored; an empty table gives no rows.
     """
     folder = folder or new_folder(spark, "warc")
-    return read_archives(merged_index(spark, folder, write_archives(pages, folder)), folder)
+    return read_archives(merged_index(spark, folder, write_archives(pages, folder, captured)), folder)
