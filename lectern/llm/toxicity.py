@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.logistic import fit_logistic, probability
-from lectern.llm.shared import crc_fold, text_batches
+from lectern.llm.shared import crc_fold, stored
 
 CUT = 0.7
-#: Bounds of the training sample, for each class, and of the lexicon.
-SAMPLE, TERMS = 3000, 20_000
+#: Bound of the training sample, for each class.
+SAMPLE = 3000
 SUPPORT, LEAST = 3, 1.0
 
 #: Letters that look like Latin ones, and what digits and symbols stand for inside words.
@@ -93,7 +93,7 @@ def evidence(words: list[str], automaton: ahocorasick.Automaton) -> tuple[float,
 
 
 def _with_text(docs: DataFrame, run, schema: str, *columns: str) -> DataFrame:
-    return text_batches(docs).select(*columns, "text").mapInPandas(run, schema)
+    return docs.select(*columns, "text").mapInPandas(run, schema)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
@@ -101,16 +101,20 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id")) != 1))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("y")).withColumn("h", F.xxhash64("doc_id"))
     chosen = [known.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1]).select("doc_id", "y")), "doc_id").select("text", "y")
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1]).select("doc_id", "y")), "doc_id")
+    # an id may repeat, so the bound counts again after the join
+    met = met.withColumn("o", F.struct(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
+    bounded = [met.where(F.col("y") == y).orderBy("o").limit(per_class) for y in (0, 1)]
+    return bounded[0].union(bounded[1]).select("text", "y")
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, terms: int = TERMS) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> ToxicityModel:
     """A model from labelled rows. Without rows of both classes its lexicon is empty and its scores are low.
 
     A term's support is a number of different texts: near copies share the smallest hash of their words, and one hash is
     counted once.
     """
-    sample = training_sample(docs, labels, per_class).persist()
+    sample = stored(training_sample(docs, labels, per_class), "toxic-sample")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -126,11 +130,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, terms: in
 
     names = ["term", "sig", "y"]
     counts = _with_text(sample, features, "term string, sig long, y int", "y").distinct().groupBy("term").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
-    counts = counts.where((F.col("t") >= SUPPORT) | (F.col("term") == "")).persist()
+    counts = stored(counts.where((F.col("t") >= SUPPORT) | (F.col("term") == "")), "toxic-terms")
     totals = counts.where("term = ''").first() or {"t": 0, "c": 0}
     t, c = F.col("t") + 0.5, F.col("c") + 0.5
     weight = F.log(t / (totals["t"] + 1)) - F.log(c / (totals["c"] + 1)) - F.sqrt(1 / t + 1 / c)
-    rows = counts.where("term <> ''").select("term", weight.alias("w")).where(F.col("w") > LEAST).orderBy(F.desc("w"), "term").limit(terms).collect()
+    rows = counts.where("term <> ''").select("term", weight.alias("w")).where(F.col("w") > LEAST).orderBy(F.desc("w"), "term").collect()  # words of the sample
     lexicon = {r["term"]: r["w"] for r in rows}
     bare = ToxicityModel(lexicon, ())
 
@@ -142,10 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, terms: in
     told = _with_text(sample, measured, "a double, b double, c double, d double, y int", "y").toPandas()  # at most 2 * per_class rows
     seen = labels.where(crc_fold(F.col("doc_id")) != 1).groupBy("toxic").count().collect()
     whole = {r["toxic"]: r["count"] for r in seen}
-    model = ToxicityModel(lexicon, fit_logistic(told[list("abcd")].to_numpy(), told["y"].to_numpy(), whole))
-    sample.unpersist()
-    counts.unpersist()
-    return model
+    return ToxicityModel(lexicon, fit_logistic(told[list("abcd")].to_numpy(), told["y"].to_numpy(), whole))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None) -> DataFrame:
@@ -156,7 +157,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = N
     id is in no fold. Other columns are ignored; an empty table gives no rows.
     """
     model = model or train(docs, labels)
-    out = text_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     held = F.coalesce(crc_fold(F.col("doc_id")) == 1, F.lit(False))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,7 +172,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = N
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None) -> DataFrame:
-    """docs, whatever its other columns, without the rows that score CUT or more; nulls and ties as in toxicity()."""
+    """docs, whatever its other columns, without the rows that score CUT or more.
+
+    Null texts count as empty and stay where texts without terms do. Repeated rows and ids are scored one by one, so equal rows
+    stay or go together; an empty table gives no rows.
+    """
     model = model or train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,4 +186,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None =
             yield batch.filter(pa.array(probability(x, model.curve) < CUT))
 
     at = docs.columns.index("text")
-    return text_batches(docs).mapInArrow(run, docs.schema)  # Arrow keeps every column's type and nulls
+    return docs.mapInArrow(run, docs.schema)  # Arrow keeps every column's type and nulls
