@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import stored, text_batches
+from lectern.llm.shared import stored
 
 _CONTROL = re.compile(r"\\|#(?=##)|<(?=/turn>)")
 _ROLE = re.compile(r"\\|#(?=##)|<(?=/turn>)|:")
@@ -88,7 +88,7 @@ def format_chats(events: DataFrame) -> DataFrame:
 
     names = ["key", "part", "formatted", "loss_start", "loss_end"]
     order = F.when(F.col("kind") == "message", 0).otherwise(1)
-    log = text_batches(events).select("conv_id", "turn", "seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    log = events.select("conv_id", "turn", "seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     log = log.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "seq", order, "kind", "role", "text")
     made = log.select(F.to_json(F.struct("conv_id", "turn")).alias("key"), "kind", "role", "text").mapInPandas(run, "key string, part int, formatted string, loss_start int, loss_end int")
     ids = F.from_json("key", "conv_id long, turn long")
@@ -98,7 +98,8 @@ def format_chats(events: DataFrame) -> DataFrame:
 def digests(output: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read from the formatted output.
 
-    Digests of a conversation are taken in one pass over its pieces in order; only their state is held.
+    Digests of a conversation are taken in one pass over its pieces in order; only their state is held. Pieces without a
+    conversation are one; equal pieces each count; columns beside those of format_chats() are ignored; no pieces give no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,9 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.decontaminate import _small
 from lectern.llm.logistic import fit_logistic
-from lectern.llm.shared import crc_fold, let, space_words, stored
+from lectern.llm.shared import crc_fold, let, small, space_words, stored
 
 #: A document is kept from this score on.
 CUT = 0.5
@@ -30,7 +29,7 @@ FEATURES = ["length", "symbols", "bars", "marks", "capitals", "variety", "word_l
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """docs with the array _x of the features of text, all in 0 to about 10."""
+    """docs with the array _x of the features of text, all in 0 to about 10. Columns of docs called _w, _n or _x are not kept."""
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("_w", space_words(F.col("text"))).withColumn("_n", F.size("_w"))
     without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
@@ -49,7 +48,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple[
     known = known.groupBy("doc_id").agg(F.min("quality").alias("y")).withColumn("h", F.xxhash64("doc_id"))
     chosen = [known.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1]).select("doc_id", "y")), "doc_id")
-    told = features(sample).select("_x", "y").toPandas()  # at most 2 * per_class rows
+    # an id may repeat, so the bound counts again after the join
+    order = F.struct(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    bounded = [sample.where(F.col("y") == y).withColumn("_o", order).orderBy("_o").limit(per_class).drop("_o") for y in (0, 1)]
+    told = features(bounded[0].union(bounded[1])).select("_x", "y").toPandas()  # at most 2 * per_class rows
     whole = {r["quality"]: r["count"] for r in labels.where(crc_fold(F.col("doc_id")) != 1).groupBy("quality").count().collect()}
     import numpy as np
 
@@ -106,7 +108,7 @@ def _evidence(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def _judged(rows: DataFrame, sites: DataFrame, mean: float) -> DataFrame:
     """rows with posterior and score."""
     met = rows["host"].eqNullSafe(sites["host"]) & rows["path"].eqNullSafe(sites["path"])
-    joined = rows.join(_small(sites), met, "left").drop(sites["host"]).drop(sites["path"])
+    joined = rows.join(small(sites), met, "left").drop(sites["host"]).drop(sites["path"])
     odds = _logit(F.col("p")) + _logit(F.coalesce("posterior", F.lit(mean))) - _logit(F.lit(mean))
     return joined.withColumn("score", 1 / (1 + F.exp(-odds)))
 
@@ -128,10 +130,14 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """docs, whatever its other columns, without the rows that score under CUT; nulls and ties as in quality()."""
+    """docs, whatever its other columns, without the rows that score under CUT.
+
+    Null texts count as empty; a null host or path is a site of its own; repeated rows and ids are judged one by one, so equal
+    rows stay or go together. An empty table gives no rows. Texts are judged once and written with their chances.
+    """
     curve = train(docs, labels)
     # the row travels as one column, so no name of docs can clash with those made here
     named = docs.select(F.struct("*").alias("row"), "doc_id", F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "text")
-    rows = features(named).select("row", "doc_id", "host", "path", chance(curve).alias("p"))
+    rows = stored(features(named).select("row", "doc_id", "host", "path", chance(curve).alias("p")), "chances")
     sites, mean = site_posteriors(_evidence(rows.drop("row"), labels))
     return _judged(rows, stored(sites, "posteriors"), mean).where(F.col("score") >= CUT).select("row.*")

@@ -41,7 +41,10 @@ def _repeated(hashes: Column) -> Column:
 
 
 def measurements(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words of text (all long)."""
+    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words of text (all long).
+
+    Columns of docs with these names, or called _words, _lines or _hashes, are replaced or dropped.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
     out = docs.withColumns({"_words": space_words(F.col("text")), "_lines": lines})
@@ -71,13 +74,20 @@ def ledger(docs: DataFrame) -> DataFrame:
 
 
 def verdicts(rows: DataFrame, version: int = CURRENT) -> DataFrame:
-    """A ledger with base_failed and kept under a version of the policy."""
+    """A ledger with base_failed and kept under a version of the policy.
+
+    Each row is judged by its mask alone, so equal rows agree; a null mask gives null verdicts; an empty ledger gives no rows;
+    other columns stay, but for base_failed and kept, which are replaced.
+    """
     hit = lambda mask: F.col("failed").bitwiseAND(F.lit(mask)) != 0
     return rows.withColumns({"base_failed": hit(BASE), "kept": ~hit(BASE | POLICIES[version])})
 
 
 def ablation(rows: DataFrame, version: int = CURRENT) -> DataFrame:
-    """Per rule of a policy: failed (rows that fail it) and alone (rows that only it rejects, kept if it were dropped)."""
+    """Per rule of a policy: failed (rows that fail it) and alone (rows that only it rejects, kept if it were dropped).
+
+    A rule that no row fails has no row here, and an empty ledger gives none. Repeated rows count each; a null mask fails nothing.
+    """
     mask = F.col("failed").bitwiseAND(F.lit(POLICIES[version]))
     by_mask = rows.groupBy(mask.alias("mask")).count()  # at most one row for each combination of rules
     rules = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(1 << i).cast("long").alias("bit")) for i, (n, _) in enumerate(RULES) if POLICIES[version] >> i & 1]))
