@@ -76,8 +76,8 @@ def occurrences(docs: DataFrame, wins: DataFrame) -> DataFrame:
     else:
         placed = _places(texts, single, "doc_id", "text_key").select("doc_id", "text_key", "n", "at", "key").where("key is not null")
         found = placed.join(prefixes, "key").where(inside).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(start.alias("start"), "win")).alias("found"))
-        own = texts["doc_id"].eqNullSafe(found["doc_id"]) & texts["text_key"].eqNullSafe(found["text_key"])
-        met = texts.join(found, own, "left").select(texts["doc_id"], texts["text_key"], "n", "words", "found")
+        own = F.col("t.doc_id").eqNullSafe(F.col("f.doc_id")) & F.col("t.text_key").eqNullSafe(F.col("f.text_key"))
+        met = texts.alias("t").join(found.alias("f"), own, "left").select("t.doc_id", "t.text_key", "n", "words", "found")
         right = let(F.col("words"), lambda w: F.filter("found", lambda x: F.slice(w, x["start"] + 1, F.size(x["win"])) == x["win"]))
         none = F.array(F.lit(None).cast(met.schema["found"].dataType.elementType))
         met = met.select("doc_id", "text_key", "n", F.explode(F.concat(none, F.coalesce(right, F.array().cast(met.schema["found"].dataType)))).alias("x"))

@@ -1,6 +1,7 @@
 """The dealt operators against brute-force versions, with nulls, empty and long texts, repeats, empty tables and odd columns."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -9,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from lectern.llm import bpe_automaton, chat, decontaminate, graph, licenses, quality_classifier, quality_rules, simhash, token_files, toxicity, warc
+from lectern.llm import bpe_automaton, chat, decontaminate, graph, licenses, quality_classifier, quality_rules, shared, simhash, token_files, toxicity, warc
 from lectern.llm.queries import tokenizer_path
 
 LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -86,6 +88,22 @@ def test_decontamination(spark, docs):
     assert decontaminate.contamination(docs.limit(0), table).count() == 0
 
 
+def test_decontamination_by_shuffle(spark, docs, monkeypatch):
+    bench = [(1, "brown fox jumps over the lazy dog and runs far away"), (2, "one"), (None, "lazy dog"), (6, "one"), (7, LONG[:200])]
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    want = rows(decontaminate.contamination(docs, table)), rows(decontaminate.drop_contaminated(docs, table))
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = decontaminate.contamination(docs, table)
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString().replace("autoBroadcast", "")
+        assert (rows(got), rows(decontaminate.drop_contaminated(docs, table))) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert decontaminate.drop_contaminated(docs.limit(0), table).count() == 0
+
+
 def test_bpe(docs):
     from tokenizers import Tokenizer
 
@@ -160,6 +178,39 @@ def test_licenses(docs):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_license_filters_drop_candidates_and_lose_none(spark):
+    """Every block that meets the threshold passes the filters, and fewer pairs pass than share a word of a prefix."""
+    rng = np.random.default_rng(4)
+    vocabulary = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()}) + ["x", "y", "z"]
+    texts = []
+    for i in range(60):
+        base = list(licenses.TEMPLATES.values())[i % len(licenses.TEMPLATES)].split()
+        some = [w for w in base if rng.random() < 0.85] + list(rng.choice(vocabulary, rng.integers(0, 60)))
+        texts.append((i, " ".join(some)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    words = docs.selectExpr("doc_id", "split(text, ' ') as words")
+    known = licenses.patterns(spark, {}, licenses.TEMPLATES)
+    met = licenses.candidates(words, known).where("label is not null").collect()
+    passed = {(r["doc_id"], r["start"], r["label"]) for r in met}
+    true, prefixed = set(), set()
+    count = Counter(w for _, t in texts for w in t.split())
+    for i, t in texts:
+        w = t.split()
+        for at in range(0, len(w), licenses.STRIDE):
+            block = set(w[at : at + licenses.BLOCK])
+            for label, said in licenses.TEMPLATES.items():
+                toks = set(said.split())
+                need = int(np.ceil(0.8 * len(toks) - 1e-9))
+                prefix = sorted(toks, key=lambda x: (count[x], x))[: len(toks) - need + 1]
+                if block & set(prefix):
+                    prefixed.add((i, at, label))
+                if len(block & toks) >= need:
+                    true.add((i, at, label))
+    assert true <= passed < prefixed and len(true) > 60
+    positional = {(r["doc_id"], r["start"], r["label"]) for r in met if r["shared"] < r["need"]}
+    assert len(passed) < len(prefixed) and len(passed) - len(positional) == len(true)
+
+
 def test_licenses_of_other_families_stay(spark):
     texts = ["Copyright 2020 Acme. All rights reserved. Redistribution and use in source form, with or without modification, are permitted", "Licensed under the GNU General Public License version 3"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -199,6 +250,79 @@ def test_exceptions_spare_terms():
     assert toxicity.evidence(["a", "clown", "fish"], model.automaton())[0] == 0 < toxicity.evidence(["a", "clown"], model.automaton())[0]
 
 
+def test_evidence_against_naive_matching():
+    rng = np.random.default_rng(5)
+    alphabet = "abc"
+    draw = lambda n: "".join(alphabet[k] for k in rng.integers(0, 3, n))
+    for _ in range(200):
+        lexicon = {}
+        for _ in range(8):
+            word = draw(rng.integers(1, 6))
+            lexicon[f" {word} " if rng.random() < 0.5 else f" {word}"] = float(rng.integers(1, 9))
+        spared = tuple(f"{draw(2)} {draw(2)}" for _ in range(2))
+        words = [draw(rng.integers(1, 7)) for _ in range(rng.integers(0, 30))]
+        best = {}
+        for k, w in enumerate(words):
+            if any(words[j : j + 2] == p.split() for p in spared for j in (k - 1, k) if j >= 0):
+                continue
+            found = [x for t, x in lexicon.items() if t == f" {w} " or not t.endswith(" ") and f" {w}".startswith(t) and len(w) >= len(t)]
+            if found:
+                best[w] = max(found)
+        total = sum(best.values())
+        want = (np.log1p(total), total / max(20, len(words)), total / max(20, len(words)) ** 0.5, max(best.values(), default=0.0))
+        assert np.allclose(toxicity.evidence(words, toxicity.ToxicityModel(lexicon, (), spared).automaton()), want)
+
+
+def test_scores_of_empty_tied_and_repeated_texts(spark):
+    table, known = toxic_table(spark)
+    toxic = {r["doc_id"]: r["score"] for r in toxicity.toxicity(table, known).collect()}
+    assert toxic[1002] == toxic[1003] == toxic[1001] < 0.5
+    same = [r["score"] for r in toxicity.toxicity(table, known).where("doc_id = 1001").collect()]
+    assert len(same) == 2 and same[0] == same[1]
+    judged = quality_classifier.quality(table.selectExpr("*", "'en' as lang", "'s' as source"), known).collect()
+    good = {}
+    for r in judged:
+        good.setdefault(r["doc_id"], set()).add(r["score"])
+    assert good[1002] == good[1003] and all(len(x) == 1 for x in good.values())
+
+
+def test_quality_against_numpy(spark, monkeypatch):
+    """Posteriors and scores once more from chances, labels and sites, without Spark."""
+    rng = np.random.default_rng(9)
+    table = [(i, " ".join(f"w{x}{'!' * (i % 3)}" for x in rng.integers(0, 50, 5 + i % 40)), "abc"[i % 3], f"h{i % 7}" if i % 11 else None) for i in range(300)]
+    known = [(i, int(rng.random() < 0.7), 0) for i in range(0, 300, 2)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_classifier.quality(docs, spark.createDataFrame(known, "doc_id long, quality int, toxic int")).collect()}
+    y = {i: q for i, q, _ in known if zlib.crc32(str(i).encode()) % 3 != 1}
+    weight = {i: 1.0 if i in y else quality_classifier.EVIDENCE for i, *_ in table}
+    good = {i: weight[i] * y.get(i, got[i]["chance"]) for i, *_ in table}
+
+    def strength(mean, n, spread, sites):
+        between = spread / n - mean * (1 - mean) * (sites - 1) / n
+        k = mean * (1 - mean) / between - 1 if between > 0 else np.inf
+        return min(max(k, quality_classifier.STRENGTH[0]), quality_classifier.STRENGTH[1])
+
+    def sums(key):
+        out = {}
+        for i, _, lang, source in table:
+            g, n = out.get(key(source, lang), (0.0, 0.0))
+            out[key(source, lang)] = (g + good[i], n + weight[i])
+        return out
+
+    hosts, paths = sums(lambda s, p: s), sums(lambda s, p: (s, p))
+    n = sum(weight.values())
+    mean = sum(good.values()) / n
+    k = strength(mean, n, sum(m * (g / m - mean) ** 2 for g, m in hosts.values()), len(hosts))
+    host = {s: (g + k * mean) / (m + k) for s, (g, m) in hosts.items()}
+    k = strength(mean, n, sum(m * (g / m - host[s]) ** 2 for (s, _), (g, m) in paths.items()), len(paths))
+    logit = lambda p: np.log(p / (1 - p))
+    for i, _, lang, source in table:
+        g, m = paths[source, lang]
+        site = (g + k * host[source]) / (m + k)
+        assert np.isclose(got[i]["site"], site)
+        assert np.isclose(got[i]["score"], 1 / (1 + np.exp(-(logit(got[i]["chance"]) + logit(site) - logit(mean)))))
+
+
 def test_quality_classifier(spark, docs, labels):
     good = [(i, " ".join(f"word{(i * 7 + k * k) % 211}" for k in range(60)), "en", f"h{i % 3}") for i in range(150)]
     bad = [(i, " ".join(f"w{k}%%% ###" for k in range(60)), "en", f"h{i % 3}") for i in range(150, 200)]
@@ -259,6 +383,9 @@ def test_warc(spark):
         want.append((i, len(b), hashlib.sha256(b).hexdigest(), "response" if first == i else "revisit", None if first == i else first))
     assert got == sorted(want, key=repr)
     assert warc.archives(spark, df.limit(0)).count() == 0
+    # columns of other uses, and capture times, some of them null
+    more = df.selectExpr("*", "cast(null as string) as ts", "1 as digest", "'f' as file", "if(page_id > 4, '2020-01-01T00:00:00Z', null) as seen")
+    assert rows(warc.archives(spark, more, captured=more["seen"])) == got == rows(warc.archives(spark, more))
 
 
 def test_index_is_in_global_order(spark, monkeypatch):
@@ -268,6 +395,10 @@ def test_index_is_in_global_order(spark, monkeypatch):
     monkeypatch.setattr(warc, "FAN_IN", 2)
     got = [tuple(r) for r in warc.merged_index(spark, folder, runs, ranges=3).collect()]
     assert got == sorted(got) and len(got) == 60
+    one = df.selectExpr("page_id", "'http://one.org/' as url", "html")  # captures of one URL are dealt over ranges, too
+    index = warc.merged_index(spark, folder := warc.new_folder(spark, "warc"), warc.write_archives(one, folder), ranges=3)
+    sizes = [r["count"] for r in index.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 3 and max(sizes) < 40
 
 
 @pytest.mark.parametrize("k", [1, 2, 3, 7, 64])
@@ -348,6 +479,33 @@ def test_forest_counts_the_top_bit(monkeypatch, pairwise):
             assert grouped(simhash.forest(members), nodes) == grouped(brute, nodes)
 
 
+@pytest.mark.parametrize("longest", [8192, 3])
+def test_links_against_brute_force(spark, monkeypatch, longest):
+    """Links of lists by four bytes, and of those dealt anew by five, keep the components of brute force."""
+    monkeypatch.setattr(simhash, "LONGEST", longest)
+    rng = np.random.default_rng(6)
+    flip = lambda x, n: x ^ sum(1 << int(b) for b in rng.choice(64, n, replace=False))
+    prints = {int(x) for x in rng.integers(0, 2**63, 40)}
+    for base in list(prints)[:12]:
+        prints |= {flip(base, k) for k in rng.integers(1, 6, 12)}
+    chain = [5]
+    for _ in range(30):
+        chain.append(flip(chain[-1], 2))
+    prints = sorted(prints | set(chain))
+    signed = dict(zip(prints, np.array(prints, np.uint64).view(np.int64).tolist(), strict=True))
+    brute = [(signed[a], signed[b]) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 3]
+    found = [tuple(r) for r in simhash.links(spark.createDataFrame([(x,) for x in signed.values()], "fp long")).collect()]
+    assert set(map(frozenset, found)) <= set(map(frozenset, brute))
+    assert grouped(found, signed.values()) == grouped(brute, signed.values())
+
+
+def test_lists_hold_any_five_positions():
+    from itertools import combinations
+
+    lists = simhash._lists(4)
+    assert all(any(set(c) <= set(five) for c in lists) for five in combinations(range(8), 5))
+
+
 def test_near_duplicates_count_the_top_bit(spark, monkeypatch):
     bases = [int(x) for x in np.random.default_rng(3).integers(0, 2**63, len(TOP_BITS) + 1)]
     prints = [x for base, xor in zip(bases, TOP_BITS, strict=False) for x in (base, base ^ xor)] + [bases[-1] ^ x for x in (0, *TOP_BITS)]
@@ -381,7 +539,7 @@ def test_components(spark):
     assert sorted(map(sorted, got.values())) == [list(range(31)), [100, 101, 102]]
 
 
-def test_pipeline_stages_apply(spark, tmp_path):
+def test_pipeline_stages_apply(spark, tmp_path, monkeypatch):
     import corpus_pipeline
 
     table, known = toxic_table(spark)
@@ -391,5 +549,11 @@ def test_pipeline_stages_apply(spark, tmp_path):
     table.union(dup).union(leak).write.parquet(f"{tmp_path}/documents.parquet")
     known.write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "the secret passage of ten plain words in a row here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    made = []
+    new = shared.new_folder
+    monkeypatch.setattr(shared, "new_folder", lambda s, what: made.append(new(s, what)) or made[-1])
     ids = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    left = [x for x in made if os.path.isdir(x.removeprefix("file://"))]
+    assert len(made) > 10 and not left
+    assert rows(spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)) == []
     assert not ids & {2000, 3000, 0, 4, 8} and {1, 2, 3, 5} <= ids
