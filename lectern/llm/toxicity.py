@@ -27,7 +27,9 @@ from lectern.llm.shared import crc_fold, stored
 CUT = 0.7
 #: Bound of the training sample, for each class.
 SAMPLE = 3000
-SUPPORT, LEAST = 3, 1.0
+#: Different texts that a term needs, its least weight, and how often a toxic row counts in the curve. Chosen by four-fold
+#: cross-validation over training rows, near copies in one fold: 283 of 305 toxic rows found, 2 of 2,331 others rejected.
+SUPPORT, LEAST, COUNTS = 3, 1.5, 3
 
 #: Letters that look like Latin ones, and what digits and symbols stand for inside words.
 LOOKALIKES = dict(zip("аеорсухіѕјԁһӏкмтвнαοεινρτυχκ", "aeopcyxisjdhlkmtbhaoeivptuxk", strict=True))
@@ -145,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Toxici
 
     told = _with_text(sample, measured, "a double, b double, c double, d double, y int", "y").toPandas()  # at most 2 * per_class rows
     seen = labels.where(crc_fold(F.col("doc_id")) != 1).groupBy("toxic").count().collect()
-    whole = {r["toxic"]: r["count"] for r in seen}
+    whole = {r["toxic"]: r["count"] * (COUNTS if r["toxic"] == 1 else 1) for r in seen}
     return ToxicityModel(lexicon, fit_logistic(told[list("abcd")].to_numpy(), told["y"].to_numpy(), whole))
 
 
