@@ -10,17 +10,22 @@ FROM, TO = 946_684_800, 4_102_444_800
 
 
 def epoch(c: Column) -> Column:
-    """A time from 10 to 13 digits, as seconds or milliseconds of the years 2000 to 2099; else null."""
-    n = F.when(c.rlike(r"^\s*\d{9,13}\s*$"), F.trim(c).cast("long"))
-    return F.when((n >= FROM) & (n < TO), F.timestamp_seconds(n)).when((n >= FROM * 1000) & (n < TO * 1000), F.timestamp_millis(n))
+    """A time from 10 digits as seconds, or 13 as milliseconds, of the years 2000 to 2099; else null."""
+    t = F.trim(c)
+    seconds, millis = (F.when(t.rlike(rf"^\d{{{n}}}$"), t.try_cast("long")) for n in (10, 13))
+    return F.when(seconds.between(FROM, TO), F.timestamp_seconds(seconds)).when(millis.between(FROM * 1000, TO * 1000), F.timestamp_millis(millis))
 
 
 def page_date(c: Column) -> Column:
-    """A page's date: epoch, ideographic year, month and day at +08:00, or ISO; null if none parses."""
-    han = F.regexp_extract(c, r"(\d{4}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日)", 1)
-    parts = [F.regexp_extract(han, rf"(\d+)\s*{u}", 1) for u in "年月日"]
-    local = F.concat(parts[0], F.lit("-"), F.lpad(parts[1], 2, "0"), F.lit("-"), F.lpad(parts[2], 2, "0"), F.lit(" 00:00:00+08:00"))
-    return F.coalesce(epoch(c), F.when(han != "", F.try_to_timestamp(local, F.lit("yyyy-MM-dd HH:mm:ssXXX"))), F.try_to_timestamp(F.trim(c)))
+    """A page's date: epoch; year, month and day apart by ideographs, slashes, hyphens or dots, with or without a time, at +08:00; else ISO or
+    RFC 822; null if none parses."""
+    t = F.trim(F.regexp_replace(c, r"\s+", " "))
+    form = r"^(\d{4})[年/\-.](\d{1,2})[月/\-.](\d{1,2})日?(?: (\d{1,2})(?::(\d{1,2}))?(?::(\d{1,2}))?)?$"
+    two = lambda k: F.lpad(F.regexp_extract(t, form, k), 2, "0")
+    day, time = F.concat_ws("-", F.regexp_extract(t, form, 1), two(2), two(3)), F.concat_ws(":", two(4), two(5), two(6))
+    local = F.when(t.rlike(form), F.try_to_timestamp(F.concat(day, F.lit(" "), time, F.lit("+08:00")), F.lit("yyyy-MM-dd HH:mm:ssXXX")))
+    general = F.when(~t.rlike(r"^\d{5,}$"), F.try_to_timestamp(t))
+    return F.coalesce(epoch(t), local, general, feed_date(t))
 
 
 def feed_date(c: Column) -> Column:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Tags whose end breaks a line.
 BLOCK_ENDS = "p|section|article|li|ul|ol|h1|h2|h3|h4|h5|h6|blockquote|figure|figcaption|pre|tr|table|thead|tbody"
 #: Entities that text has decoded, in this order.
 ENTITIES = [("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("#x27", "'")]
-#: Escapes of scripts' strings.
-JS_ESCAPES = [("\\x22", '"'), ("\\x26", "&"), ("\\x27", "'"), ("\\x3c", "<"), ("\\x3e", ">"), ("\\x0a", "\n"), ("\\/", "/"), ("\\n", "\n")]
+#: Escapes of scripts' strings, replaced in this order.
+JS_ESCAPES = [("\\x5c", "\\"), ("\\x0d", "\r"), ("\\x0a", "\n"), ("\\x22", '"'), ("\\x26", "&"), ("\\x27", "'"), ("\\x3c", "<"), ("\\x3e", ">")]
 
 
 def collapse(c: Column) -> Column:
@@ -78,14 +82,21 @@ def page_excerpt(text: Column) -> Column:
 
 
 def is_noise(text: Column) -> Column:
-    """Excerpts that say nothing: bare URLs, numbers and punctuation."""
-    return text.rlike(r"^(?:https?://\S+|[\s\d\p{Punct}]*)$")
+    """Excerpts that say nothing: bylines, bare URLs, and runs of four or more dots, bars and spaces."""
+    return text.rlike(r"^(?i)(?:文|作者|来源|by)[:：]") | text.rlike(r"^(?i)https?://\S+$") | text.rlike(r"^[.。…·_\-\s]{4,}$")
+
+
+def block_excerpt(blocks: Column) -> Column:
+    """Of a list of texts the first of 20 characters that says something, else the first that says something, else the first; at most 240 characters."""
+    clean = F.filter(F.transform(blocks, collapse), lambda x: x.isNotNull())
+    told = F.filter(clean, lambda x: ~is_noise(x))
+    return F.left(F.coalesce(F.get(F.filter(told, lambda x: F.length(x) >= 20), 0), F.get(told, 0), F.get(clean, 0)), F.lit(240))
 
 
 def bookmark_excerpt(description: Column, rendered: Column) -> Column:
-    """The description if it has 20 characters and says something, else the rendered text."""
+    """The description if there is nothing rendered, or if it has 20 characters and says something; else what is rendered."""
     d, r = collapse(description), collapse(rendered)
-    return F.left(F.when((F.length(d) >= 20) & ~is_noise(d), d).otherwise(F.coalesce(r, d)), F.lit(240))
+    return F.when(r.isNull() | ((F.length(d) >= 20) & ~is_noise(d)), d).otherwise(r)
 
 
 def text_hash(c: Column, family: str = "page") -> Column:
@@ -102,31 +113,62 @@ def slug(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9一-鿿]+", "-"), "^-+|-+$", ""), F.lit(""))
 
 
-def file_name(title: Column, most: int = 80) -> Column:
-    """A title as a file's name: forbidden and control characters are spaces; blank gives document."""
-    t = F.left(F.trim(F.regexp_replace(F.regexp_replace(title, r'[\\/:*?"<>|\x00-\x1f]+', " "), r"\s+", " ")), F.lit(most))
-    return F.coalesce(F.nullif(F.trim(t), F.lit("")), F.lit("document"))
+@F.pandas_udf(StringType())
+def nfkc(values: pd.Series) -> pd.Series:
+    """The compatibility form of texts, for which Spark has no function."""
+    return values.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+def file_name(title: Column) -> Column:
+    """A title in compatibility form as a file's name: forbidden characters are spaces; null and blank give an empty one."""
+    t = F.regexp_replace(nfkc(F.coalesce(title, F.lit(""))), r'[\\/:*?"<>|]', " ")
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
 def author(c: Column) -> Column:
-    """A byline's author: prefix stripped, at most 60 characters; URLs, e-mail addresses, numbers and stop words give null."""
-    t = collapse(F.regexp_replace(c, r"^(?i)\s*(?:by|author|written by|作者|文)\s*[:：]?\s+|^(?:作者|文)\s*[:：/]\s*", ""))
-    bad = t.rlike(r"^(?i)(?:https?://.*|\S+@\S+|[\d\s./:-]+|admin|unknown|anonymous|null|undefined|.*<[^>]+>.*)$")
-    return F.when((F.length(t) <= 60) & ~bad, t)
+    """An author's name without mark, @ and closing punctuation; what is no name gives null."""
+    t = F.trim(F.regexp_replace(collapse(c), r"^(?i)(?:原创|转载)?\s*(?:作者|文|撰文|By)\s*[:：]\s*", ""))
+    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"^@\s*", ""), r"[，,。.!！?？;；:：\s]+$", ""))
+    shell = t.rlike(r"^(?i)(?:微信扫一扫|使用小程序|向上滑动看下一个|点击下方按钮|访问原文章)$")
+    bad = t.rlike(r"(?i)https?://") | t.rlike(r"^(?i)data-[a-z0-9_-]+$") | shell | t.rlike(r"^\d{4}[/.-]\d{1,2}[/.-]\d{1,2}") | (t.rlike("[。！？]") & (F.length(t) > 20))
+    return F.when((t != "") & (F.length(t) <= 60) & ~bad, t)
 
 
 def byline_author(c: Column) -> Column:
-    return author(F.nullif(F.regexp_extract(c, r"(?i)\b(?:by|author)\s*[:：]?\s+([^|·\n]+)", 1), F.lit("")))
+    """The author that a line names after a mark and a colon, or after by and a space."""
+    t = collapse(c)
+    found = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit(""))
+    return author(F.coalesce(found(r"^(?i)(?:文|作者|撰文|By)\s*[:：]\s*(.+)$"), found(r"^(?i)(?:作者|By)\s+(.+)$")))
+
+
+#: Fixed value: what ends a text that was cut.
+TRUNCATED = "\n\n[内容过长，已截断]"
+
+
+def body_text(c: Column) -> Column:
+    """A text with line feeds alone, at most one blank line and no white space at its ends; blank gives null."""
+    t = F.regexp_replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), "\n{3,}", "\n\n")
+    return F.nullif(F.regexp_replace(t, r"^\s+|\s+$", ""), F.lit(""))
+
+
+def summary_input(content: Column, excerpt: Column, title: Column, author: Column, published: Column, url: Column) -> Column:
+    """source and text that a summary is made from: content up to 12,000 characters, else excerpt up to 1,500, else metadata."""
 
+    def cut(c: Column, most: int) -> Column:
+        return F.when(F.length(c) > most, F.concat(F.regexp_replace(F.left(c, F.lit(most)), r"\s+$", ""), F.lit(TRUNCATED))).otherwise(c)
 
-def summary_input(content: Column, excerpt: Column, title: Column) -> Column:
-    """What a summary is made from: content up to 12,000 characters, else excerpt up to 1,500, else the title."""
-    cut = lambda c, n: F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit("\n[truncated]"))).otherwise(c)
-    return F.coalesce(cut(collapse(content), 12_000), cut(collapse(excerpt), 1_500), collapse(title))
+    line = lambda mark, c: F.concat(F.lit(mark), F.when(c != "", c))
+    day = F.date_format(published, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    told = body_text(F.concat_ws("\n", F.concat(F.lit("标题："), F.coalesce(title, F.lit(""))), line("作者：", author), F.concat(F.lit("发布时间："), day), line("来源链接：", url)))
+    whole, short = body_text(content), body_text(excerpt)
+    source = F.when(whole.isNotNull(), "content").when(short.isNotNull(), "excerpt").when(told.isNotNull(), "metadata")
+    return F.struct(source.alias("source"), F.coalesce(cut(whole, 12_000), cut(short, 1_500), told).alias("text"))
 
 
 def clean_summary(c: Column) -> Column:
-    return F.nullif(F.left(F.regexp_replace(collapse(c), "^[\"'“”‘’「」]+|[\"'“”‘’「」]+$", ""), F.lit(180)), F.lit(""))
+    """A summary on one line without quotes around it, at most 180 characters; blank gives null."""
+    t = F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), "^[\"'“”]+|[\"'“”]+$", ""))
+    return F.nullif(F.rtrim(F.left(t, F.lit(180))), F.lit(""))
 
 
 def json_string(c: Column) -> Column:

@@ -12,6 +12,8 @@ TEST_PREFIXES = ("qa_", "codex_")
 #: Hosts of two video sites that count as one each.
 VIDEO_HOSTS = {"www.youtube.com": ("youtube.com", "www.youtube.com", "m.youtube.com", "youtu.be"), "www.bilibili.com": ("bilibili.com", "www.bilibili.com", "m.bilibili.com", "b23.tv")}
 WECHAT_HOST = "mp.weixin.qq.com"
+#: Fixed value: the largest whole number that a double holds exactly; longer start marks count as none.
+MOST_SECONDS = 9_007_199_254_740_991
 
 _PARTS = r"^(?i)(https?://[^/?#\s]+)([^?#\s]*)(\?[^#\s]*)?(#\S*)?$"
 
@@ -124,9 +126,13 @@ def resolve_url(value: Column, base: Column) -> Column:
 
 
 def duration_seconds(value: Column) -> Column:
-    """Seconds of a start mark: digits, or hours, minutes and seconds as in 1h2m3s; null if neither."""
-    unit = lambda u: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(value, rf"(\d+){u}", 1), F.lit("")), F.lit("999999999")), F.lit(0)).cast("int")
-    return F.when(value.rlike(r"^\d{1,9}s?$"), F.regexp_extract(value, r"^(\d+)", 1).cast("int")).when(value.rlike(r"^(\d+h)?(\d+m)?(\d+s)?$") & (value != ""), unit("h") * 3600 + unit("m") * 60 + unit("s"))
+    """Seconds of a start mark: digits, or hours, minutes and seconds as in 1h2m3s; null if neither, and for no time at all."""
+    v = F.lower(F.trim(value))
+    unit = lambda u: F.coalesce(F.nullif(F.regexp_extract(v, rf"(\d+){u}", 1), F.lit("")).try_cast("long"), F.lit(0))
+    plain = F.when(v.rlike(r"^\d+$"), v.try_cast("long"))
+    marked = F.when(v.rlike(r"^(?:\d+h)?(?:\d+m)?(?:\d+s)?$"), unit("h") * 3600 + unit("m") * 60 + unit("s"))
+    seconds = F.coalesce(plain, marked)
+    return F.when((seconds > 0) & (seconds <= MOST_SECONDS), seconds)
 
 
 def video_identity(url: Column) -> Column:
@@ -138,10 +144,10 @@ def video_identity(url: Column) -> Column:
         F.nullif(F.regexp_extract(url, r"/(?:embed|shorts|live)/([A-Za-z0-9_-]{11})(?![A-Za-z0-9_-])", 1), F.lit("")),
     )
     bv = F.nullif(F.regexp_extract(url, r"/(?:video/)?(BV[A-Za-z0-9]{10})(?![A-Za-z0-9])", 1), F.lit(""))
-    start = duration_seconds(F.coalesce(query_value(url, "t"), query_value(url, "start"), F.nullif(F.regexp_extract(url, r"#t=(\w+)", 1), F.lit(""))))
+    start = F.coalesce(*map(duration_seconds, (query_value(url, "start"), query_value(url, "t"), F.regexp_extract(url, r"#t=(.*)$", 1))))
     tube, bili = (host == "www.youtube.com") & yt.isNotNull(), (host == "www.bilibili.com") & bv.isNotNull()
     provider = F.when(tube, "youtube").when(bili, "bilibili")
     ident = F.when(tube, yt).otherwise(bv)
-    tail = F.when(start > 0, F.concat(F.when(tube, F.lit("?start=")).otherwise(F.lit("&t=")), start.cast("string"))).otherwise("")
-    embed = F.concat(F.when(tube, "https://www.youtube.com/embed/").otherwise("https://player.bilibili.com/player.html?bvid="), ident, tail)
+    tube_embed = F.concat(F.lit("https://www.youtube.com/embed/"), yt, F.lit("?enablejsapi=1&playsinline=1&rel=0"), F.coalesce(F.concat(F.lit("&start="), start.cast("string")), F.lit("")))
+    embed = F.when(tube, tube_embed).otherwise(F.concat(F.lit("https://player.bilibili.com/player.html?bvid="), bv, F.lit("&page=1&high_quality=1")))
     return F.when(provider.isNotNull(), F.struct(provider.alias("provider"), ident.alias("video_id"), start.alias("start_seconds"), F.concat_ws(":", provider, ident).alias("external_id"), embed.alias("embed_url")))

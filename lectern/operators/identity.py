@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lectern.functions.urls import WECHAT_HOST, hostname, query_value, source_host
 from lectern.operators.filters import recent
 
-UNKNOWN = "unknown"
+#: Fixed value: the label of publications that are not known.
+UNKNOWN = "未识别公众号"
 #: When one publication clearly owns a name.
 LEAST_COUNT, LEAST_SHARE, LEAST_RATIO = 3, 0.7, 2
 
@@ -20,10 +21,10 @@ def resolve_sources(docs: DataFrame, aliases: DataFrame | None = None) -> DataFr
     """
     own, feed = F.col("source_id").isNotNull() & F.col("source_title").isNotNull(), F.col("feed_id").isNotNull() & F.col("feed_title").isNotNull()
     out = docs.withColumn("host", source_host(F.col("canonical_url"), F.col("source_url")))
-    out = out.withColumn("kind", F.when(own, "source").when(feed, "feed").when(F.col("host").isNotNull(), "domain").otherwise(UNKNOWN))
+    out = out.withColumn("kind", F.when(own, "source").when(feed, "feed").when(F.col("host").isNotNull(), "domain").otherwise("unknown"))
     out = out.withColumn("value", F.when(own, F.col("source_id")).when(feed, F.col("feed_id")).otherwise(F.col("host")))
     label = F.when(own, F.col("source_title")).when(feed, F.col("feed_title")).otherwise(F.coalesce("host", F.lit("Unknown source")))
-    identity = F.when(F.col("kind") == "source", F.concat(F.lit("source:"), F.col("value"))).when(F.col("kind") == UNKNOWN, "source:unknown").otherwise(F.concat_ws(":", F.lit("source"), "kind", "value"))
+    identity = F.when(F.col("kind") == "source", F.concat(F.lit("source:"), F.col("value"))).when(F.col("kind") == "unknown", "source:unknown").otherwise(F.concat_ws(":", F.lit("source"), "kind", "value"))
     if aliases is None:
         return out.withColumns({"identity": identity, "label": label}).drop("value")
     named = aliases.where(F.col("kind").isin("feed", "domain")).select("kind", "value", F.col("name").alias("alias"))
@@ -81,6 +82,24 @@ def assign_origins(rows: DataFrame, registry: DataFrame | None = None) -> DataFr
     return out.select("id", "ord", origin.alias("origin"), label.alias("label"))
 
 
+def origin_label(current_key: Column, current: Column, key: Column, registered: Column, trusted: Column) -> Column:
+    """A document's label: what its page says, else the current one if it is of this publication and known, else the registry's."""
+    own = F.nullif(F.trim(current), F.lit(""))
+    return F.coalesce(trusted, F.when(current_key.eqNullSafe(key) & (own != UNKNOWN), own), registered)
+
+
+def distinct_publications(rows: DataFrame) -> DataFrame:
+    """biz of rows (origin_key), each once: what a lookup of registered names asks for."""
+    biz = F.nullif(F.regexp_extract("origin_key", "^wechat:biz:(.+)$", 1), F.lit(""))
+    return rows.select(biz.alias("biz")).where("biz is not null").distinct()
+
+
+def alias_lookups(rows: DataFrame) -> DataFrame:
+    """kind and value, each pair once, of rows (kind, feed_id, host) that may have an alias: feeds and hosts."""
+    value = F.when(F.col("kind") == "feed", F.col("feed_id")).when(F.col("kind") == "domain", F.col("host"))
+    return rows.select("kind", value.alias("value")).where("value is not null").distinct()
+
+
 def origin_options(assigned: DataFrame) -> DataFrame:
     """origin, label and n, the largest first, unknown before others of its size, then by label."""
     options = assigned.groupBy("origin").agg(F.count("*").alias("n"), F.min_by("label", F.struct("ord", "id")).alias("label"))
@@ -97,13 +116,27 @@ def placeholder_name(biz: Column, prefix: str = "Account ") -> Column:
     return F.concat(F.lit(prefix), F.left(biz, F.lit(6)), F.lit("…"))
 
 
-def follow_redirects(links: DataFrame, most: int = 5) -> DataFrame:
-    """url, final_url and hops of links (url, target_url): targets are followed up to so many hops, and a cycle ends where it closes."""
-    hops = links.where("target_url is not null").groupBy("url").agg(F.min("target_url").alias("target_url"))
-    out = hops.select("url", F.col("target_url").alias("final_url"), F.lit(1).alias("hops"), F.array("url", "target_url").alias("seen"))
-    step = hops.select(F.col("url").alias("final_url"), F.col("target_url").alias("then"))
-    for _ in range(most - 1):
-        joined = out.join(step, "final_url", "left")
-        on = F.col("then").isNotNull() & ~F.array_contains("seen", F.col("then"))
-        out = joined.select("url", F.when(on, F.col("then")).otherwise(F.col("final_url")).alias("final_url"), (F.col("hops") + F.when(on, 1).otherwise(0)).alias("hops"), F.when(on, F.array_append("seen", F.col("then"))).otherwise(F.col("seen")).alias("seen"))
-    return out.drop("seen")
+def _cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint, where the session has a folder for it."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df
+
+
+def follow_redirects(links: DataFrame) -> DataFrame:
+    """url, final_url and hops of links (url, target_url): targets are followed to the end, or until the next one was visited before.
+
+    One equi join a hop; only URLs whose way goes on are joined again. Of several targets of a URL the smallest counts.
+    """
+    hops = links.where("url is not null and target_url is not null").groupBy(F.col("url").alias("final_url")).agg(F.min("target_url").alias("target"))
+    going = hops.select(F.col("final_url").alias("url"), "final_url", F.lit(0).alias("hops"), F.array("final_url").alias("seen"))
+    ended = None
+    while True:
+        joined = _cut(going.join(hops, "final_url", "left").withColumn("on", F.col("target").isNotNull() & ~F.array_contains("seen", F.col("target"))))
+        here = joined.where("not on").select("url", "final_url", "hops")
+        ended = here if ended is None else ended.unionByName(here)
+        going = joined.where("on").select("url", F.col("target").alias("final_url"), (F.col("hops") + 1).alias("hops"), F.array_append("seen", "target").alias("seen"))
+        if going.isEmpty():
+            return ended

@@ -87,3 +87,27 @@ def due_sources(sources: DataFrame, n: int = 10) -> DataFrame:
 
 def source_list(sources: DataFrame) -> DataFrame:
     return sources.orderBy(F.col("last_synced_at").desc_nulls_last(), F.col("created_at").desc(), "id")
+
+
+def count_of(docs: DataFrame, query: ListQuery, tags: DataFrame | None = None) -> DataFrame:
+    """The number of documents that meet a query, as one row (total)."""
+    return select_documents(docs, query, tags).agg(F.count("*").alias("total"))
+
+
+def page_by_origin(docs: DataFrame, assigned: DataFrame, origin: str, query: ListQuery) -> DataFrame:
+    """One page of the documents that meet a query and whose origin, as assigned (id, origin), is the given one: one plan, no list of ids."""
+    mine = assigned.where(F.col("origin") == origin).select("id")
+    return page_of(select_documents(docs, query).join(mine, "id", "left_semi"), ordering(query.surface, query.sort), query.page, query.page_size)
+
+
+def export_candidates(docs: DataFrame, highlights: DataFrame, n: int = 50) -> DataFrame:
+    """The n ready documents that are starred, summarised or highlighted, the last updated first."""
+    marked = highlights.select(F.col("document_id").alias("id")).distinct().withColumn("marked", F.lit(True))
+    rows = docs.where("ingestion_status = 'READY'").join(marked, "id", "left")
+    chosen = rows.where(F.col("is_favorite") | F.col("ai_summary").isNotNull() | F.col("marked"))
+    return chosen.orderBy(F.col("updated_at").desc(), F.col("id").desc()).limit(n).drop("marked")
+
+
+def highlights_in_order(highlights: DataFrame) -> DataFrame:
+    """Highlights (document_id, created_at, id) by document, the first made first."""
+    return highlights.orderBy("document_id", "created_at", "id")

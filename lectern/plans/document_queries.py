@@ -151,7 +151,7 @@ def summary_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.enqueue(lib, active)
 
 
-@query(_LIB + "SELECT id, CASE WHEN status = 'FAILED' THEN NULL ELSE coalesce(nullif(trim(summary, ' '), ''), nullif(trim(excerpt, ' '), '')) END AS preview, CASE WHEN state = 'READ' THEN 'archive' WHEN fav THEN 'starred' ELSE 'queue' END AS view FROM lib")
+@query(_LIB + "SELECT id, CASE WHEN status = 'FAILED' THEN NULL ELSE coalesce(nullif(trim(summary, ' '), ''), nullif(trim(excerpt, ' '), '')) END AS preview, CASE WHEN fav THEN 'starred' WHEN state = 'READ' THEN 'archive' ELSE 'queue' END AS view FROM lib")
 def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _library(spark, sf_dir).select("id", filters.preview().alias("preview"), filters.reading_view().alias("view"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import html_to_text
 from lectern.functions.urls import dedupe_key, is_test_url, normalize_url, video_identity
 from lectern.operators import dedupe, identity, jobs
-from lectern.operators.filters import from_domain, from_nowhere, page_kind
+from lectern.operators.filters import from_domain, from_nowhere
 from lectern.plans.registry import query
 from lectern.sources import pages as html_pages
 
@@ -130,28 +130,25 @@ def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_pages.extract(_pages(spark, sf_dir)).select("page_id", "title", "lang", "units", "block_score", "text_hash", "error_code")
 
 
-@query(f"""
-WITH d AS (SELECT {_text_sql("html")} AS t FROM pages), r AS (SELECT CASE WHEN length(t) < 2000 THEN 'short' WHEN regexp_matches(t, '(?i)verif') THEN 'verification' END AS reason FROM d)
-SELECT reason, count(*) AS n, sum(CASE WHEN reason = 'short' THEN 1 ELSE 0 END)::BIGINT AS short FROM r WHERE reason IS NOT NULL GROUP BY reason
-""")
-def cleanup_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reasons for a cleanup, with the length of the text standing in for the kinds of pages."""
-    rows = _pages(spark, sf_dir).select(html_to_text(F.col("html")).alias("t"))
-    reason = F.when(F.length("t") < 2000, "short").when(F.col("t").rlike("(?i)verif"), "verification")
-    return rows.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"), F.count_if(F.col("reason") == "short").alias("short"))
+_IDENT = "left(md5(page_id::VARCHAR), 11)"
+_VIDEO = f"""WITH u AS (SELECT page_id, page_id % 6 AS f, {_IDENT} AS y, 'BV' || left(md5(page_id::VARCHAR), 10) AS b, page_id % 4 AS m, page_id % 7 AS s, page_id % 4 * 60 + page_id % 7 AS t FROM pages),
+v AS (SELECT page_id, CASE WHEN f < 4 THEN 'youtube' WHEN f = 4 THEN 'bilibili' END AS provider, CASE WHEN f < 4 THEN y WHEN f = 4 THEN b END AS ident,
+  nullif(CASE f WHEN 0 THEN t WHEN 1 THEN CASE WHEN s > 0 THEN s ELSE t END WHEN 2 THEN 0 WHEN 3 THEN t WHEN 4 THEN s END, 0)::BIGINT AS start FROM u) """
 
 
-@query("""
-WITH u AS (SELECT page_id, 'https://youtu.be/' || left(md5(page_id::VARCHAR), 11) || '?t=' || (page_id % 4) || 'm' || (page_id % 7) || 's' AS url FROM pages WHERE page_id % 2 = 0)
-SELECT page_id, 'youtube:' || left(md5(page_id::VARCHAR), 11) AS external_id, (page_id % 4 * 60 + page_id % 7)::INT AS start_seconds,
-  'https://www.youtube.com/embed/' || left(md5(page_id::VARCHAR), 11) || CASE WHEN page_id % 4 * 60 + page_id % 7 > 0 THEN '?start=' || (page_id % 4 * 60 + page_id % 7) ELSE '' END AS embed_url FROM u
-UNION ALL SELECT page_id, NULL, NULL, NULL FROM pages WHERE page_id % 2 <> 0
-""")
+@query(_VIDEO + """SELECT page_id, provider || ':' || ident AS external_id, CASE WHEN provider IS NOT NULL THEN start END AS start_seconds, CASE provider WHEN 'youtube' THEN 'https://www.youtube.com/embed/' || ident || '?enablejsapi=1&playsinline=1&rel=0' || coalesce('&start=' || start, '')
+  WHEN 'bilibili' THEN 'https://player.bilibili.com/player.html?bvid=' || ident || '&page=1&high_quality=1' END AS embed_url FROM v""")
 def video_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Videos of short links, which every other page is given; the pages' own URLs are none."""
+    """Videos of links in five forms, with start marks of all kinds and both at once; the pages' own URLs, every sixth, are none."""
     i = F.col("page_id")
-    made = F.concat(F.lit("https://youtu.be/"), F.left(F.md5(i.cast("string").cast("binary")), F.lit(11)), F.lit("?t="), (i % 4).cast("string"), F.lit("m"), (i % 7).cast("string"), F.lit("s"))
-    v = video_identity(F.when(i % 2 == 0, made).otherwise(F.col("url")))
+    md5 = F.md5(i.cast("string").cast("binary"))
+    y, b = F.left(md5, F.lit(11)), F.concat(F.lit("BV"), F.left(md5, F.lit(10)))
+    t, s = F.concat((i % 4).cast("string"), F.lit("m"), (i % 7).cast("string"), F.lit("s")), (i % 7).cast("string")
+    forms = [
+        F.concat(F.lit("https://youtu.be/"), y, F.lit("?t="), t), F.concat(F.lit("https://www.youtube.com/watch?v="), y, F.lit("&t="), t, F.lit("&start="), s), F.concat(F.lit("https://m.youtube.com/shorts/"), y, F.lit("?t=0")),
+        F.concat(F.lit("https://www.youtube.com/embed/"), y, F.lit("#t="), F.upper(t)), F.concat(F.lit("https://www.bilibili.com/video/"), b, F.lit("?t="), s), F.col("url"),
+    ]
+    v = video_identity(F.coalesce(*[F.when(i % 6 == k, f) for k, f in enumerate(forms)]))
     return _pages(spark, sf_dir).select("page_id", v.alias("v")).select("page_id", "v.external_id", "v.start_seconds", "v.embed_url")
 
 
@@ -180,7 +177,26 @@ def capture_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.match_captures(new, stored).groupBy(F.coalesce("matched_by", F.lit("new")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query()
+_KINDS = [
+    "<p>当前环境异常</p>", "<div id='js_article' class='a share_content_page'>x</div>", "<p>该公众号已迁移</p>", "<p>Please verify you are human</p>", "<h1>404 Not Found</h1>", "<div id='js_content'>该公众号已迁移</div>", "",
+]
+_KIND_ROWS = """WITH k AS (SELECT page_id, page_id % 7 AS f, page_id // 7 % 3 AS g, CASE WHEN page_id // 7 % 3 = 0 THEN 'https://mp.weixin.qq.com/s/' || page_id ELSE url END AS url, html FROM pages),
+m AS (SELECT page_id, url, CASE WHEN g = 2 THEN regexp_replace(html, '(?is)(<body[^>]*>).*$', '\\1') || {0}[(f + 1)::INT] || '</body></html>' ELSE regexp_replace(html, '(?i)(<body[^>]*>)', '\\1' || {0}[(f + 1)::INT]) END AS h, g = 0 AS here FROM k),
+b AS (SELECT page_id, h, here, left({1}, 1500) AS t FROM (SELECT *, CASE WHEN regexp_matches(h, '(?i)<body[^>]*>') THEN regexp_extract(h, '(?is)<body\\b[^>]*>(.*)$', 1) ELSE h END AS body FROM m)),
+c AS (SELECT *, regexp_matches(h, '(?i)id=.js_content') AS content, len(regexp_extract_all(t, '[一-鿿]')) + len(regexp_extract_all(t, '[A-Za-z0-9]+(?:[._''’-][A-Za-z0-9]+)*')) AS units FROM b) """
+
+
+@query(
+    _KIND_ROWS.replace("\\\\", "\\").format([k.replace("'", '"') for k in _KINDS], _text_sql("body"))
+    + """SELECT page_id, CASE WHEN here AND regexp_matches(t, '当前环境异常|完成验证后即可继续访问|去验证|环境异常') THEN 'messenger_verification' WHEN here AND NOT content AND regexp_matches(h, 'share_content_page') THEN 'share_shell'
+  WHEN here AND NOT content AND units < 180 AND regexp_matches(t, '该公众号已迁移') THEN 'migration' WHEN regexp_matches(t, '(?i)verify you are human|captcha|当前环境异常') AND length(t) < 800 THEN 'verification' WHEN regexp_matches(t, '(?i)404 not found') AND length(t) < 600 THEN 'shell' END AS kind FROM c"""
+)
 def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by kind; the patterns hold ideographs, so they are tested on pages made by hand."""
-    return _pages(spark, sf_dir).groupBy(page_kind(html_to_text(F.col("html"))).alias("kind")).agg(F.count("*").alias("n"))
+    """Kinds of pages, each of which is given a phrase or an element; every third page is on the messenger's host, and every third has nothing else."""
+    i = F.col("page_id")
+    phrase = F.get(F.array(*[F.lit(k.replace("'", '"')) for k in _KINDS]), (i % 7).cast("int"))
+    group = F.floor(i / 7) % 3
+    url = F.when(group == 0, F.concat(F.lit("https://mp.weixin.qq.com/s/"), i.cast("string"))).otherwise(F.col("url"))
+    alone = F.concat(F.regexp_replace("html", r"(?is)(<body[^>]*>).*$", "$1"), phrase, F.lit("</body></html>"))
+    html = F.when(group == 2, alone).otherwise(F.regexp_replace(F.col("html"), F.lit(r"(?i)(<body[^>]*>)"), F.concat(F.lit("$1"), phrase)))
+    return html_pages.metadata(_pages(spark, sf_dir).select("page_id", url.alias("url"), html.alias("html"))).select("page_id", "kind")

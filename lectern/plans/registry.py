@@ -21,7 +21,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def _load() -> dict:
-    from lectern.plans import document_queries, event_queries, page_queries  # noqa: F401
+    from lectern.plans import document_queries, event_queries, page_queries, rule_queries  # noqa: F401
 
     return QUERIES
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.dates import page_date
-from lectern.functions.text import bookmark_excerpt, bookmark_words, collapse, markdown_html, markdown_text, text_hash
+from lectern.functions.text import block_excerpt, bookmark_excerpt, bookmark_words, collapse, markdown_html, markdown_text, text_hash
 from lectern.functions.urls import capture_url, normalize_url
 
 #: Columns whose change makes an update; a null in the card keeps what is stored.
@@ -21,15 +21,21 @@ def cards_to_documents(cards: DataFrame, imported_at: Column) -> DataFrame:
     first = F.get(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 0)
     url = capture_url(F.col("url"))
     return cards.select(
-        F.concat(F.lit("bookmark:"), F.col("id")).alias("external_id"), F.coalesce(collapse(F.col("article_title")), collapse(F.col("title")), first, F.lit("Untitled")).alias("title"), url.alias("source_url"),
-        F.concat(F.lit("web:url:"), normalize_url(url)).alias("dedupe_key"), bookmark_excerpt(F.col("description"), text).alias("excerpt"), text.alias("plain_text"), markdown_html(F.coalesce("markdown", F.lit(""))).alias("content_html"),
+        F.concat(F.lit("bookmark:"), F.col("id")).alias("external_id"), F.coalesce(collapse(F.col("article_title")), collapse(F.col("title")), first, F.lit("Untitled import")).alias("title"), url.alias("source_url"),
+        F.concat(F.lit("web:url:"), normalize_url(url)).alias("dedupe_key"), bookmark_excerpt(F.col("description"), block_excerpt(F.split(text, "\n{2,}"))).alias("excerpt"), text.alias("plain_text"), markdown_html(F.coalesce("markdown", F.lit(""))).alias("content_html"),
         text_hash(text).alias("text_hash"), bookmark_words(F.col("word_count"), text).alias("word_count"), imported_at.alias("created_at"), imported_at.alias("updated_at"),
         page_date(F.col("create_time")).alias("card_created_at"), page_date(F.col("update_time")).alias("card_updated_at"), "tags", "highlights",
     )
 
 
+#: Fixed value: what stands for the text of a highlighted image.
+IMAGE_MARK = "[Image highlight]"
+
+
 def quote_text(text: Column, image: Column) -> Column:
-    return F.coalesce(collapse(text), F.concat(F.lit("[image] "), F.nullif(F.trim(image), F.lit(""))))
+    """A highlight's text, else the mark of an image and its normalised URL, or the mark alone."""
+    url = normalize_url(capture_url(image))
+    return F.coalesce(collapse(text), F.concat(F.lit(f"{IMAGE_MARK} "), url), F.lit(IMAGE_MARK))
 
 
 def tag_names(cards: DataFrame, directory: DataFrame) -> DataFrame:

@@ -1,23 +1,23 @@
 """Pages: metadata, links, headings and readable content from HTML.
 
-Metadata, links and headings are columns. Choosing the readable block needs the tree, so extract() streams rows through the
-standard parser, one page at a time.
+Metadata, links and headings are columns. Choosing the readable block needs the tree (readable.py), so extract() passes html
+through a function over Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from lectern.functions.dates import page_date
-from lectern.functions.text import author, collapse, html_to_text, page_excerpt, readable_units, text_hash
-from lectern.functions.urls import resolve_url
-from lectern.operators.filters import page_kind
+from lectern.functions.text import author, collapse, html_to_text, page_excerpt, paragraph_html, readable_text, readable_units, text_hash, unescape_js
+from lectern.functions.urls import VIDEO_HOSTS, WECHAT_HOST, hostname, resolve_url
+from lectern.operators.filters import CONTENT_ELEMENTS, KIND_CODES, page_kind, unreadable_extract
+from lectern.sources.readable import readable_all
 
 
 def meta(html: Column, *names: str) -> Column:
@@ -39,20 +39,34 @@ def json_ld(html: Column, key: str) -> Column:
     return F.coalesce(text, inner)
 
 
-def metadata(pages: DataFrame) -> DataFrame:
-    """page_id, title, lang, canonical_url, author, published_at, site_name and kind of pages (page_id, url, html)."""
+#: Names under which pages tell their author and their date, in this order.
+AUTHOR_NAMES = ["author", "article:author", "og:article:author", "og:author", "twitter:creator", "parsely-author", "dc.creator", "dc:creator", "byline"]
+DATE_NAMES = ["article:published_time", "og:article:published_time", "og:published_time", "published_time", "publishdate", "pubdate", "date", "dc.date"]
+JSON_LD_DATES = ["datePublished", "dateCreated", "uploadDate", "dateModified"]
+
+
+def metadata(pages: DataFrame, *keep: str) -> DataFrame:
+    """page_id, title, lang, canonical_url, author, published_at, site_name and kind of pages (page_id, url, html), and the columns to keep.
+
+    The first usable value counts: an author or a date that does not parse gives way to the next one.
+    """
     html = F.col("html")
     tag = lambda p: collapse(html_to_text(F.regexp_extract(html, p, 1)))
     canonical = F.get(F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?canonical")), 0)
     href = F.nullif(F.regexp_extract(canonical, r"(?i)\bhref\s*=\s*[\"']([^\"']+)[\"']", 1), F.lit(""))
-    when = F.coalesce(meta(html, "article:published_time", "datePublished", "pubdate", "date"), json_ld(html, "datePublished"), F.nullif(F.regexp_extract(html, r"(?i)<time\b[^>]*\bdatetime\s*=\s*[\"']([^\"']+)", 1), F.lit("")))
+    body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*)$", 1)
+    time = F.nullif(F.regexp_extract(html, r"(?i)<time\b[^>]*\bdatetime\s*=\s*[\"']([^\"']+)", 1), F.lit(""))
+    dates = F.array(*[meta(html, n) for n in DATE_NAMES], time, *[json_ld(html, k) for k in JSON_LD_DATES])
+    names = F.array(*[meta(html, n) for n in AUTHOR_NAMES], json_ld(html, "author"))
+    first = lambda values, read: F.get(F.filter(F.transform(values, read), lambda x: x.isNotNull()), 0)
+    text = html_to_text(F.when(body == "", html).otherwise(body))
     return pages.select(
-        "page_id",
-        F.coalesce(meta(html, "og:title", "twitter:title"), tag(r"(?is)<title[^>]*>(.*?)</title>"), tag(r"(?is)<h1[^>]*>(.*?)</h1>")).alias("title"),
+        "page_id", *keep,
+        F.coalesce(tag(r"(?is)<title[^>]*>(.*?)</title>"), meta(html, "og:title", "twitter:title")).alias("title"),
         F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([a-zA-Z-]+)", 1)), F.lit("")).alias("lang"),
         F.coalesce(resolve_url(href, F.col("url")), meta(html, "og:url")).alias("canonical_url"),
-        F.coalesce(author(meta(html, "author", "article:author", "byl")), author(json_ld(html, "author"))).alias("author"),
-        page_date(when).alias("published_at"), meta(html, "og:site_name").alias("site_name"), page_kind(html_to_text(html)).alias("kind"),
+        first(names, author).alias("author"), first(dates, page_date).alias("published_at"), meta(html, "og:site_name").alias("site_name"),
+        page_kind(html, text, F.col("url"), inline=inline_text(html, F.col("url")).isNotNull()).alias("kind"),
     )
 
 
@@ -71,131 +85,49 @@ def headings(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "pos", F.substr("h", F.lit(3), F.lit(1)).cast("int").alias("level"), text.alias("text"), F.concat(F.lit("section-"), (F.col("pos") + 1).cast("string")).alias("anchor"))
 
 
-#: Weights of what a block holds, thresholds, and names that speak for or against it.
-WEIGHTS = {"text": 0.035, "p": 24, "h": 28, "li": 8, "blockquote": 18, "pre": 22, "img": 10}
-LINK_WEIGHT, NAME_WEIGHT, LEAST = 220, 40, 40
-GOOD = re.compile(r"article|body|content|entry|main|post|story|text", re.I)
-BAD = re.compile(r"\b(?:ads?|banner|comment|footer|menu|nav|promo|related|share|sidebar|sponsor)\b", re.I)
-#: Elements that are never content, and those that stay in clean content.
-NOISE = {"script", "style", "noscript", "nav", "footer", "aside", "form", "iframe", "svg", "button", "template", "header"}
-ALLOWED = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "blockquote", "pre", "code", "a", "img", "strong", "em", "b", "i", "table", "thead", "tbody", "tr", "td", "th", "figure", "figcaption", "br", "hr"}
-VOID = {"br", "hr", "img", "meta", "link", "input", "source", "wbr"}
-_CANDIDATES = {"article", "main", "section", "div", "body", "td"}
-
-
-class _Node:
-    __slots__ = ("tag", "attrs", "children")
-
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
-
-
-class _Tree(HTMLParser):
-    """A forgiving tree: void elements close themselves, and a p ends where another block starts."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = _Node("root", {})
-        self.stack = [self.root]
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li", "h1", "h2", "h3", "div", "section", "article", "ul", "table") and self.stack[-1].tag == "p":
-            self.stack.pop()
-        node = _Node(tag, {k: v or "" for k, v in attrs})
-        self.stack[-1].children.append(node)
-        if tag not in VOID:
-            self.stack.append(node)
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
-
-    def handle_data(self, data):
-        self.stack[-1].children.append(data)
-
-
-def _noise(node: _Node) -> bool:
-    names = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"
-    return node.tag in NOISE or "hidden" in node.attrs or bool(BAD.search(names)) and not GOOD.search(names)
-
-
-def _walk(node: _Node) -> Iterator[tuple[_Node | str, bool]]:
-    """Nodes and texts of a tree in order without noise, and whether they are in a link; by a stack, so depth is no limit."""
-    stack = [(node, False)]
-    while stack:
-        at, linked = stack.pop()
-        if isinstance(at, str):
-            yield at, linked
-        elif at is node or not _noise(at):
-            yield at, linked
-            stack += [(c, linked or at.tag == "a") for c in reversed(at.children)]
-
-
-def _score(node: _Node) -> float:
-    text = in_links = 0
-    score = 0.0
-    for at, linked in _walk(node):
-        if isinstance(at, str):
-            n = len(at.strip())
-            text, in_links = text + n, in_links + n * linked
-        else:
-            score += WEIGHTS.get("h" if re.fullmatch("h[1-6]", at.tag) else at.tag, 0)
-    names = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')} {node.tag}"
-    score += text * WEIGHTS["text"] + NAME_WEIGHT * (bool(GOOD.search(names)) - bool(BAD.search(names)))
-    return score - LINK_WEIGHT * in_links / max(1, text)
-
-
-def _render(node: _Node) -> str:
-    """HTML of the allowed elements of a block; other elements leave their content."""
-    from html import escape
-
-    out: list[str] = []
-    stack: list[_Node | str | tuple[str]] = [*reversed(node.children)]
-    while stack:
-        at = stack.pop()
-        if isinstance(at, tuple):
-            out.append(at[0])
-        elif isinstance(at, str):
-            out.append(escape(re.sub(r"\s+", " ", at), quote=False))
-        elif not _noise(at):
-            if at.tag in ALLOWED:
-                src = at.attrs.get("data-src") or at.attrs.get("data-original") or at.attrs.get("src") or at.attrs.get("srcset", "").split(" ")[0]
-                value = {"a": at.attrs.get("href", ""), "img": src}.get(at.tag, "")
-                name = {"a": "href", "img": "src"}.get(at.tag)
-                out.append(f"<{at.tag}" + (f' {name}="{escape(value)}"' if name and re.match(r"https?://|/|\?|[\w.-]+(?:/|$)", value) else "") + ">")
-                if at.tag not in VOID:
-                    stack.append((f"</{at.tag}>",))
-            stack += reversed(at.children)
-    return re.sub(r"<(p|li|h[1-6]|blockquote|ul|ol|strong|em|b|i)>\s*</\1>", "", "".join(out)).strip()
-
-
-def readable_block(html: str) -> tuple[str, float]:
-    """Clean HTML and score of the best block of a page; empty if none reaches the threshold."""
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    best, score = None, float("-inf")
-    stack: list[_Node] = [tree.root]
-    while stack:
-        at = stack.pop()
-        if at.tag in _CANDIDATES and (s := _score(at)) > score:
-            best, score = at, s
-        stack += [c for c in reversed(at.children) if isinstance(c, _Node) and not _noise(c)]
-    return (_render(best), score) if best is not None and score >= LEAST else ("", max(score, 0.0))
+@F.pandas_udf(StructType().add("content_html", StringType()).add("block_score", DoubleType()))
+def readable_block(html: pd.Series, url: pd.Series, title: pd.Series, given: pd.Series) -> pd.DataFrame:
+    """Clean HTML and score of the readable part of pages, in Arrow batches: it needs the tree of a page."""
+    none = lambda s: s.astype(object).where(s.notna(), None)
+    return pd.DataFrame(readable_all(*map(none, (html, url, title, given))), columns=["content_html", "block_score"])
+
+
+def inline_text(html: Column, url: Column) -> Column:
+    """The text that a page of the messenger has in a script and not in an element; null for others."""
+    kind = F.coalesce(*[F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in (r"""(?i)\b(?:window\.)?item_show_type\s*=\s*['"]?(\d+)['"]?""", r"""(?i)\bitem_show_type\s*:\s*['"]?(\d+)['"]?""")])
+    raw = F.regexp_extract(html, r"(?is)\bcontent_noencode\s*:\s*JsDecode\(\s*'(.*?)'\s*\)\s*,\s*source_url\b", 1)
+    content = html.rlike(CONTENT_ELEMENTS[0]) | html.rlike(CONTENT_ELEMENTS[1])
+    return F.when((kind == "10") & (hostname(url) == WECHAT_HOST) & ~content, readable_text(unescape_js(raw)))
+
+
+def video_text(html: Column, url: Column) -> Column:
+    """What stands for the text of a page of a video: its description and its URL; null for other pages."""
+    kind = F.lower(meta(html, "og:type")).startswith("video")
+    listed = F.regexp_extract(html, r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>", 1).rlike(r'(?i)"@type"\s*:\s*(?:\[[^\]]*)?"VideoObject"')
+    here = F.coalesce(hostname(url).isin(*VIDEO_HOSTS["www.youtube.com"]), F.lit(False)) | F.coalesce(kind, F.lit(False)) | listed
+    told = readable_text(meta(html, "og:description", "twitter:description", "description"))
+    return F.when(here, F.concat_ws("\n\n", told, F.concat(F.lit("Video URL: "), url)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """metadata() of pages with content_html, plain_text, excerpt, units, text_hash and error_code (null for readable pages)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [readable_block(h or "") for h in batch["html"]]
-            yield pd.DataFrame({"page_id": batch["page_id"], "content_html": [m[0] for m in made], "block_score": [m[1] for m in made]})
-
-    blocks = pages.select("page_id", "html").mapInPandas(run, "page_id long, content_html string, block_score double")
-    out = metadata(pages).join(blocks, "page_id").withColumn("content_html", F.regexp_replace("content_html", r"(?is)^\s*<h1>.*?</h1>\s*", ""))
-    text = html_to_text(F.col("content_html"))
-    out = out.withColumn("plain_text", F.nullif(text, F.lit(""))).withColumns({"excerpt": page_excerpt(F.col("plain_text")), "units": readable_units(F.col("plain_text")), "text_hash": text_hash(F.col("plain_text"))})
-    return out.withColumn("error_code", F.when(F.col("kind") == "verification", "PAGE_VERIFICATION_REQUIRED").when(F.col("kind").isNotNull() | F.col("plain_text").isNull(), "PAGE_NOT_READABLE"))
+    """metadata() of pages with content_html, plain_text, excerpt, units, text_hash and error_code (null for readable pages).
+
+    Each row of pages gives one row, in one pass. A null html counts as empty. Pages without a text of their own have that of a
+    script, or, for videos, their description. The error code is by the page's kind, else for an empty or an unreadable text.
+    """
+    html = F.coalesce("html", F.lit(""))
+    out = pages.select("page_id", "url", html.alias("html"))
+    given = inline_text(F.col("html"), F.col("url"))
+    out = metadata(out, "html", "url").withColumn("_given", F.when(given.isNotNull(), paragraph_html(given)))
+    out = out.withColumn("_b", readable_block("html", "url", "title", "_given")).select("*", "_b.content_html", "_b.block_score")
+    told = paragraph_html(video_text(F.col("html"), F.coalesce("canonical_url", "url")))
+    empty = html_to_text(F.col("content_html")) == ""
+    out = out.withColumn("content_html", F.when(empty & told.isNotNull(), told).otherwise(F.col("content_html")))
+    out = out.withColumn("plain_text", F.nullif(html_to_text(F.col("content_html")), F.lit("")))
+    code = F.create_map(*[F.lit(x) for pair in KIND_CODES.items() for x in pair])[F.col("kind")]
+    unreadable = F.when(unreadable_extract(F.col("url"), F.col("plain_text")), "EXTRACTION_UNREADABLE")
+    out = out.withColumns({
+        "excerpt": page_excerpt(F.col("plain_text")), "units": readable_units(F.col("plain_text")), "text_hash": text_hash(F.col("plain_text")),
+        "error_code": F.coalesce(code, F.when(F.col("plain_text").isNull(), "EXTRACTION_EMPTY"), unreadable),
+    })
+    return out.drop("html", "url", "_given", "_b")

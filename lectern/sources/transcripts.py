@@ -58,8 +58,10 @@ def active_segments(times: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def best_track(tracks: DataFrame) -> DataFrame:
-    """The caption track of each video: Chinese, then English, then others; machine-made ones after all of these; then the first."""
-    score = F.when(F.col("lang").rlike("^(?i)zh"), 0).when(F.col("lang").rlike("^(?i)en"), 1).otherwise(2) + F.when(F.col("kind") == "asr", 10).otherwise(0)
+    """The caption track of each video: Chinese, then English, then others, then those without a language; machine-made ones after
+    all of these; then the first."""
+    lang = F.col("lang")
+    score = F.when(F.coalesce(lang, F.lit("")) == "", 4).when(lang.rlike("^(?i)zh"), 0).when(lang.rlike("^(?i)en"), 1).otherwise(2) + F.when(F.col("kind") == "asr", 10).otherwise(0)
     return tracks.groupBy("video_id").agg(F.min_by(F.struct("idx", "lang", "kind", "base_url"), F.struct(score, "idx")).alias("t")).select("video_id", "t.*")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import dates, text, urls
 from lectern.operators import dedupe, filters, highlights, identity, jobs
 from lectern.plans import registry
-from lectern.sources import feeds, pages, transcripts
+from lectern.sources import feeds, pages, readable, transcripts
 
 
 def one(spark, value, f, kind="string"):
@@ -147,8 +147,8 @@ def test_pages(spark):
     html = f'<html lang="EN"><head><title>Site</title><meta property="og:title" content="T"><meta name="author" content="By Ann"><meta property="article:published_time" content="2024-01-01T00:00:00Z"><link rel="canonical" href="/c"></head><body><nav><a href="/x">menu</a></nav><div class="sidebar"><a>ad</a></div><article><h1>T</h1>{body}<img data-src="https://i/x.png"></article></body></html>'
     df = spark.createDataFrame([(1, "https://a.com/p?q", html), (2, "u", None), (3, "u", "<p>verify you are human</p>")], "page_id long, url string, html string")
     got = {r["page_id"]: r for r in pages.extract(df).collect()}
-    assert (got[1]["title"], got[1]["lang"], got[1]["canonical_url"], got[1]["author"], got[1]["error_code"]) == ("T", "en", "https://a.com/c", "Ann", None)
-    assert "menu" not in got[1]["content_html"] and 'src="https://i/x.png"' in got[1]["content_html"] and got[1]["units"] == 160
+    assert (got[1]["title"], got[1]["lang"], got[1]["canonical_url"], got[1]["author"], got[1]["error_code"]) == ("Site", "en", "https://a.com/c", "By Ann", None)
+    assert "menu" not in got[1]["content_html"] and 'src="https://i/x.png"' in got[1]["content_html"] and got[1]["units"] == 161
     assert got[2]["error_code"] == "PAGE_NOT_READABLE" and got[3]["error_code"] == "PAGE_VERIFICATION_REQUIRED"
 
 
@@ -177,3 +177,71 @@ def test_stream_equals_batch(spark, tmp_path):
     q = streams.reading_state_stream(src).writeStream.outputMode("complete").format("memory").queryName("states").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("states").collect())) == sorted(map(tuple, jobs.reading_states(df).collect()))
+
+
+def test_dates_of_pages(spark):
+    """Forms of dates that pages write: separators, times, the length of digits and the zone."""
+    show = lambda c: one(spark, c, lambda x: F.date_format(dates.page_date(x), "yyyy-MM-dd HH:mm:ss"))
+    assert show("2024/1/2") == show("2024-01-02") == show("2024.1.2") == "2024-01-01 16:00:00"
+    assert show("2024年1月2日 10:30") == "2024-01-02 02:30:00" and show("2024-01-02T03:04:05Z") == "2024-01-02 03:04:05"
+    assert show("17040672000") is None and show("946684799") is None and show("2024年13月2日") is None
+
+
+def test_authors(spark):
+    got = {t: one(spark, t, text.author) for t in ("By: Jane Doe,", "@jane", "原创 作者：张三", "data-x", "x" * 61, "2024/1/2", "微信扫一扫")}
+    assert got == {"By: Jane Doe,": "Jane Doe", "@jane": "jane", "原创 作者：张三": "张三", "data-x": None, "x" * 61: None, "2024/1/2": None, "微信扫一扫": None}
+
+
+def test_names_in_compatibility_form(spark):
+    assert one(spark, "Ａ：Ｂ／c  ", text.file_name) == "A B c" and one(spark, "  ", text.file_name) == ""
+
+
+def test_redirects_go_to_the_end(spark):
+    df = spark.createDataFrame([(f"u{i}", f"u{i + 1}") for i in range(12)] + [("s", "s")], "url string, target_url string")
+    got = {r["url"]: (r["final_url"], r["hops"]) for r in identity.follow_redirects(df).collect()}
+    assert got["u0"] == ("u12", 12) and got["s"] == ("s", 0)
+
+
+PARA = "This paragraph has enough plain words to count as content, and then some more of them follow here. " * 3
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f'<body><div class="sidebar">{PARA}</div><div class="article-body"><p>{PARA}</p><a href="b?x=1">rel</a><img data-src="/i.png" alt=" a  b "></div></body>', ['href="https://a.com/d/b?x=1"', 'src="https://a.com/i.png"', 'alt="a b"', "<p>"]),
+        (f'<body><div id="js_content"><h2>Title</h2><p>作者 someone</p><p>{PARA}</p><p><a href="javascript:x()">plain link text</a> {PARA}</p></div></body>', ["plain link text"]),
+        (f'<body><main><p>{PARA}</p><ul><li>one item that stays</li></ul><div class="share-bar">share this</div><p>Related articles</p><span>{PARA}</span></main></body>', ["<li>one item that stays</li>"]),
+    ],
+)
+def test_readable_html(html, want):
+    got, score = readable.readable(html, "https://a.com/d/e", "Title")
+    assert all(w in got for w in want) and score > 40
+    assert not any(x in got for x in ("sidebar", "作者", "<h2>", "javascript", "share this", "Related", "<span", "<div"))
+
+
+def test_no_block_passes():
+    short = "<body><div><p>few words</p></div></body>"
+    assert readable.readable(short, "https://a.com", None) == ("<p>few words</p>", 0.0) and readable.readable(None, None, None) == ("", 0.0)
+
+
+def test_promotion_at_the_end():
+    assert readable.promo_start(["text", "（完）", "more", "扫描加入知识星球"]) == 3
+    assert readable.promo_start(["text", "知识星球", "text", "......", "", "后台私信"]) == 3
+    assert readable.promo_start(["text", "知识星球", "text"]) is None and readable.promo_start([]) is None
+
+
+def test_deep_nesting_is_linear():
+    deep = "<div>" * 20_000 + PARA + "</div>" * 20_000
+    assert PARA.strip() in readable.readable(f"<body>{deep}</body>", "https://a.com", None)[0]
+
+
+def test_pages_of_one_id_and_of_scripts(spark):
+    body = f"<html><head><title>T</title></head><body><article><p>{PARA}</p></article></body></html>"
+    inline = "<html><body><script>window.item_show_type = '10'; x({title: JsDecode('T'), content_noencode: JsDecode('one\\x0a\\x0atwo \\x26 three'), source_url: ''})</script></body></html>"
+    video = '<html><head><meta property="og:type" content="video.other"><meta property="og:description" content="told"></head><body></body></html>'
+    rows_ = [(1, "https://a.com/x", body), (1, "https://a.com/y", body), (2, "https://mp.weixin.qq.com/s/x", inline), (3, "https://v.com/1", video), (4, "https://a.com/z", None)]
+    got = pages.extract(spark.createDataFrame(rows_, "page_id long, url string, html string")).collect()
+    assert len(got) == 5
+    by = {r["page_id"]: r for r in got}
+    assert by[2]["plain_text"] == "one\ntwo & three" and by[2]["error_code"] is None
+    assert by[3]["plain_text"] == "told\nVideo URL: https://v.com/1" and by[4]["error_code"] == "EXTRACTION_EMPTY"
