@@ -149,7 +149,7 @@ def test_pages(spark):
     got = {r["page_id"]: r for r in pages.extract(df).collect()}
     assert (got[1]["title"], got[1]["lang"], got[1]["canonical_url"], got[1]["author"], got[1]["error_code"]) == ("Site", "en", "https://a.com/c", "By Ann", None)
     assert "menu" not in got[1]["content_html"] and 'src="https://i/x.png"' in got[1]["content_html"] and got[1]["units"] == 161
-    assert got[2]["error_code"] == "PAGE_NOT_READABLE" and got[3]["error_code"] == "PAGE_VERIFICATION_REQUIRED"
+    assert got[2]["error_code"] == "EXTRACTION_EMPTY" and got[3]["error_code"] == "SOURCE_VERIFICATION_REQUIRED"
 
 
 def test_states(spark):
