@@ -17,16 +17,18 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.chunks import ChunkMemo, split_chunks
+from lectern.llm.shared import each_text, text_batches
 
 END = "</w>"
 #: Arcs that the transition table holds before it starts anew.
@@ -163,18 +165,20 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFra
     columns are ignored, and an empty table gives no rows. There is no shuffle: tasks stream batches of rows.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for text in each_text(batch.column(1)):
                 ids = bpe.encode(text)
                 said = " ".join(map(bpe.digits.__getitem__, ids))
-                row = (doc_id, len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-                out.append((*row, ids) if keep_ids else row)
-            yield pd.DataFrame(out, columns=names)
+                row = (len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+                out.append((*row, array("i", ids)) if keep_ids else row)
+            made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=False)] if out else [pa.array([], t) for t in kinds]
+            yield pa.record_batch([batch.column(0), *made], names=names)
 
+    kinds = [pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32())] if keep_ids else [])]
     schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     names = [x.split()[0] for x in schema.split(", ")]
     kind = docs.schema["doc_id"].dataType
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
+    return text_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
