@@ -16,12 +16,13 @@ from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.graph import by_pointer, components
-from lectern.llm.shared import SPACES, small, stored, text_key
+from lectern.llm.shared import SPACES, each_text, small, stored, text_batches, text_key
 
 BITS, BYTES = 3, 8
 MATCHES = BYTES - BITS
@@ -50,14 +51,14 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long), h and n (the fields of text_key) of each row; null and empty texts have fingerprint zero."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.fromiter((fingerprint(t) for t in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": got.view(np.int64), "h": batch["h"], "n": batch["n"]})
+            got = np.fromiter(map(fingerprint, each_text(batch.column(1))), np.uint64, batch.num_rows)
+            yield pa.record_batch([batch.column(0), pa.array(got.view(np.int64)), batch.column(2), batch.column(3)], names=["doc_id", "fp", "h", "n"])
 
     kind = docs.schema["doc_id"].dataType
-    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", text_key(F.col("text")).alias("key")).select("doc_id", "text", "key.h", "key.n")
-    return named.mapInPandas(run, "doc_id string, fp long, h long, n int").withColumn("doc_id", F.col("doc_id").cast(kind))
+    named = text_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text", text_key(F.col("text")).alias("key")).select("doc_id", "text", "key.h", "key.n")
+    return named.mapInArrow(run, "doc_id string, fp long, h long, n int").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def _neighbour_masks(bits: int, most: int) -> np.ndarray:

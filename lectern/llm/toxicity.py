@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.logistic import fit_logistic, probability
-from lectern.llm.shared import crc_fold, stored
+from lectern.llm.shared import crc_fold, each_text, stored, text_batches
 
 CUT = 0.7
 #: Bound of the training sample, for each class.
@@ -95,7 +95,7 @@ def evidence(words: list[str], automaton: ahocorasick.Automaton) -> tuple[float,
 
 
 def _with_text(docs: DataFrame, run, schema: str, *columns: str) -> DataFrame:
-    return docs.select(*columns, "text").mapInPandas(run, schema)
+    return text_batches(docs).select(*columns, "text").mapInPandas(run, schema)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
@@ -107,7 +107,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE)
     # an id may repeat, so the bound counts again after the join
     met = met.withColumn("o", F.struct(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
     bounded = [met.where(F.col("y") == y).orderBy("o").limit(per_class) for y in (0, 1)]
-    return bounded[0].union(bounded[1]).select("text", "y")
+    # a limit leaves one task, and a text gives many terms
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bounded[0].union(bounded[1]).select("text", "y").repartition(tasks, F.xxhash64("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> ToxicityModel:
@@ -159,17 +161,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = N
     id is in no fold. Other columns are ignored; an empty table gives no rows.
     """
     model = model or train(docs, labels)
-    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    out = text_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     held = F.coalesce(crc_fold(F.col("doc_id")) == 1, F.lit(False))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
         for batch in batches:
-            x = np.array([evidence(folded_words(t), automaton) for t in batch["text"]]).reshape(-1, 4)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": probability(x, model.curve)})
+            x = np.array([evidence(folded_words(t), automaton) for t in each_text(batch.column(1))]).reshape(-1, 4)
+            yield pa.record_batch([batch.column(0), pa.array(probability(x, model.curve))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType
-    got = out.mapInPandas(run, "doc_id string, score double").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = out.mapInArrow(run, "doc_id string, score double").withColumn("doc_id", F.col("doc_id").cast(kind))
     return got.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
@@ -184,8 +186,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
         for batch in batches:
-            x = np.array([evidence(folded_words(t), automaton) for t in batch.column(at).to_pylist()]).reshape(-1, 4)
+            x = np.array([evidence(folded_words(t), automaton) for t in each_text(batch.column(at))]).reshape(-1, 4)
             yield batch.filter(pa.array(probability(x, model.curve) < CUT))
 
     at = docs.columns.index("text")
-    return docs.mapInArrow(run, docs.schema)  # Arrow keeps every column's type and nulls
+    return text_batches(docs).mapInArrow(run, docs.schema)  # Arrow keeps every column's type and nulls

@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import new_folder, small, stored
+from lectern.llm.shared import new_folder, small, stored, text_batches
 
 LEAST_BYTES = 100
 #: The time of captures that have none.
@@ -187,7 +187,7 @@ def write_archives(pages: DataFrame, folder: str, captured: Column | None = None
         n, sample = _write_run(fs, path, (r for b in batches for r in b.itertuples(index=False, name=None)))
         yield pd.DataFrame([(path, n, sample)], columns=["path", "n", "sample"])
 
-    entries = plan_records(pages, F.lit(None) if captured is None else captured).mapInPandas(archive, ENTRY).sortWithinPartitions(*NAMES)
+    entries = plan_records(text_batches(pages), F.lit(None) if captured is None else captured).mapInPandas(archive, ENTRY).sortWithinPartitions(*NAMES)
     made = entries.mapInPandas(run, "path string, n long, sample array<array<string>>").where("n > 0").collect()  # a row for each task
     return [(r["path"], r["n"], [tuple(k) for k in r["sample"]]) for r in made]
 
