@@ -131,7 +131,7 @@ def next_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[._''’-][A-Za-z0-9]+)*'))::INT AS units, len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[’''_:-][A-Za-z0-9]+)*'))::INT AS video_units,
 greatest(1, ceil(len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[._''’-][A-Za-z0-9]+)*')) / 350.0))::INT AS minutes, nullif(length(regexp_replace(text, '\s+', '', 'g')), 0)::INT AS chars,
-CASE WHEN length(text) > 220 THEN rtrim(left(text, 220), ' ') || '…' ELSE text END AS excerpt, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 180) AS summary FROM documents""")
+CASE WHEN length(text) > 220 THEN rtrim(left(text, 220), ' ') || '…' ELSE text END AS excerpt, nullif(rtrim(left(trim(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^["''“”]+|["''“”]+$', '', 'g')), 180)), '') AS summary FROM documents""")
 def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return _docs(spark, sf_dir).select("doc_id", readable_units(t).alias("units"), video_units(t).alias("video_units"), reading_minutes(readable_units(t)).alias("minutes"), bookmark_words(F.lit(None).cast("int"), t).alias("chars"), feed_excerpt(t).alias("excerpt"), clean_summary(t).alias("summary"))
