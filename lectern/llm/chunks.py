@@ -10,7 +10,7 @@ _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u2
 _CONTROLS = re.compile("[\\x1c-\\x1f]")
 #: Letters and after them ASCII marks, which are words of their own; an apostrophe may be part of a word.
 _MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
-LIMIT = 300_000
+LIMIT = 600_000
 
 
 def split_chunks(text: str) -> list[str]:
