@@ -206,6 +206,22 @@ def paragraph_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return highlights.clip_to_paragraphs(highlights.paragraphs(docs), marks)
 
 
+_PARA_ALL = r"""WITH d AS (SELECT doc_id AS id, replace(text, chr(10), repeat(chr(10), (2 + doc_id % 3)::INT)) AS t FROM documents),
+l AS (SELECT id, string_split_regex(t, '\n{2,}') AS xs, list_append(regexp_extract_all(t, '\n{2,}'), '') AS seps FROM d),
+p AS (SELECT id, unnest(xs) AS x, unnest(seps) AS sep, unnest(range(len(xs))) AS k FROM l),
+o AS (SELECT id, k, x, (coalesce(sum(length(x) + length(sep)) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS s FROM p) """
+
+
+@query(_PARA_ALL + ", q AS (SELECT id, k, s, s + length(x) AS e FROM o WHERE trim(x, ' ') <> ''), n AS (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY k) - 1)::INT AS idx FROM q) SELECT id, idx, 'h' || id AS highlight_id, greatest(0, 50 - s)::INT AS \"start\", least(e - s, 250 - s)::INT AS \"end\" FROM n WHERE 250 > s AND 50 < e")
+def paragraph_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A highlight over characters 50 to 250 of every document, cut at its paragraphs; gaps are runs of two, three or four line feeds and their multiples."""
+    i = F.col("doc_id")
+    text = F.replace("text", F.lit("\n"), F.repeat(F.lit("\n"), (2 + i % 3).cast("int")))
+    docs = _docs(spark, sf_dir).select(i.alias("id"), text.alias("text"))
+    marks = docs.select(F.col("id").alias("document_id"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("id"), F.lit(50).alias("start"), F.lit(250).alias("end"))
+    return highlights.clip_to_paragraphs(highlights.paragraphs(docs), marks)
+
+
 @query("""
 WITH o AS (SELECT doc_id AS id, 'c' || doc_id AS ext, 'k' || doc_id AS k, left(text, 30) AS title FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id AS id, CASE WHEN doc_id % 8 = 4 THEN 'x' ELSE 'c' END || doc_id AS ext, 'k' || doc_id AS k, CASE WHEN doc_id % 8 = 0 THEN 'new' ELSE left(text, 30) END AS title FROM documents),
 m AS (SELECT n.id, n.title, coalesce(a.id, b.id) AS sid, coalesce(a.title, b.title) AS t FROM n LEFT JOIN o a ON n.ext = a.ext LEFT JOIN o b ON n.k = b.k)

@@ -124,6 +124,44 @@ def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_pages.metadata(_pages(spark, sf_dir)).select("page_id", F.col("title").isNotNull().alias("titled"), "lang")
 
 
+_DAY = "make_timestamp(2000 + page_id % 50, 1 + page_id % 12, 1 + page_id % 28, page_id % 24, page_id % 60, 0)"
+_TITLE = _text_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+
+
+@query(f"""
+SELECT page_id, nullif(trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')), '') AS title, lower(regexp_extract(html, '(?i)<html\\b[^>]*\\blang\\s*=\\s*"?([a-zA-Z-]+)', 1)) AS lang,
+  CASE page_id % 3 WHEN 0 THEN regexp_extract(url, '(?i)^https?://[^/?#]+', 0) || '/c/' || page_id WHEN 1 THEN 'https://o.example/' || page_id END AS canonical_url,
+  CASE WHEN page_id % 4 < 3 THEN 'Ann ' || chr((97 + page_id % 10)::INT) END AS author,
+  CASE page_id % 4 WHEN 0 THEN epoch({_DAY})::BIGINT WHEN 1 THEN epoch({_DAY})::BIGINT WHEN 2 THEN 1704067200 + page_id * 60 END AS published,
+  CASE WHEN page_id % 2 = 0 THEN 'Site & co ' || page_id END AS site_name
+FROM pages
+""")
+def page_metadata_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of metadata() but kind (page_kinds has it), for every page with what the table's pages lack put into its head.
+
+    By page: a meta author with a mark and a date; both in JSON-LD; unusable ones before usable ones; neither. A canonical link, a
+    URL among the properties, or neither; a site's name with an entity, or none.
+    """
+    i = F.col("page_id")
+    s, name = i.cast("string"), F.concat(F.lit("Ann "), F.char(97 + i % 10))
+    day = F.format_string("%d-%02d-%02dT%02d:%02d:00Z", 2000 + i % 50, 1 + i % 12, 1 + i % 28, i % 24, i % 60)
+    forms = [
+        F.concat(F.lit('<meta name="author" content="By: '), name, F.lit(',"><meta property="article:published_time" content="'), day, F.lit('">')),
+        F.concat(F.lit('<script type="application/ld+json">{"author": [{"@type": "Person", "name": "'), name, F.lit('"}], "datePublished": "'), day, F.lit('"}</script>')),
+        F.concat(
+            F.lit('<meta name="author" content="https://x.org/a"><meta name="byline" content="'), name, F.lit('"><meta name="date" content="soon"><time datetime="'),
+            (F.lit(1_704_067_200) + i * 60).cast("string"), F.lit('"></time>'),
+        ),
+        F.lit(""),
+    ]
+    links = [F.concat(F.lit('<link rel="canonical" href="/c/'), s, F.lit('">')), F.concat(F.lit('<meta property="og:url" content="https://o.example/'), s, F.lit('">')), F.lit("")]
+    site = F.when(i % 2 == 0, F.concat(F.lit('<meta property="og:site_name" content="Site &amp; co '), s, F.lit('">'))).otherwise("")
+    one = lambda choices: F.coalesce(*[F.when(i % len(choices) == k, c) for k, c in enumerate(choices)])
+    html = F.replace("html", F.lit("<head>"), F.concat(F.lit("<head>"), one(forms), one(links), site))
+    rows = html_pages.metadata(_pages(spark, sf_dir).withColumn("html", html))
+    return rows.select("page_id", "title", "lang", "canonical_url", "author", F.unix_seconds("published_at").alias("published"), "site_name")
+
+
 @query()
 def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readable content; it needs a parser, so it is tested on pages made by hand."""
