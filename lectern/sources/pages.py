@@ -20,20 +20,35 @@ from lectern.operators.filters import CONTENT_ELEMENTS, KIND_CODES, page_kind, u
 from lectern.sources.readable import readable_all
 
 
-def meta(html: Column, *names: str) -> Column:
-    """The content of the first meta element with one of these names or properties, in the order of the names."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
+def _meta_tags(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
+
+
+def _content(tags: Column, *names: str) -> Column:
+    """The content of the first of a page's meta tags with one of these names. Each tag is bound, so its content is read once."""
+
+    def content(tag: Column) -> Column:
+        quoted = [F.nullif(F.regexp_extract(tag, p, 1), F.lit("")) for p in (r'(?is)\bcontent\s*=\s*"([^"]*)"', r"(?is)\bcontent\s*=\s*'([^']*)'")]
+        return collapse(html_to_text(F.coalesce(*quoted)))
 
     def one(name: str) -> Column:
-        tag = F.get(F.filter(tags, lambda t: t.rlike(rf"(?i)\b(?:name|property|itemprop)\s*=\s*[\"']?{re.escape(name)}[\"'\s/>]")), 0)
-        return collapse(html_to_text(F.coalesce(F.nullif(F.regexp_extract(tag, r'(?is)\bcontent\s*=\s*"([^"]*)"', 1), F.lit("")), F.nullif(F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*'([^']*)'", 1), F.lit("")))))
+        named = F.filter(tags, lambda t: t.rlike(rf"(?i)\b(?:name|property|itemprop)\s*=\s*[\"']?{re.escape(name)}[\"'\s/>]"))
+        return F.get(F.transform(F.slice(named, 1, 1), content), 0)
 
     return F.coalesce(*map(one, names))
 
 
-def json_ld(html: Column, key: str) -> Column:
-    """The first text that a key has in a page's JSON-LD, at any depth; an object gives its name."""
-    blocks = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1)), "\n")
+def meta(html: Column, *names: str) -> Column:
+    """The content of the first meta element with one of these names or properties, in the order of the names."""
+    return _content(_meta_tags(html), *names)
+
+
+def _json_ld_blocks(html: Column) -> Column:
+    return F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1)), "\n")
+
+
+def _json_ld_value(blocks: Column, key: str) -> Column:
+    """The first text that a key has in JSON-LD, at any depth; an object gives its name."""
     text = F.nullif(F.regexp_extract(blocks, rf'"{key}"\s*:\s*"((?:[^"\\]|\\.)*)"', 1), F.lit(""))
     inner = F.nullif(F.regexp_extract(blocks, rf'(?s)"{key}"\s*:\s*\[?\s*\{{[^{{}}]*?"name"\s*:\s*"((?:[^"\\]|\\.)*)"', 1), F.lit(""))
     return F.coalesce(text, inner)
@@ -48,24 +63,26 @@ JSON_LD_DATES = ["datePublished", "dateCreated", "uploadDate", "dateModified"]
 def metadata(pages: DataFrame, *keep: str) -> DataFrame:
     """page_id, title, lang, canonical_url, author, published_at, site_name and kind of pages (page_id, url, html), and the columns to keep.
 
-    The first usable value counts: an author or a date that does not parse gives way to the next one.
+    The first usable value counts: an author or a date that does not parse gives way to the next one. What several columns read of
+    a page (its meta tags, JSON-LD, links and text) is a projection of its own, which Catalyst does not merge, so each is found once.
     """
-    html = F.col("html")
-    tag = lambda p: collapse(html_to_text(F.regexp_extract(html, p, 1)))
+    html, tags, blocks, text, href = map(F.col, ("html", "_meta_tags", "_json_ld", "_body_text", "_canonical"))
     canonical = F.get(F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?canonical")), 0)
-    href = F.nullif(F.regexp_extract(canonical, r"(?i)\bhref\s*=\s*[\"']([^\"']+)[\"']", 1), F.lit(""))
     body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*)$", 1)
-    time = F.nullif(F.regexp_extract(html, r"(?i)<time\b[^>]*\bdatetime\s*=\s*[\"']([^\"']+)", 1), F.lit(""))
-    dates = F.array(*[meta(html, n) for n in DATE_NAMES], time, *[json_ld(html, k) for k in JSON_LD_DATES])
-    names = F.array(*[meta(html, n) for n in AUTHOR_NAMES], json_ld(html, "author"))
-    first = lambda values, read: F.get(F.filter(F.transform(values, read), lambda x: x.isNotNull()), 0)
-    text = html_to_text(F.when(body == "", html).otherwise(body))
-    return pages.select(
+    read = pages.select(
+        *dict.fromkeys(["page_id", *keep, "url", "html"]), _meta_tags(html).alias("_meta_tags"), _json_ld_blocks(html).alias("_json_ld"),
+        html_to_text(F.when(body == "", html).otherwise(body)).alias("_body_text"), F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1).alias("_title"),
+        F.regexp_extract(canonical, r"(?i)\bhref\s*=\s*[\"']([^\"']+)[\"']", 1).alias("_canonical"), F.regexp_extract(html, r"(?i)<time\b[^>]*\bdatetime\s*=\s*[\"']([^\"']+)", 1).alias("_time"),
+    )
+    dates = F.array(*[_content(tags, n) for n in DATE_NAMES], F.nullif("_time", F.lit("")), *[_json_ld_value(blocks, k) for k in JSON_LD_DATES])
+    names = F.array(*[_content(tags, n) for n in AUTHOR_NAMES], _json_ld_value(blocks, "author"))
+    first = lambda values, parse: F.get(F.filter(F.transform(values, parse), lambda x: x.isNotNull()), 0)
+    return read.select(
         "page_id", *keep,
-        F.coalesce(tag(r"(?is)<title[^>]*>(.*?)</title>"), meta(html, "og:title", "twitter:title")).alias("title"),
+        F.coalesce(collapse(html_to_text(F.col("_title"))), _content(tags, "og:title", "twitter:title")).alias("title"),
         F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([a-zA-Z-]+)", 1)), F.lit("")).alias("lang"),
-        F.coalesce(resolve_url(href, F.col("url")), meta(html, "og:url")).alias("canonical_url"),
-        first(names, author).alias("author"), first(dates, page_date).alias("published_at"), meta(html, "og:site_name").alias("site_name"),
+        F.coalesce(resolve_url(F.nullif(href, F.lit("")), F.col("url")), _content(tags, "og:url")).alias("canonical_url"),
+        first(names, author).alias("author"), first(dates, page_date).alias("published_at"), _content(tags, "og:site_name").alias("site_name"),
         page_kind(html, text, F.col("url"), inline=inline_text(html, F.col("url")).isNotNull()).alias("kind"),
     )
 
