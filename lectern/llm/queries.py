@@ -3,8 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
-from lectern.llm import bpe_automaton, chat, decontaminate, licenses, quality_classifier, quality_rules, simhash, token_files, toxicity, warc
+from pyspark.sql import functions as F
+
+from lectern.llm import (
+    alignment,
+    bpe_automaton,
+    chat,
+    decontaminate,
+    exact_topk,
+    hard_negatives,
+    licenses,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    token_files,
+    toxicity,
+    warc,
+)
 
 #: Where the public tokenizers' files are described and found.
 TOKENIZERS = "/opt/tokenizers"
@@ -68,6 +83,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(spark, _table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids divisible by 7 are read as the next of ten."""
+    rows = _table(spark, sf_dir, "embeddings")
+    read = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(spark, rows.withColumn("label", read))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(spark, _table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +105,23 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    here = [op1_token_files, op2_decontamination, op3_bpe, op4_quality_classifier, op5_quality_rules, op6_toxicity, op7_chat_formatting, op8_license_scan, op8_license_labels, op9_warc, op10_simhash, pipeline]
+    here = [
+        op1_token_files,
+        op2_decontamination,
+        op3_bpe,
+        op4_quality_classifier,
+        op5_quality_rules,
+        op6_toxicity,
+        op7_chat_formatting,
+        op8_license_scan,
+        op8_license_labels,
+        op9_warc,
+        op10_simhash,
+        op11_exact_topk,
+        op12_hard_negatives,
+        op13_alignment,
+        pipeline,
+    ]
     return {f.__name__: f for f in here}
 
 
@@ -128,6 +174,27 @@ FROM s LEFT JOIN f ON s.payload_digest = f.payload_digest AND s.payload_bytes >=
 """
 
 
+_VECTORS = """
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v, row_number() OVER () AS r FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+_OP11 = f"""
+WITH {_VECTORS},
+s AS (SELECT q.r, q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score FROM v q JOIN v x ON q.r <> x.r WHERE q.vec_id % 50 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM k WHERE rank <= 5
+"""
+_OP12 = f"""
+WITH {_VECTORS},
+l AS (SELECT r, vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM v WHERE label IS NOT NULL),
+s AS (SELECT a.r, a.vec_id AS anchor_id, x.r AS x, x.vec_id, a.label = x.label AS same, list_inner_product(a.v, x.v)::BIGINT AS score FROM l a JOIN l x ON a.r <> x.r WHERE a.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, x) AS n FROM s WHERE same),
+w AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.r, p.n ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.r = s.r WHERE p.n <= 5 AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM w WHERE rank <= 3
+"""
+
+
 def _op8(families: dict[str, str] | None = None) -> str:
     family = "CASE {0}.label " + " ".join(f"WHEN '{label}' THEN '{name}'" for label, name in (families or {}).items()) + " ELSE {0}.label END"
     same = f" AND {family.format('o')} = {family.format('a')}" if families else ""
@@ -151,7 +218,16 @@ FROM docs LEFT JOIN base USING (r) LEFT JOIN told USING (r) LEFT JOIN score USIN
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"op2_decontamination": _OP2, "op5_quality_rules": _OP5, "op7_chat_formatting": _OP7, "op8_license_scan": _op8(), "op8_license_labels": _op8(licenses.FAMILIES), "op9_warc": _OP9}
+    out = {
+        "op2_decontamination": _OP2,
+        "op5_quality_rules": _OP5,
+        "op7_chat_formatting": _OP7,
+        "op8_license_scan": _op8(),
+        "op8_license_labels": _op8(licenses.FAMILIES),
+        "op9_warc": _OP9,
+        "op11_exact_topk": _OP11,
+        "op12_hard_negatives": _OP12,
+    }
     import corpus_pipeline
 
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
