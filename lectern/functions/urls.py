@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.columns import let
+
 #: Tracking and test parameters that a canonical URL lacks.
 TRACKING_PREFIXES = ("utm_", "qa_", "codex_")
 TRACKING_KEYS = ("fbclid", "gclid", "msclkid", "mc_cid", "mc_eid", "_hsenc", "_hsmi", "ref", "source")
@@ -105,24 +107,42 @@ def wechat_target(url: Column) -> Column:
     return F.when(out.rlike("^(?i)https?://"), out)
 
 
+def fold_dots(path: Column) -> Column:
+    """A path without . and .. segments: a step up takes the segment before it, steps above the root take none."""
+    none = F.array(F.lit(""))
+    step = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.lit(1), F.size(kept) - 1))).otherwise(F.array_append(kept, x))
+    # what stands before the first slash is empty; a path that ends with a step ends with a slash
+    parts = F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), r"(^|/)(\.\.?)$", "$1$2/"), "/")
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.array_join(F.aggregate(parts, none, step), "/")).otherwise(path)
+
+
 def resolve_url(value: Column, base: Column) -> Column:
-    """A reference resolved against its page: absolute, //host, /path, ?query or relative; other schemes and fragments give null."""
-    v = F.trim(value)
-    origin = F.regexp_extract(base, r"^(?i)(https?://[^/?#\s]+)", 1)
-    path = F.regexp_extract(base, r"^(?i)https?://[^/?#\s]+([^?#\s]*)", 1)
-    folder = F.regexp_replace(F.when(path == "", "/").otherwise(path), "[^/]*$", "")
-    joined = F.concat(origin, folder, v)
-    out = (
-        F.when(v.rlike("^(?i)https?://"), v)
-        .when(v.rlike("^//"), F.concat(F.regexp_extract(base, "^(?i)(https?:)", 1), v))
-        .when(v.rlike("^/"), F.concat(origin, v))
-        .when(v.rlike(r"^\?"), F.concat(origin, path, v))
-        .when(v.rlike("^#|^$|^[a-zA-Z][a-zA-Z0-9+.-]*:"), None)
-        .otherwise(joined)
-    )
-    for _ in range(3):  # a step up for each pass
-        out = F.regexp_replace(out, r"/(?!\.\.?/)[^/:?#]+/\.\./", "/")
-    return F.regexp_replace(out, r"/\./", "/")
+    """A reference resolved against its page: absolute, //host, /path, ?query or relative; other schemes and fragments give null.
+
+    Paths lose their . and .. segments, however many there are; the host is never one of them.
+    """
+    told = F.struct(
+        F.trim(value).alias("v"), F.regexp_extract(base, r"^(?i)(https?://[^/?#\s]+)", 1).alias("origin"), F.regexp_extract(base, r"^(?i)https?://[^/?#\s]+([^?#\s]*)", 1).alias("path"),
+    )
+
+    def whole(x: Column) -> Column:
+        """The reference with an origin before it."""
+        v, origin = x["v"], x["origin"]
+        path = F.when(x["path"] == "", "/").otherwise(x["path"])
+        return (
+            F.when(v.rlike("^(?i)https?://"), v)
+            .when(v.rlike("^//"), F.concat(F.regexp_extract(origin, "^(?i)(https?:)", 1), v))
+            .when(v.rlike("^/"), F.concat(origin, v))
+            .when(v.rlike(r"^\?"), F.concat(origin, x["path"], v))
+            .when(v.rlike("^#|^$|^[a-zA-Z][a-zA-Z0-9+.-]*:"), None)
+            .otherwise(F.concat(origin, F.regexp_replace(path, "[^/]*$", ""), v))
+        )
+
+    def folded(url: Column) -> Column:
+        parts = [F.regexp_extract(url, r"(?s)^((?i)https?://[^/?#\s]+)?([^?#]*)(.*)$", i) for i in (1, 2, 3)]
+        return F.when(url.rlike(r"/\.\.?(?:[/?#]|$)"), F.concat(parts[0], fold_dots(parts[1]), parts[2])).otherwise(url)
+
+    return let(told, lambda x: let(whole(x), folded))
 
 
 def duration_seconds(value: Column) -> Column:

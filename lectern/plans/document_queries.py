@@ -144,14 +144,14 @@ def export_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.export_overview(lib, marks.union(marks))
 
 
-@query(_LIB + "SELECT id FROM lib WHERE status = 'READY' AND summary IS NULL AND sstatus IS NULL AND (trim(text) <> '' OR trim(excerpt) <> '') AND id % 13 <> 0")
+@query(_LIB + "SELECT id FROM lib WHERE status = 'READY' AND summary IS NULL AND sstatus IS NULL AND (regexp_matches(text, '\\S') OR regexp_matches(excerpt, '\\S')) AND id % 13 <> 0")
 def summary_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = _library(spark, sf_dir)
     active = lib.where("id % 13 = 0").select(F.col("id").alias("document_id"), F.lit("PENDING").alias("status"))
     return jobs.enqueue(lib, active)
 
 
-@query(_LIB + "SELECT id, CASE WHEN status = 'FAILED' THEN NULL ELSE coalesce(nullif(trim(summary, ' '), ''), nullif(trim(excerpt, ' '), '')) END AS preview, CASE WHEN fav THEN 'starred' WHEN state = 'READ' THEN 'archive' ELSE 'queue' END AS view FROM lib")
+@query(_LIB + "SELECT id, CASE WHEN status = 'FAILED' THEN NULL ELSE coalesce(nullif(regexp_replace(summary, '^\\s+|\\s+$', '', 'g'), ''), nullif(regexp_replace(excerpt, '^\\s+|\\s+$', '', 'g'), '')) END AS preview, CASE WHEN fav THEN 'starred' WHEN state = 'READ' THEN 'archive' ELSE 'queue' END AS view FROM lib")
 def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _library(spark, sf_dir).select("id", filters.preview().alias("preview"), filters.reading_view().alias("view"))
 

@@ -111,12 +111,19 @@ def page_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_pages.headings(_pages(spark, sf_dir))
 
 
-@query("""
-SELECT page_id, pos::INT AS pos, href, CASE WHEN regexp_matches(href, '(?i)^https?://') THEN href WHEN href LIKE '/%' THEN regexp_extract(url, '(?i)^(https?://[^/?#\\s]+)', 1) || href END AS url
-FROM (SELECT page_id, url, unnest(hs) AS href, unnest(range(len(hs))) AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*"([^"]*)"', 1) AS hs FROM pages))
-""".replace("\\\\", "\\"))
+@query(r"""
+WITH p AS (SELECT page_id, url, regexp_extract(url, '(?i)^(https?://[^/?#\s]+)', 1) AS origin, regexp_extract(url, '(?i)^https?://[^/?#\s]+([^?#\s]*)', 1) AS path,
+  list_append(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"', 1), repeat('../', (page_id % 5)::INT) || 'up/./' || page_id || '?a=../b') AS hs FROM pages),
+f AS (SELECT *, string_split(CASE WHEN path = '' THEN '/' ELSE path END, '/') AS parts FROM p),
+h AS (SELECT *, unnest(hs) AS href, unnest(range(len(hs))) AS pos FROM f)
+SELECT page_id, pos::INT AS pos, href, CASE WHEN regexp_matches(href, '(?i)^https?://') THEN href WHEN href LIKE '/%' THEN origin || href
+  WHEN pos = len(hs) - 1 THEN origin || array_to_string(parts[:greatest(1, len(parts) - 1 - page_id % 5)], '/') || '/up/' || page_id || '?a=../b' END AS url FROM h
+""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_pages.links(_pages(spark, sf_dir))
+    """Links of pages, and one more of each that goes up to four steps up, on some pages above the root."""
+    i = F.col("page_id")
+    up = F.concat(F.repeat(F.lit("../"), (i % 5).cast("int")), F.lit("up/./"), i.cast("string"), F.lit("?a=../b"))
+    return html_pages.links(_pages(spark, sf_dir).withColumn("html", F.concat("html", F.lit('<a href="'), up, F.lit('">'))))
 
 
 @query("SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') IS NOT NULL AS titled, lower(regexp_extract(html, '(?i)<html\\b[^>]*\\blang\\s*=\\s*\"?([a-zA-Z-]+)', 1)) AS lang FROM pages".replace("\\\\", "\\"))

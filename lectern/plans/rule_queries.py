@@ -50,7 +50,7 @@ _STATES = f"""WITH s AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN '  '
   CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN ' ' || chr(10) ELSE text END AS body, CASE WHEN doc_id % 12 = 0 THEN '<p>x</p>' END AS html, {_CODES}[(doc_id % 8 + 1)::INT] AS code, {_MESSAGES}[(doc_id // 8 % 3 + 1)::INT] AS message,
   ['READ', 'READING', 'UNREAD'][(doc_id % 3 + 1)::INT] AS reading, doc_id % 2 = 0 AS fav, doc_id // 2 % 5 <> 0 AS provided, doc_id // 3 % 5 <> 0 AS linked, doc_id % 7 < 5 AS own, doc_id % 11 <> 0 AS done, doc_id % 10 < 8 AS cut,
   CASE WHEN doc_id % 3 = 0 THEN 'RSS_ITEM' ELSE 'WEB_PAGE' END AS type, doc_id % 500 * 60 AS created, doc_id % 700 * 60 AS updated FROM documents),
-t AS (SELECT *, nullif(trim(excerpt), '') AS lead, nullif(trim(body, ' ' || chr(10)), '') IS NOT NULL OR nullif(trim(excerpt), '') IS NOT NULL AS told FROM s) """
+t AS (SELECT *, nullif(regexp_replace(excerpt, '^\\s+|\\s+$', '', 'g'), '') AS lead, coalesce(regexp_matches(body, '\\S'), false) OR coalesce(regexp_matches(excerpt, '\\S'), false) AS told FROM s) """
 
 
 @query(_STATES + """SELECT id, CASE WHEN status = 'FAILED' THEN NULL WHEN lead IS NOT NULL THEN '原文导语' WHEN state = 'PENDING' THEN 'AI 摘要生成中' WHEN state = 'FAILED' THEN 'AI 摘要未就绪' END AS label,
@@ -61,8 +61,8 @@ def document_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_STATES + """SELECT id, CASE WHEN fav THEN 'starred' WHEN reading = 'READ' THEN 'archive' ELSE 'queue' END AS reading_view, status = 'READY' AND summary IS NULL AND told AND state IS NULL AS due_first,
-  status = 'READY' AND summary IS NULL AND told AND state IS DISTINCT FROM 'PENDING' AS due_again, status = 'READY' AND (body IS NOT NULL AND trim(body, ' ' || chr(10)) <> '' OR html IS NOT NULL) AS can_highlight,
-  NOT (provided AND linked AND own AND done AND cut AND body IS NOT NULL AND trim(body, ' ' || chr(10)) <> '') AS transcript_due,
+  status = 'READY' AND summary IS NULL AND told AND state IS DISTINCT FROM 'PENDING' AS due_again, status = 'READY' AND (coalesce(regexp_matches(body, '\\S'), false) OR html IS NOT NULL) AS can_highlight,
+  NOT (provided AND linked AND own AND done AND cut AND coalesce(regexp_matches(body, '\\S'), false)) AS transcript_due,
   CASE WHEN code = 'EXTRACTION_UNREADABLE' AND message = '公众号迁移' THEN 'MIGRATION_NOTICE' WHEN code = 'EXTRACTION_UNREADABLE' AND message LIKE '%壳页面' THEN 'SHARE_SHELL' WHEN code = 'OTHER' THEN 'UNKNOWN' ELSE code END AS failure FROM t""")
 def document_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _states(_table(spark, sf_dir)).select(

@@ -97,6 +97,13 @@ class _Tree(HTMLParser):
     def handle_data(self, data):
         self.stack[-1].children.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        """A section that HTML does not know is a comment up to the next >."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.rawdata.find(">", i) + 1 or -1
+
 
 def parse(html: str) -> Node:
     tree = _Tree()
@@ -207,6 +214,13 @@ def _is_noise(node: Node, messenger: bool) -> bool:
     return 0 < length < 1200 and _density(node) > 0.55
 
 
+def _host(url: str) -> str | None:
+    try:
+        return urlsplit(url).hostname if "://" in url else None
+    except ValueError:
+        return None
+
+
 def _absolute(value: str | None, base: str) -> str | None:
     try:
         out = urljoin(base, value.strip()) if value else ""
@@ -329,7 +343,7 @@ def trim(root: Node, title: str | None, messenger: bool) -> None:
 def readable(html: str | None, url: str | None, title: str | None, given: str | None = None) -> tuple[str, float]:
     """Clean HTML and score of the best block of a page, or of the HTML that is given for it (score 0)."""
     base = url or ""
-    messenger = (urlsplit(base).hostname if "://" in base else None) == MESSENGER
+    messenger = _host(base) == MESSENGER
     if given is not None:
         root, most = parse(given), 0.0
     else:

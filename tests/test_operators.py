@@ -33,6 +33,25 @@ def test_urls(spark):
     assert one(spark, "https://a.com?qa_x=1", urls.is_test_url) is True
 
 
+@pytest.mark.parametrize(
+    ("value", "base", "want"),
+    [
+        ("../x", "https://example.com/page", "https://example.com/x"), ("../../../../x", "https://example.com/a/b/c/d/e", "https://example.com/x"), ("../../x", "https://example.com", "https://example.com/x"),
+        ("./x/./y/..", "https://a.com/d/e", "https://a.com/d/x/"), ("..", "https://a.com/d/e/f", "https://a.com/d/"), ("/p/../q/.", "https://a.com/d", "https://a.com/q/"), ("//b.org/../x", "http://a.com", "http://b.org/x"),
+        ("?q=../a", "https://a.com/d/e", "https://a.com/d/e?q=../a"), ("x?q=/../a#/../b", "https://a.com/d/e", "https://a.com/d/x?q=/../a#/../b"), ("https://b.org/a/../../c", "x", "https://b.org/c"), ("a..b/..c", "https://a.com/d/", "https://a.com/d/a..b/..c"),
+        ("#x", "https://a.com", None), (" ", "https://a.com", None), (None, "https://a.com", None), ("/".join([".."] * 500) + "/x", "https://a.com/" + "d/" * 600, "https://a.com/" + "d/" * 100 + "x"),
+    ],
+)
+def test_resolve_url(spark, value, base, want):
+    assert one(spark, value, lambda c: urls.resolve_url(c, F.lit(base))) == want
+
+
+def test_pages_that_parsers_refuse(spark):
+    rows = [(1, "https://a.com/x", "<p>one</p><![foo[x]]><p>two</p>"), (2, "http://[bad/x", "<p>three</p>"), (3, "https://a.com", "<p>four</p><![foo[")]
+    got = {r["page_id"]: r["plain_text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert "one" in got[1] and "two" in got[1] and got[2] == "three" and got[3].startswith("four")
+
+
 def test_text(spark):
     assert one(spark, "<h1>A</h1><p>b &amp; c<br>d</p>", text.html_to_text) == "A\nb & c\nd"
     assert one(spark, "x" * 221, text.feed_excerpt) == "x" * 220 + "…" and one(spark, "x" * 220, text.feed_excerpt) == "x" * 220
