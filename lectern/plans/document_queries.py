@@ -280,13 +280,50 @@ def _feed_totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("feed_id").agg(F.count("*").alias("n"), F.countDistinct("external_id").alias("ids"), F.sum(F.length("plain_text")).alias("chars"), F.unix_seconds(F.max("published_at")).alias("latest"))
 
 
+def _fetched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries of feeds, stored documents, and filters. A source is a feed, whatever its size; it was fetched in bodies of 50 entries."""
+    i, text = F.col("doc_id"), F.regexp_replace("text", r"[<>&\s]+", " ")
+    item = F.concat(
+        F.lit("<item><title>"), F.left(text, F.lit(30)), F.lit("</title><link>https://f.example.com/"), (i % 400).cast("string"), F.lit("?utm_source=x</link><guid>g"), (i % 900).cast("string"), F.lit("</guid><category>c"),
+        (i % 3).cast("string"), F.lit("</category><pubDate>Mon, 01 Jan 2024 00:00:00 GMT</pubDate><description>"), text, F.lit("</description></item>"),
+    )
+    body = F.floor(i / 50).alias("body")
+    bodies = _docs(spark, sf_dir).groupBy(F.col("source").alias("feed_id"), body).agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))).alias("xs"))
+    xml = F.concat(F.lit("<rss><channel>"), F.array_join(F.transform("xs", lambda x: x["x"]), ""), F.lit("</channel></rss>"))
+    new = feeds.entries(bodies.select("feed_id", "body", F.lit("https://f.example.com/feed").alias("feed_url"), xml.alias("xml")), "body").withColumn("pos", F.col("body") * 50 + F.col("pos"))
+    stored = new.where("pos % 10 = 0 and pos < 200")
+    only = F.when(F.length("feed_id") % 2 == 1, F.array(F.lit("C1"), F.lit("c2"))).otherwise(F.array().cast("array<string>"))
+    gates = new.select("feed_id").distinct().select("feed_id", only.alias("include"), F.lit(None).cast("timestamp").alias("backfill"))
+    return new, stored, gates
+
+
 @query()
 def feed_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries folded against stored ones; the fold is greedy, so it is tested against a loop."""
-    new = feeds.entries(_feed_xml(spark, sf_dir, F.col("text")))
-    stored = new.where("pos % 10 = 0")
-    gates = new.select("feed_id").distinct().select("feed_id", F.when(F.substr("feed_id", F.lit(4), F.lit(1)) == "1", F.array(F.lit("C1"), F.lit("c2"))).otherwise(F.array().cast("array<string>")).alias("include"), F.lit(None).cast("timestamp").alias("backfill"))
-    return feeds.sync_stats(feeds.sync(new, stored, gates))
+    """Reasons by feed of whole sources; what is taken is greedy, so it is tested against a loop."""
+    return feeds.sync_stats(feeds.sync(*_fetched(spark, sf_dir)))
+
+
+_FETCHED = r"""WITH d AS (SELECT doc_id, source, doc_id // 50 AS body, trim(regexp_replace(left(regexp_replace(text, '[<>&\s]+', ' ', 'g'), 30), '\s+', ' ', 'g')) AS title, trim(regexp_replace(text, '[<>&\s]+', ' ', 'g')) AS txt FROM documents),
+n AS (SELECT *, body * 50 + row_number() OVER (PARTITION BY source, body ORDER BY doc_id) - 1 AS pos FROM d),
+e AS (SELECT source AS feed_id, pos, 'g' || (doc_id % 900) AS ext, doc_id % 400 AS url, title, txt, doc_id % 3 AS cat FROM n),
+s AS (SELECT * FROM e WHERE pos % 10 = 0 AND pos < 200),
+g AS (SELECT *, CASE WHEN length(feed_id) % 2 = 1 AND cat = 0 THEN 'category' WHEN ext IN (SELECT ext FROM s) THEN 'external_id' WHEN (feed_id, url) IN (SELECT (feed_id, url) FROM s) THEN 'url' WHEN (feed_id, title, txt) IN (SELECT (feed_id, title, txt) FROM s) THEN 'content' END AS known FROM e),
+o AS (SELECT *, count(*) FILTER (known IS NULL) OVER (PARTITION BY feed_id, ext) AS a, count(*) FILTER (known IS NULL) OVER (PARTITION BY feed_id, url) AS b, count(*) FILTER (known IS NULL) OVER (PARTITION BY feed_id, title, txt) AS c FROM g)
+"""
+
+
+@query(_FETCHED + """SELECT feed_id, coalesce(known, 'imported') AS reason, count(*) AS n FROM o WHERE known IS NOT NULL OR (a = 1 AND b = 1 AND c = 1) GROUP BY 1, 2""")
+def feed_sync_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons of the entries that share no key with another one of their batch."""
+    synced = feeds.sync(*_fetched(spark, sf_dir)).where("alone")
+    return synced.groupBy("feed_id", "reason").agg(F.count("*").alias("n"))
+
+
+@query(_FETCHED + """SELECT count(DISTINCT feed_id) AS feeds, count(*) FILTER (known = 'category') AS category, count(*) AS entries FROM o""")
+def feed_sync_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all feeds: every entry has one reason, so the reasons add up to the entries."""
+    totals = feeds.sync_totals(feeds.sync(*_fetched(spark, sf_dir)))
+    return totals.select("feeds", "category", sum((F.col(r) for r in feeds.REASONS), F.lit(0)).alias("entries"))
 
 
 @query("SELECT lang, count(*) AS n FROM (SELECT lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) GROUP BY lang")

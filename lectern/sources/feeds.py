@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.dates import feed_date
 from lectern.functions.text import categories_match, collapse, distinct_folded, fallback_id, feed_excerpt, html_to_text, text_hash
 from lectern.functions.urls import normalize_url, resolve_url
+from lectern.operators.durable import Stored, stored
 from lectern.operators.filters import published_since
 
 
@@ -40,15 +38,15 @@ def _plain(c: Column) -> Column:
     return html_to_text(F.when(c.rlike("&lt;"), html_to_text(c)).otherwise(c))
 
 
-def entries(feeds: DataFrame) -> DataFrame:
-    """A row for each entry of feeds (feed_id, feed_url, xml), RSS items or Atom entries, in order of pos.
+def entries(feeds: DataFrame, *keep: str) -> DataFrame:
+    """A row for each entry of feeds (feed_id, feed_url, xml, and the columns to keep), RSS items or Atom entries, in order of pos.
 
     Entries without title, URL and text go. Without an id an entry's is a hash of feed, URL, title and date.
     """
     atom = feed_kind(F.col("xml"), F.lit(None).cast("string")) == "atom"
     items = F.when(atom, F.regexp_extract_all("xml", F.lit(r"(?s)<entry[\s>].*?</entry>"), F.lit(0))).otherwise(F.regexp_extract_all("xml", F.lit(r"(?s)<item[\s>].*?</item>"), F.lit(0)))
     # what needs the whole feed is taken before the explosion, so no row of an entry carries its feed
-    rows = feeds.select("feed_id", "feed_url", atom.alias("atom"), items.alias("items")).select("feed_id", "feed_url", "atom", F.posexplode("items").alias("pos", "item"))
+    rows = feeds.select("feed_id", "feed_url", *keep, atom.alias("atom"), items.alias("items")).select("feed_id", "feed_url", *keep, "atom", F.posexplode("items").alias("pos", "item"))
     links = F.regexp_extract_all("item", F.lit(r"<link\b[^>]*>"), F.lit(0))
     alternate = F.get(F.filter(links, lambda t: ~t.rlike(r"\brel\s*=") | t.rlike(r"\brel\s*=\s*[\"'](?:alternate)?[\"']")), 0)
     href = F.nullif(F.regexp_extract(alternate, r"\bhref\s*=\s*[\"']([^\"']+)[\"']", 1), F.lit(""))
@@ -59,7 +57,7 @@ def entries(feeds: DataFrame) -> DataFrame:
     cats = F.filter(F.transform(F.when(F.col("atom"), terms).otherwise(named), lambda c: collapse(html_to_text(F.regexp_replace(c, r"<!\[CDATA\[|\]\]>", "")))), lambda c: c.isNotNull())
     author = F.coalesce(_field(F.col("item"), "dc:creator"), collapse(html_to_text(_field(F.col("item"), "name", "author"))))
     out = rows.select(
-        "feed_id", "pos", collapse(_plain(_field(F.col("item"), "title"))).alias("title"), url.alias("url"), author.alias("author"),
+        "feed_id", "pos", *keep, collapse(_plain(_field(F.col("item"), "title"))).alias("title"), url.alias("url"), author.alias("author"),
         feed_date(_field(F.col("item"), "pubDate", "published", "dc:date", "updated")).alias("published_at"), collapse(_plain(content)).alias("plain_text"), distinct_folded(cats).alias("categories"),
         _field(F.col("item"), "guid", "id").alias("guid"),
     ).where("title is not null or url is not null or plain_text is not null")
@@ -72,41 +70,88 @@ def entries(feeds: DataFrame) -> DataFrame:
 REASONS = ["category", "backfill", "external_id", "url", "content", "imported"]
 
 
-def sync(new: DataFrame, stored: DataFrame, feeds: DataFrame) -> DataFrame:
-    """new entries (feed_id, pos, external_id, dedupe_url, title, text_hash, categories, published_at) with reason, one of REASONS.
+def gated(new: DataFrame, stored: DataFrame, feeds: DataFrame) -> DataFrame:
+    """new with known: why an entry goes whatever the others of its batch are (its feed's filters, or a stored document); else null.
 
-    stored has the documents of earlier runs with the same key columns; feeds (feed_id, include, backfill) is a dimension. Keys
-    of stored documents are matched by equi joins. Within the batch an entry that is skipped never makes a later one a
-    duplicate, so entries of a feed are folded in order, as a sorted stream that holds the keys of one feed.
+    Keys of stored documents are matched by equi joins; feeds (feed_id, include, backfill) is a dimension.
     """
     rows = new.join(feeds.select("feed_id", "include", "backfill"), "feed_id", "left")
     gate = F.when(~categories_match(F.col("categories"), F.col("include")), "category").when(~published_since(F.col("backfill")), "backfill")
     mark = lambda name, *keys: stored.select(*keys).dropna().distinct().withColumn(name, F.lit(True))
-    rows = rows.join(mark("k1", "external_id"), "external_id", "left").join(mark("k2", "feed_id", "dedupe_url"), ["feed_id", "dedupe_url"], "left").join(mark("k3", "feed_id", "title", "text_hash"), ["feed_id", "title", "text_hash"], "left")
+    for name, *keys in (("k1", "external_id"), ("k2", "feed_id", "dedupe_url"), ("k3", "feed_id", "title", "text_hash")):
+        rows = rows.join(mark(name, *keys), keys, "left")
     known = F.coalesce(gate, F.when(F.col("k1"), "external_id"), F.when(F.col("k2"), "url"), F.when(F.col("k3"), "content"))
-    rows = rows.select("feed_id", "pos", "external_id", "dedupe_url", "title", "text_hash", known.alias("known"))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        feed, ids, urls, texts = None, set(), set(), set()
-        for batch in batches:
-            out = []
-            for x in batch.itertuples(index=False):
-                if x.feed_id != feed:
-                    feed, ids, urls, texts = x.feed_id, set(), set(), set()
-                reason = x.known or ("external_id" if x.external_id in ids else "url" if x.dedupe_url and x.dedupe_url in urls else "content" if (x.title, x.text_hash) in texts else "imported")
-                if reason == "imported":
-                    ids.add(x.external_id)
-                    urls.add(x.dedupe_url)
-                    texts.add((x.title, x.text_hash))
-                out.append((x.feed_id, x.pos, x.external_id, reason))
-            yield pd.DataFrame(out, columns=["feed_id", "pos", "external_id", "reason"])
-
-    return rows.repartition("feed_id").sortWithinPartitions("feed_id", "pos").mapInPandas(fold, "feed_id string, pos int, external_id string, reason string")
-
-
-def sync_stats(synced: DataFrame) -> DataFrame:
-    """Counts of each reason by feed."""
-    return synced.groupBy("feed_id").agg(*[F.count_if(F.col("reason") == r).alias(r) for r in REASONS])
+    return rows.select("feed_id", "pos", "external_id", "dedupe_url", "title", "text_hash", known.alias("known"))
+
+
+def entry_keys(rows: DataFrame) -> DataFrame:
+    """feed_id, pos, kind and the two values of each key that an entry has: entries of a feed that share one are duplicates.
+
+    Kinds are numbered in the order in which they count. An entry without a URL has no such key; a missing title or text is a value.
+    """
+    text = F.struct(F.lit(2).alias("kind"), F.coalesce("title", F.lit("")).alias("a"), F.coalesce("text_hash", F.lit("")).alias("b"))
+    plain = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.coalesce(c, F.lit("")).alias("a"), F.lit("").alias("b"))
+    keys = F.array(plain(0, "external_id"), F.when(F.coalesce("dedupe_url", F.lit("")) != "", plain(1, "dedupe_url")), text)
+    return rows.select("feed_id", "pos", F.explode(F.array_compact(keys)).alias("k")).select("feed_id", "pos", "k.*")
+
+
+_KEY = ["feed_id", "kind", "a", "b"]
+
+
+def first_comers(keys: DataFrame) -> DataFrame:
+    """feed_id and pos of the entries that a greedy pass in the order of pos takes: those that share no key with one taken before.
+
+    keys is as entry_keys() gives them. Keys that one entry has alone decide nothing, so they are counted out first. Then rounds:
+    an entry that is the first undecided one under all its keys is taken, those that share a key with it are not. An entry is never
+    gathered with the others of its feed: a round is a minimum for each key and equi joins. There are as many rounds as the longest
+    chain of entries that wait for each other, and each round has only the entries that are still undecided.
+    """
+    held = Stored(keys.sparkSession)
+    shared = keys.groupBy(*_KEY).agg(F.count("*").alias("n")).where("n > 1").select(*_KEY)
+    left = held.keep("undecided", keys.join(shared, _KEY))
+    ids = ["feed_id", "pos"]
+    taken = keys.select(*ids).distinct().join(left.select(*ids).distinct(), ids, "left_anti")  # without any conflict
+    taken = stored(taken, "taken")
+    while not left.isEmpty():
+        first = left.groupBy(*_KEY).agg(F.min("pos").alias("first"))
+        now = left.join(first, _KEY).groupBy(*ids).agg(F.bool_and(F.col("pos") == F.col("first")).alias("wins")).where("wins").select(*ids)
+        now = stored(now, "taken")
+        won = left.join(now, ids).select(*_KEY).distinct()
+        out = left.join(won, _KEY, "left_semi").select(*ids).distinct()  # those taken, and those that share a key with them
+        left = held.keep("undecided", left.join(out, ids, "left_anti"))
+        taken = taken.unionByName(now)
+    held.drop("undecided")
+    return stored(taken, "taken")
+
+
+def sync(new: DataFrame, stored_rows: DataFrame, feeds: DataFrame) -> DataFrame:
+    """feed_id, pos, external_id, reason (one of REASONS) and alone of new entries (feed_id, pos, external_id, dedupe_url, title, text_hash,
+    categories, published_at); alone tells that no other entry of the batch had a say.
+
+    stored_rows has the documents of earlier runs with the same key columns. Within the batch an entry that is skipped never makes
+    a later one a duplicate; which entries are taken is first_comers(), so no feed is in one task. pos must be unique in its feed.
+    """
+    rows = stored(gated(new, stored_rows, feeds), "gated")
+    keys = stored(entry_keys(rows.where("known is null")), "entry-keys")
+    taken = first_comers(keys)
+    # under each key one entry at most was taken: it is what later ones repeat
+    holders = keys.join(taken, ["feed_id", "pos"]).select(*_KEY, F.col("pos").alias("holder"))
+    said = keys.join(holders, _KEY).where("holder < pos").groupBy("feed_id", "pos").agg(F.min("kind").alias("kind"))
+    shared = keys.groupBy(*_KEY).agg(F.count("*").alias("n")).where("n > 1")
+    met = keys.join(shared.select(*_KEY), _KEY).select("feed_id", "pos").distinct().withColumn("met", F.lit(True))
+    out = rows.join(said, ["feed_id", "pos"], "left").join(met, ["feed_id", "pos"], "left")
+    repeated = F.get(F.array(*map(F.lit, ("external_id", "url", "content"))), F.col("kind"))
+    return out.select("feed_id", "pos", "external_id", F.coalesce("known", repeated, F.lit("imported")).alias("reason"), F.col("met").isNull().alias("alone"))
+
+
+def sync_stats(synced: DataFrame, *by: str) -> DataFrame:
+    """Counts of each reason by feed, or by other columns."""
+    return synced.groupBy(*(by or ("feed_id",))).agg(*[F.count_if(F.col("reason") == r).alias(r) for r in REASONS])
+
+
+def sync_totals(synced: DataFrame) -> DataFrame:
+    """Counts of each reason over all feeds, and the number of feeds, as one row."""
+    return synced.agg(F.countDistinct("feed_id").alias("feeds"), *[F.count_if(F.col("reason") == r).alias(r) for r in REASONS])
 
 
 def sync_state(feeds: DataFrame, runs: DataFrame) -> DataFrame:

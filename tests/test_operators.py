@@ -155,10 +155,45 @@ def test_markdown_of_every_document(spark, tmp_path):
 def test_feeds_hold_whole_texts(spark, tmp_path):
     """Texts that differ after 200 characters only are other contents."""
     start = "same words " * 30
-    spark.createDataFrame([(1, start + "one", "abc"), (2, start + "two", "abc"), (3, start + "two", "abc")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "x", "abc"), (1, start + "one", "abc"), (2, start + "two", "abc"), (4, start + "two", "abc")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = registry.queries()["feed_sync"](spark, str(tmp_path)).first().asDict()
-    assert {k: v for k, v in got.items() if v} == {"feed_id": "abc-0", "external_id": 1, "imported": 1, "content": 1}
-    assert registry.queries()["feed_entries_whole"](spark, str(tmp_path)).first()["chars"] == 3 * (len(start) + 3)
+    assert {k: v for k, v in got.items() if v} == {"feed_id": "abc", "category": 1, "imported": 2, "content": 1}
+    assert registry.queries()["feed_entries_whole"](spark, str(tmp_path)).first()["chars"] == 3 * (len(start) + 3) + 1
+
+
+def greedy(rows):
+    """feed, pos, reason of rows (feed, pos, external id, URL, title, hash, known), by the loop that the rounds stand for."""
+    seen, out = {}, []
+    for feed, pos, ext, url, title, text, known in sorted(rows):
+        ids, urls, texts = seen.setdefault(feed, (set(), set(), set()))
+        reason = known or ("external_id" if ext in ids else "url" if url and url in urls else "content" if (title, text) in texts else "imported")
+        if reason == "imported":
+            ids.add(ext)
+            urls.add(url)
+            texts.add((title, text))
+        out.append((feed, pos, reason))
+    return out
+
+
+@pytest.mark.parametrize(("n", "feeds_", "ids", "chain"), [(10_000, 3, 4_000, 0), (300, 1, 40, 0), (60, 1, 1000, 60)])
+def test_sync_equals_the_loop(spark, n, feeds_, ids, chain):
+    """Random keys with a hot feed, nulls and many conflicts; and a chain in which each entry shares a key with the next one."""
+    import random
+
+    r = random.Random(n)
+    rows = []
+    for i in range(n):
+        feed = f"f{r.randrange(feeds_) if r.random() < 0.3 else 0}"
+        if chain:
+            ext, url, text = (f"e{i // 2}", f"u{(i + 1) // 2}", f"t{i}")
+        else:
+            ext, url, text = f"e{r.randrange(ids)}", r.choice([None, "", f"u{r.randrange(ids)}"]), r.choice([None, "hot", f"t{r.randrange(ids)}"])
+        rows.append((feed, i * 3, ext, url, r.choice([None, "title"]) if not chain else "", text))
+    new = spark.createDataFrame(rows, "feed_id string, pos long, external_id string, dedupe_url string, title string, text_hash string")
+    new = new.withColumns({"categories": F.array(F.lit("a")), "published_at": F.lit(None).cast("timestamp")}).repartition(5)
+    gates = spark.sql("select 'f0' as feed_id, cast(array() as array<string>) as include, cast(null as timestamp) as backfill")
+    got = [tuple(x)[:2] + (x["reason"],) for x in feeds.sync(new, new.where("false"), gates).collect()]
+    assert sorted(got) == greedy([(*x[:4], x[4] or "", x[5] or "", None) for x in rows])
 
 
 def test_pages(spark):
