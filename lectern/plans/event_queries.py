@@ -67,16 +67,23 @@ def queue_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.queue_depth(_events(spark, sf_dir).select(F.when(F.col("event_type") == "click", "PENDING").alias("ai_summary_status")))
 
 
-@query("""
+READING_SQL = """
 WITH e AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'error' THEN 'read' WHEN event_id % 3 = 0 THEN 'open' ELSE 'progress' END AS kind, value - 5 AS p FROM events WHERE event_type <> 'error' OR user_id % 4 = 0),
 g AS (SELECT user_id AS document_id, min(ts) FILTER (kind = 'open') AS entered, arg_max(least(greatest(p, 0), 100), (ts, event_id)) FILTER (kind = 'progress') AS p, bool_or(kind = 'read') AS read FROM e GROUP BY user_id)
 SELECT document_id, epoch_us(entered) AS entered_at, round(CASE WHEN read THEN 100 ELSE coalesce(p, 0) END, 6) AS progress, CASE WHEN read THEN 'READ' WHEN p > 0 AND p < 100 THEN 'READING' ELSE 'UNREAD' END AS read_state FROM g
-""")
-def reading_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+"""
+
+
+def reading_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users as documents: events open them, move their progress, and errors mark every fourth one read."""
     kind = F.when(F.col("event_type") == "error", "read").when(F.col("event_id") % 3 == 0, "open").otherwise("progress")
-    rows = _events(spark, sf_dir).where("event_type <> 'error' or user_id % 4 = 0").select("event_id", F.col("user_id").alias("document_id"), "ts", kind.alias("kind"), (F.col("value") - 5).alias("progress"))
-    return jobs.reading_states(rows).withColumns({"entered_at": F.unix_micros("entered_at"), "progress": F.round("progress", 6)})
+    rows = _events(spark, sf_dir).where("event_type <> 'error' or user_id % 4 = 0")
+    return rows.select("event_id", F.col("user_id").alias("document_id"), "ts", kind.alias("kind"), (F.col("value") - 5).alias("progress"))
+
+
+@query(READING_SQL)
+def reading_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.reading_states(reading_events(spark, sf_dir)).withColumns({"entered_at": F.unix_micros("entered_at"), "progress": F.round("progress", 6)})
 
 
 @query("SELECT CAST(ts AS DATE)::VARCHAR AS day, count(*) AS n, count(DISTINCT user_id) AS documents FROM events WHERE event_type = 'click' GROUP BY 1")

@@ -1,4 +1,4 @@
-"""Structured Streaming forms of incremental work: feeds, outcomes, reading states, cards."""
+"""Structured Streaming forms of incremental work: feeds and outcomes; reading states are in reading.py, cards in cards.py."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from lectern.operators.jobs import reading_states
-
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files: int = 100) -> DataFrame:
     """A folder of Parquet files as a stream; the checkpoint is its cursor."""
@@ -38,8 +36,3 @@ def outcome_counts(jobs: DataFrame, delay: str = "1 day", width: str = "1 day")
     """Counts of outcomes (ts, outcome) in windows; rows later than the delay are dropped, which the watermark declares."""
     counts = jobs.withWatermark("ts", delay).groupBy(F.window("ts", width), "outcome").count()
     return counts.select(F.col("window.start").alias("start"), "outcome", F.col("count").alias("n"))
-
-
-def reading_state_stream(events: DataFrame) -> DataFrame:
-    """reading_states() over a stream, for the update or complete mode: its aggregates are the state of each document."""
-    return reading_states(events)

@@ -222,15 +222,41 @@ def test_stream_appends_once(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/out").select("dedupe_key").collect()) == ["a", "b"]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from lectern.streaming import jobs as streams
+def test_reading_states_survive_a_restart(spark, tmp_path):
+    """Events in mixed order over several files; the query ends in the middle and goes on from its checkpoint."""
+    import random
 
-    df = spark.sql("select id % 5 as document_id, id as event_id, timestamp_seconds(id) as ts, case id % 3 when 0 then 'open' else 'progress' end as kind, cast(id as double) as progress from range(40)")
-    df.repartition(3).write.parquet(f"{tmp_path}/in")
-    src = streams.file_stream(spark, f"{tmp_path}/in", df.schema, 1)
-    q = streams.reading_state_stream(src).writeStream.outputMode("complete").format("memory").queryName("states").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(map(tuple, spark.table("states").collect())) == sorted(map(tuple, jobs.reading_states(df).collect()))
+    from lectern.streaming import reading
+    from lectern.streaming.jobs import file_stream
+
+    r = random.Random(5)
+    rows = [(r.randrange(7), i, 1_704_067_200 + r.randrange(50_000), r.choice(["open", "progress", "progress", "read" if i % 29 == 0 else "other"]), r.choice([None, -4.0, 30.0, 99.5, 250.0])) for i in range(400)]
+    rows += [(None, 401, 1_704_067_200, "read", None), (8, 402, None, "read", None), (9, 403, 1_704_067_200, "open", None)]
+    df = spark.createDataFrame(rows, "document_id long, event_id long, t long, kind string, progress double").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    for n, part in enumerate(df.randomSplit([1.0, 1.0, 1.0], 7)):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if n != 1:  # ends after the first file, then goes on with two more
+            stream = file_stream(spark, f"{tmp_path}/in", df.schema, 1)
+            reading.fold_reading_states(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    known = df.where("document_id is not null and ts is not null")
+    want = jobs.reading_states(known).withColumn("entered_at", F.unix_micros("entered_at"))
+    got = reading.current_states(spark, f"{tmp_path}/out")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert spark.read.parquet(f"{tmp_path}/out").agg(F.max("version")).first()[0] > 1
+
+
+def test_idle_documents_settle(spark, tmp_path):
+    from lectern.streaming import reading
+    from lectern.streaming.jobs import file_stream
+
+    day = 86_400
+    for rows in ([(1, 1, 9 * day, "open", None), (2, 2, 9 * day, "progress", 5.0)], [(2, 3, 30 * day, "progress", 50.0)], [(2, 4, 31 * day, "read", None)]):
+        df = spark.createDataFrame(rows, "document_id long, event_id long, t long, kind string, progress double").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = file_stream(spark, f"{tmp_path}/in", df.schema, 1)
+        reading.fold_reading_states(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    rows = spark.read.parquet(f"{tmp_path}/out").where("settled").collect()
+    assert [(x["document_id"], x["entered_at"], x["version"]) for x in rows if x["document_id"] == 1] == [(1, 9 * day * 10**6, 1)]
 
 
 def test_dates_of_pages(spark):
