@@ -75,7 +75,7 @@ class TokenizerPair:
             raise ValueError(f"{b_path}: a piece holds a space after another character, or a line feed")
         self.a_sizes, self.b_sizes = (pa.array([len(x) for x in t], pa.int64()) for t in (self.a_bytes, self.b_bytes))
         self.labels = Labels(len(self.a_bytes), len(self.b_bytes))
-        self.memo: dict[str, tuple[array, array] | None] = {}
+        self.memo: dict[str, tuple[bytes, bytes] | None] = {}
 
     def _a(self, text: str) -> array:
         """A's ids of a text that a space or a line feed begins."""
@@ -86,20 +86,20 @@ class TokenizerPair:
             return array("i", [t.id for x in spelt for t in self.model.tokenize(x)])
         return array("i", self.a.encode(text, add_special_tokens=False).ids)
 
-    def whole(self, text: str) -> tuple[array, array] | None:
+    def whole(self, text: str) -> tuple[bytes, bytes] | None:
         """Ids of a space and a text, as the libraries give them; None if their bytes are not the text's."""
         return self._same(array("i", self.a.encode(" " + text, add_special_tokens=False).ids), array("i", self.b.encode(text)), b" " + text.encode()) if text else None
 
-    def _same(self, a: array, b: array, wanted: bytes) -> tuple[array, array] | None:
+    def _same(self, a: array, b: array, wanted: bytes) -> tuple[bytes, bytes] | None:
         same = b"".join(map(self.a_bytes.__getitem__, a)) == wanted and b"".join(map(self.b_bytes.__getitem__, b)) == wanted
-        return (a, b) if same else None
+        return (a.tobytes(), b.tobytes()) if same else None
 
-    def _piece(self, piece: str) -> tuple[array, array] | None:
+    def _piece(self, piece: str) -> tuple[bytes, bytes] | None:
         if piece[0] == "\n":  # no space stands before it: that which B adds is a token of its own and goes
             return self._same(self._a(piece), array("i", self.b.encode(piece)[1:]), piece.encode())
         return self._same(self._a(" " + piece), array("i", self.b.encode(piece)), b" " + piece.encode())
 
-    def pieces(self, text: str | None) -> list[tuple[array, array]] | None:
+    def pieces(self, text: str | None) -> list[tuple[bytes, bytes]] | None:
         """Ids of a text piece by piece; None for a text without tokens."""
         if not text:
             return None
@@ -121,7 +121,7 @@ class TokenizerPair:
             out.append(ids)
         return out
 
-    def _uncut(self, text: str) -> list[tuple[array, array]] | None:
+    def _uncut(self, text: str) -> list[tuple[bytes, bytes]] | None:
         """Where a piece is not given back, only the whole text can tell."""
         ids = self.whole(text)
         return None if ids is None else [ids]
@@ -217,7 +217,7 @@ class _Open:
 
 
 class Aligner:
-    """Aligns texts as they come: add() and flush() give tables of finished rows (at, ..., codes, counts); a text's links may be spread over several of them."""
+    """Aligns texts as they come, by pieces, TOKENS or a little more at once: add() and flush() give tables of finished rows (at, ..., codes, counts); a text's links may be spread over several of them."""
 
     def __init__(self, pair: TokenizerPair):
         self.pair, self.counts = pair, Counts()
@@ -231,14 +231,14 @@ class Aligner:
         if pieces is None:
             yield pa.record_batch([[at], [0], [0], [0], [0], [""], [None], [None]], schema=_ROWS)
             return
-        a, b = self.ids
-        for x, y in pieces:
-            a.extend(x)
-            b.extend(y)
-            if len(a) >= TOKENS or len(b) >= TOKENS:
+        step = max(1, TOKENS // 8)
+        for start in range(0, len(pieces), step):
+            part = pieces[start : start + step]
+            for k, ids in enumerate(self.ids):
+                ids.frombytes(b"".join([x[k] for x in part]))
+            if max(map(len, self.ids)) >= TOKENS:
                 self._close(owner, last=False)
                 yield from self.flush()
-                a, b = self.ids
         self._close(owner, last=True)
 
     def _close(self, owner: _Open, last: bool) -> None:
