@@ -21,8 +21,10 @@ from lectern.llm.vectors import Shape, grid, is_query, matrix, products, runs, s
 
 #: Rows that pivots are chosen from, and the number of pivots.
 SAMPLE, PIVOTS = 512, 64
-#: Rows of a stretch, and candidates that are evaluated between two looks at the bound.
+#: Rows of a stretch, and candidates that are evaluated before the first look at the bound; twice as many before each further one.
 STRETCH, STEP = 512, 64
+#: Distances are kept as single floats: so much of their size two of them can be wrong by.
+SLACK = 2.0**-22
 #: Below every score.
 LEAST = -(2**62)
 
@@ -44,7 +46,7 @@ def norms(v: np.ndarray) -> np.ndarray:
 
 def distances(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     squares = norms(v)[:, None].astype(float) + norms(pivots)[None, :] - 2.0 * products(v, pivots)
-    return np.sqrt(np.maximum(squares, 0))
+    return np.sqrt(np.maximum(squares, 0)).astype(np.float32)
 
 
 def pivot_table(rows: DataFrame, size: Shape, k: int) -> DataFrame:
@@ -68,7 +70,7 @@ def pivot_table(rows: DataFrame, size: Shape, k: int) -> DataFrame:
             columns = [vec_id, lists[0], pa.array(norms(v)), lists[1], pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(v)), near]), pa.array(least)]
             yield pa.record_batch(columns, names=["vec_id", "v", "norm", "d", "pivot", "away", "least"])
 
-    made = rows.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<long>, norm long, d array<double>, pivot int, away double, least long")
+    made = rows.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<long>, norm long, d array<float>, pivot int, away float, least long")
     return stored(made.withColumn("row", F.monotonically_increasing_id()), "pivot-table")
 
 
@@ -78,6 +80,7 @@ class Search:
     def __init__(self, batch: pa.RecordBatch, width: int, pivots: int, k: int):
         self.rows, self.ids = batch.column("row").to_numpy(), batch.column("vec_id").to_numpy()
         self.v, self.norm = matrix(batch.column("v"), width), batch.column("norm").to_numpy()
+        self.most, self.floats = float(np.abs(self.v).max(initial=0)), self.v.astype(float)
         self.d, self.least, self.k = matrix(batch.column("d"), pivots), batch.column("least").to_numpy(), k
         n = len(self.rows)
         self.scores, self.found, self.counts = np.full((n, k), LEAST), np.zeros((n, k), np.int64), np.zeros(n, np.int64)
@@ -87,24 +90,32 @@ class Search:
         """Meets a stretch of rows."""
         v, norm, d = matrix(batch.column("v"), self.v.shape[1]), batch.column("norm").to_numpy(), matrix(batch.column("d"), self.d.shape[1])
         rows, ids = batch.column("row").to_numpy(), batch.column("vec_id").to_numpy()
+        # floating point is exact up to 53 bits
+        exact = float(np.abs(v).max(initial=0)) * self.most * v.shape[1] < 2**53
+        left, right = (v.astype(float), self.floats) if exact else (v, self.v)
+        slack = SLACK * (float(d.max(initial=0)) + float(self.d.max(initial=0)))
         apart = np.maximum(0, np.maximum(d.min(0) - self.d, self.d - d.max(0))).max(1)
-        left = np.flatnonzero(bound(self.norm, norm.max(), apart) >= np.maximum(self.least, self.scores[:, -1]))
-        for q in left.tolist():
-            bounds = bound(self.norm[q], norm, np.abs(d - self.d[q]).max(1))
+        for q in np.flatnonzero(bound(self.norm, norm.max(), apart, slack) >= np.maximum(self.least, self.scores[:, -1])).tolist():
+            bounds = bound(self.norm[q], norm, np.abs(d - self.d[q]).max(1), slack)
             bounds[rows == self.rows[q]] = LEAST
             order = np.argsort(-bounds, kind="stable")
-            falling = -bounds[order]
-            at, end = 0, np.searchsorted(falling, -max(self.least[q], self.scores[q, -1], LEAST + 1), "right")
+            falling, vector = -bounds[order], right[q]
+            least = max(self.least[q], self.scores[q, -1], LEAST + 1)
+            at, step, end = 0, STEP, np.searchsorted(falling, -least, "right")
             while at < end:
-                step = order[at : min(at + STEP, end)]
-                self._keep(q, products(v[step], self.v[q : q + 1])[:, 0], ids[step])
-                self.evaluated += len(step)
-                at += len(step)
-                end = min(end, np.searchsorted(falling, -max(self.least[q], self.scores[q, -1]), "right"))
+                some = order[at : min(at + step, end)]
+                scores = left[some] @ vector
+                good = np.flatnonzero(scores >= least)
+                if len(good):
+                    self._keep(q, scores[good].astype(np.int64), ids[some[good]])
+                    least = max(least, self.scores[q, -1])
+                    end = min(end, np.searchsorted(falling, -least, "right"))
+                at, step = at + len(some), 2 * step
+                self.evaluated += len(some)
 
     def _keep(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
         n = self.counts[q]
-        scores, ids = np.append(self.scores[q, :n], scores), np.append(self.found[q, :n], ids)
+        scores, ids = np.concatenate([self.scores[q, :n], scores]), np.concatenate([self.found[q, :n], ids])
         best = np.lexsort((ids, -scores))[: self.k]
         self.counts[q] = n = len(best)
         self.scores[q, :n], self.found[q, :n] = scores[best], ids[best]
@@ -115,11 +126,11 @@ class Search:
         return pa.record_batch([each(self.rows), each(self.ids), pa.array(self.found[has]), pa.array(self.scores[has])], names=["row", "query_id", "vec_id", "score"])
 
 
-def bound(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
-    """The largest inner product of vectors of squared norms a and b that are at least so far apart; rounding can only raise it."""
-    apart = np.maximum(0, apart * (1 - 1e-9) - 1e-6)
-    top = (np.asarray(a, float) + b - apart * apart) / 2
-    return np.minimum(np.floor(top + 1e-9 * np.abs(top) + 1e-6), 2.0**63 - 1024).astype(np.int64)
+def bound(a: np.ndarray, b: np.ndarray, apart: np.ndarray, slack: float) -> np.ndarray:
+    """The largest inner product of vectors of squared norms a and b that are so far apart, but for the slack; rounding can only raise it."""
+    apart = np.maximum(0, apart.astype(float) - slack)
+    top = (a + b - apart * apart) / 2
+    return np.minimum(np.floor(top + 1e-9 * np.abs(top) + 1e-6), 2.0**62).astype(np.int64)
 
 
 def top_k(spark: SparkSession, table: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -136,7 +147,7 @@ def top_k(spark: SparkSession, table: DataFrame, k: int = 5, every: int = 50) ->
     if not size.queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rows = pivot_table(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "v"), size, k)
-    dealt = grid(rows.where(query), rows, size, 16 * (size.width + PIVOTS)).sortWithinPartitions("cell", "tag", "pivot", "away")
+    dealt = grid(rows.where(query), rows, size, 16 * size.width + 8 * PIVOTS).sortWithinPartitions("cell", "tag", "pivot", "away")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, asked, search = None, [], None
