@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.durable import Stored, stored
+from lectern.operators.scans import ranked
+
 
 def audit(rows: DataFrame, key: str = "dedupe_key") -> DataFrame:
     """key, n and extra (rows beyond one) of each key that repeats; counts only, so a hot key is one row of partial counts."""
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").withColumn("extra", F.col("n") - 1)
 
 
+def audit_report(rows: DataFrame, key: str = "dedupe_key", sample: int = 10) -> DataFrame:
+    """One row: keys that repeat, rows beyond the first of each, and the smallest keys of a sample with their ids, at most sample of each.
+
+    The ids are those of the sample's keys alone, and a key's are cut to the smallest while they are counted, so none is gathered whole.
+    """
+    repeated = audit(rows, key)
+    few = repeated.orderBy(F.desc("n"), key).limit(sample)
+    members = rows.join(F.broadcast(few.select(key)), key).groupBy(key, F.pmod(F.xxhash64("id"), F.lit(64)).alias("part"))
+    some = members.agg(F.slice(F.array_sort(F.collect_set("id")), 1, sample).alias("ids")).groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, sample).alias("ids"))
+    totals = repeated.agg(F.count("*").alias("conflicts"), F.coalesce(F.sum("extra"), F.lit(0)).alias("extra"))
+    listed = some.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), "ids"))).alias("sample"))
+    return totals.crossJoin(listed)  # one row each
+
+
 def winners(rows: DataFrame, key: str = "dedupe_key", summary: bool = True) -> DataFrame:
     """key, winner and n of each key that repeats: most highlights, then a summary, then the earliest, then the smallest id.
 
@@ -87,15 +104,32 @@ def capture(pages: DataFrame, stored: DataFrame) -> DataFrame:
     return new.withColumn("ingestion_status", F.when(failed, "FAILED").otherwise("READY")).withColumn("plain_text", F.when(~failed, F.col("plain_text"))).drop("match_id", "matched_by")
 
 
-def numbered(rows: DataFrame, base: str, out: str = "slug", pattern: str = "%s-%d") -> DataFrame:
-    """rows with a unique name: the first of a base keeps it, later ones get -2, -3 and on; taken names are stepped over.
+def numbered(rows: DataFrame, base: str, out: str = "slug", pattern: str = "%s-%d", taken: DataFrame | None = None) -> DataFrame:
+    """rows with a unique name, as a pass in the order of id gives them: the base if it is free, else the first number from 2 that makes a
+    free name. taken (name) has the names that are not free from the start.
 
-    A number counts up within its base; a base that already ends like a number is tried against the names given so far.
+    A row's first proposal is its place among the rows of its base, found without a window. Then names that several bases propose
+    go to the smallest id, and the later rows of a base that lost one move on by one, until no name is proposed twice. That is the
+    pass's result, since all names prefer the smaller id. Rounds are as many as the names that one base loses to others.
     """
-    n = F.row_number().over(Window.partitionBy(base).orderBy("id"))
-    given = rows.withColumn("_n", n).withColumn(out, F.when(F.col("_n") == 1, F.col(base)).otherwise(F.format_string(pattern, F.col(base), "_n")))
-    clash = F.row_number().over(Window.partitionBy(out).orderBy("_n", "id"))
-    return given.withColumn(out, F.when(clash == 1, F.col(out)).otherwise(F.concat(F.col(out), F.lit("-"), F.col("id").cast("string")))).drop("_n")
+    spark = rows.sparkSession
+    held = Stored(spark)
+
+    def named(table: DataFrame) -> DataFrame:
+        return table.withColumn(out, F.when(F.col("_n") == 1, F.col(base)).otherwise(F.format_string(pattern, F.col(base), F.col("_n"))))
+
+    made = held.keep("names", named(ranked(rows, base, [F.col("id").asc()], "_n")))
+    used = taken.select(F.col("name").alias(out)).distinct().withColumn("_used", F.lit(True)) if taken is not None else None
+    while True:
+        clash = made.groupBy(out).agg(F.min("id").alias("_first"), F.count("*").alias("_many"))
+        clash = clash.withColumn("_used", F.lit(None).cast("boolean")) if used is None else clash.join(used, out, "left")
+        clash = clash.where("_many > 1 or _used")
+        lost = made.join(clash, out).where((F.col("id") > F.col("_first")) | F.col("_used")).groupBy(F.col(base).alias("_base")).agg(F.min("_n").alias("_from"))
+        lost = stored(lost, "lost-names")
+        if lost.isEmpty():
+            return made.drop("_n")
+        moved = made.join(lost, F.col(base) == F.col("_base"), "left").withColumn("_n", F.col("_n") + F.when(F.col("_n") >= F.col("_from"), 1).otherwise(0))
+        made = held.keep("names", named(moved.select(*rows.columns, "_n")))
 
 
 def register_sources(new: DataFrame, known: DataFrame) -> DataFrame:

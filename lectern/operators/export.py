@@ -5,11 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.markdown import html_markdown
 from lectern.functions.text import collapse, escape_html, file_name, quoted, yaml_line, yaml_list
 from lectern.operators.dedupe import numbered
 
 _BASE = ["title", "source_url", "canonical_url", "author", "published_at"]
 _LAST = [("document_type", "type"), ("ingestion_status", "ingestion_status")]
+#: Headings, marks and notes of exported files.
+SUMMARY_HEADING, HIGHLIGHTS_HEADING, BODY_HEADING = "## AI 摘要", "## 高亮与批注", "## 正文"
+NO_HIGHLIGHTS, NO_BODY = "（暂无高亮）", "（无可导出的正文内容）"
+HIGHLIGHT_MARK, NOTE_MARK, COLOR_MARK, CREATED_MARK = "### 高亮 ", "- 批注：", "- 颜色：", "- 创建时间："
+HTML_ROWS = [
+    ("作者", "author"), ("发布时间", "published_at"), ("原始链接", "source_url"), ("规范链接", "canonical_url"), ("文档类型", "type"), ("抓取状态", "ingestion_status"),
+]
+EXPORTED_ROW = "导出时间"
+#: What follows a title in a file's name.
+EXTENSIONS = {"markdown": ".md", "note": ".obsidian.md", "html": ".html"}
+
+
+def iso(c: Column) -> Column:
+    """A timestamp as ISO text with milliseconds, in UTC; the session's zone must be UTC."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def _dated(docs: DataFrame) -> DataFrame:
+    """docs with published_at as text."""
+    return docs.withColumn("published_at", iso(F.col("published_at"))) if docs.schema["published_at"].dataType.typeName().startswith("timestamp") else docs
+
+
+def _ends(c: Column) -> Column:
+    """A text without white space at its ends; blank gives null."""
+    return F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
 
 
 def front_matter(exported_at: str) -> Column:
@@ -20,54 +46,91 @@ def front_matter(exported_at: str) -> Column:
 
 def note_matter(exported_at: str) -> Column:
     """Front matter of a note, with reading state, origin and tags (an array of slugs)."""
-    progress = F.least(F.greatest(F.round("reading_progress"), F.lit(0)), F.lit(100)).cast("int")
+    progress = F.least(F.greatest(F.floor(F.coalesce("reading_progress", F.lit(0.0)) + 0.5), F.lit(0)), F.lit(100)).cast("int")
     lines = [yaml_line(k, F.col(k)) for k in _BASE] + [yaml_line(k, F.col(c)) for k, c in _LAST]
     lines += [yaml_line("read_state", F.col("read_state")), yaml_line("reading_progress", progress, False), yaml_line("is_favorite", F.col("is_favorite"), False), yaml_line("content_origin", F.col("origin_label")), yaml_list("tags", F.col("tags"))]
     return F.concat_ws("\n", F.lit("---"), *lines, yaml_line("exported_at", F.lit(exported_at)), F.lit("---"))
 
 
-def markdown(docs: DataFrame, exported_at: str) -> DataFrame:
-    """id, name and body of each document's Markdown file."""
-    body = F.concat_ws("\n\n", front_matter(exported_at), F.concat(F.lit("# "), F.col("title")), F.coalesce("plain_text", F.lit("")))
-    return docs.select("id", F.concat(file_name(F.col("title")), F.lit(".md")).alias("name"), body.alias("body"))
+def markdown_body() -> Column:
+    """A document's HTML as Markdown, else its plain text; empty if it has neither."""
+    return F.coalesce(html_markdown(_ends(F.col("content_html"))), _ends(F.col("plain_text")), F.lit(""))
 
 
-def highlight_sections(highlights: DataFrame) -> DataFrame:
-    """id and section of the highlights of each document, numbered by time."""
-    quote = F.trim("quote_text")
-    rows = highlights.where(F.coalesce(quote, F.lit("")) != "").groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("created_at", F.col("id").alias("h"), quote.alias("quote"), collapse(F.col("note")).alias("note"), collapse(F.col("color")).alias("color")))).alias("hs"))
-    entry = lambda h, i: F.concat_ws("\n", F.format_string("### Highlight %d", i + 1), quoted(h["quote"]), F.concat(F.lit("- Note: "), h["note"]), F.concat(F.lit("- Color: "), h["color"]), F.concat(F.lit("- Created: "), h["created_at"].cast("string")))
-    return rows.select("id", F.concat(F.lit("## Highlights\n\n"), F.array_join(F.transform("hs", entry), "\n\n")).alias("section"))
+def _name(kind: str) -> Column:
+    title = file_name(F.col("title"))
+    return F.concat(F.when(title == "", F.concat(F.lit("document-"), F.col("id").cast("string"))).otherwise(title), F.lit(EXTENSIONS[kind]))
 
 
-def notes(docs: DataFrame, highlights: DataFrame, exported_at: str) -> DataFrame:
-    """id, name and body of each document's note: front matter, summary, highlights and text."""
-    out = docs.join(highlight_sections(highlights), "id", "left")
-    summary = F.concat(F.lit("## Summary\n\n"), F.coalesce(collapse(F.col("ai_summary")), F.lit("(none)")))
-    body = F.concat_ws("\n\n", note_matter(exported_at), F.concat(F.lit("# "), F.col("title")), summary, F.coalesce("section", F.lit("## Highlights\n\n(none)")), F.coalesce("plain_text", F.lit("")))
-    return out.select("id", F.concat(file_name(F.col("title")), F.lit(".md")).alias("name"), body.alias("body"))
+def _file(kind: str, body: Column) -> list[Column]:
+    return [F.col("id"), _name(kind).alias("name"), F.regexp_replace(body, r"\s+$", "").alias("body")]
 
 
-def html(docs: DataFrame, exported_at: str) -> DataFrame:
-    """id, name and body of each document's HTML file; metadata that is missing has no row."""
-    row = lambda k, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"<dt>{k}</dt><dd>"), escape_html(c), F.lit("</dd>"))).otherwise("")
-    metas = F.concat(*[row(k, F.col(k).cast("string")) for k in _BASE[1:]], row("exported_at", F.lit(exported_at)))
-    title = escape_html(F.col("title"))
-    body = F.concat(F.lit('<!doctype html>\n<html><head><meta charset="utf-8"><title>'), title, F.lit("</title></head><body><h1>"), title, F.lit("</h1><dl>"), metas, F.lit("</dl>"), F.coalesce("content_html", F.lit("")), F.lit("</body></html>\n"))
-    return docs.select("id", F.concat(file_name(F.col("title")), F.lit(".html")).alias("name"), body.alias("body"))
+def markdown(docs: DataFrame, exported_at: str) -> DataFrame:
+    """id, name and body of each document's Markdown file: front matter and text."""
+    return _dated(docs).select(*_file("markdown", F.concat_ws("\n\n", front_matter(exported_at), markdown_body())))
+
+
+def highlight_sections(highlights: DataFrame) -> DataFrame:
+    """id and section of the highlights of each document, numbered by time; those without a quote are left out."""
+    quote = _ends(F.col("quote_text"))
+    entry_of = F.struct("created_at", F.col("id").alias("h"), quote.alias("quote"), _ends(F.col("note")).alias("note"), _ends(F.col("color")).alias("color"))
+    rows = highlights.where(quote.isNotNull()).groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(entry_of)).alias("hs"))
 
+    def entry(h: Column, i: Column) -> Column:
+        return F.concat_ws(
+            "\n", F.concat(F.lit(HIGHLIGHT_MARK), (i + 1).cast("string")), quoted(h["quote"]), F.concat(F.lit(NOTE_MARK), h["note"]),
+            F.concat(F.lit(COLOR_MARK), h["color"]), F.concat(F.lit(CREATED_MARK), iso(h["created_at"])),
+        )
 
-def batch(ids: DataFrame, docs: DataFrame, exported_at: str, most: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Files of the documents asked for (id, pos), each name once, and the ids that are missing. The number of ids is the feature's limit."""
-    asked = ids.groupBy("id").agg(F.min("pos").alias("pos")).orderBy("pos").limit(most)
-    files = markdown(docs.join(asked.select("id"), "id", "left_semi"), exported_at).withColumn("base", F.regexp_replace("name", r"\.md$", ""))
-    named = numbered(files, "base", "unique", "%s (%d)").withColumn("name", F.concat(F.col("unique"), F.lit(".md"))).select("id", "name", "body")
-    return named, asked.join(docs.select("id"), "id", "left_anti")
+    return rows.select("id", F.concat(F.lit(f"{HIGHLIGHTS_HEADING}\n\n"), F.array_join(F.transform("hs", entry), "\n\n")).alias("section"))
 
 
-def write_files(files: DataFrame, path: str) -> None:
-    """Files as Parquet rows (name, body), which a copy step can unpack; Spark writes no single files by name."""
-    files.write.parquet(path)
+def notes(docs: DataFrame, highlights: DataFrame, exported_at: str) -> DataFrame:
+    """id, name and body of each document's note: front matter, summary (if it has one), highlights and text."""
+    out = _dated(docs).join(highlight_sections(highlights), "id", "left")
+    summary = F.concat(F.lit(f"{SUMMARY_HEADING}\n\n"), _ends(F.col("ai_summary")))
+    text = F.coalesce(F.nullif(markdown_body(), F.lit("")), F.lit(NO_BODY))
+    body = F.concat_ws(
+        "\n\n", note_matter(exported_at), summary, F.coalesce("section", F.lit(f"{HIGHLIGHTS_HEADING}\n\n{NO_HIGHLIGHTS}")), F.concat(F.lit(f"{BODY_HEADING}\n\n"), text)
+    )
+    return out.select(*_file("note", body))
+
+
+def html(docs: DataFrame, exported_at: str) -> DataFrame:
+    """id, name and body of each document's HTML file; metadata that is missing has no row, a text without HTML is preformatted."""
+
+    def row(label: str, c: Column) -> Column:
+        value = F.nullif(c, F.lit(""))
+        return F.coalesce(F.concat(F.lit(f"<dt>{label}</dt><dd>"), escape_html(value), F.lit("</dd>")), F.lit(""))
+
+    rows = F.concat(*[row(label, F.col(c).cast("string")) for label, c in HTML_ROWS], row(EXPORTED_ROW, F.lit(exported_at)))
+    title = escape_html(F.coalesce("title", F.lit("")))
+    plain = F.concat(F.lit('<pre class="document-export__plain-text">'), escape_html(_ends(F.col("plain_text"))), F.lit("</pre>"))
+    text = F.coalesce(_ends(F.col("content_html")), plain, F.lit(""))
+    body = F.concat(
+        F.lit('<!doctype html>\n<html lang="zh-CN">\n<head>\n  <meta charset="utf-8" />\n  <title>'), title, F.lit("</title>\n</head>\n<body>\n  <main>\n    <header>\n      <h1>"),
+        title, F.lit("</h1>\n      <dl>"), rows, F.lit("</dl>\n    </header>\n    <article>"), text, F.lit("</article>\n  </main>\n</body>\n</html>"),
+    )
+    return _dated(docs).select(*_file("html", body))
+
+
+def files_of(docs: DataFrame, highlights: DataFrame, kind: str, exported_at: str) -> DataFrame:
+    """id, name and body of each document's file of a kind: markdown, note or html."""
+    if kind == "note":
+        return notes(docs, highlights, exported_at)
+    return markdown(docs, exported_at) if kind == "markdown" else html(docs, exported_at)
+
+
+def batch(ids: DataFrame, docs: DataFrame, highlights: DataFrame, kind: str, exported_at: str, most: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Files of the documents asked for (id, pos), each name once, and the ids that are missing (id, pos). The number of ids is the
+    feature's limit. Of equal names the first asked for keeps it, later ones are numbered before the extension."""
+    asked = ids.groupBy("id").agg(F.min("pos").alias("pos")).orderBy("pos", "id").limit(most)
+    end = EXTENSIONS[kind]
+    files = files_of(docs.join(asked.select("id"), "id", "left_semi"), highlights, kind, exported_at).join(asked, "id")
+    rows = files.select(F.struct("pos", "id").alias("id"), F.substr("name", F.lit(1), F.length("name") - len(end)).alias("base"), "body")
+    named = numbered(rows, "base", "unique", "%s (%d)")
+    return named.select("id.id", F.concat("unique", F.lit(end)).alias("name"), "body"), asked.join(docs.select("id"), "id", "left_anti")
 
 
 def write_plan(members: DataFrame, path: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.urls import WECHAT_HOST, hostname, query_value, source_host
+from lectern.operators.durable import Stored, stored
 from lectern.operators.filters import recent
 
 #: Fixed value: the label of publications that are not known.
@@ -116,27 +117,51 @@ def placeholder_name(biz: Column, prefix: str = "Account ") -> Column:
     return F.concat(F.lit(prefix), F.left(biz, F.lit(6)), F.lit("…"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, where the session has a folder for it."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df
+def _doubled(held: Stored, name: str, edges: DataFrame) -> DataFrame:
+    """url, to, n, low and on of edges (url, to; one of each url): where the way of each URL ends after n edges. low is the smallest URL of
+    the way. on is true where it never ends; then to lies on a cycle, and all its URLs are seen by low.
+
+    Round k doubles the ways: 2**k edges of each URL are known. A way that has not ended after as many edges as there are open ways,
+    and one more round, never does.
+    """
+    way = held.keep(name, edges.select("url", "to", F.lit(1).cast("long").alias("n"), F.least("url", "to").alias("low")))
+    goes_on = edges.select(F.col("url").alias("to"), F.lit(True).alias("on"))
+    reach, more = 1, True
+    while more:
+        still = way.join(goes_on, "to", "left_semi").count()
+        if not still:
+            break
+        more = reach < still
+        on = way.select(F.col("url").alias("to"), F.col("to").alias("next"), F.col("n").alias("further"), F.col("low").alias("lower"))
+        met = way.join(on, "to", "left")
+        way = held.keep(
+            name, met.select("url", F.coalesce("next", "to").alias("to"), (F.col("n") + F.coalesce("further", F.lit(0))).alias("n"), F.least("low", F.coalesce("lower", "low")).alias("low"))
+        )
+        reach *= 2
+    return stored(way.join(goes_on, "to", "left").select("url", "to", "n", "low", F.coalesce("on", F.lit(False)).alias("on")), "ended-ways")
 
 
 def follow_redirects(links: DataFrame) -> DataFrame:
     """url, final_url and hops of links (url, target_url): targets are followed to the end, or until the next one was visited before.
 
-    One equi join a hop; only URLs whose way goes on are joined again. Of several targets of a URL the smallest counts.
+    Ways are doubled, so the longest chain, of h hops, takes log2(h) rounds. Ways that never end come to a cycle. On a cycle a URL's way
+    ends at the URL before it; the way of one that leads into a cycle ends at the URL before its entry, which is found by doubling
+    as well. Of several targets of a URL the smallest counts.
     """
-    hops = links.where("url is not null and target_url is not null").groupBy(F.col("url").alias("final_url")).agg(F.min("target_url").alias("target"))
-    going = hops.select(F.col("final_url").alias("url"), "final_url", F.lit(0).alias("hops"), F.array("final_url").alias("seen"))
-    ended = None
-    while True:
-        joined = _cut(going.join(hops, "final_url", "left").withColumn("on", F.col("target").isNotNull() & ~F.array_contains("seen", F.col("target"))))
-        here = joined.where("not on").select("url", "final_url", "hops")
-        ended = here if ended is None else ended.unionByName(here)
-        going = joined.where("on").select("url", F.col("target").alias("final_url"), (F.col("hops") + 1).alias("hops"), F.array_append("seen", "target").alias("seen"))
-        if going.isEmpty():
-            return ended
+    held = Stored(links.sparkSession)
+    hops = stored(links.where("url is not null and target_url is not null").groupBy("url").agg(F.min("target_url").alias("to")), "hops")
+    ways = _doubled(held, "ways", hops)
+    ended = ways.where("not on").select("url", F.col("to").alias("final_url"), F.col("n").cast("int").alias("hops"))
+    turning = ways.where("on")
+    if turning.isEmpty():
+        return ended
+    # so many hops lead each URL onto its cycle and turn the cycle, so their ends are all URLs of cycles
+    ring = stored(ways.join(turning.select(F.col("to").alias("url")).distinct(), "url").select("url", "low"), "ring")
+    length = ring.groupBy("low").agg(F.count("*").alias("length"))
+    before = hops.join(ring.select("url"), "url").select(F.col("to").alias("url"), F.col("url").alias("before"))
+    ring = stored(ring.join(length, "low").join(before, "url").select("url", "before", "length"), "ring")
+    on_ring = ring.select("url", F.col("before").alias("final_url"), (F.col("length") - 1).cast("int").alias("hops"))
+    leads = hops.join(turning.select("url"), "url", "left_semi").join(ring.select("url"), "url", "left_anti")
+    entries = _doubled(held, "leads", leads).join(ring.withColumnRenamed("url", "to"), "to")
+    into = entries.select("url", F.col("before").alias("final_url"), (F.col("n") + F.col("length") - 1).cast("int").alias("hops"))
+    return ended.unionByName(on_ring).unionByName(into)

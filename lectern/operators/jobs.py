@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.urls import WECHAT_HOST
 from lectern.operators.filters import MESSENGER_VERIFICATION_TEXT, from_domain, summary_due
 from lectern.operators.identity import UNKNOWN, origin_label
+from lectern.operators.scans import with_last
 
 
 def payload_error(payload: Column, message: Column) -> Column:
@@ -59,10 +60,27 @@ def reading_states(events: DataFrame) -> DataFrame:
 
 
 def upper_bounds(pages: DataFrame) -> DataFrame:
-    """id and bound of undated pages: the date of the earliest later-captured dated page of their host; pages has id, host, captured (µs) and published."""
-    w = Window.partitionBy("host").orderBy(F.col("captured").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    found = pages.withColumn("bound", F.last("published", True).over(w))
-    return found.where("published is null and bound is not null").select("id", "bound")
+    """id, bound and kind (BEFORE) of undated pages: the date of the earliest later-captured dated page of their host.
+
+    pages has id, host, captured (µs) and published. A host may hold any part of the rows: it is scanned from the latest page down.
+    """
+    found = with_last(pages.select("id", "host", "captured", "published"), "host", "captured", "published", "bound", down=True)
+    return found.where("published is null and bound is not null").select("id", "bound", F.lit("BEFORE").alias("kind"))
+
+
+def host_bounds(docs: DataFrame) -> DataFrame:
+    """upper_bounds() of documents (id, source_url, canonical_url, captured, published, ingestion_status, capture_kind).
+
+    A host is the scheme and host with which a URL starts, as the source URL has it, else the canonical one. Failed documents get no
+    bound, and only page and video captures (PAGE, VIDEO) give one.
+    """
+    start = lambda c: F.nullif(F.lower(F.regexp_extract(c, r"^(?i)https?://([^/?#]+)(?:[/?#]|$)", 1)), F.lit(""))
+    host = F.coalesce(start("source_url"), start("canonical_url"))
+    anchors = F.when(F.col("capture_kind").isin("PAGE", "VIDEO"), F.col("published"))
+    rows = docs.where(host.isNotNull()).select("id", host.alias("host"), "captured", anchors.alias("published"), "ingestion_status", F.col("published").isNotNull().alias("dated"))
+    found = with_last(rows, "host", "captured", "published", "bound", down=True)
+    due = ~F.col("dated") & (F.col("ingestion_status") != "FAILED") & F.col("bound").isNotNull()
+    return found.where(due).select("id", "bound", F.lit("BEFORE").alias("kind"))
 
 
 def aliases(changes: DataFrame) -> DataFrame:

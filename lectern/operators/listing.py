@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.filters import ListQuery, lead, preview, select_documents, text_search
+from lectern.operators.scans import with_next
 
 MAX_PAGE = 50
 
@@ -42,8 +43,8 @@ def quick_search(docs: DataFrame, q: str, n: int = 6) -> DataFrame:
 
 
 def next_documents(docs: DataFrame, group: str, keys: list[Column]) -> DataFrame:
-    """docs with next_id, what follows in their group's order."""
-    return docs.withColumn("next_id", F.lead("id").over(Window.partitionBy(group).orderBy(*keys)))
+    """docs with next_id, what follows in their group's order (its keys must make it total); a group may hold any part of the rows."""
+    return with_next(docs, group, keys, "id", "next_id")
 
 
 def after_key(docs: DataFrame, at, doc_id, n: int = 1) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import bookmark_words, clean_summary, feed_excerpt, markdown_text, reading_minutes, readable_units, text_hash, video_units
 from lectern.operators import dedupe, export, filters, highlights, identity, jobs, listing
+from lectern.operators.durable import new_folder
 from lectern.plans.registry import query
-from lectern.sources import bookmarks, feeds
+from lectern.sources import bookmarks, feeds, files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,6 +172,85 @@ def export_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lib.select("id", F.md5(export.front_matter("2024-01-01T00:00:00Z").cast("binary")).alias("matter"))
 
 
+def _exported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with HTML, with plain text alone or with neither, titles that repeat and some that are blank, and their highlights."""
+    i, none = F.col("id"), F.lit(None).cast("string")
+    text = F.regexp_replace("plain_text", r"[<>&\s]+", " ")
+    page = F.concat(F.lit("<h2>Part</h2><p>"), text, F.lit('</p><ul><li>one</li><li>two</li></ul><p><a href="https://e.org">link</a> <b>bold</b></p>'))
+    docs = _library(spark, sf_dir).select(
+        i, F.when(i % 11 == 0, " ").otherwise(F.concat(F.lit("Note: "), (i % 40).cast("string"))).alias("title"), "source_url", "canonical_url", "author", F.when(i % 4 != 0, F.timestamp_seconds(i * 60)).alias("published_at"), "type", "ingestion_status",
+        "read_state", F.col("reading_progress"), "is_favorite", "origin_label", F.when(i % 5 == 0, " sum ").alias("ai_summary"), F.when(i % 3 == 0, page).otherwise(none).alias("content_html"), F.when(i % 7 != 0, text).alias("plain_text"),
+        F.when(i % 2 == 0, F.array(F.lit("t1"), F.lit("t2"))).otherwise(F.array().cast("array<string>")).alias("tags"),
+    )
+    marks = docs.where("id % 6 = 0").select(
+        F.col("id").alias("document_id"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k"), F.concat(F.lit("said\nin "), i.cast("string")).alias("quote_text"), F.when(i % 12 == 0, "why").alias("note"),
+    )
+    marks = marks.select("document_id", (F.col("document_id") * 10 + F.col("k")).alias("id"), F.when(F.col("k") == 3, " ").otherwise(F.col("quote_text")).alias("quote_text"), "note", F.lit(None).cast("string").alias("color"), F.timestamp_seconds(F.col("k")).alias("created_at"))
+    return docs, marks
+
+
+_EXPORT = r"""WITH d AS (SELECT d.doc_id AS id, CASE WHEN d.doc_id % 11 = 0 THEN ' ' ELSE 'Note: ' || (d.doc_id % 40) END AS title, 'https://' || source || '.example.com/' || d.doc_id AS url, lang,
+  CASE WHEN d.doc_id % 4 <> 0 THEN strftime(make_timestamp(d.doc_id * 60000000), '%Y-%m-%dT%H:%M:%S.000Z') END AS published, CASE WHEN d.doc_id % 3 = 0 THEN 'RSS_ITEM' ELSE 'WEB_PAGE' END AS type, CASE WHEN toxic = 1 THEN 'FAILED' ELSE 'READY' END AS status,
+  ['READ', 'READING', 'UNREAD'][(d.doc_id % 3 + 1)::INT] AS state, least(100, d.doc_id % 130) AS progress, coalesce(quality = 1, false) AS fav, source, regexp_replace(text, '[<>&\s]+', ' ', 'g') AS told FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+n AS (SELECT *, CASE WHEN trim(title) = '' THEN 'document-' || id ELSE replace(title, ':', '') END AS base FROM d),
+u AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS k FROM n),
+b AS (SELECT *, CASE WHEN id % 3 = 0 THEN '## Part' || chr(10) || chr(10) || trim(told) || CASE WHEN trim(told) <> '' THEN chr(10) || chr(10) ELSE '' END || '* one' || chr(10) || '* two' || chr(10) || chr(10) || '[link](https://e.org) **bold**'
+  WHEN id % 7 <> 0 THEN trim(told) ELSE '' END AS body, base || CASE WHEN k = 1 THEN '' ELSE ' (' || k || ')' END AS name,
+  array_to_string(['---', 'title: ' || to_json(title)::VARCHAR, 'source_url: ' || to_json(url)::VARCHAR, 'canonical_url: null', 'author: ' || to_json(lang)::VARCHAR, 'published_at: ' || coalesce(to_json(published)::VARCHAR, 'null'),
+    'document_type: ' || to_json(type)::VARCHAR, 'ingestion_status: ' || to_json(status)::VARCHAR], chr(10)) AS matter FROM u) """
+_DONE = "chr(10) || 'exported_at: "2024-01-01T00:00:00Z"' || chr(10) || '---' || chr(10) || chr(10)"
+
+
+def _written(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Names and hashes of the files of all documents, written one by one and read back."""
+    docs, marks = _exported(spark, sf_dir)
+    end = export.EXTENSIONS[kind]
+    rows = export.files_of(docs, marks, kind, "2024-01-01T00:00:00Z").select("id", F.substr("name", F.lit(1), F.length("name") - len(end)).alias("base"), "body")
+    named = dedupe.numbered(rows, "base", "unique", "%s (%d)").select(F.concat("unique", F.lit(end)).alias("name"), "body")
+    folder = new_folder(spark, f"export-{kind}")
+    files.write_files(named, folder)
+    return files.read_files(spark, folder).select("name", F.md5(F.col("body").cast("binary")).alias("hash"))
+
+
+@query(_EXPORT + "SELECT name || '.md' AS name, md5(regexp_replace(matter || " + _DONE + r" || body, '\s+$', '')) AS hash FROM b")
+def export_markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir, "markdown")
+
+
+@query(_EXPORT + """SELECT name || '.obsidian.md' AS name, md5(regexp_replace(matter || chr(10) || array_to_string(['read_state: ' || to_json(state)::VARCHAR, 'reading_progress: ' || progress, 'is_favorite: ' || fav, 'content_origin: ' || to_json(source)::VARCHAR,
+    CASE WHEN id % 2 = 0 THEN 'tags:' || chr(10) || '  - "t1"' || chr(10) || '  - "t2"' ELSE 'tags: []' END], chr(10)) || """ + _DONE + r""" || CASE WHEN id % 5 = 0 THEN '## AI 摘要' || chr(10) || chr(10) || 'sum' || chr(10) || chr(10) ELSE '' END
+  || '## 高亮与批注' || chr(10) || chr(10) || CASE WHEN id % 6 <> 0 THEN '（暂无高亮）' ELSE array_to_string(list_transform([1, 2], lambda k: '### 高亮 ' || k || chr(10) || '> said' || chr(10) || '> in ' || id
+    || CASE WHEN id % 12 = 0 THEN chr(10) || '- 批注：why' ELSE '' END || chr(10) || '- 创建时间：1970-01-01T00:00:0' || k || '.000Z'), chr(10) || chr(10)) END
+  || chr(10) || chr(10) || '## 正文' || chr(10) || chr(10) || CASE WHEN body = '' THEN '（无可导出的正文内容）' ELSE body END, '\s+$', '')) AS hash FROM b""")
+def export_note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir, "note")
+
+
+_ROW = "CASE WHEN {1} IS NULL OR {1} = '' THEN '' ELSE '<dt>{0}</dt><dd>' || {1} || '</dd>' END"
+
+
+@query(_EXPORT + """SELECT name || '.html' AS name, md5('<!doctype html>' || chr(10) || '<html lang="zh-CN">' || chr(10) || '<head>' || chr(10) || '  <meta charset="utf-8" />' || chr(10) || '  <title>' || title || '</title>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10)
+  || '  <main>' || chr(10) || '    <header>' || chr(10) || '      <h1>' || title || '</h1>' || chr(10) || '      <dl>' || """ + " || ".join(_ROW.format(k, c) for k, c in (("作者", "lang"), ("发布时间", "published"), ("原始链接", "url"), ("文档类型", "type"), ("抓取状态", "status"))) + r"""
+  || '<dt>导出时间</dt><dd>2024-01-01T00:00:00Z</dd>' || '</dl>' || chr(10) || '    </header>' || chr(10) || '    <article>' || CASE WHEN id % 3 = 0 THEN '<h2>Part</h2><p>' || told || '</p><ul><li>one</li><li>two</li></ul><p><a href="https://e.org">link</a> <b>bold</b></p>'
+  WHEN id % 7 <> 0 AND trim(told) <> '' THEN '<pre class="document-export__plain-text">' || replace(replace(trim(told), '"', '&quot;'), chr(39), '&#39;') || '</pre>' ELSE '' END || '</article>' || chr(10) || '  </main>' || chr(10) || '</body>' || chr(10) || '</html>') AS hash FROM b""")
+def export_html_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir, "html")
+
+
+@query("""WITH a AS (SELECT DISTINCT doc_id * 7 AS id FROM documents ORDER BY 1 LIMIT 50)
+SELECT count(*) FILTER (id IN (SELECT doc_id FROM documents)) AS files, count(*) FILTER (id NOT IN (SELECT doc_id FROM documents)) AS missing, coalesce(sum(id) FILTER (id NOT IN (SELECT doc_id FROM documents)), 0)::BIGINT AS missing_sum FROM a""")
+def export_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of 50 ids, which is the feature's limit: its files, and the report of the ids that are missing, read back."""
+    docs, marks = _exported(spark, sf_dir)
+    ids = docs.select((F.col("id") * 7).alias("id"), (F.col("id") * 7).alias("pos"))
+    found, missing = export.batch(ids, docs, marks, "note", "2024-01-01T00:00:00Z")
+    folder = new_folder(spark, "export-batch")
+    files.write_files(found, folder, missing)
+    lost = files.read_missing(spark, folder)
+    told = lost.agg(F.count("*").alias("missing"), F.coalesce(F.sum(F.col("id").cast("long")), F.lit(0)).alias("missing_sum"))
+    return files.read_files(spark, folder).agg(F.count("*").alias("files")).crossJoin(told)  # one row each
+
+
 @query("SELECT i AS id, i AS pos FROM (SELECT DISTINCT doc_id * 7 AS i FROM documents) WHERE i NOT IN (SELECT doc_id FROM documents)")
 def export_missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"))

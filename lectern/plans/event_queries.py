@@ -30,13 +30,33 @@ def recent_sources_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH a AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase'), d AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'purchase'),
 j AS (SELECT d.event_id, min(a.ts) AS bound FROM d JOIN a ON a.user_id = d.user_id AND a.ts > d.ts GROUP BY d.event_id)
-SELECT event_id, epoch_us(bound) AS bound FROM j
+SELECT event_id, epoch_us(bound) AS bound, 'BEFORE' AS kind FROM j
 """)
 def published_upper_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users as hosts and purchases as dated pages: the next purchase bounds each other event."""
     at = F.unix_micros("ts")
     rows = _events(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("user_id").alias("host"), at.alias("captured"), F.when(F.col("event_type") == "purchase", at).alias("published"))
-    return jobs.upper_bounds(rows).select(F.col("id").alias("event_id"), "bound")
+    return jobs.upper_bounds(rows).select(F.col("id").alias("event_id"), "bound", "kind")
+
+
+@query("""
+WITH e AS (SELECT event_id AS id, ts, CASE WHEN event_id % 3 = 0 THEN 'example.com' ELSE 'h' || (user_id % 20) || '.org' END AS host, event_type = 'purchase' AS dated, event_id % 7 = 0 AS failed, event_id % 4 <> 0 AS page FROM events WHERE event_id % 11 <> 0),
+d AS (SELECT host, ts FROM e WHERE dated AND page),
+j AS (SELECT e.id, min(d.ts) AS bound FROM e JOIN d ON d.host = e.host AND d.ts > e.ts WHERE NOT e.dated AND NOT e.failed GROUP BY e.id)
+SELECT id, epoch_us(bound) AS bound, 'BEFORE' AS kind FROM j
+""")
+def host_upper_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as documents of hosts, one of which has a third of them, by source or canonical URL; feeds give no bound and failed ones get none."""
+    i = F.col("event_id")
+    host = F.when(i % 3 == 0, "Example.com").otherwise(F.concat(F.lit("h"), (F.col("user_id") % 20).cast("string"), F.lit(".org")))
+    url = F.concat(F.when(i % 2 == 0, "http://").otherwise("https://"), host, F.when(i % 5 == 0, "").otherwise("/p?x"))
+    none = F.lit(None).cast("string")
+    at = F.unix_micros("ts")
+    rows = _events(spark, sf_dir).select(
+        i.alias("id"), F.when((i % 11 != 0) & (i % 13 != 0), url).alias("source_url"), F.when(i % 11 != 0, url).otherwise(none).alias("canonical_url"), at.alias("captured"),
+        F.when(F.col("event_type") == "purchase", at).alias("published"), F.when(i % 7 == 0, "FAILED").otherwise("READY").alias("ingestion_status"), F.when(i % 4 == 0, "FEED").when(i % 4 == 1, "VIDEO").otherwise("PAGE").alias("capture_kind"),
+    )
+    return jobs.host_bounds(rows)
 
 
 @query("""

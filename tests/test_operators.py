@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import dates, text, urls
-from lectern.operators import dedupe, filters, highlights, identity, jobs
+from lectern.operators import dedupe, filters, highlights, identity, jobs, scans
 from lectern.plans import registry
 from lectern.sources import feeds, pages, readable, transcripts
 
@@ -97,10 +97,81 @@ def test_merge_keeps_highlights(spark):
     assert dedupe.audit(kept).count() == 0
 
 
-def test_numbered_names_are_unique(spark):
-    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a-2"), (4, "b")], "id int, base string")
-    got = {r["id"]: r["slug"] for r in dedupe.numbered(df, "base").collect()}
-    assert got[1] == "a" and got[4] == "b" and len(set(got.values())) == 4
+def one_by_one(rows, taken=(), form="%s-%d"):
+    """id to name, as a pass in the order of id gives them."""
+    used, out = set(taken), {}
+    for i, base in sorted(rows):
+        n, name = 1, base
+        while name in used:
+            n += 1
+            name = form % (base, n)
+        used.add(name)
+        out[i] = name
+    return out
+
+
+@pytest.mark.parametrize(
+    ("rows", "taken"),
+    [
+        ([(1, "a"), (2, "a"), (3, "a-2"), (4, "b")], []), ([(1, "a-2"), (2, "a"), (3, "a"), (4, "a"), (5, "a-2")], []), ([(i, "hot") for i in range(40)] + [(40, "hot-3"), (41, "hot-3"), (-1, "hot-20")], ["hot", "hot-5", "x"]),
+        ([(i, ["a", "a-2", "a-2-2", "a-3"][i * 7 % 4]) for i in range(30)], ["a-4"]), ([], ["x"]),
+    ],
+)
+def test_numbered_names(spark, rows, taken):
+    df = spark.createDataFrame(rows, "id int, base string").repartition(3)
+    got = {r["id"]: r["slug"] for r in dedupe.numbered(df, "base", taken=spark.createDataFrame([(t,) for t in taken], "name string")).collect()}
+    assert got == one_by_one(rows, taken)
+
+
+def test_scans_equal_windows(spark):
+    """A key with most rows, a null key, ties in the order and nulls among the values, over more tasks than keys."""
+    import random
+
+    from pyspark.sql import Window
+
+    r = random.Random(9)
+    rows = [(i, r.choice(["hot"] * 6 + ["b", "c", None]), r.randrange(60), r.choice([None, None, r.randrange(9)])) for i in range(700)]
+    df = spark.createDataFrame(rows, "id int, k string, t int, v int").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 13):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            order = [F.col("t").desc(), F.col("id").asc()]
+            w = Window.partitionBy("k").orderBy(*order)
+            want = df.withColumns({"rank": F.row_number().over(w).cast("long"), "next": F.lead("id").over(w)})
+            got = scans.ranked(scans.with_next(df, "k", order, "id", "next"), "k", order, "rank")
+            assert sorted(map(tuple, got.select(want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+            for down in (True, False):
+                by = F.col("t").desc() if down else F.col("t").asc()
+                last = F.last("v", True).over(Window.partitionBy("k").orderBy(by).rangeBetween(Window.unboundedPreceding, -1))
+                got = scans.with_last(df, "k", "t", "v", "last", down)
+                assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, df.withColumn("last", last).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_redirects_by_doubling(spark):
+    """A chain of 1,000 hops, cycles with and without ways into them, and many URLs that lead to one."""
+    import random
+
+    r = random.Random(4)
+    links = [(f"c{i}", f"c{i + 1}") for i in range(1000)] + [("s", "s"), ("t", "s")] + [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)] + [("x0", "x1"), ("x1", "x2"), ("x2", "r3")]
+    links += [(f"h{i}", "c990") for i in range(50)] + [(f"n{i}", f"n{r.randrange(60)}") for i in range(50)] + [("c0", "zz"), (None, "a"), ("a", None)]
+    to = {}
+    for a, b in links:
+        if a is not None and b is not None:
+            to[a] = min(b, to.get(a, b))
+    want = []
+    for url in to:
+        at, seen = url, {url}
+        while to.get(at, at) not in seen:
+            at = to[at]
+            seen.add(at)
+        want.append((url, at, len(seen) - 1))
+    got = identity.follow_redirects(spark.createDataFrame(links, "url string, target_url string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 def test_anchoring():
