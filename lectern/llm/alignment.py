@@ -27,8 +27,8 @@ from lectern.llm.bpe_automaton import byte_letters
 from lectern.llm.graph import by_pointer
 from lectern.llm.shared import each_text, is_small, stored, text_batches
 
-#: Tokens of one tokenizer that are aligned at once, distinct pairs that a task counts before it gives counts away, and pieces that it remembers.
-TOKENS, PAIRS, MEMO = 400_000, 500_000, 400_000
+#: Tokens of one tokenizer that are aligned at once, distinct pairs that a task counts before it gives counts away, and pieces that it remembers in each of two generations.
+TOKENS, PAIRS, MEMO = 400_000, 500_000, 300_000
 #: A space, or before a line feed, between two characters that are not white space: both tokenizers start anew there.
 _CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
 #: Letters and marks after them, which tokenizer A's pattern takes as one word each.
@@ -75,7 +75,9 @@ class TokenizerPair:
             raise ValueError(f"{b_path}: a piece holds a space after another character, or a line feed")
         self.a_sizes, self.b_sizes = (pa.array([len(x) for x in t], pa.int64()) for t in (self.a_bytes, self.b_bytes))
         self.labels = Labels(len(self.a_bytes), len(self.b_bytes))
-        self.memo: dict[str, tuple[bytes, bytes] | None] = {}
+        self.memo: dict[str, tuple[bytes, bytes]] = {}  # two generations of it: pieces that are met again move to the newer one
+        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.lost: set[str] = set()  # pieces that are not given back
 
     def _a(self, text: str) -> array:
         """A's ids of a text that a space or a line feed begins."""
@@ -94,32 +96,39 @@ class TokenizerPair:
         same = b"".join(map(self.a_bytes.__getitem__, a)) == wanted and b"".join(map(self.b_bytes.__getitem__, b)) == wanted
         return (a.tobytes(), b.tobytes()) if same else None
 
-    def _piece(self, piece: str) -> tuple[bytes, bytes] | None:
-        if piece[0] == "\n":  # no space stands before it: that which B adds is a token of its own and goes
-            return self._same(self._a(piece), array("i", self.b.encode(piece)[1:]), piece.encode())
-        return self._same(self._a(" " + piece), array("i", self.b.encode(piece)), b" " + piece.encode())
+    def _learn(self, pieces: set[str]) -> None:
+        """Puts pieces into the memo: those that it held before it started anew, and others encoded together."""
+        known = pieces.intersection(self.old)
+        self.memo.update((x, self.old[x]) for x in known)
+        # a piece that a line feed begins has no space before it: that which B adds is a token of its own and goes
+        for sign, gone, group in ((" ", 0, [x for x in pieces - known if x[0] != "\n"]), ("", 1, [x for x in pieces - known if x[0] == "\n"])):
+            for piece, b in zip(group, self.b.encode(group, num_threads=1) if group else [], strict=True):
+                piece_text = sign + piece
+                ids = self._same(self._a(piece_text), array("i", b[gone:]), piece_text.encode())
+                self.memo[piece] = ids or (b"", b"")
+                if ids is None:
+                    self.lost.add(piece)
 
     def pieces(self, text: str | None) -> list[tuple[bytes, bytes]] | None:
         """Ids of a text piece by piece; None for a text without tokens."""
         if not text:
             return None
-        out, cut = [], _CUT.split(text)
+        first, cut = [], _CUT.split(text)
         if text[0] == "\n":  # here a space does stand before the line feed
             ids = self.whole(cut.pop(0))
             if ids is None:
                 return self._uncut(text)
-            out.append(ids)
-        for piece in cut:
-            try:
-                ids = self.memo[piece]
-            except KeyError:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                ids = self.memo[piece] = self._piece(piece)
-            if ids is None:
-                return self._uncut(text)
-            out.append(ids)
-        return out
+            first = [ids]
+        if len(self.memo) >= MEMO:
+            self.old, self.memo = self.memo, {}
+        if len(self.lost) >= MEMO:
+            self.old, self.memo, self.lost = {}, {}, set()
+        missing = set(cut).difference(self.memo)
+        if missing:
+            self._learn(missing)
+        if self.lost and not self.lost.isdisjoint(cut):
+            return self._uncut(text)
+        return first + list(map(self.memo.__getitem__, cut))
 
     def _uncut(self, text: str) -> list[tuple[bytes, bytes]] | None:
         """Where a piece is not given back, only the whole text can tell."""
