@@ -198,7 +198,7 @@ b AS (SELECT *, CASE WHEN id % 3 = 0 THEN '## Part' || chr(10) || chr(10) || tri
   WHEN id % 7 <> 0 THEN trim(told) ELSE '' END AS body, base || CASE WHEN k = 1 THEN '' ELSE ' (' || k || ')' END AS name,
   array_to_string(['---', 'title: ' || to_json(title)::VARCHAR, 'source_url: ' || to_json(url)::VARCHAR, 'canonical_url: null', 'author: ' || to_json(lang)::VARCHAR, 'published_at: ' || coalesce(to_json(published)::VARCHAR, 'null'),
     'document_type: ' || to_json(type)::VARCHAR, 'ingestion_status: ' || to_json(status)::VARCHAR], chr(10)) AS matter FROM u) """
-_DONE = "chr(10) || 'exported_at: "2024-01-01T00:00:00Z"' || chr(10) || '---' || chr(10) || chr(10)"
+_DONE = """chr(10) || 'exported_at: "2024-01-01T00:00:00Z"' || chr(10) || '---' || chr(10) || chr(10)"""
 
 
 def _written(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType
 
 COMMIT = "_COMMIT.json"
 #: The name of the list of missing ids in a task's folder, and bytes that a file's name may have.
-MISSING, NAME_BYTES = "_missing-ids.txt", 240
+MISSING, NAME_BYTES = "~missing-ids.txt", 240
 
 
 @dataclass
@@ -128,25 +128,32 @@ def write_files(files: DataFrame, path: str, missing: DataFrame | None = None, m
     return committed(path)
 
 
-def _folders(path: str) -> list[str]:
-    said = committed(path)
-    return [posixpath.join(path, f) for f in said["folders"]] if said else []
+def _read(spark: SparkSession, path: str, wanted: bool, names: list[str]) -> DataFrame:
+    """name and body of the files of all committed folders that are lists of missing ids, or those that are not; a folder is read by one task.
+
+    Spark's own readers leave out names that begin with a dot or a low line.
+    """
+    said = committed(path) or {"folders": []}
+    rows = spark.createDataFrame([(f,) for f in said["folders"]], "folder string")
+    dealt = rows.repartition(max(1, len(said["folders"])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(path)
+        for folder in (x for batch in batches for x in batch.column(0).to_pylist()):
+            found = [x for x in fs.get_file_info(pafs.FileSelector(posixpath.join(base, folder))) if (posixpath.basename(x.path) == MISSING) == wanted]
+            for info in sorted(found, key=lambda x: x.path):
+                with fs.open_input_stream(info.path) as f:
+                    yield pa.record_batch([pa.array([posixpath.basename(info.path)]), pa.array([f.read().decode()])], names=names)
+
+    return dealt.mapInArrow(run, ", ".join(f"{n} string" for n in names))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """name and body of the files that commits below a path list."""
-    folders = _folders(path)
-    if not folders:
-        return spark.createDataFrame([], "name string, body string")
-    read = spark.read.format("binaryFile").load(folders)
-    # names are taken from paths, in which Spark escapes what a URI does not take
-    name = F.try_url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
-    return read.select(name.alias("name"), F.decode("content", F.lit("UTF-8")).alias("body")).where(F.col("name") != MISSING)
+    return _read(spark, path, False, ["name", "body"])
 
 
 def read_missing(spark: SparkSession, path: str) -> DataFrame:
     """id of each missing document that commits below a path list."""
-    folders = _folders(path)
-    if not folders:
-        return spark.createDataFrame([], "id string")
-    return spark.read.option("pathGlobFilter", MISSING).schema("value string").text(folders).withColumnRenamed("value", "id")
+    lists = _read(spark, path, True, ["name", "ids"])
+    return lists.select(F.explode(F.split(F.regexp_replace("ids", "\n$", ""), "\n")).alias("id"))

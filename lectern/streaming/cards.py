@@ -151,7 +151,7 @@ def card_source(service, schema: StructType, name: str = "lectern_cards") -> typ
         def schema(self) -> StructType:
             return StructType(schema.fields).add("has_more", "boolean")
 
-        def streamReader(self, _: StructType) -> CardStream:
+        def streamReader(self, schema: StructType) -> CardStream:
             limit = min(int(self.options.get("limit", MOST_CARDS)), MOST_CARDS)
             return CardStream(service, max(1, limit), max(1, int(self.options.get("slices", 4))))
 
