@@ -98,7 +98,7 @@ class TokenizerPair:
 
     def _learn(self, pieces: set[str]) -> None:
         """Puts pieces into the memo: those that it held before it started anew, and others encoded together."""
-        known = pieces.intersection(self.old)
+        known = {x for x in pieces if x in self.old}
         self.memo.update((x, self.old[x]) for x in known)
         # a piece that a line feed begins has no space before it: that which B adds is a token of its own and goes
         for sign, gone, group in ((" ", 0, [x for x in pieces - known if x[0] != "\n"]), ("", 1, [x for x in pieces - known if x[0] == "\n"])):
