@@ -1,12 +1,18 @@
-"""Markdown columns: HTML as Markdown."""
+"""Markdown columns: HTML as Markdown, and Markdown as HTML and text."""
 
 from __future__ import annotations
 
+import html
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from lectern.functions.columns import let
-from lectern.functions.text import ENTITIES
+from lectern.functions.text import ENTITIES, block_excerpt, text_hash
 
 #: Inline elements and what stands for them, in the order in which they are replaced.
 _INLINE = [
@@ -78,3 +84,80 @@ def html_markdown(html: Column) -> Column:
     marked = F.transform(pieces, lambda x: F.struct(x.startswith(_CODE).alias("code"), let(x, piece).alias("t")))
     told = F.transform(marked, lambda m: F.when(m["code"], m["t"]).otherwise(_squeezed(m["t"])))
     return F.array_join(F.filter(told, lambda x: x != ""), "\n\n")
+
+
+#: How blocks of Markdown begin, and what links and images look like.
+HEADING, MARKS = re.compile(r"#{1,6}\s+"), {"ul": re.compile(r"[-*]\s+"), "quote": re.compile(r">\s?")}
+_URL = r"https?:\/\/(?:[^\s()]|\([^)\s]*\))+"
+IMAGE, LINK = re.compile(rf"!\[([^\]]*)\]\(({_URL})\)"), re.compile(rf"\[([^\]]+)\]\(({_URL})\)")
+BOLD, ITALIC = re.compile(r"\*\*([^*]+)\*\*"), re.compile(r"(^|[^*])\*([^*]+)\*")
+
+
+def line_blocks(text: str) -> Iterator[tuple[str, list[str]]]:
+    """kind (h1 to h6, ul, quote or p) and parts of each block, in one pass over the lines.
+
+    A heading is a line; a list or a quote goes on while its mark begins lines, which may then be indented; all else is a paragraph, which
+    goes on to the next blank line whatever its lines look like.
+    """
+    kind, parts = None, []
+    for line in [*text.replace("\r\n", "\n").strip().split("\n"), ""]:
+        inner, line = line.strip(), line.rstrip()
+        if kind == "p" and inner:
+            parts.append(inner)
+            continue
+        mark = MARKS[kind].match(inner) if kind in MARKS else None
+        if mark:
+            parts.append(inner[mark.end() :])
+            continue
+        if kind:
+            yield kind, parts
+        kind, parts = None, []
+        if HEADING.match(line):
+            depth = len(line) - len(line.lstrip("#"))
+            yield f"h{depth}", [line[depth:].strip()]
+        elif inner:
+            kind = next((k for k, m in MARKS.items() if m.match(line)), "p")
+            parts = [MARKS[kind].sub("", inner, count=1) if kind in MARKS else inner]
+
+
+def _collapsed(text: str) -> str:
+    return " ".join(text.split())
+
+
+def inline_html(text: str) -> str:
+    """A line's images, links and emphasis as HTML."""
+    made = html.escape(text).replace("&#x27;", "&#39;")
+    made = IMAGE.sub(lambda m: f'<img src="{m[2]}" alt="{html.escape(_collapsed(m[1]))}" />', made)
+    made = LINK.sub(r'<a href="\2" target="_blank" rel="noreferrer">\1</a>', made)
+    return ITALIC.sub(r"\1<em>\2</em>", BOLD.sub(r"<strong>\1</strong>", made))
+
+
+def inline_text(text: str) -> str:
+    """A line without its marks."""
+    made = LINK.sub(r"\1", IMAGE.sub(lambda m: _collapsed(m[1]), text))
+    return _collapsed(ITALIC.sub(r"\1\2", BOLD.sub(r"\1", made)))
+
+
+def _block(kind: str, parts: list[str]) -> tuple[str, str]:
+    """A block's HTML and text."""
+    if kind == "ul":
+        return f"<ul>{''.join(f'<li>{inline_html(x)}</li>' for x in parts)}</ul>", "\n".join(filter(None, map(inline_text, parts)))
+    text = " ".join(parts)
+    before, after = ("<blockquote><p>", "</p></blockquote>") if kind == "quote" else (f"<{kind}>", f"</{kind}>")
+    return before + inline_html(text) + after, inline_text(text)
+
+
+@F.pandas_udf(StructType().add("content_html", StringType()).add("texts", ArrayType(StringType())))
+def _rendered(values: pd.Series) -> pd.DataFrame:
+    made = [[_block(*b) for b in line_blocks(x)] if isinstance(x, str) else None for x in values]
+    return pd.DataFrame({"content_html": ["".join(h for h, _ in x) if x is not None else None for x in made], "texts": [[t for _, t in x if t] if x is not None else None for x in made]})
+
+
+def rendered(markdown: Column) -> Column:
+    """content_html, plain_text, excerpt and text_hash of Markdown; null for blank texts. Lines are folded by a helper over Arrow batches."""
+
+    def fields(r: Column) -> Column:
+        text = F.array_join(r["texts"], "\n\n")
+        return F.struct(r["content_html"].alias("content_html"), text.alias("plain_text"), block_excerpt(r["texts"]).alias("excerpt"), text_hash(text).alias("text_hash"))
+
+    return F.when(markdown.rlike(r"\S"), let(_rendered(markdown), fields))

@@ -203,30 +203,6 @@ def markdown_text(c: Column) -> Column:
     return readable_text(c)
 
 
-def markdown_html(c: Column) -> Column:
-    """HTML blocks of Markdown: headings, quotes, list items and paragraphs, with links, images and emphasis inside."""
-
-    def inline(x: Column) -> Column:
-        x = escape_html(x)
-        for pattern, to in ((r"!\[([^\]]*)\]\((https?://[^)\s]+)\)", '<img src="$2" alt="$1" />'), (r"\[([^\]]+)\]\((https?://[^)\s]+)\)", '<a href="$2">$1</a>'), (r"\*\*([^*]+)\*\*", "<strong>$1</strong>"), (r"\*([^*]+)\*", "<em>$1</em>")):
-            x = F.regexp_replace(x, pattern, to)
-        return x
-
-    def block(x: Column) -> Column:
-        level = F.length(F.regexp_extract(x, r"^(#{1,6})\s", 1)).cast("string")
-        tagged = lambda tag, body: F.concat(F.lit("<"), tag, F.lit(">"), inline(body), F.lit("</"), tag, F.lit(">"))
-        items = F.transform(F.split(x, "\n"), lambda y: tagged(F.lit("li"), F.regexp_replace(y, r"^\s*(?:[-*+]|\d+\.)\s+", "")))
-        return (
-            F.when(x.rlike(r"^#{1,6}\s"), tagged(F.concat(F.lit("h"), level), F.regexp_replace(x, r"^#{1,6}\s+", "")))
-            .when(x.rlike(r"^>\s?"), tagged(F.lit("blockquote"), F.regexp_replace(x, r"(?m)^>\s?", "")))
-            .when(x.rlike(r"^(?:[-*+]|\d+\.)\s"), F.concat(F.when(x.rlike(r"^\d"), "<ol>").otherwise("<ul>"), F.array_join(items, ""), F.when(x.rlike(r"^\d"), "</ol>").otherwise("</ul>")))
-            .otherwise(tagged(F.lit("p"), x))
-        )
-
-    blocks = F.filter(F.transform(F.split(F.regexp_replace(c, "\r\n?", "\n"), r"\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.array_join(F.transform(blocks, block), "\n")
-
-
 def categories(c: Column) -> Column:
     """A list of categories from text: split at commas and line feeds, folded, the first spelling of each kept in order."""
     return distinct_folded(F.filter(F.transform(F.split(c, "[\n,，]"), lambda x: collapse(x)), lambda x: x.isNotNull()))

@@ -302,22 +302,6 @@ def paragraph_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return highlights.clip_to_paragraphs(highlights.paragraphs(docs), marks)
 
 
-@query("""
-WITH o AS (SELECT doc_id AS id, 'c' || doc_id AS ext, 'k' || doc_id AS k, left(text, 30) AS title FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id AS id, CASE WHEN doc_id % 8 = 4 THEN 'x' ELSE 'c' END || doc_id AS ext, 'k' || doc_id AS k, CASE WHEN doc_id % 8 = 0 THEN 'new' ELSE left(text, 30) END AS title FROM documents),
-m AS (SELECT n.id, n.title, coalesce(a.id, b.id) AS sid, coalesce(a.title, b.title) AS t FROM n LEFT JOIN o a ON n.ext = a.ext LEFT JOIN o b ON n.k = b.k)
-SELECT CASE WHEN sid IS NULL THEN 'imported' WHEN title IS DISTINCT FROM t THEN 'updated' ELSE 'skipped' END AS status, count(*) AS n FROM m GROUP BY 1
-""")
-def bookmark_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards of all documents against a library of the even ones: some match by key only, and some have another title."""
-    i, none = F.col("doc_id"), F.lit(None).cast("string")
-    docs = _docs(spark, sf_dir)
-    row = lambda ext, title: [F.concat(ext, i.cast("string")).alias("external_id"), F.concat(F.lit("k"), i.cast("string")).alias("dedupe_key"), title.alias("title"), none.alias("source_url"), none.alias("excerpt"), none.alias("text_hash")]
-    first = F.left("text", F.lit(30))
-    stored = docs.where("doc_id % 2 = 0").select(i.alias("id"), *row(F.lit("c"), first))
-    new = docs.select(*row(F.when(i % 8 == 4, "x").otherwise("c"), F.when(i % 8 == 0, "new").otherwise(first)))
-    return bookmarks.status_totals(bookmarks.upsert(new, stored))
-
-
 @query("""
 WITH w AS (SELECT doc_id, 's' || (doc_id % 5) AS k FROM documents WHERE doc_id % 2 = 0), h AS (SELECT doc_id, 's' || (doc_id % 3) AS k FROM documents WHERE doc_id % 3 = 0)
 SELECT action, count(*) AS n FROM (SELECT CASE WHEN h.k IS NULL THEN 'create' WHEN w.k IS NULL THEN 'delete' ELSE 'keep' END AS action FROM w FULL JOIN h ON w.doc_id = h.doc_id AND w.k = h.k) GROUP BY 1
