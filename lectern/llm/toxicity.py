@@ -10,6 +10,7 @@ makes it a score.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -73,6 +74,19 @@ class ToxicityModel:
         return found
 
 
+def _joined(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of spans, those that overlap or touch as one, in order."""
+    firsts: list[int] = []
+    lasts: list[int] = []
+    for a, b in sorted(spans):
+        if lasts and a <= lasts[-1]:
+            lasts[-1] = max(lasts[-1], b)
+        else:
+            firsts.append(a)
+            lasts.append(b)
+    return firsts, lasts
+
+
 def evidence(words: list[str], automaton: ahocorasick.Automaton) -> tuple[float, float, float, float]:
     """Total, total by length, total by the root of the length, and heaviest term of a text's distinct words."""
     best: dict[int, float] = {}
@@ -88,7 +102,8 @@ def evidence(words: list[str], automaton: ahocorasick.Automaton) -> tuple[float,
             else:
                 spared.append((start, end))
     if spared:
-        best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in spared)}
+        firsts, lasts = _joined(spared)
+        best = {s: w for s, w in best.items() if (i := bisect_right(firsts, s) - 1) < 0 or s >= lasts[i]}
     distinct = {line[s : line.index(" ", s + 1)]: w for s, w in best.items()} if best else {}
     total, n = sum(distinct.values()), max(20, len(words))
     return np.log1p(total), total / n, total / n**0.5, max(distinct.values(), default=0.0)
