@@ -24,7 +24,10 @@ from lectern.llm.shared import stored, text_batches
 
 _CONTROL = re.compile(r"\\|#(?=##)|<(?=/turn>)")
 _ROLE = re.compile(r"\\|#(?=##)|<(?=/turn>)|:")
-_PIECE = re.compile(r"### ((?:\\.|[^\\:])*): ((?:\\.|(?!</turn>)[^\\])*)</turn>\n", re.S)
+#: Repeats are possessive: nothing that was read is held for another try, however long a text is.
+_PIECE = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.S)
+#: Characters of a delta in as_events().
+DELTA = 200
 _ESCAPED = re.compile(r"\\(.)", re.S)
 #: The conversation that the contract adds, with control strings in its texts.
 PROBE = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
@@ -53,8 +56,29 @@ def parse(piece: str) -> tuple[str, str]:
 
 
 def as_events(rows: DataFrame) -> DataFrame:
-    """conversations (conv_id, turn, role, text) as a log of whole messages."""
-    return rows.select("conv_id", "turn", F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    """conversations (conv_id, turn, role, text) as a log of events, as if assistants' texts had been streamed, edited and regenerated.
+
+    By a hash of the row an assistant's text is one message, or an empty message and deltas, or another text, an edit and deltas, or
+    another text, a regeneration and deltas. A turn with several rows has whole messages, since its events would mix.
+    """
+    keys = ["conv_id", "turn"]
+    several = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_several"))
+    same = F.col("conv_id").eqNullSafe(F.col("_conv_id")) & F.col("turn").eqNullSafe(F.col("_turn"))
+    text = F.coalesce("text", F.lit(""))
+    way = F.when((F.col("role") == "assistant") & F.col("_several").isNull(), F.pmod(F.xxhash64("conv_id", "turn", text), F.lit(4))).otherwise(0)
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(text) / DELTA).cast("int") - 1)), lambda i: F.substr(text, i * DELTA + 1, F.lit(DELTA)))
+    event = lambda kind, said: F.struct(F.lit(kind).alias("kind"), said.alias("text"))
+    deltas = lambda said: F.transform(said, lambda x: event("delta", x))
+    draft = event("message", F.lit("a draft that goes"))
+    events = (
+        F.when(way == 1, F.concat(F.array(event("message", F.lit(""))), deltas(pieces)))
+        .when(way == 2, F.concat(F.array(draft, event("edit", F.get(pieces, 0))), deltas(F.slice(pieces, F.lit(2), F.greatest(F.lit(0), F.size(pieces) - 1)))))
+        .when(way == 3, F.concat(F.array(draft, event("delta", F.lit(", too")), event("regenerate", F.lit(""))), deltas(pieces)))
+        .otherwise(F.array(event("message", text)))
+    )
+    met = rows.select(*keys, "role", "text").join(several, same, "left")
+    out = met.select(*keys, "role", F.posexplode(events).alias("seq", "e"))
+    return out.select(*keys, F.col("seq").cast("long").alias("seq"), "e.kind", "role", "e.text")
 
 
 def format_chats(events: DataFrame) -> DataFrame:
