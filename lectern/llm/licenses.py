@@ -11,7 +11,7 @@ the same way with a threshold of 1, and then all words must stand in order, side
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.shared import let, letter_words, stored, text_key
@@ -123,19 +123,19 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
     family = F.lit("") if families is None else F.coalesce(*[F.when(F.col("label") == label, name) for label, name in families.items()], F.col("label"))
     exact = F.col("exact") & F.col("label").isNotNull()
     place = F.when(exact, F.struct("start", "label"))
-    met = matches(docs, phrases, templates, threshold)
+    met = matches(docs, phrases, templates, threshold).withColumn("family", F.when(~F.col("exact"), family))
+    # of notices in one place, such as two versions of one license, the label is that of the best match; a document's notices are sorted
+    near = Window.partitionBy("doc_id", "key", "n", "family").orderBy("start").rangeBetween(-STRIDE, STRIDE)
+    met = met.withColumn("best", F.col("part") >= F.max("part").over(near))
     out = met.groupBy("doc_id", "key", "n").agg(
         F.count_if(F.col("label").isNull()).alias("copies"),
         F.collect_set(place).alias("places"),
         F.max(F.col("part")).alias("score"),
-        F.collect_set(F.when(~F.col("exact"), F.struct("start", "part", "label", family.alias("family")))).alias("notices"),
+        F.collect_set(F.when(~F.col("exact") & F.col("best"), F.col("label"))).alias("notices"),
     )
     joined = lambda x: F.array_join(F.array_sort(x), ",")
     starts = F.transform("places", lambda p: p["start"].cast("long"))
-    # of notices in one place, such as two versions of one license, the label is that of the best match
-    better = lambda x: lambda y: (F.abs(y["start"] - x["start"]) <= STRIDE) & (y["part"] > x["part"]) & (y["family"] == x["family"])
-    best = F.filter("notices", lambda x: ~F.exists("notices", better(x)))
-    labels = F.array_distinct(F.concat(*[F.transform(x, lambda p: p["label"]) for x in (F.col("places"), best)]))
+    labels = F.array_distinct(F.concat(F.transform("places", lambda p: p["label"]), F.col("notices")))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(
         "doc_id", F.col("n").cast("long").alias("n_words"), F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),

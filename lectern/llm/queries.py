@@ -67,12 +67,13 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir, "documents"))
+    """Every label that reaches the threshold, but for lesser versions of the same license."""
+    return licenses.scan(_table(spark, sf_dir, "documents"), families=licenses.FAMILIES)
 
 
 def op8_license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8_license_scan with every label that reaches the threshold, but for lesser versions of the same license."""
-    return licenses.scan(_table(spark, sf_dir, "documents"), families=licenses.FAMILIES)
+    """The name under which op8_license_scan was first registered with all labels."""
+    return op8_license_scan(spark, sf_dir)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +223,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontamination": _OP2,
         "op5_quality_rules": _OP5,
         "op7_chat_formatting": _OP7,
-        "op8_license_scan": _op8(),
+        "op8_license_scan": _op8(licenses.FAMILIES),
         "op8_license_labels": _op8(licenses.FAMILIES),
         "op9_warc": _OP9,
         "op11_exact_topk": _OP11,
