@@ -169,6 +169,25 @@ def page_metadata_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "title", "lang", "canonical_url", "author", F.unix_seconds("published_at").alias("published"), "site_name")
 
 
+@query("""
+SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'Ann Graph' WHEN 1 THEN 'Bea List' WHEN 2 THEN 'Cy Person' WHEN 3 THEN 'Deep Down' WHEN 4 THEN 'Org Inc' WHEN 5 THEN 'Second Block' END AS author,
+  CASE page_id % 7 WHEN 0 THEN 1704067200 WHEN 3 THEN 1704153600 WHEN 5 THEN 1704240000 END::BIGINT AS published, page_id % 7 = 4 AS video FROM pages
+""")
+def page_json_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors, dates and types of JSON-LD that pages are given: in graphs, lists and deep objects, after unusable names, in a second block after a broken one."""
+    forms = [
+        '{"@graph": [{"@type": "WebSite", "name": "no author"}, {"@type": "Article", "author": {"@id": "#a", "name": "Ann Graph"}, "datePublished": "2024-01-01T00:00:00Z"}]}',
+        '[{"author": ["https://x.org/me", {"name": ""}, "By: Bea List,"]}, {"author": "Later"}]', '{"about": {"@type": ["Thing", "Person"], "name": "Cy Person"}, "datePublished": 20240101}',
+        '{"a": [[{"b": {"c": {"creator": {"author": "Deep Down"}, "dateCreated": "2024-01-02T00:00:00Z", "datePublished": "soon"}}}]]}', '{"@type": "VideoObject", "publisher": {"@type": "NewsMediaOrganization", "name": "Org Inc"}}',
+        '{"author": "Broken"', '{"name": "Nobody", "@type": "Thing"}',
+    ]
+    script = '<script type="application/ld+json">{}</script>'
+    made = [script.format(f) + (script.format('{"author": "Second Block", "dateModified": "2024-01-03T00:00:00Z"}') if k == 5 else "") for k, f in enumerate(forms)]
+    given = F.get(F.array(*map(F.lit, made)), (F.col("page_id") % 7).cast("int"))
+    rows = html_pages.metadata(_pages(spark, sf_dir).withColumn("html", F.replace("html", F.lit("<head>"), F.concat(F.lit("<head>"), given))))
+    return rows.select("page_id", "author", F.unix_seconds("published_at").alias("published"), F.array_contains("types", "videoobject").alias("video"))
+
+
 @query()
 def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readable content; it needs a parser, so it is tested on pages made by hand."""

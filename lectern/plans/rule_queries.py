@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lectern.functions import dates, text
 from lectern.operators import filters, identity, jobs, listing
 from lectern.plans.registry import query
-from lectern.sources import bookmarks, transcripts
+from lectern.sources import bookmarks, scripts, transcripts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -258,6 +258,38 @@ def caption_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.best_track(rows).select("video_id", "idx", "lang")
 
 
+@query("""WITH t AS (SELECT doc_id // 6 AS video_id, doc_id % 6 AS idx, [NULL, 'en-US', 'zh-CN', '', 'ai-zh'][(doc_id * 7 // 3 % 5 + 1)::INT] AS lang, doc_id % 5 = 0 AS locked FROM documents),
+s AS (SELECT *, CASE WHEN coalesce(lang, '') = '' THEN 2 WHEN lang LIKE 'zh%' THEN 0 ELSE 1 END AS score FROM t WHERE NOT locked)
+SELECT video_id, idx, lang FROM s QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY score, idx) = 1""")
+def subtitle_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    lang = _pick([None, "en-US", "zh-CN", "", "ai-zh"], _div(i * 7, 3) % 5)
+    rows = _table(spark, sf_dir).select(_div(i, 6).alias("video_id"), (i % 6).alias("idx"), lang.alias("lang"), (i % 5 == 0).alias("locked"), F.lit("u").alias("base_url"))
+    return transcripts.best_subtitle(rows).select("video_id", "idx", "lang")
+
+
+@query(r"""WITH d AS (SELECT doc_id, regexp_replace(left(text, 60), '^\s+|\s+$', '', 'g') || '}{"\' AS title, doc_id % 4 AS f, doc_id % 3 AS g FROM documents)
+SELECT doc_id, CASE WHEN f < 3 THEN title END AS title, CASE WHEN f = 0 THEN 'me' END AS author, CASE WHEN f < 3 THEN CASE WHEN f = 1 THEN 'up' ELSE '2024-01-02' END END AS published,
+  CASE f WHEN 0 THEN 'b' || doc_id WHEN 1 THEN 'm' WHEN 2 THEN 'm' END AS thumbnail, CASE WHEN f = 0 THEN doc_id % 1000 END::INT AS seconds, CASE g WHEN 0 THEN 20 + doc_id WHEN 1 THEN 7 ELSE 10 + doc_id END AS cid FROM d""")
+def player_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of players from scripts that hold whole documents, braces and quotes in strings: in both parts, in one, or in a broken one; ids of parts by page number."""
+    i = F.col("doc_id")
+    s = i.cast("string")
+    title = F.concat(F.regexp_replace(F.left("text", F.lit(60)), r"^\s+|\s+$", ""), F.lit('}{"\\'))
+    quoted = text.json_string(title)
+    details = F.concat(
+        F.lit('{"videoDetails": {"title": '), quoted, F.lit(', "author": " me ", "lengthSeconds": "'), (i % 1000).cast("string"), F.lit('", "shortDescription": '), text.json_string(F.col("text")),
+        F.lit(', "thumbnail": {"thumbnails": [{"url": "a"}, {"url": "b'), s, F.lit('"}, {"url": " "}]}}, "microformat": {"playerMicroformatRenderer": {"publishDate": "2024-01-02"}}}'),
+    )
+    micro = lambda key, date: F.concat(F.lit('{"microformat": {"playerMicroformatRenderer": {"title": '), quoted, F.lit(f', "{key}": "{date}", "thumbnail": {{"thumbnails": [{{"url": "m"}}]}}}}}}}}'))
+    body = F.coalesce(F.when(i % 4 == 0, details), F.when(i % 4 == 1, micro("uploadDate", "up")), F.when(i % 4 == 2, micro("publishDate", "2024-01-02")), F.concat(F.lit('{"videoDetails": {"title": "'), s))
+    html = F.concat(F.lit("<script>var other = {'x': '}'}; var ytInitialPlayerResponse = "), body, F.lit(";var y = {}</script>"))
+    state = F.concat(F.lit("<script>window.__INITIAL_STATE__={"), F.when(i % 3 == 1, '"cid": 7, ').otherwise(""), F.lit('"pages": [{"part": "}"}, {"cid": '), (i + 10).cast("string"), F.lit('}, {"cid": '), (i + 20).cast("string"), F.lit("}]};(function(){})</script>"))
+    rows = _table(spark, sf_dir).select("doc_id", scripts.embedded_json(html, "ytInitialPlayerResponse").alias("p"), scripts.embedded_json(state, "__INITIAL_STATE__").alias("v"))
+    met = rows.select("doc_id", transcripts.player_metadata(F.col("p")).alias("m"), transcripts.video_cid(F.col("v"), F.when(i % 3 == 0, "3").when(i % 3 == 1, "9").otherwise("x")).alias("cid"))
+    return met.select("doc_id", "m.title", "m.author", "m.published", "m.thumbnail", "m.seconds", "cid")
+
+
 def _origins(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     i = F.col("doc_id")
     unknown = identity.UNKNOWN

@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from lectern.functions.columns import let
 from lectern.functions.dates import page_date
 from lectern.functions.text import author, collapse, html_to_text, page_excerpt, paragraph_html, readable_text, readable_units, text_hash, unescape_js
 from lectern.functions.urls import VIDEO_HOSTS, WECHAT_HOST, hostname, resolve_url
 from lectern.operators.filters import CONTENT_ELEMENTS, KIND_CODES, page_kind, unreadable_extract
 from lectern.sources.readable import readable_all
+from lectern.sources.scripts import json_ld
 
 
 def _meta_tags(html: Column) -> Column:
@@ -44,38 +46,31 @@ def meta(html: Column, *names: str) -> Column:
 
 
 def _json_ld_blocks(html: Column) -> Column:
-    return F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1)), "\n")
-
-
-def _json_ld_value(blocks: Column, key: str) -> Column:
-    """The first text that a key has in JSON-LD, at any depth; an object gives its name."""
-    text = F.nullif(F.regexp_extract(blocks, rf'"{key}"\s*:\s*"((?:[^"\\]|\\.)*)"', 1), F.lit(""))
-    inner = F.nullif(F.regexp_extract(blocks, rf'(?s)"{key}"\s*:\s*\[?\s*\{{[^{{}}]*?"name"\s*:\s*"((?:[^"\\]|\\.)*)"', 1), F.lit(""))
-    return F.coalesce(text, inner)
+    return F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
 
 
 #: Names under which pages tell their author and their date, in this order.
 AUTHOR_NAMES = ["author", "article:author", "og:article:author", "og:author", "twitter:creator", "parsely-author", "dc.creator", "dc:creator", "byline"]
 DATE_NAMES = ["article:published_time", "og:article:published_time", "og:published_time", "published_time", "publishdate", "pubdate", "date", "dc.date"]
-JSON_LD_DATES = ["datePublished", "dateCreated", "uploadDate", "dateModified"]
 
 
 def metadata(pages: DataFrame, *keep: str) -> DataFrame:
-    """page_id, title, lang, canonical_url, author, published_at, site_name and kind of pages (page_id, url, html), and the columns to keep.
+    """page_id, title, lang, canonical_url, author, published_at, site_name, kind and types (of JSON-LD) of pages (page_id, url, html), and
+    the columns to keep.
 
     The first usable value counts: an author or a date that does not parse gives way to the next one. What several columns read of
     a page (its meta tags, JSON-LD, links and text) is a projection of its own, which Catalyst does not merge, so each is found once.
     """
-    html, tags, blocks, text, href = map(F.col, ("html", "_meta_tags", "_json_ld", "_body_text", "_canonical"))
+    html, tags, told, text, href = map(F.col, ("html", "_meta_tags", "_json_ld", "_body_text", "_canonical"))
     canonical = F.get(F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?canonical")), 0)
     body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*)$", 1)
     read = pages.select(
-        *dict.fromkeys(["page_id", *keep, "url", "html"]), _meta_tags(html).alias("_meta_tags"), _json_ld_blocks(html).alias("_json_ld"),
+        *dict.fromkeys(["page_id", *keep, "url", "html"]), _meta_tags(html).alias("_meta_tags"), json_ld(_json_ld_blocks(html)).alias("_json_ld"),
         html_to_text(F.when(body == "", html).otherwise(body)).alias("_body_text"), F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1).alias("_title"),
         F.regexp_extract(canonical, r"(?i)\bhref\s*=\s*[\"']([^\"']+)[\"']", 1).alias("_canonical"), F.regexp_extract(html, r"(?i)<time\b[^>]*\bdatetime\s*=\s*[\"']([^\"']+)", 1).alias("_time"),
     )
-    dates = F.array(*[_content(tags, n) for n in DATE_NAMES], F.nullif("_time", F.lit("")), *[_json_ld_value(blocks, k) for k in JSON_LD_DATES])
-    names = F.array(*[_content(tags, n) for n in AUTHOR_NAMES], _json_ld_value(blocks, "author"))
+    dates = F.concat(F.array(*[_content(tags, n) for n in DATE_NAMES], F.nullif("_time", F.lit(""))), told["dates"])
+    names = F.concat(F.array(*[_content(tags, n) for n in AUTHOR_NAMES]), told["authors"])
     first = lambda values, parse: F.get(F.filter(F.transform(values, parse), lambda x: x.isNotNull()), 0)
     return read.select(
         "page_id", *keep,
@@ -84,6 +79,7 @@ def metadata(pages: DataFrame, *keep: str) -> DataFrame:
         F.coalesce(resolve_url(F.nullif(href, F.lit("")), F.col("url")), _content(tags, "og:url")).alias("canonical_url"),
         first(names, author).alias("author"), first(dates, page_date).alias("published_at"), _content(tags, "og:site_name").alias("site_name"),
         page_kind(html, text, F.col("url"), inline=inline_text(html, F.col("url")).isNotNull()).alias("kind"),
+        told["types"].alias("types"),
     )
 
 
@@ -117,13 +113,17 @@ def inline_text(html: Column, url: Column) -> Column:
     return F.when((kind == "10") & (hostname(url) == WECHAT_HOST) & ~content, readable_text(unescape_js(raw)))
 
 
-def video_text(html: Column, url: Column) -> Column:
-    """What stands for the text of a page of a video: its description and its URL; null for other pages."""
-    kind = F.lower(meta(html, "og:type")).startswith("video")
-    listed = F.regexp_extract(html, r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>", 1).rlike(r'(?i)"@type"\s*:\s*(?:\[[^\]]*)?"VideoObject"')
-    here = F.coalesce(hostname(url).isin(*VIDEO_HOSTS["www.youtube.com"]), F.lit(False)) | F.coalesce(kind, F.lit(False)) | listed
-    told = readable_text(meta(html, "og:description", "twitter:description", "description"))
-    return F.when(here, F.concat_ws("\n\n", told, F.concat(F.lit("Video URL: "), url)))
+def video_text(html: Column, url: Column, types: Column) -> Column:
+    """What stands for the text of a page of a video: its description and its URL; null for other pages. types are those of its JSON-LD."""
+
+    def told(tags: Column) -> Column:
+        kind = F.lower(_content(tags, "og:type")).startswith("video")
+        listed = F.array_contains(types, "videoobject")
+        here = F.coalesce(hostname(url).isin(*VIDEO_HOSTS["www.youtube.com"]), F.lit(False)) | F.coalesce(kind, F.lit(False)) | F.coalesce(listed, F.lit(False))
+        text = readable_text(_content(tags, "og:description", "twitter:description", "description"))
+        return F.when(here, F.concat_ws("\n\n", text, F.concat(F.lit("Video URL: "), url)))
+
+    return let(_meta_tags(html), told)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def extract(pages: DataFrame) -> DataFrame:
     given = inline_text(F.col("html"), F.col("url"))
     out = metadata(out, "html", "url").withColumn("_given", F.when(given.isNotNull(), paragraph_html(given)))
     out = out.withColumn("_b", readable_block("html", "url", "title", "_given")).select("*", "_b.content_html", "_b.block_score")
-    told = paragraph_html(video_text(F.col("html"), F.coalesce("canonical_url", "url")))
+    told = paragraph_html(video_text(F.col("html"), F.coalesce("canonical_url", "url"), F.col("types")))
     empty = html_to_text(F.col("content_html")) == ""
     out = out.withColumn("content_html", F.when(empty & told.isNotNull(), told).otherwise(F.col("content_html")))
     out = out.withColumn("plain_text", F.nullif(html_to_text(F.col("content_html")), F.lit("")))
@@ -147,4 +147,4 @@ def extract(pages: DataFrame) -> DataFrame:
         "excerpt": page_excerpt(F.col("plain_text")), "units": readable_units(F.col("plain_text")), "text_hash": text_hash(F.col("plain_text")),
         "error_code": F.coalesce(code, F.when(F.col("plain_text").isNull(), "EXTRACTION_EMPTY"), unreadable),
     })
-    return out.drop("html", "url", "_given", "_b")
+    return out.drop("html", "url", "types", "_given", "_b")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.columns import let
 from lectern.functions.dates import vtt_seconds
 from lectern.functions.text import collapse, html_to_text
 from lectern.functions.urls import video_identity
+from lectern.operators.filters import transcript_due
 
 _JSON3 = "events array<struct<tStartMs: double, dDurationMs: double, segs: array<struct<utf8: string>>>>"
 _BODY = "body array<struct<`from`: double, `to`: double, content: string>>"
@@ -65,23 +67,50 @@ def best_track(tracks: DataFrame) -> DataFrame:
     return tracks.groupBy("video_id").agg(F.min_by(F.struct("idx", "lang", "kind", "base_url"), F.struct(score, "idx")).alias("t")).select("video_id", "t.*")
 
 
-def player_metadata(payload: Column) -> Column:
-    """title, author, published, thumbnail (the last) and seconds of a player's JSON."""
-    at = lambda *paths: F.coalesce(*[F.nullif(F.get_json_object(payload, p), F.lit("")) for p in paths])
-    thumbs = F.from_json(F.coalesce(F.get_json_object(payload, "$.videoDetails.thumbnail.thumbnails"), F.get_json_object(payload, "$.microformat.playerMicroformatRenderer.thumbnail.thumbnails")), "array<struct<url: string>>")
-    return F.struct(
-        at("$.videoDetails.title", "$.microformat.playerMicroformatRenderer.title.simpleText").alias("title"), at("$.videoDetails.author", "$.microformat.playerMicroformatRenderer.ownerChannelName").alias("author"),
-        at("$.microformat.playerMicroformatRenderer.publishDate").alias("published"), F.try_element_at(thumbs, F.lit(-1))["url"].alias("thumbnail"), at("$.videoDetails.lengthSeconds").try_cast("int").alias("seconds"),
-    )
+def best_subtitle(tracks: DataFrame) -> DataFrame:
+    """The subtitle of each video of the second platform (video_id, idx, lang, locked, base_url): Chinese, then others, then those without a
+    language; then the first. Locked ones are none."""
+    lang = F.coalesce(F.col("lang"), F.lit(""))
+    score = F.when(lang == "", 2).when(lang.rlike("^(?i)zh"), 0).otherwise(1)
+    free = tracks.where(~F.coalesce("locked", F.lit(False)))
+    return free.groupBy("video_id").agg(F.min_by(F.struct("idx", "lang", "base_url"), F.struct(score, "idx")).alias("t")).select("video_id", "t.*")
 
 
-def embedded_json(html: Column, marker: str) -> Column:
-    """The JSON object after a marker in a page's script: the shortest text up to a closing brace that parses."""
-    tail = F.substr(html, F.locate(marker, html) + len(marker))
-    body = F.when(F.locate(marker, html) > 0, F.regexp_extract(tail, r"(?s)^\s*=?\s*(\{.*)", 1))
-    ends = F.filter(F.transform(F.split(body, r"\}"), lambda p, i: i), lambda i: i > 0)
-    pieces = F.transform(ends, lambda i: F.concat(F.array_join(F.slice(F.split(body, r"\}"), F.lit(1), i), "}"), F.lit("}")))
-    return F.get(F.filter(pieces, lambda p: F.try_parse_json(p).isNotNull()), 0)
+def _told(*values: Column) -> Column:
+    """The first text that is not blank, without white space at its ends."""
+    return F.coalesce(*[F.nullif(F.regexp_replace(v, r"^\s+|\s+$", ""), F.lit("")) for v in values])
+
+
+def player_metadata(player: Column, watch: Column | None = None) -> Column:
+    """title, author, published (as it is written), thumbnail (the last that has a URL) and seconds of a player's JSON (VARIANT), or of that of
+    its page where the player has not the part; null without a title."""
+    text = lambda v, path: F.try_variant_get(v, path, "string")
+    part = lambda path: F.coalesce(*[F.try_variant_get(v, path, "variant") for v in (player, watch) if v is not None])
+    both = F.struct(part("$.videoDetails").alias("d"), part("$.microformat.playerMicroformatRenderer").alias("m"))
+
+    def thumbnail(v: Column) -> Column:
+        urls = F.transform(F.try_variant_get(v, "$.thumbnail.thumbnails", "array<variant>"), lambda t: _told(text(t, "$.url")))
+        return F.try_element_at(F.filter(urls, lambda u: u.isNotNull()), F.lit(-1))
+
+    def cascade(x: Column) -> Column:
+        d, m = x["d"], x["m"]
+        title = _told(text(d, "$.title"), text(m, "$.title"))
+        made = F.struct(
+            title.alias("title"), _told(text(d, "$.author")).alias("author"), _told(text(m, "$.publishDate"), text(m, "$.uploadDate")).alias("published"),
+            F.coalesce(thumbnail(d), thumbnail(m)).alias("thumbnail"), _told(text(d, "$.lengthSeconds")).try_cast("int").alias("seconds"),
+        )
+        return F.when(title.isNotNull(), made)
+
+    return let(both, cascade)
+
+
+def video_cid(video: Column, page: Column) -> Column:
+    """The id of a video's part: that of the page with this number (a text), else the video's own, else that of the first page that has one."""
+    cid = lambda v: F.try_variant_get(v, "$.cid", "bigint")
+    number = F.regexp_extract(page, r"^\s*\+?(\d+)", 1).try_cast("int")
+    pages = F.try_variant_get(video, "$.pages", "array<variant>")
+    asked = F.when(number > 0, cid(F.get(pages, number - 1)))
+    return F.coalesce(asked, cid(video), F.get(F.filter(F.transform(pages, cid), lambda c: c.isNotNull()), 0))
 
 
 def video_documents(docs: DataFrame) -> DataFrame:
@@ -91,8 +120,8 @@ def video_documents(docs: DataFrame) -> DataFrame:
 
 
 def refresh_videos(docs: DataFrame, captured: DataFrame) -> DataFrame:
-    """docs whose transcript was not ready take that of a later capture (id, segments, text), and lose their origin."""
+    """docs whose transcript is due (filters.transcript_due()) take that of a later capture (id, segments, text), and lose their origin."""
     new = captured.where(F.size("segments") > 0).select("id", F.col("segments").alias("new_segments"), F.col("text").alias("new_text"))
-    due = ~F.col("transcript_status").eqNullSafe("READY") & F.col("new_segments").isNotNull()
+    due = transcript_due() & F.col("new_segments").isNotNull()
     out = docs.join(new, "id", "left").withColumn("due", due)
     return out.withColumns({"transcript_segments": F.when(F.col("due"), F.col("new_segments")).otherwise(F.col("transcript_segments")), "plain_text": F.when(F.col("due"), F.col("new_text")).otherwise(F.col("plain_text")), "content_origin_key": F.when(~F.col("due"), F.col("content_origin_key")), "transcript_status": F.when(F.col("due"), "READY").otherwise(F.col("transcript_status"))}).drop("due", "new_segments", "new_text")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import dates, text, urls
 from lectern.operators import dedupe, filters, highlights, identity, jobs, scans
 from lectern.plans import registry
-from lectern.sources import feeds, pages, readable, transcripts
+from lectern.sources import feeds, pages, readable, scripts, transcripts
 
 
 def one(spark, value, f, kind="string"):
@@ -195,7 +195,17 @@ def test_transcripts(spark):
     times = spark.createDataFrame([("v", 0.5), ("v", 1.5), ("v", 9.0)], "video_id string, at double")
     asked = {r["at"]: r["text"] for r in transcripts.active_segments(times, transcripts.timeline(transcripts.segments(df))).collect()}
     assert asked == {0.5: None, 1.5: "one", 9.0: "two"}
-    assert one(spark, 'x var p = {"a": {"b": "}"}}; {', lambda c: transcripts.embedded_json(c, "var p")) == '{"a": {"b": "}"}}'
+
+
+def test_embedded_objects(spark):
+    found = lambda t: scripts.balanced_object(t, "var p")
+    assert found('x var p = {"a": {"b": "}"}}; {') == '{"a": {"b": "}"}}' and found("var p = {'a': '\\'}'}") == "{'a': '\\'}'}"
+    assert found("var p = {") is None and found('var p = {"a}') is None and found("none") is None and found("var p") is None
+    long = 'var p = {"t": "' + "\\}{ " * 300_000 + '", "l": [' + "{}," * 100_000 + "{}]} }"
+    assert found(long) == long[8:-2]
+    assert one(spark, 'var p = {"a": [1, {"b": "c"}]};', lambda c: F.try_variant_get(scripts.embedded_json(c, "var p"), "$.a[1].b", "string")) == "c"
+    assert one(spark, "var p = {bad}", lambda c: scripts.embedded_json(c, "var p").isNull())
+    assert scripts.read_json_ld(["[" * 5000 + "]" * 5000, '{"author": "A"}', "x"])[0] == ["A"]
 
 
 def test_feeds(spark):
