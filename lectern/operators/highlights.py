@@ -2,51 +2,89 @@
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Quotes and dashes that count as one.
 SINGLE, DOUBLE, DASHES = "‘’‚‛′`´", "“”„‟″«»", "-‐‑‒–—―−"
-_FOLD = {**dict.fromkeys(map(ord, SINGLE), "'"), **dict.fromkeys(map(ord, DOUBLE), '"')}
-
-
-def searchable(text: str) -> tuple[str, list[tuple[int, int]]]:
-    """The text without white space, quotes folded and runs of dashes as one, and where each character stands in the text."""
-    out, spans, i = [], [], 0
-    while i < len(text):
-        c, j = text[i], i + 1
-        if c in DASHES:
-            while j < len(text) and text[j] in DASHES:
-                j += 1
-            c = "-"
-        if not c.isspace():
-            out.append(c.translate(_FOLD))
-            spans.append((i, j))
-        i = j
-    return "".join(out), spans
+#: White space, which is left out of what is searched.
+SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
+
+
+def searchable(text: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """The text without white space, quotes folded and runs of dashes as one, and where each character starts and ends in the text."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").copy()
+    dash = np.isin(codes, np.array([ord(c) for c in DASHES], np.uint32))
+    codes[dash] = ord("-")
+    for signs, one in ((SINGLE, "'"), (DOUBLE, '"')):
+        codes[np.isin(codes, np.array([ord(c) for c in signs], np.uint32))] = ord(one)
+    goes_on = np.append(dash[1:] & dash[:-1], False) if len(codes) else dash  # a dash that another one follows
+    first = dash & ~np.append(False, dash)[:-1]
+    keep = np.where(dash, first, ~np.isin(codes, SPACES))
+    starts = np.flatnonzero(keep)
+    run_ends = np.flatnonzero(~goes_on)
+    ends = run_ends[np.searchsorted(run_ends, starts)] + 1
+    return codes[keep].tobytes().decode("utf-32-le", "surrogatepass"), starts, ends
+
+
+class Spans:
+    """A set of spans as its sorted, disjoint parts."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_right(self.ends, a)
+        return i < len(self.starts) and self.starts[i] < b
+
+    def add(self, a: int, b: int) -> None:
+        i, j = bisect_left(self.ends, a), bisect_right(self.starts, b)
+        if i < j:
+            a, b = min(a, self.starts[i]), max(b, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [a], [b]
+
+
+def occurrences(flat: str, wanted: set[str]) -> dict[str, array]:
+    """Where each of the wanted texts starts, in order: one pass of an automaton over the text, whatever their number."""
+    import ahocorasick
+
+    automaton, found = ahocorasick.Automaton(), {w: array("q") for w in wanted}
+    for w in wanted:
+        automaton.add_word(w, w)
+    if wanted:
+        automaton.make_automaton()
+        for end, w in automaton.iter(flat):
+            found[w].append(end - len(w) + 1)
+    return found
 
 
 def anchor_all(text: str, marks: list[tuple]) -> list[tuple]:
-    """(id, start, end) of marks (id, quote, start, end) in order: given offsets stay, other quotes take the first free match."""
-    flat, spans = searchable(text)
-    taken, out = [], []
-    for ident, quote, start, end in marks:
-        if start is not None and end is not None and 0 <= start < end:
-            taken.append((start, end))
+    """(id, start, end) of marks (id, quote, start, end) in order: given offsets stay, other quotes take the first free match.
+
+    A place that was taken stays taken, so each quote goes through its places once, however many marks have it.
+    """
+    flat, starts, ends = searchable(text)
+    given = lambda m: m[2] is not None and m[3] is not None and 0 <= m[2] < m[3]
+    wanted = [None if given(m) else searchable(m[1] or "")[0] for m in marks]
+    places = {w: iter(at) for w, at in occurrences(flat, {w for w in wanted if w}).items()}
+    taken, out = Spans(), []
+    for (ident, _, start, end), w in zip(marks, wanted, strict=True):
+        if w is None:
+            taken.add(start, end)
             out.append((ident, start, end))
-            continue
-        wanted = searchable(quote or "")[0]
-        at = flat.find(wanted) if wanted else -1
-        while at >= 0:
-            a, b = spans[at][0], spans[at + len(wanted) - 1][1]
-            if not any(x < b and a < y for x, y in taken):
-                taken.append((a, b))
+        for at in places.get(w, ()):
+            a, b = int(starts[at]), int(ends[at + len(w) - 1])
+            if not taken.meets(a, b):
+                taken.add(a, b)
                 out.append((ident, a, b))
                 break
-            at = flat.find(wanted, at + 1)
     return out
 
 

@@ -179,6 +179,82 @@ def test_anchoring():
     assert highlights.anchor_all(doc, [("a", '"well-known"', None, None), ("b", "well - known", None, None), ("c", "x", 0, 2), ("d", "absent", None, None)]) == [("a", 8, 22), ("b", 27, 37), ("c", 0, 2)]
 
 
+def naive_anchors(text, marks):
+    """Marks anchored one after the other, each by a search of its own."""
+    quotes = {**dict.fromkeys(highlights.SINGLE, "'"), **dict.fromkeys(highlights.DOUBLE, '"')}
+
+    def fold(t):
+        out, i = [], 0
+        while i < len(t):
+            j = i + 1
+            if t[i] in highlights.DASHES:
+                while j < len(t) and t[j] in highlights.DASHES:
+                    j += 1
+                out.append(("-", i, j))
+            elif not t[i].isspace():
+                out.append((quotes.get(t[i], t[i]), i, j))
+            i = j
+        return out
+
+    flat, taken, made = fold(text), [], []
+    line = "".join(c for c, _, _ in flat)
+    for ident, quote, start, end in marks:
+        if start is not None and end is not None and 0 <= start < end:
+            taken.append((start, end))
+            made.append((ident, start, end))
+            continue
+        w = "".join(c for c, _, _ in fold(quote or ""))
+        at = line.find(w) if w else -1
+        while at >= 0:
+            a, b = flat[at][1], flat[at + len(w) - 1][2]
+            if not any(x < b and a < y for x, y in taken):
+                taken.append((a, b))
+                made.append((ident, a, b))
+                break
+            at = line.find(w, at + 1)
+    return made
+
+
+def test_anchors_equal_one_by_one():
+    import random
+
+    r = random.Random(11)
+    for _ in range(300):
+        text = "".join(r.choice("ab ab-—'’“ \n😀") for _ in range(r.randrange(60)))
+        marks = []
+        for k in range(r.randrange(12)):
+            at = r.randrange(len(text) + 1)
+            quote = r.choice([text[at : at + r.randrange(6)], "a b", "", None, "—-", "ba"])
+            marks.append((k, quote, r.choice([None, None, at]), r.choice([None, at + r.randrange(4)])))
+        assert highlights.anchor_all(text, marks) == naive_anchors(text, marks)
+
+
+def test_many_quotes_of_one_text():
+    import time
+
+    words = [f"w{i % 5000}x" for i in range(60_000)]
+    text = " ".join(words)
+    marks = [(i, f"{words[i]} {words[i + 1]}", None, None) for i in range(10_000)] + [(-i, "w7x", None, None) for i in range(1, 2000)]
+    start = time.time()
+    got = highlights.anchor_all(text, marks)
+    assert time.time() - start < 10 and len(got) >= 10_000
+    assert got[:50] == naive_anchors(text, marks[:50])
+
+
+def test_quote_query_equals_one_by_one(spark):
+    import os
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the given tables")
+    got = {r["document_id"]: (r["start"], r["end"]) for r in registry.queries()["quote_anchor_folded"](spark, folder).collect()}
+    want = {}
+    for d in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        quote = "".join("  \n " if c in " \t\n\x0b\f\r" else c for c in d["text"][11:71])
+        want.update({d["doc_id"]: a[1:] for a in naive_anchors(d["text"], [("q", quote, None, None)])})
+    assert got == want
+
+
 def test_paragraphs_and_segments(spark):
     df = spark.createDataFrame([(1, "ab\n\n  \n\n\ncdef")], "id int, text string")
     assert [tuple(r)[1:] for r in highlights.paragraphs(df).collect()] == [(0, 0, 2, "ab"), (1, 9, 13, "cdef")]
