@@ -99,12 +99,38 @@ def site_url(url: Column) -> Column:
     return F.regexp_replace(url, "/$", "")
 
 
-def wechat_target(url: Column) -> Column:
-    """The article that a wrapper page of the messenger leads to (its url or target_url parameter, decoded up to twice)."""
-    raw = F.coalesce(query_value(url, "target_url"), query_value(url, "url"))
-    once = F.try_url_decode(raw)
-    out = F.when(once.rlike("^(?i)https?%3a"), F.try_url_decode(once)).otherwise(once)
-    return F.when(out.rlike("^(?i)https?://"), out)
+#: The path of the messenger's wrapper page, and how its pages name a target.
+WRAPPER_PATH, TARGET_IN_PAGE = "/mp/wappoc_appmsgcaptcha", r"""(?i)\btarget_url\s*[:=]\s*["']([^"'<>]+)["']"""
+#: Wrappers inside wrappers that are followed.
+WRAPPERS = 4
+
+
+def _decoded(value: Column) -> Column:
+    """A text with its escapes decoded up to twice; what cannot be decoded stays."""
+    once = lambda c: F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    return let(F.trim(value), lambda v: let(once(v), once))
+
+
+def wechat_link(value: Column, base: Column, wrappers: int = WRAPPERS) -> Column:
+    """The article of the messenger that a link leads to: decoded, resolved, and taken out of wrapper pages; null for other pages and hosts."""
+
+    def target(url: Column) -> Column:
+        inner = F.regexp_extract(url, r"[?&]target_url=([^&#]*)", 1)
+        wrapped = wechat_link(F.nullif(inner, F.lit("")), base, wrappers - 1) if wrappers else F.lit(None).cast("string")
+        article = _part(url, 2).startswith("/s") | (F.coalesce(query_value(url, "__biz"), F.lit("")) != "")
+        return F.when(hostname(url) == WECHAT_HOST, F.when(_part(url, 2) == WRAPPER_PATH, wrapped).when(article, url))
+
+    return let(resolve_url(F.nullif(_decoded(value), F.lit("")), base), target)
+
+
+def wechat_target(final_url: Column, request_url: Column, html: Column) -> Column:
+    """The article that a wrapper page of the messenger leads to: by target_url of its URL, of the requested one or in its script, else by its first usable link."""
+    base = F.coalesce(final_url, request_url, F.lit(f"https://{WECHAT_HOST}/"))
+    asked = lambda url: F.nullif(F.regexp_extract(url, r"[?&]target_url=([^&#]*)", 1), F.lit(""))
+    told = F.array(asked(final_url), asked(request_url), F.nullif(F.regexp_extract(html, TARGET_IN_PAGE, 1), F.lit("")))
+    hrefs = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1))
+    links = F.concat(told, F.coalesce(hrefs, F.array().cast("array<string>")))
+    return F.get(F.filter(F.transform(links, lambda x: wechat_link(x, base)), lambda x: x.isNotNull()), 0)
 
 
 def fold_dots(path: Column) -> Column:

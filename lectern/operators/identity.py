@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.urls import WECHAT_HOST, hostname, query_value, source_host
 from lectern.operators.durable import Stored, stored
-from lectern.operators.filters import recent
+from lectern.operators.filters import ListQuery, recent, select_documents
 
 #: Fixed value: the label of publications that are not known.
 UNKNOWN = "未识别公众号"
@@ -54,6 +54,18 @@ def origin_metadata(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"biz": F.when(here, biz), "nickname": F.when(here, name), "origin_key": F.when(here, key)})
 
 
+def origin_scan(docs: DataFrame, query: ListQuery) -> DataFrame:
+    """id, ord, biz, nickname and label of the documents that a listing has, whatever origin it asks for: what its origins are told from.
+
+    Only key columns are read, and a page's HTML where its document has no key.
+    """
+    rows = select_documents(docs, query)
+    told = origin_metadata(rows.withColumn("raw_html", F.when(F.col("content_origin_key").isNull(), F.col("raw_html"))))
+    biz = F.coalesce(F.nullif(F.regexp_extract("content_origin_key", "^wechat:biz:(.+)$", 1), F.lit("")), "biz")
+    name = F.coalesce(F.nullif(F.regexp_extract("content_origin_key", "^wechat:nickname:(.+)$", 1), F.lit("")), "nickname")
+    return told.select("id", F.col("id").alias("ord"), biz.alias("biz"), name.alias("nickname"), F.coalesce("content_origin_label", "nickname").alias("label"))
+
+
 def preferred_biz(rows: DataFrame) -> DataFrame:
     """nickname and biz (null if none is clearly dominant) by a vote of the rows that have both.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.columns import let
+from lectern.functions.urls import video_identity
 from lectern.operators.filters import ListQuery, lead, preview, select_documents, text_search
 from lectern.operators.scans import with_next
 
@@ -69,9 +71,46 @@ def with_details(docs: DataFrame, contents: DataFrame, tags: DataFrame) -> DataF
     return joined.withColumn("tags", F.coalesce("tags", F.array().cast(own.schema["tags"].dataType)))
 
 
+_SHOWN = ["id", "type", "title", "source_url", "canonical_url", "ai_summary", "ai_summary_status", "excerpt", "author", "read_state", "reading_progress", "is_favorite", "ingestion_status"]
+_TIMES = ["published_at", "entered_reading_at"]
+_SOURCE = ["source_id", "source_title", "site_url"]
+
+
+def _iso(c: str) -> Column:
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias(c)
+
+
+def _source() -> Column:
+    """The document's source as a struct; null if it has none."""
+    return F.when(F.col("source_id").isNotNull(), F.struct(F.col("source_id").alias("id"), F.col("source_title").alias("title"), "site_url")).alias("source")
+
+
 def list_items(docs: DataFrame) -> DataFrame:
-    """What a list shows of documents."""
-    return docs.select("id", "title", "type", preview().alias("preview"), lead().alias("lead"), "read_state", "is_favorite", F.col("published_at"), "created_at")
+    """What a list shows of documents (as with_details() and a source give them): no text, its number of words, and what opens them."""
+    return docs.select(
+        *_SHOWN, "lang", *map(_iso, [*_TIMES, "created_at", "updated_at"]), F.col("word_count"), F.coalesce("tags", F.array().cast("array<struct<slug: string, name: string>>")).alias("tags"), _source(),
+        preview().alias("preview"), lead().alias("lead"),
+    )
+
+
+def _video() -> Column:
+    """provider and embed_url of the first of a document's URLs that is a video's; null for others."""
+    found = F.coalesce(*[video_identity(F.col(c)) for c in ("video_url", "canonical_url", "source_url")])
+    return let(found, lambda v: F.when(v.isNotNull(), F.struct(v["provider"].alias("provider"), v["embed_url"].alias("embed_url")))).alias("video")
+
+
+def detail_items(docs: DataFrame) -> DataFrame:
+    """All that a document's page shows: the list's columns, its origin (if key and label are there), content, video and latest error (error_code, error_message)."""
+    origin = F.when(F.col("content_origin_key").isNotNull() & F.col("content_origin_label").isNotNull(), F.struct(F.col("content_origin_key").alias("key"), F.col("content_origin_label").alias("label")))
+    error = F.when(F.col("error_code").isNotNull(), F.struct(F.col("error_code").alias("code"), F.col("error_message").alias("message")))
+    content = F.when(F.col("plain_text").isNotNull() | F.col("content_html").isNotNull(), F.struct("content_html", "plain_text", "word_count"))
+    return docs.select(*_SHOWN, "lang", *map(_iso, [*_TIMES, "created_at", "updated_at"]), "tags", _source(), origin.alias("origin"), error.alias("error"), content.alias("content"), _video())
+
+
+def reader_items(docs: DataFrame) -> DataFrame:
+    """What the reader shows: HTML and its number of words, not the plain text; the origin's label alone; no tags, source or language."""
+    content = F.when(F.col("plain_text").isNotNull() | F.col("content_html").isNotNull(), F.struct("content_html", "word_count"))
+    return docs.select(*_SHOWN, *map(_iso, _TIMES), F.col("content_origin_label").alias("origin"), content.alias("content"), _video())
 
 
 def relation_counts(parents: DataFrame, children: DataFrame, key: str, name: str) -> DataFrame:

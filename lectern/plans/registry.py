@@ -21,7 +21,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def _load() -> dict:
-    from lectern.plans import card_queries, document_queries, event_queries, page_queries, rule_queries, stream_queries  # noqa: F401
+    from lectern.plans import card_queries, document_queries, event_queries, library_queries, page_queries, rule_queries, stream_queries  # noqa: F401
 
     return QUERIES
 
