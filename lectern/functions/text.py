@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lectern.functions.columns import let
+
 #: Tags whose end breaks a line.
 BLOCK_ENDS = "p|section|article|li|ul|ol|h1|h2|h3|h4|h5|h6|blockquote|figure|figcaption|pre|tr|table|thead|tbody"
 #: Entities that text has decoded, in this order.
@@ -52,11 +54,23 @@ def unescape_js(c: Column) -> Column:
     return c
 
 
+#: Scripts whose letters count as units of their own; none of them is below U+1100.
+_IDEOGRAPHS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
+#: A sign that stands for a token while tokens are counted.
+_TOKEN = "\u0001"
+
+
 def readable_units(c: Column, joiners: str = "._'’-") -> Column:
-    """Ideographs and kana plus Latin tokens."""
-    t = F.coalesce(c, F.lit(""))
+    """Ideographs and kana plus Latin tokens.
+
+    Ideographs are what is left once runs of other characters are gone. Tokens are counted by a sign that replaces them, which makes
+    no array of them; texts that hold the sign are counted one by one.
+    """
     latin = rf"[A-Za-z0-9]+(?:[{joiners}][A-Za-z0-9]+)*"
-    return (F.regexp_count(t, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]")) + F.regexp_count(t, F.lit(latin))).cast("int")
+    ideographs = lambda t: F.length(F.regexp_replace(F.regexp_replace(t, r"[\x00-\x{10FF}]+", ""), f"[^{_IDEOGRAPHS}]+", ""))
+    signs = lambda t: F.length(t) - F.length(F.replace(t, F.lit(_TOKEN), F.lit("")))
+    tokens = lambda t: F.when(F.contains(t, F.lit(_TOKEN)), F.regexp_count(t, F.lit(latin))).otherwise(let(F.regexp_replace(t, latin, _TOKEN), signs))
+    return let(F.coalesce(c, F.lit("")), lambda t: ideographs(t) + tokens(t)).cast("int")
 
 
 def video_units(c: Column) -> Column:

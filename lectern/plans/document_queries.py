@@ -135,7 +135,10 @@ greatest(1, ceil(len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[._''’-][A-Za-z0
 CASE WHEN length(text) > 220 THEN rtrim(left(text, 220), ' ') || '…' ELSE text END AS excerpt, nullif(rtrim(left(trim(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^["''“”]+|["''“”]+$', '', 'g')), 180)), '') AS summary FROM documents""")
 def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return _docs(spark, sf_dir).select("doc_id", readable_units(t).alias("units"), video_units(t).alias("video_units"), reading_minutes(readable_units(t)).alias("minutes"), bookmark_words(F.lit(None).cast("int"), t).alias("chars"), feed_excerpt(t).alias("excerpt"), clean_summary(t).alias("summary"))
+    told = _docs(spark, sf_dir).select(
+        "doc_id", readable_units(t).alias("units"), video_units(t).alias("video_units"), bookmark_words(F.lit(None).cast("int"), t).alias("chars"), feed_excerpt(t).alias("excerpt"), clean_summary(t).alias("summary"),
+    )
+    return told.withColumn("minutes", reading_minutes(F.col("units")))
 
 
 @query(_LIB + "SELECT count(*) FILTER (fav) AS starred, count(*) FILTER (summary IS NOT NULL) AS summarised, count(*) FILTER (id % 11 = 0) AS highlighted FROM lib")

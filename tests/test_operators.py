@@ -55,7 +55,7 @@ def test_pages_that_parsers_refuse(spark):
 def test_text(spark):
     assert one(spark, "<h1>A</h1><p>b &amp; c<br>d</p>", text.html_to_text) == "A\nb & c\nd"
     assert one(spark, "x" * 221, text.feed_excerpt) == "x" * 220 + "…" and one(spark, "x" * 220, text.feed_excerpt) == "x" * 220
-    assert one(spark, "你好 it's a-b 12", text.readable_units) == 5
+    assert one(spark, "你好 it's a-b 12", text.readable_units) == 5 and one(spark, "ᄀ 한글 かな ア 〇 é x\u0001y z", text.readable_units) == 10 and one(spark, None, text.readable_units) == 0
     assert one(spark, "By: Jane Doe", text.byline_author) == "Jane Doe" and one(spark, "https://x.y", text.author) is None
     assert one(spark, "# T\n\n- a **b**\n\n[l](https://x.y)", text.markdown_text) == "T\n\na b\n\nl"
     assert one(spark, "A, b，a\nC", text.categories) == ["A", "b", "C"]
