@@ -343,6 +343,25 @@ def feed_entries_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feed_totals(feeds.entries(_feed_xml(spark, sf_dir, F.col("text"))))
 
 
+@query("""WITH s AS (SELECT DISTINCT source, length(source) % 5 AS f FROM documents)
+SELECT source AS feed_id, CASE WHEN f IN (2, 3) THEN 'atom' ELSE 'rss' END AS kind, CASE WHEN f IN (1, 3) THEN 'f.example.com' ELSE 'T & ' || source END AS title, CASE f WHEN 0 THEN 'https://f.example.com/' || source WHEN 2 THEN 'https://' || source || '.org' WHEN 3 THEN 'https://f.example.com' WHEN 4 THEN 'https://x.org/y' END AS site_url,
+  CASE f WHEN 0 THEN 'en' WHEN 2 THEN 'de' END AS lang FROM s""")
+def feed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, sites and languages of feeds in five forms: RSS with CDATA, without a title, Atom, Atom without a title and a link, and no XML at all."""
+    s = F.col("source")
+    c = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    items = "<item><title>no</title><link>no</link></item><item><description>a</description></item>"
+    forms = [
+        c('<?xml version="1.0"?><rss xmlns:atom="a"><channel><atom:link href="no" rel="self"/><title><![CDATA[ T & ', s, f"]]></title><image><title>no</title><link>no</link></image>{items}<link>/", s, "/</link><language> en </language></channel></rss>"),
+        c(f"<rss><channel><title> </title><link></link>{items}</channel></rss>"),
+        c('<feed xml:lang="de" xmlns="http://www.w3.org/2005/Atom"><title type="html">T &amp; ', s, '</title><link rel="self" href="no"/><link rel="Alternate" href="https://', s, '.org/"/><entry><title>no</title></entry></feed>'),
+        c('<feed><link rel="self" href="no"/><entry><title>no</title></entry></feed>'), c("<rss><channel><title>T & ", s, f"</title><link>https://x.org/y</link>{items}</channel></rss>"),
+    ]
+    xml = F.coalesce(*[F.when(F.length(s) % 5 == k, f) for k, f in enumerate(forms)])
+    rows = _docs(spark, sf_dir).select("source").distinct().select(s.alias("feed_id"), F.lit("https://f.example.com/feed").alias("feed_url"), xml.alias("xml"))
+    return feeds.feed_headers(rows)
+
+
 def _feed_totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("feed_id").agg(F.count("*").alias("n"), F.countDistinct("external_id").alias("ids"), F.sum(F.length("plain_text")).alias("chars"), F.unix_seconds(F.max("published_at")).alias("latest"))
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.columns import let
 from lectern.functions.dates import feed_date
-from lectern.functions.text import categories_match, collapse, distinct_folded, fallback_id, feed_excerpt, html_to_text, text_hash
-from lectern.functions.urls import normalize_url, resolve_url
+from lectern.functions.text import ENTITIES, categories_match, collapse, distinct_folded, fallback_id, feed_excerpt, text_hash
+from lectern.functions.urls import hostname, normalize_url, resolve_url, site_url
 from lectern.operators.durable import Stored, stored
 from lectern.operators.filters import published_since
 
@@ -25,46 +26,96 @@ def discover_feed(html: Column, base: Column) -> Column:
     return resolve_url(href, base)
 
 
-def _field(item: Column, *tags: str) -> Column:
-    """The text of the first of these elements that is not blank."""
-    def one(tag: str) -> Column:
-        raw = F.regexp_extract(item, rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)
-        return F.nullif(F.trim(F.regexp_replace(raw, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")), F.lit(""))
+#: Elements of entries and of feeds, as the XML reader types them: lists, since each may repeat; _bad holds what it cannot read.
+_RSS_ITEM = ", ".join(f"`{n}` array<string>" for n in ("title", "link", "guid", "category", "author", "dc:creator", "creator", "pubDate", "dc:date", "content:encoded", "encoded", "description")) + ", _bad string"
+_LINKS = "link array<struct<_href string, _rel string>>"
+_ATOM_ENTRY = (
+    f"title array<string>, {_LINKS}, id array<string>, category array<struct<_term string, _VALUE string>>, author array<struct<name array<string>, _VALUE string>>, "
+    "published array<string>, updated array<string>, content array<string>, summary array<string>, _bad string"
+)
+_RSS_FEED = "channel array<struct<title array<string>, link array<string>, language array<string>>>, _bad string"
+_ATOM_FEED = f"title array<string>, {_LINKS}, `_xml:lang` string, _lang string, _bad string"
+#: Titles of items and feeds that have none.
+UNTITLED_ITEM, UNTITLED_FEED = "Untitled item", "Untitled feed"
 
-    return F.coalesce(*map(one, tags))
 
+def _xml(text: Column, schema: str) -> Column:
+    """A text read by a schema. One that is no XML is read again without characters that XML has not and with its bare ampersands escaped."""
+    read = lambda t: F.from_xml(t, schema, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    mended = F.regexp_replace(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", ""), r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)", "&amp;")
+    return let(read(text), lambda x: F.when(x["_bad"].isNotNull(), read(mended)).otherwise(x))
 
-def _plain(c: Column) -> Column:
-    return html_to_text(F.when(c.rlike("&lt;"), html_to_text(c)).otherwise(c))
+
+def _clean(c: Column) -> Column:
+    """A text without white space at its ends; blank gives null."""
+    return F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+
+
+def _first(values: Column) -> Column:
+    return _clean(F.get(values, 0))
+
+
+def _plain(html: Column) -> Column:
+    """The text of HTML on one line; tags leave no space. Null counts as empty."""
+    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->|<[^>]*>", "")
+    for name, char in ENTITIES:
+        t = F.regexp_replace(t, f"(?i)&{name};", char)
+    return F.coalesce(collapse(t), F.lit(""))
+
+
+def _alternate(links: Column) -> Column:
+    """The address of the first link without a relation, or to the alternate form."""
+    usable = F.filter(links, lambda x: F.lower(F.coalesce(x["_rel"], F.lit(""))).isin("", "alternate"))
+    return F.get(usable, 0)["_href"]
+
+
+def feed_headers(feeds: DataFrame) -> DataFrame:
+    """feed_id, kind, title, site_url and lang of feeds (feed_id, feed_url, xml): what stands before their entries.
+
+    A feed without a title has its host's name; an Atom feed without a link has the site of its own URL. Texts that are no feed give no row.
+    """
+    kind = feed_kind(F.col("xml"), F.lit(None).cast("string"))
+    head = F.regexp_replace("xml", r"(?s)<(item|entry)[\s>].*</\1\s*>", "")
+    rows = feeds.select("feed_id", "feed_url", kind.alias("kind"), head.alias("head")).where("kind is not null")
+    atom = F.col("kind") == "atom"
+    read = rows.withColumns({"_r": F.when(~atom, _xml(F.col("head"), _RSS_FEED)), "_a": F.when(atom, _xml(F.col("head"), _ATOM_FEED))})
+    channel = F.get("_r.channel", 0)
+    title = F.when(atom, _first(F.col("_a.title"))).otherwise(_first(channel["title"]))
+    origin = F.nullif(F.regexp_extract("feed_url", r"^(?i)(https?://[^/?#\s]+)", 1), F.lit(""))
+    site = F.when(atom, F.coalesce(resolve_url(_alternate(F.col("_a.link")), F.col("feed_url")), origin)).otherwise(resolve_url(_first(channel["link"]), F.col("feed_url")))
+    lang = F.when(atom, F.coalesce(_clean(F.col("_a.`_xml:lang`")), _clean(F.col("_a._lang")))).otherwise(_first(channel["language"]))
+    return read.select("feed_id", "kind", F.coalesce(title, hostname(F.col("feed_url")), F.lit(UNTITLED_FEED)).alias("title"), site_url(site).alias("site_url"), lang.alias("lang"))
 
 
 def entries(feeds: DataFrame, *keep: str) -> DataFrame:
     """A row for each entry of feeds (feed_id, feed_url, xml, and the columns to keep), RSS items or Atom entries, in order of pos.
 
-    Entries without title, URL and text go. Without an id an entry's is a hash of feed, URL, title and date.
+    Entries are cut out of their feed and read by the XML reader, each once. Those without a text go. Without a title an entry has its
+    URL for one; without an id its id is its URL, else a hash of title, text and date.
     """
     atom = feed_kind(F.col("xml"), F.lit(None).cast("string")) == "atom"
-    items = F.when(atom, F.regexp_extract_all("xml", F.lit(r"(?s)<entry[\s>].*?</entry>"), F.lit(0))).otherwise(F.regexp_extract_all("xml", F.lit(r"(?s)<item[\s>].*?</item>"), F.lit(0)))
+    items = F.when(atom, F.regexp_extract_all("xml", F.lit(r"(?s)<entry[\s>].*?</entry\s*>"), F.lit(0))).otherwise(F.regexp_extract_all("xml", F.lit(r"(?s)<item[\s>].*?</item\s*>"), F.lit(0)))
     # what needs the whole feed is taken before the explosion, so no row of an entry carries its feed
     rows = feeds.select("feed_id", "feed_url", *keep, atom.alias("atom"), items.alias("items")).select("feed_id", "feed_url", *keep, "atom", F.posexplode("items").alias("pos", "item"))
-    links = F.regexp_extract_all("item", F.lit(r"<link\b[^>]*>"), F.lit(0))
-    alternate = F.get(F.filter(links, lambda t: ~t.rlike(r"\brel\s*=") | t.rlike(r"\brel\s*=\s*[\"'](?:alternate)?[\"']")), 0)
-    href = F.nullif(F.regexp_extract(alternate, r"\bhref\s*=\s*[\"']([^\"']+)[\"']", 1), F.lit(""))
-    url = resolve_url(html_to_text(F.when(F.col("atom"), href).otherwise(F.coalesce(_field(F.col("item"), "link"), F.when(_field(F.col("item"), "guid").rlike("^https?://"), _field(F.col("item"), "guid"))))), F.col("feed_url"))
-    content = _field(F.col("item"), "content:encoded", "content", "description", "summary")
-    named = F.regexp_extract_all("item", F.lit(r"(?s)<category(?:\s[^>]*)?>(.*?)</category>"), F.lit(1))
-    terms = F.regexp_extract_all("item", F.lit(r"<category\b[^>]*\bterm\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))
-    cats = F.filter(F.transform(F.when(F.col("atom"), terms).otherwise(named), lambda c: collapse(html_to_text(F.regexp_replace(c, r"<!\[CDATA\[|\]\]>", "")))), lambda c: c.isNotNull())
-    author = F.coalesce(_field(F.col("item"), "dc:creator"), collapse(html_to_text(_field(F.col("item"), "name", "author"))))
-    out = rows.select(
-        "feed_id", "pos", *keep, collapse(_plain(_field(F.col("item"), "title"))).alias("title"), url.alias("url"), author.alias("author"),
-        feed_date(_field(F.col("item"), "pubDate", "published", "dc:date", "updated")).alias("published_at"), collapse(_plain(content)).alias("plain_text"), distinct_folded(cats).alias("categories"),
-        _field(F.col("item"), "guid", "id").alias("guid"),
-    ).where("title is not null or url is not null or plain_text is not null")
+    is_atom, r, a = F.col("atom"), F.col("_r"), F.col("_a")
+    read = rows.withColumns({"_r": F.when(~is_atom, _xml(F.col("item"), _RSS_ITEM)), "_a": F.when(is_atom, _xml(F.col("item"), _ATOM_ENTRY))}).drop("item")
+    either = lambda x, y: F.when(is_atom, y).otherwise(x)
+    author = either(F.coalesce(_first(r["author"]), _first(r["dc:creator"]), _first(r["creator"])), F.coalesce(_first(F.get(a["author"], 0)["name"]), _clean(F.get(a["author"], 0)["_VALUE"])))
+    said = either(F.coalesce(_first(r["pubDate"]), _first(r["dc:date"])), F.coalesce(_first(a["published"]), _first(a["updated"])))
+    content = either(F.coalesce(_first(r["content:encoded"]), _first(r["encoded"]), _first(r["description"])), F.coalesce(_first(a["content"]), _first(a["summary"])))
+    cats = either(r["category"], F.transform(a["category"], lambda x: F.coalesce(x["_term"], x["_VALUE"])))
+    listed = F.coalesce(F.filter(F.transform(cats, collapse), lambda c: c.isNotNull()), F.array().cast("array<string>"))
+    guid = either(_first(r["guid"]), _first(a["id"]))
+    out = read.select(
+        "feed_id", "feed_url", "atom", "pos", *keep, either(_first(r["title"]), _first(a["title"])).alias("title"), resolve_url(_clean(either(F.get(r["link"], 0), _alternate(a["link"]))), F.col("feed_url")).alias("url"), author.alias("author"),
+        feed_date(said).alias("published_at"), _plain(content).alias("plain_text"), distinct_folded(listed).alias("categories"), guid.alias("guid"),
+    ).where("plain_text <> ''")
+    at = F.coalesce("url", F.when(~is_atom, resolve_url(F.col("guid"), F.col("feed_url"))))
+    out = out.withColumns({"title": F.coalesce("title", "url", F.lit(UNTITLED_ITEM)), "text_hash": text_hash(F.col("plain_text"), "feed"), "_at": at})
+    day = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return out.withColumns({
-        "external_id": F.coalesce("guid", "url", fallback_id(F.col("feed_id"), F.col("url"), F.col("title"), F.col("published_at").cast("string"))),
-        "excerpt": feed_excerpt(F.col("plain_text")), "text_hash": text_hash(F.coalesce("plain_text", F.lit("")), "feed"), "dedupe_url": normalize_url(F.col("url")),
-    }).drop("guid")
+        "external_id": F.coalesce("guid", "_at", fallback_id(F.col("title"), F.col("text_hash"), day)), "excerpt": feed_excerpt(F.col("plain_text")), "dedupe_url": normalize_url(F.col("_at")),
+    }).drop("guid", "feed_url", "atom", "_at")
 
 
 REASONS = ["category", "backfill", "external_id", "url", "content", "imported"]

@@ -179,6 +179,23 @@ def test_anchoring():
     assert highlights.anchor_all(doc, [("a", '"well-known"', None, None), ("b", "well - known", None, None), ("c", "x", 0, 2), ("d", "absent", None, None)]) == [("a", 8, 22), ("b", 27, 37), ("c", 0, 2)]
 
 
+def test_entries_of_odd_feeds(spark):
+    """Items that are no XML, that repeat elements, lack title, id, link or text, and hold markup; ids by link, guid and hash."""
+    items = [
+        "<item><title>bad & x</title><description>a &nbsp; b</description><guid isPermaLink='false'>g</guid></item>", "<item><link>p</link><description><![CDATA[<p>one</p><p>two</p>]]></description><author>A</author><dc:creator>B</dc:creator></item>",
+        "<item><title>t</title><description>c <b>bold</b></description><pubDate>soon</pubDate></item>", "<item><title>no text</title><link>q</link></item>", "<item><title>1</title><title>2</title><content:encoded>x</content:encoded><description>y</description><guid>https://g.org/1</guid><category> A  b</category><category>a B</category></item>",
+        "<item/>", "<item><description>\x01z</description></item>",
+    ]
+    xml = "<rss xmlns:dc='d' xmlns:content='c'><channel>" + "".join(items) + "</channel></rss>"
+    rows = feeds.entries(spark.createDataFrame([("f", "https://f.org/feed", xml), ("n", "u", None), ("x", "u", "no feed")], "feed_id string, feed_url string, xml string")).orderBy("pos").collect()
+    assert [(r["title"], r["url"], r["plain_text"]) for r in rows] == [
+        ("bad & x", None, "a b"), ("https://f.org/p", "https://f.org/p", "onetwo"), ("t", None, "c bold"), ("1", None, "x"), ("Untitled item", None, "z"),
+    ]
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    assert [r["external_id"] for r in rows] == ["g", "https://f.org/p", sha("t|" + sha("c bold")), "https://g.org/1", sha("Untitled item|" + sha("z"))]
+    assert rows[0]["dedupe_url"] == "https://f.org/g" and rows[3]["dedupe_url"] == "https://g.org/1" and rows[3]["categories"] == ["A b"] and rows[1]["author"] == "A"
+
+
 def naive_anchors(text, marks):
     """Marks anchored one after the other, each by a search of its own."""
     quotes = {**dict.fromkeys(highlights.SINGLE, "'"), **dict.fromkeys(highlights.DOUBLE, '"')}
