@@ -34,11 +34,19 @@ def _key(pair: Column) -> Column:
 
 def normalize_url(url: Column) -> Column:
     """The URL without tracking parameters and one trailing slash, its scheme and host in lower case; the fragment stays."""
-    tracked = lambda p: F.exists(F.array(*map(F.lit, TRACKING_PREFIXES)), lambda x: _key(p).startswith(x)) | _key(p).isin(*TRACKING_KEYS)
-    query = F.array_join(F.filter(_pairs(url), lambda p: ~tracked(p)), "&")
-    path = F.when(_part(url, 2) == "", "/").otherwise(_part(url, 2))
-    whole = F.concat(F.lower(_part(url, 1)), path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)), _part(url, 4))
-    return F.when(url.rlike(_PARTS), F.regexp_replace(whole, "/$", "")).otherwise(url)
+
+    def whole(x: Column) -> Column:
+        tracked = lambda p: F.exists(F.array(*map(F.lit, TRACKING_PREFIXES)), lambda y: _key(p).startswith(y)) | _key(p).isin(*TRACKING_KEYS)
+        pairs = F.split(F.regexp_replace(x["query"], r"^\?", ""), "&")
+        query = F.array_join(F.filter(pairs, lambda p: (p != "") & ~tracked(p)), "&")
+        path = F.when(x["path"] == "", "/").otherwise(x["path"])
+        return F.regexp_replace(F.concat(F.lower(x["origin"]), path, let(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))), x["fragment"]), "/$", "")
+
+    def parted(u: Column) -> Column:
+        parts = F.struct(*[_part(u, i).alias(name) for i, name in enumerate(("origin", "path", "query", "fragment"), 1)])
+        return F.when(u.rlike(_PARTS), let(parts, whole)).otherwise(u)
+
+    return let(url, parted)
 
 
 def query_value(url: Column, key: str) -> Column:
@@ -67,32 +75,41 @@ def is_test_url(url: Column) -> Column:
 
 def wechat_canonical(url: Column) -> Column:
     """The short form of an article on the messenger's host, or its four identity parameters; else normalize_url()."""
-    path = _part(url, 2)
-    values = [query_value(url, k) for k in ("__biz", "mid", "idx", "sn")]
-    long = F.concat(F.lit(f"https://{WECHAT_HOST}/s?__biz="), values[0], F.lit("&mid="), values[1], F.lit("&idx="), values[2], F.lit("&sn="), values[3])
-    usable = F.coalesce(F.nullif(values[0], F.lit("")), F.lit("")) != ""
-    for v in values[1:]:
-        usable = usable & (F.coalesce(v, F.lit("")) != "")
-    own = F.when(path.startswith("/s/"), F.concat(F.lit(f"https://{WECHAT_HOST}"), F.regexp_replace(path, "/$", ""))).when(usable, long).otherwise(normalize_url(url))
-    return F.when(hostname(url) == WECHAT_HOST, own).otherwise(normalize_url(url))
+    names = ("biz", "mid", "idx", "sn")
+
+    def known(x: Column) -> Column:
+        long = F.concat(F.lit(f"https://{WECHAT_HOST}/s?__biz="), x["biz"], F.lit("&mid="), x["mid"], F.lit("&idx="), x["idx"], F.lit("&sn="), x["sn"])
+        usable = F.forall(F.array(*[x[n] for n in names]), lambda v: F.coalesce(v, F.lit("")) != "")
+        short = F.concat(F.lit(f"https://{WECHAT_HOST}"), F.regexp_replace(x["path"], "/$", ""))
+        return F.when(x["path"].startswith("/s/"), short).when(usable, long)
+
+    def own(u: Column) -> Column:
+        told = F.struct(_part(u, 2).alias("path"), *[query_value(u, k).alias(n) for n, k in zip(names, ("__biz", "mid", "idx", "sn"), strict=True)])
+        return F.coalesce(F.when(hostname(u) == WECHAT_HOST, let(told, known)), normalize_url(u))
+
+    return let(url, own)
 
 
 def dedupe_key(kind: Column, source_url: Column, canonical_url: Column, external_id: Column) -> Column:
     """The key that makes a document unique; null for kinds without one."""
-    url = F.coalesce(F.nullif(canonical_url, F.lit("")), F.nullif(source_url, F.lit("")))
     ext = F.nullif(external_id, F.lit(""))
-    feed = F.coalesce(F.concat(F.lit("rss:"), ext), F.concat(F.lit("rss:url:"), normalize_url(url)))
-    canonical = wechat_canonical(url)
-    short = F.nullif(F.regexp_extract(canonical, r"/s/([a-zA-Z0-9_-]+)", 1), F.lit(""))
-    wechat = F.coalesce(F.concat(F.lit("wechat:s:"), short), F.concat(F.lit("wechat:url:"), canonical))
-    page = F.when(url.isNull(), None).when(hostname(url) == WECHAT_HOST, wechat).otherwise(F.coalesce(F.concat(F.lit("web:ext:"), ext), F.concat(F.lit("web:url:"), normalize_url(url))))
-    return F.when(kind == "RSS_ITEM", feed).when(kind == "WEB_PAGE", page)
+
+    def article(canonical: Column) -> Column:
+        short = F.nullif(F.regexp_extract(canonical, r"/s/([a-zA-Z0-9_-]+)", 1), F.lit(""))
+        return F.coalesce(F.concat(F.lit("wechat:s:"), short), F.concat(F.lit("wechat:url:"), canonical))
+
+    def key(u: Column) -> Column:
+        feed = F.coalesce(F.concat(F.lit("rss:"), ext), F.concat(F.lit("rss:url:"), normalize_url(u)))
+        page = F.coalesce(F.concat(F.lit("web:ext:"), ext), F.concat(F.lit("web:url:"), normalize_url(u)))
+        own = F.when(u.isNull(), None).when(hostname(u) == WECHAT_HOST, let(wechat_canonical(u), article)).otherwise(page)
+        return F.when(kind == "RSS_ITEM", feed).when(kind == "WEB_PAGE", own)
+
+    return let(F.coalesce(F.nullif(canonical_url, F.lit("")), F.nullif(source_url, F.lit(""))), key)
 
 
 def capture_url(url: Column) -> Column:
     """A URL as it is captured: trimmed, http or https only, without its fragment; else null."""
-    u = F.regexp_replace(F.trim(url), "#.*$", "")
-    return F.when(hostname(u).isNotNull(), u)
+    return let(F.regexp_replace(F.trim(url), "#.*$", ""), lambda u: F.when(hostname(u).isNotNull(), u))
 
 
 def site_url(url: Column) -> Column:

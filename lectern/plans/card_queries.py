@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.markdown import rendered
+from lectern.operators.durable import stored
 from lectern.plans.registry import query
 from lectern.sources import bookmarks
 
@@ -80,6 +81,7 @@ def _library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     directory = spark.createDataFrame([("t0",), ("t1",)], "name string")
     made = bookmarks.cards_to_documents(cards, F.timestamp_seconds(F.lit(1_704_067_200)))
     new = made.join(bookmarks.tag_names(cards, directory).select(F.col("id").alias("external_id"), F.col("names").alias("tag_names")), "external_id", "left")
+    new = stored(new, "cards")  # the library is made of them, so they are rendered once
     i = F.substr("external_id", F.lit(2)).cast("long")
     kind = F.col("id") % 7
     old = new.withColumn("id", i).where("id % 2 = 0")
@@ -123,8 +125,8 @@ def bookmark_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
   told AS has_text, 2 AS tags, CASE WHEN old AND kind = 6 THEN 3 ELSE 2 END AS marks FROM m""")
 def bookmark_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The library once the cards are merged, with the numbers of each document's tags and highlights."""
-    stored = _library(spark, sf_dir)
-    docs, contents, tags, marks = bookmarks.merge_cards(bookmarks.upsert(*stored), *stored[1:], F.substr("external_id", F.lit(2)).cast("long"))
+    tables = _library(spark, sf_dir)
+    docs, contents, tags, marks = bookmarks.merge_cards(bookmarks.upsert(*tables), *tables[1:], F.substr("external_id", F.lit(2)).cast("long"))
     count = lambda t, name: t.groupBy(F.col("document_id").alias("id")).agg(F.count("*").cast("int").alias(name))
     out = docs.join(contents.select(F.col("document_id").alias("id"), F.lit(True).alias("has_text")), "id", "left").join(count(tags, "tags"), "id", "left").join(count(marks, "marks"), "id", "left")
     return out.select("id", "title", "canonical_url", "excerpt", "ai_summary", "read_state", F.coalesce("has_text", F.lit(False)).alias("has_text"), "tags", "marks")
@@ -134,9 +136,9 @@ def bookmark_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(*) FILTER (ready = 'READY' AND (told OR excerpt IS NOT NULL) AND (NOT old OR document_changed OR content_changed)) AS queued FROM m""")
 def bookmark_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of an import, every fiftieth card of which could not be read once more."""
-    stored = _library(spark, sf_dir)
-    rows = bookmarks.upsert(*stored)
-    docs, contents, _, _ = bookmarks.merge_cards(rows, *stored[1:], F.substr("external_id", F.lit(2)).cast("long"))
+    tables = _library(spark, sf_dir)
+    rows = bookmarks.upsert(*tables)
+    docs, contents, _, _ = bookmarks.merge_cards(rows, *tables[1:], F.substr("external_id", F.lit(2)).cast("long"))
     named = docs.withColumn("external_id", F.concat(F.lit("c"), F.col("id").cast("string"))).join(contents.select(F.col("document_id").alias("id"), "plain_text"), "id", "left")
     return bookmarks.import_totals(rows, named, _docs(spark, sf_dir).where("doc_id % 50 = 0"))
 
