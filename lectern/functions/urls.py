@@ -28,17 +28,35 @@ def _pairs(url: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(_part(url, 3), r"^\?", ""), "&"), lambda p: p != "")
 
 
+def _form_decoded(text: Column) -> Column:
+    """A parameter's name or value as text: a plus is a space, and a percent sign that begins no byte stays."""
+    told = lambda x: F.url_decode(F.regexp_replace(F.translate(x, "+", " "), "%(?![0-9A-Fa-f]{2})", "%25"))
+    return let(text, lambda x: F.when(F.contains(x, F.lit("%")) | F.contains(x, F.lit("+")), told(x)).otherwise(x))
+
+
 def _key(pair: Column) -> Column:
-    return F.split(pair, "=")[0]
+    return _form_decoded(F.split(pair, "=", 2)[0])
+
+
+def _value(pair: Column) -> Column:
+    """What follows the first equals sign, empty where there is none; null for null."""
+    return _form_decoded(F.coalesce(F.get(F.split(pair, "=", 2), 1), F.left(pair, F.lit(0))))
 
 
 def normalize_url(url: Column) -> Column:
-    """The URL without tracking parameters and one trailing slash, its scheme and host in lower case; the fragment stays."""
+    """The URL without tracking parameters and one trailing slash, its scheme and host in lower case; the fragment stays.
+
+    Names and values of parameters are decoded and encoded anew as a form's are, so spellings of one parameter are one; each has an equals sign.
+    """
+
+    def told(pair: Column) -> Column:
+        return F.struct(_key(pair).alias("key"), _value(pair).alias("value"))
 
     def whole(x: Column) -> Column:
-        tracked = lambda p: F.exists(F.array(*map(F.lit, TRACKING_PREFIXES)), lambda y: _key(p).startswith(y)) | _key(p).isin(*TRACKING_KEYS)
-        pairs = F.split(F.regexp_replace(x["query"], r"^\?", ""), "&")
-        query = F.array_join(F.filter(pairs, lambda p: (p != "") & ~tracked(p)), "&")
+        tracked = lambda p: F.exists(F.array(*map(F.lit, TRACKING_PREFIXES)), lambda y: p["key"].startswith(y)) | p["key"].isin(*TRACKING_KEYS)
+        pairs = F.transform(F.filter(F.split(F.regexp_replace(x["query"], r"^\?", ""), "&"), lambda p: p != ""), told)
+        kept = F.transform(F.filter(pairs, lambda p: ~tracked(p)), lambda p: F.concat(F.url_encode(p["key"]), F.lit("="), F.url_encode(p["value"])))
+        query = F.array_join(kept, "&")
         path = F.when(x["path"] == "", "/").otherwise(x["path"])
         return F.regexp_replace(F.concat(F.lower(x["origin"]), path, let(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))), x["fragment"]), "/$", "")
 
@@ -50,9 +68,8 @@ def normalize_url(url: Column) -> Column:
 
 
 def query_value(url: Column, key: str) -> Column:
-    """The first value of a query parameter, as it is written; null if absent."""
-    pair = F.get(F.filter(_pairs(url), lambda p: _key(p) == key), 0)
-    return F.substring_index(F.substr(pair, F.lit(len(key) + 2)), "#", 1)
+    """The first value of a query parameter, decoded; null if absent."""
+    return let(F.get(F.filter(_pairs(url), lambda p: _key(p) == key), 0), _value)
 
 
 def hostname(url: Column) -> Column:

@@ -160,10 +160,12 @@ def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _library(spark, sf_dir).select("id", filters.preview().alias("preview"), filters.reading_view().alias("view"))
 
 
-@query("SELECT source AS id, count(*) FILTER (doc_id % 2 = 0) AS n FROM documents GROUP BY source")
+@query("SELECT source AS id, count(*) AS n FROM documents GROUP BY source UNION ALL SELECT DISTINCT 'none-' || source, 0 FROM documents")
 def relation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each source, and of as many sources without any."""
     docs = _docs(spark, sf_dir)
-    return listing.relation_counts(docs.select(F.col("source").alias("id")).distinct(), docs.where("doc_id % 2 = 0"), "source", "n")
+    sources = docs.select(F.col("source").alias("id")).distinct()
+    return listing.relation_counts(sources.union(sources.select(F.concat(F.lit("none-"), "id"))), docs, "source", "n")
 
 
 _YAML = "'{0}: ' || coalesce(to_json({1})::VARCHAR, 'null')"
@@ -277,32 +279,32 @@ def quote_anchor_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return highlights.anchor_quotes(docs, marks)
 
 
-_PARA = r"WITH d AS (SELECT doc_id AS id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents), p AS (SELECT id, unnest(string_split(t, chr(10) || chr(10))) AS x, unnest(range(len(string_split(t, chr(10) || chr(10))))) AS k FROM d WHERE NOT regexp_matches(t, '\n\n\n')), o AS (SELECT id, k, x, (coalesce(sum(length(x) + 2) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS s FROM p) "
+_PARA = r"""WITH d AS (SELECT doc_id AS id, replace(text, chr(10), repeat(chr(10), {0})) AS t FROM documents),
+l AS (SELECT id, string_split_regex(t, '\n\n+') AS xs, list_append(regexp_extract_all(t, '\n\n+'), '') AS seps FROM d),
+p AS (SELECT id, unnest(xs) AS x, unnest(seps) AS sep, unnest(range(len(xs))) AS k FROM l),
+o AS (SELECT id, k, x, (coalesce(sum(length(x) + length(sep)) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS s FROM p) """
 
 
-@query(_PARA + ", q AS (SELECT id, k, s, s + length(x) AS e FROM o WHERE trim(x, ' ') <> ''), n AS (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY k) - 1)::INT AS idx FROM q) SELECT id, idx, 'h' || id AS highlight_id, greatest(0, 50 - s)::INT AS \"start\", least(e - s, 250 - s)::INT AS \"end\" FROM n WHERE 250 > s AND 50 < e")
-def paragraph_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A highlight over characters 50 to 250 of each document, cut at its paragraphs."""
-    text = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
-    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), text.alias("text")).where(~F.contains("text", F.lit("\n\n\n")))
+_CLIPPED = ", q AS (SELECT id, k, s, s + length(x) AS e FROM o WHERE trim(x, ' ') <> ''), n AS (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY k) - 1)::INT AS idx FROM q) SELECT id, idx, 'h' || id AS highlight_id, greatest(0, 50 - s)::INT AS \"start\", least(e - s, 250 - s)::INT AS \"end\" FROM n WHERE 250 > s AND 50 < e"
+
+
+def _clipped(spark: SparkSession, sf_dir: str, gap: Column) -> DataFrame:
+    """A highlight over characters 50 to 250 of every document, cut at its paragraphs; each line feed of a text is repeated gap times."""
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.replace("text", F.lit("\n"), F.repeat(F.lit("\n"), gap)).alias("text"))
     marks = docs.select(F.col("id").alias("document_id"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("id"), F.lit(50).alias("start"), F.lit(250).alias("end"))
     return highlights.clip_to_paragraphs(highlights.paragraphs(docs), marks)
 
 
-_PARA_ALL = r"""WITH d AS (SELECT doc_id AS id, replace(text, chr(10), repeat(chr(10), (2 + doc_id % 3)::INT)) AS t FROM documents),
-l AS (SELECT id, string_split_regex(t, '\n{2,}') AS xs, list_append(regexp_extract_all(t, '\n{2,}'), '') AS seps FROM d),
-p AS (SELECT id, unnest(xs) AS x, unnest(seps) AS sep, unnest(range(len(xs))) AS k FROM l),
-o AS (SELECT id, k, x, (coalesce(sum(length(x) + length(sep)) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS s FROM p) """
+@query(_PARA.format("2") + _CLIPPED)
+def paragraph_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps are runs of two line feeds and their multiples."""
+    return _clipped(spark, sf_dir, F.lit(2))
 
 
-@query(_PARA_ALL + ", q AS (SELECT id, k, s, s + length(x) AS e FROM o WHERE trim(x, ' ') <> ''), n AS (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY k) - 1)::INT AS idx FROM q) SELECT id, idx, 'h' || id AS highlight_id, greatest(0, 50 - s)::INT AS \"start\", least(e - s, 250 - s)::INT AS \"end\" FROM n WHERE 250 > s AND 50 < e")
+@query(_PARA.format("(2 + doc_id % 3)::INT") + _CLIPPED)
 def paragraph_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A highlight over characters 50 to 250 of every document, cut at its paragraphs; gaps are runs of two, three or four line feeds and their multiples."""
-    i = F.col("doc_id")
-    text = F.replace("text", F.lit("\n"), F.repeat(F.lit("\n"), (2 + i % 3).cast("int")))
-    docs = _docs(spark, sf_dir).select(i.alias("id"), text.alias("text"))
-    marks = docs.select(F.col("id").alias("document_id"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("id"), F.lit(50).alias("start"), F.lit(250).alias("end"))
-    return highlights.clip_to_paragraphs(highlights.paragraphs(docs), marks)
+    """Gaps are runs of two, three or four line feeds and their multiples."""
+    return _clipped(spark, sf_dir, (2 + F.col("doc_id") % 3).cast("int"))
 
 
 @query("""
@@ -317,30 +319,35 @@ def tag_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("action").agg(F.count("*").alias("n"))
 
 
-def _feed_xml(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
-    """documents with this text as RSS: a feed for each source and ten-thousandth part of the ids, so no feed grows with the table."""
-    safe = F.regexp_replace(text, r"[<>&\s]+", " ")
-    item = F.concat(F.lit("<item><title>"), F.left(safe, F.lit(30)), F.lit("</title><link>https://f.example.com/"), (F.col("doc_id") % 400).cast("string"), F.lit("?utm_source=x</link><guid>g"), (F.col("doc_id") % 900).cast("string"), F.lit("</guid><category>c"), (F.col("doc_id") % 3).cast("string"), F.lit("</category><pubDate>Mon, 01 Jan 2024 00:00:00 GMT</pubDate><description>"), safe, F.lit("</description></item>"))
-    feed = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 10_000).cast("string"))
-    items = _docs(spark, sf_dir).groupBy(feed.alias("feed_id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))).alias("xs"))
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as RSS: a source is a feed, whatever its size, fetched in bodies of 50 ids; every second text is a CDATA section."""
+    i, text = F.col("doc_id"), F.regexp_replace("text", r"[<>&\s]+", " ")
+    told = F.when(i % 2 == 0, F.concat(F.lit("<![CDATA["), F.replace(text, F.lit("]]"), F.lit("]] ")), F.lit("]]>"))).otherwise(text)
+    item = F.concat(
+        F.lit("<item><title>"), F.left(text, F.lit(30)), F.lit("</title><link>https://f.example.com/"), (i % 400).cast("string"), F.lit("?utm_source=x</link><guid>g"), (i % 900).cast("string"), F.lit("</guid><category>c"),
+        (i % 3).cast("string"), F.lit("</category><pubDate>Mon, 01 Jan 2024 00:00:00 GMT</pubDate><description>"), told, F.lit("</description></item>"),
+    )
+    bodies = _docs(spark, sf_dir).groupBy(F.col("source").alias("feed_id"), F.floor(i / 50).alias("body")).agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))).alias("xs"))
     xml = F.concat(F.lit("<rss><channel><title>t</title>"), F.array_join(F.transform("xs", lambda x: x["x"]), ""), F.lit("</channel></rss>"))
-    return items.select("feed_id", F.lit("https://f.example.com/feed").alias("feed_url"), xml.alias("xml"))
+    return bodies.select("feed_id", "body", F.lit("https://f.example.com/feed").alias("feed_url"), xml.alias("xml"))
 
 
-@query(r"""
-SELECT source || '-' || (doc_id // 10000) AS feed_id, count(*) AS n, count(DISTINCT doc_id % 900) AS ids, sum(length(trim(regexp_replace(left(text, 200), '[<>&\s]+', ' ', 'g'))))::BIGINT AS chars, max(1704067200)::BIGINT AS latest FROM documents GROUP BY 1
-""")
+_FEED_TOTALS = r"""
+SELECT source AS feed_id, count(*) AS n, count(DISTINCT doc_id % 900) AS ids, sum(length(trim(regexp_replace(text, '[<>&\s]+', ' ', 'g'))))::BIGINT AS chars, max(1704067200)::BIGINT AS latest FROM documents GROUP BY 1
+"""
+
+
+@query(_FEED_TOTALS)
 def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of feeds rendered from the first 200 characters of documents, as its SQL has them, parsed again; feed_entries_whole has whole texts."""
-    return _feed_totals(feeds.entries(_feed_xml(spark, sf_dir, F.left("text", F.lit(200)))))
+    """Entries of feeds rendered from whole documents and whole sources, parsed again."""
+    rows = feeds.entries(_bodies(spark, sf_dir), "body")
+    return rows.groupBy("feed_id").agg(F.count("*").alias("n"), F.countDistinct("external_id").alias("ids"), F.sum(F.length("plain_text")).alias("chars"), F.unix_seconds(F.max("published_at")).alias("latest"))
 
 
-@query(r"""
-SELECT source || '-' || (doc_id // 10000) AS feed_id, count(*) AS n, count(DISTINCT doc_id % 900) AS ids, sum(length(trim(regexp_replace(text, '[<>&\s]+', ' ', 'g'))))::BIGINT AS chars, max(1704067200)::BIGINT AS latest FROM documents GROUP BY 1
-""")
+@query(_FEED_TOTALS)
 def feed_entries_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of feeds rendered from whole documents, parsed again."""
-    return _feed_totals(feeds.entries(_feed_xml(spark, sf_dir, F.col("text"))))
+    """The same as feed_entries, under the name it had when that one cut its texts."""
+    return feed_entries(spark, sf_dir)
 
 
 @query("""WITH s AS (SELECT DISTINCT source, length(source) % 5 AS f FROM documents)
@@ -362,21 +369,9 @@ def feed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.feed_headers(rows)
 
 
-def _feed_totals(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("feed_id").agg(F.count("*").alias("n"), F.countDistinct("external_id").alias("ids"), F.sum(F.length("plain_text")).alias("chars"), F.unix_seconds(F.max("published_at")).alias("latest"))
-
-
 def _fetched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entries of feeds, stored documents, and filters. A source is a feed, whatever its size; it was fetched in bodies of 50 entries."""
-    i, text = F.col("doc_id"), F.regexp_replace("text", r"[<>&\s]+", " ")
-    item = F.concat(
-        F.lit("<item><title>"), F.left(text, F.lit(30)), F.lit("</title><link>https://f.example.com/"), (i % 400).cast("string"), F.lit("?utm_source=x</link><guid>g"), (i % 900).cast("string"), F.lit("</guid><category>c"),
-        (i % 3).cast("string"), F.lit("</category><pubDate>Mon, 01 Jan 2024 00:00:00 GMT</pubDate><description>"), text, F.lit("</description></item>"),
-    )
-    body = F.floor(i / 50).alias("body")
-    bodies = _docs(spark, sf_dir).groupBy(F.col("source").alias("feed_id"), body).agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))).alias("xs"))
-    xml = F.concat(F.lit("<rss><channel>"), F.array_join(F.transform("xs", lambda x: x["x"]), ""), F.lit("</channel></rss>"))
-    new = feeds.entries(bodies.select("feed_id", "body", F.lit("https://f.example.com/feed").alias("feed_url"), xml.alias("xml")), "body").withColumn("pos", F.col("body") * 50 + F.col("pos"))
+    """Entries of feeds, stored documents, and filters. A source is a feed, whatever its size; it was fetched in bodies of 50 ids."""
+    new = feeds.entries(_bodies(spark, sf_dir), "body").withColumn("pos", F.col("body") * 50 + F.col("pos"))
     stored = new.where("pos % 10 = 0 and pos < 200")
     only = F.when(F.length("feed_id") % 2 == 1, F.array(F.lit("C1"), F.lit("c2"))).otherwise(F.array().cast("array<string>"))
     gates = new.select("feed_id").distinct().select("feed_id", only.alias("include"), F.lit(None).cast("timestamp").alias("backfill"))
@@ -431,20 +426,22 @@ def merged_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("read_state").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))) AS t FROM documents WHERE NOT regexp_matches(text, '[*_`#>\\[\\]!\\r]|(?m)^\\s*([-+]|\\d+\\.)\\s|^\\s|\\s$| \\n|\\n ')".replace("\\\\", "\\"))
-def markdown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain text of documents without marks, which Markdown leaves as they are but for spaces."""
-    plain = ~F.col("text").rlike(r"[*_`#>\[\]!\r]|(?m)^\s*([-+]|\d+\.)\s|^\s|\s$| \n|\n ")
-    return _docs(spark, sf_dir).where(plain).select("doc_id", F.md5(markdown_text(F.col("text")).cast("binary")).alias("t"))
-
-
-@query(r"""
+_MARKDOWN = r"""
 WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g') AS t FROM documents),
 b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?m)^[ \t]{0,3}(?:#{1,6}|>|[-*+]|\d+\.)[ \t]+', '', 'g'), '\*\*([^*]+)\*\*|__([^_]+)__', '\1\2', 'g') AS t FROM a),
 c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\*([^*\n]+)\*|`([^`\n]+)`', '\1\2', 'g'), '\r\n?', chr(10), 'g') AS t FROM b),
 d AS (SELECT doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), chr(10)) AS t FROM c)
 SELECT doc_id, md5(nullif(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'), '')) AS t FROM d
-""")
+"""
+
+
+@query(_MARKDOWN)
 def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain text of every document, with marks or without; markdown_texts has those without, as its SQL does."""
+    """Plain text of every document, with marks or without."""
     return _docs(spark, sf_dir).select("doc_id", F.md5(markdown_text(F.col("text")).cast("binary")).alias("t"))
+
+
+@query(_MARKDOWN)
+def markdown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as markdown_documents, under its first name."""
+    return markdown_documents(spark, sf_dir)

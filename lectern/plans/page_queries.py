@@ -75,6 +75,28 @@ def url_dedupe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", normalize_url(url).alias("normalized"), dedupe_key(kind, url, F.lit(None).cast("string"), ext).alias("dedupe_key"), is_test_url(url).alias("test"))
 
 
+_PLAIN_SQL = "url_decode(replace({0}, '+', ' '))"
+_FORM_SQL = "replace(replace(replace(url_encode(" + _PLAIN_SQL + "), '%20', '+'), '~', '%7E'), '%2A', '*')"
+
+
+@query(rf"""
+WITH u AS (SELECT page_id, regexp_extract(url, '(?i)^https?://[^/?#]+') AS o, ['a b', 'x%7Ey~', 'p+q', '%C3%BCü', '100%', '%zz', 'u*-_.', ''][(page_id % 8 + 1)::INT] AS v, ['k', 'k%20k', '%75tm_x', 'ref', 'flag', 'qa%5Fx', 'source', 'é'][(page_id // 8 % 8 + 1)::INT] AS k FROM pages),
+p AS (SELECT *, replace(v, ' ', '%20') AS w, page_id % 5 <> 0 AS valued FROM u),
+n AS (SELECT *, {_PLAIN_SQL.format("k")} AS plain FROM p)
+SELECT page_id, lower(o) || '/p' || CASE WHEN regexp_matches(plain, '^(utm_|qa_)') OR plain IN ('ref', 'source') THEN '' ELSE '?' || {_FORM_SQL.format("k")} || '=' || CASE WHEN valued THEN {_FORM_SQL.format("w")} ELSE '' END END
+  || CASE WHEN regexp_matches(plain, '^(utm_|qa_)') OR plain IN ('ref', 'source') THEN '?' ELSE '&' END || 'z=1' AS url, plain = 'qa_x' AS test FROM n
+""")
+def url_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical URLs of pages' hosts with parameters whose names and values are encoded, partly encoded, broken, empty or lack a value."""
+    i = F.col("page_id")
+    pick = lambda xs, k: F.get(F.array(*map(F.lit, xs)), (k % len(xs)).cast("int"))
+    value = pick(["a%20b", "x%7Ey~", "p+q", "%C3%BCü", "100%", "%zz", "u*-_.", ""], i)
+    name = pick(["k", "k%20k", "%75tm_x", "ref", "flag", "qa%5Fx", "source", "é"], F.floor(i / 8))
+    origin = F.regexp_extract("url", r"^(?i)https?://[^/?#]+", 0)
+    url = F.concat(origin, F.lit("/p?"), name, F.when(i % 5 != 0, F.concat(F.lit("="), value)).otherwise(""), F.lit("&&z=1"))
+    return _pages(spark, sf_dir).select("page_id", normalize_url(url).alias("url"), is_test_url(url).alias("test"))
+
+
 @query(f"SELECT page_id FROM (SELECT page_id, {_URL} AS u FROM pages) WHERE u LIKE 'http://t%' OR u LIKE 'https://t%'")
 def filter_source_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose URL starts with a host's first letter: the filter is a prefix."""
@@ -126,11 +148,6 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_pages.links(_pages(spark, sf_dir).withColumn("html", F.concat("html", F.lit('<a href="'), up, F.lit('">'))))
 
 
-@query("SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') IS NOT NULL AS titled, lower(regexp_extract(html, '(?i)<html\\b[^>]*\\blang\\s*=\\s*\"?([a-zA-Z-]+)', 1)) AS lang FROM pages".replace("\\\\", "\\"))
-def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_pages.metadata(_pages(spark, sf_dir)).select("page_id", F.col("title").isNotNull().alias("titled"), "lang")
-
-
 _DAY = "make_timestamp(2000 + page_id % 50, 1 + page_id % 12, 1 + page_id % 28, page_id % 24, page_id % 60, 0)"
 _TITLE = _text_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
 
@@ -169,6 +186,17 @@ def page_metadata_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "title", "lang", "canonical_url", "author", F.unix_seconds("published_at").alias("published"), "site_name")
 
 
+@query(f"""
+SELECT page_id, nullif(trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')), '') AS title, lower(regexp_extract(html, '(?i)<html\\b[^>]*\\blang\\s*=\\s*"?([a-zA-Z-]+)', 1)) AS lang,
+  nullif(regexp_extract(html, '<link rel="canonical" href="([^"]*)"', 1), '') AS canonical_url, nullif(regexp_extract(html, '<meta name="author" content="([^"]*)"', 1), '') AS author,
+  nullif(regexp_extract(html, '<meta property="og:site_name" content="([^"]*)"', 1), '') AS site_name
+FROM pages
+""")
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of the pages as they are; page_metadata_whole has pages with more in their heads."""
+    return html_pages.metadata(_pages(spark, sf_dir)).select("page_id", "title", "lang", "canonical_url", "author", "site_name")
+
+
 @query("""
 SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'Ann Graph' WHEN 1 THEN 'Bea List' WHEN 2 THEN 'Cy Person' WHEN 3 THEN 'Deep Down' WHEN 4 THEN 'Org Inc' WHEN 5 THEN 'Second Block' END AS author,
   CASE page_id % 7 WHEN 0 THEN 1704067200 WHEN 3 THEN 1704153600 WHEN 5 THEN 1704240000 END::BIGINT AS published, page_id % 7 = 4 AS video FROM pages
@@ -227,17 +255,17 @@ def unique_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.numbered(rows, "base").select(F.col("id").alias("page_id"), "slug")
 
 
-@query(_NORM + """, s AS (SELECT norm AS k, min(page_id) AS id FROM n WHERE page_id % 3 = 0 GROUP BY norm), c AS (SELECT page_id, CASE WHEN page_id % 6 = 1 THEN page_id - 1 END AS other, norm FROM n WHERE page_id % 3 = 1),
+@query(_NORM + """, s AS (SELECT norm AS k, min(page_id) AS id FROM n WHERE page_id % 3 = 0 GROUP BY norm), c AS (SELECT page_id, CASE WHEN page_id % 6 = 1 THEN page_id - 1 END AS other, norm FROM n WHERE page_id % 3 <> 0),
 m AS (SELECT c.page_id, s.id AS by_key, o.id AS by_url FROM c LEFT JOIN s ON c.norm = s.k LEFT JOIN (SELECT page_id AS id FROM n WHERE page_id % 3 = 0) o ON o.id = c.other)
 SELECT CASE WHEN by_key IS NOT NULL THEN 'dedupe_key' WHEN by_url IS NOT NULL THEN 'url' ELSE 'new' END AS outcome, count(*) AS n FROM m GROUP BY 1""")
 def capture_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages captured against a library of every third page; every other capture names its neighbour's URL as a candidate."""
+    """Every third page is the library, and all others are captured, some of which name a neighbour's URL as a candidate."""
     pages = _pages(spark, sf_dir)
     none = F.lit(None).cast("string")
     key = normalize_url(F.col("url"))
     stored = pages.where("page_id % 3 = 0").select(F.col("page_id").alias("id"), key.alias("dedupe_key"), none.alias("external_id"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("source_url"), none.alias("canonical_url"), none.alias("content_hash"))
     other = F.when(F.col("page_id") % 6 == 1, F.concat(F.lit("p"), (F.col("page_id") - 1).cast("string")))
-    new = pages.where("page_id % 3 = 1").select(F.col("page_id").alias("id"), key.alias("dedupe_key"), none.alias("external_id"), F.array(other).alias("urls"), none.alias("final_key"), none.alias("content_hash"))
+    new = pages.where("page_id % 3 <> 0").select(F.col("page_id").alias("id"), key.alias("dedupe_key"), none.alias("external_id"), F.array(other).alias("urls"), none.alias("final_key"), none.alias("content_hash"))
     return dedupe.match_captures(new, stored).groupBy(F.coalesce("matched_by", F.lit("new")).alias("outcome")).agg(F.count("*").alias("n"))
 
 

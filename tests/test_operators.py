@@ -17,12 +17,19 @@ def one(spark, value, f, kind="string"):
 
 @pytest.mark.parametrize(
     ("url", "want"),
-    [("HTTPS://A.com/x/?utm_source=1&b=2&ref=z#top", "https://a.com/x/?b=2#top"), ("http://a.com", "http://a.com"), ("http://a.com/p/", "http://a.com/p"), ("not a url", "not a url"), ("http://a.com/?refs=1", "http://a.com/?refs=1"), (None, None)],
-)
+    [("HTTPS://A.com/x/?utm_source=1&b=2&ref=z#top", "https://a.com/x/?b=2#top"), ("http://a.com", "http://a.com"), ("http://a.com/p/", "http://a.com/p"), ("not a url", "not a url"), ("http://a.com/?refs=1", "http://a.com/?refs=1"), (None, None),
+     ("http://a.com/?b=x y", "http://a.com/?b=x y"), ("http://a.com/?b=x%20y&c=%7E~&&d", "http://a.com/?b=x+y&c=%7E%7E&d="), ("http://a.com/?%75tm_a=1&b=100%&c=a=b", "http://a.com/?b=100%25&c=a%3Db"), ("http://a.com/?=v&k=%ff", "http://a.com/?=v&k=%EF%BF%BD")],
+)
 def test_normalize_url(spark, url, want):
     assert one(spark, url, urls.normalize_url) == want
 
 
+def test_query_value(spark):
+    url = "https://a.org/?a=1%2B2&a=3&b&c=x+y"
+    assert [one(spark, url, lambda c, k=k: urls.query_value(c, k)) for k in "abcd"] == ["1+2", "", "x y", None]
+    assert one(spark, "https://a.org/?qa%5Fx=1", urls.is_test_url, "string") is True
+
+
 def test_urls(spark):
     assert one(spark, "https://mp.weixin.qq.com/s?__biz=B&mid=1&idx=2&sn=s&x=9", urls.wechat_canonical) == "https://mp.weixin.qq.com/s?__biz=B&mid=1&idx=2&sn=s"
     assert one(spark, "https://m.youtube.com/watch?v=abcdefghijk&t=1m5s", lambda c: urls.video_identity(c))["start_seconds"] == 65
