@@ -30,6 +30,8 @@ MATCHES = BYTES - BITS
 LONGEST = 8192
 #: Lists by five bytes up to this length are tallied member by member; in longer ones every member looks up its neighbours instead.
 PAIRWISE = 2048
+#: Members that are looked up at once, and masks after which those of the largest component are told anew.
+CHUNK, MASKS = 1 << 20, 24
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _SPLIT = str.maketrans(dict.fromkeys(SPACES, " "))
 
@@ -61,10 +63,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return named.mapInArrow(run, "doc_id string, fp long, h long, n int").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def _neighbour_masks(bits: int, most: int) -> np.ndarray:
-    return np.array([sum(1 << b for b in c) for k in range(1, most + 1) for c in combinations(range(bits), k)], np.int64)
-
-
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Counts of differing bits. They are taken of unsigned values: of signed ones NumPy counts the bits of the absolute value."""
     return np.bitwise_count((a ^ b).view(np.uint64))
@@ -97,34 +95,51 @@ def tallied_forest(members: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def forest(members: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
-    """tallied_forest() of members that share five bytes, by looking up neighbours where they are many."""
+def forest(members: np.ndarray, bits: int = BITS) -> list[tuple[int, int]] | np.ndarray:
+    """tallied_forest() of members that share five bytes, by looking up neighbours where they are many.
+
+    A mask of differing bits at a time, few bits first, all members of a chunk are looked up together. Members of the component that is
+    largest so far are not: a link of theirs to another component is found from its other end. So a dense list, most of which one bit
+    joins, costs about a look-up a member and bit, and no member is walked by itself.
+    """
     if len(members) <= PAIRWISE:
         return tallied_forest(members)
-    links: list[tuple[int, int]] = []
-    # members share five bytes: squeeze the other three to 24 bits and look up the neighbours of each
+    # members share five bytes: squeeze the other three to 24 bits
     same = int(np.bitwise_or.reduce(members ^ members[0]).view(np.uint64))
     free = [8 * i for i in range(BYTES) if same >> 8 * i & 0xFF]
     raw = members.view(np.uint64)
-    small = np.zeros(len(members), np.int64)
+    small = np.zeros(len(members), np.int32)
     for k, shift in enumerate(free):
-        small |= (((raw >> np.uint64(shift)) & np.uint64(0xFF)) << np.uint64(8 * k)).astype(np.int64)
+        small |= (((raw >> np.uint64(shift)) & np.uint64(0xFF)) << np.uint64(8 * k)).astype(np.int32)
     where = np.full(1 << 8 * len(free), -1, np.int32)
     where[small] = np.arange(len(members), dtype=np.int32)
-    masks = _neighbour_masks(8 * len(free), bits)
-    for seed in range(len(members)):
-        if where[small[seed]] < 0:
-            continue
-        where[small[seed]] = -1
-        front = [seed]
-        while front:
-            at = front.pop()
-            near = where[small[at] ^ masks]
-            near = near[near >= 0]
-            where[small[near]] = -1
-            links += [(int(members[at]), int(members[x])) for x in near]
-            front += near.tolist()
-    return links
+    root, links = np.arange(len(members), dtype=np.int32), []
+
+    def join(u: np.ndarray, v: np.ndarray) -> None:
+        """Joins the components of u and v, pair by pair: of the links that would hang a component under an older one, one each."""
+        nonlocal root
+        while True:
+            apart = root[u] != root[v]
+            u, v = u[apart], v[apart]
+            if not len(u):
+                return
+            high, low = np.maximum(root[u], root[v]), np.minimum(root[u], root[v])
+            hung, pick = np.unique(high, return_index=True)
+            root[hung] = low[pick]
+            links.append(np.stack([members[u[pick]], members[v[pick]]], 1))
+            while not np.array_equal(up := root[root], root):
+                root = up
+
+    for most in range(1, bits + 1):
+        masks = [sum(1 << x for x in c) for c in combinations(range(8 * len(free)), most)]
+        for first in range(0, len(masks), MASKS):
+            active = np.flatnonzero(root != np.bincount(root).argmax()).astype(np.int32) if most > 1 or first else np.arange(len(members), dtype=np.int32)
+            for mask in masks[first : first + MASKS] if len(active) else []:
+                for at in range(0, len(active), CHUNK):
+                    u = active[at : at + CHUNK]
+                    v = where[small[u] ^ np.int32(mask)]
+                    join(u[v >= 0], v[v >= 0])
+    return np.concatenate(links) if links else []
 
 
 def _lists(n: int) -> list[tuple[int, ...]]:
@@ -197,8 +212,9 @@ def _by_five_bytes(again: DataFrame, four: list[tuple[int, ...]]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [link for x in batch["fps"] for link in forest(np.sort(np.asarray(x, np.int64)))]
-            yield pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
+            for x in batch["fps"]:
+                found = forest(np.sort(np.asarray(x, np.int64)))
+                yield pd.DataFrame(np.asarray(found, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return lists.where(F.size("fps") > 1).select("fps").mapInPandas(run, "a long, b long")
 

@@ -460,6 +460,28 @@ def grouped(pairs, nodes):
     return low
 
 
+def test_forest_of_many_members():
+    """Lists over PAIRWISE, sparse and dense, and one that one bit joins, have the components of the tally."""
+    rng = np.random.default_rng(7)
+    for n, bits in ((4000, 24), (4000, 13), (9000, 16)):
+        members = np.unique(rng.integers(0, 1 << bits, n)) << 40
+        roots = {}
+        for links in (simhash.tallied_forest(members), simhash.forest(members)):
+            up = {m: m for m in members.tolist()}
+
+            def top(x, up=up):
+                while up[x] != x:
+                    x = up[x]
+                return x
+
+            for a, b in ((int(a), int(b)) for a, b in links):
+                assert ((a ^ b) % 2**64).bit_count() <= 3
+                assert (high := max(top(a), top(b))) != (low := min(top(a), top(b)))  # a link never closes a circle
+                up[high] = low
+            roots[len(roots)] = {m: top(m) for m in up}
+        assert roots[0] == roots[1]
+
+
 #: XORs with bit 63 that make three bits at most, or more; signed counts give 1 for 0xF0... and 63 for 0x80...01.
 TOP_BITS = [0x8000000000000001, 0x8000000000100000, 0xC000000000000001, 0xF000000000000000, 0xFFFFFF0000000000, 0x8000000000000007]
 
