@@ -3,7 +3,8 @@
 Each task writes its pages to a compressed archive, a gzip member per record, and a run: the index entries of its records,
 sorted by URL key and timestamp. The runs are then merged externally. Ranges of keys come from samples that the runs carry;
 a task merges the slices that a bounded number of runs have in one range, with a loser tree and a batch of each run in
-memory, and passes follow until each range is one run. Records are read back through the merged index.
+memory, and passes follow until each range is one run. Records are read back through the merged index. Runs and groups of
+runs are rows of tables in the shared folder, so that nothing of them grows in the driver.
 """
 
 from __future__ import annotations
@@ -155,9 +156,10 @@ def plan_records(pages: DataFrame, captured: Column) -> DataFrame:
     return joined.select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page_id"), "url", "html", "ts", "digest", refers.alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, folder: str, captured: Column | None = None) -> list[tuple[str, int, list[Key]]]:
-    """Writes archives and runs of pages (page_id, url, html) and returns path, rows and sampled keys of each run.
+def write_archives(pages: DataFrame, folder: str, captured: Column | None = None) -> DataFrame:
+    """Writes archives and runs of pages (page_id, url, html) and returns a table of the path, n (rows) and sample (keys) of each run.
 
+    Null and empty htmls are records of no bytes; an empty table gives no runs.
     captured is the time of each page as WARC writes it; without it, and where it is null, a page has the time CAPTURED.
     """
 
@@ -188,12 +190,11 @@ def write_archives(pages: DataFrame, folder: str, captured: Column | None = None
         yield pd.DataFrame([(path, n, sample)], columns=["path", "n", "sample"])
 
     entries = plan_records(text_batches(pages), F.lit(None) if captured is None else captured).mapInPandas(archive, ENTRY).sortWithinPartitions(*NAMES)
-    made = entries.mapInPandas(run, "path string, n long, sample array<array<string>>").where("n > 0").collect()  # a row for each task
-    return [(r["path"], r["n"], [tuple(k) for k in r["sample"]]) for r in made]
+    return stored(entries.mapInPandas(run, "path string, n long, sample array<array<string>>").where("n > 0"), "runs")
 
 
 def _put(folder: str, value) -> str:
-    """The path of a JSON file in the folder: what all tasks of a pass share is not sent with each."""
+    """The path of a JSON file in the folder: what many tasks share is not sent with each."""
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base)
     path = posixpath.join(base, f"{uuid.uuid4().hex}.json")
@@ -207,55 +208,77 @@ def _get(fs, path: str):
         return json.loads(source.read())
 
 
-def merged_index(spark: SparkSession, folder: str, runs: list[tuple[str, int, list[Key]]], ranges: int | None = None) -> DataFrame:
-    """The entries of all runs; partitions are ranges of (URL key, timestamp, page) in order, each sorted by it.
+def _cuts(runs: DataFrame, ranges: int) -> list[Key]:
+    """Keys that cut what the runs hold into so many ranges: Spark ranges the sampled keys, and the driver has a key a range, however many runs there are."""
+    keys = runs.select(F.explode("sample").alias("k"))
+    lows = keys.repartitionByRange(ranges, "k").groupBy(F.spark_partition_id()).agg(F.min("k").alias("k")).collect()
+    return sorted(tuple(r["k"]) for r in lows)[1:]
 
-    A task has the numbers of its range and of the runs that it merges; cuts and paths are in files that it reads.
+
+def _groups(runs: DataFrame, folder: str) -> DataFrame:
+    """r and file of groups of at most FAN_IN runs (r, path) of one range; the file lists the group's paths."""
+    fan = FAN_IN
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[str]] = {}
+        for batch in batches:
+            for r, path in zip(batch["r"].tolist(), batch["path"], strict=True):
+                held.setdefault(r, []).append(path)
+                if len(held[r]) == fan:
+                    yield pd.DataFrame([(r, _put(folder, held.pop(r)))], columns=["r", "file"])
+        yield pd.DataFrame([(r, _put(folder, paths)) for r, paths in held.items()], columns=["r", "file"])
+
+    # runs of all ranges may be grouped anyhow, so they are dealt evenly, as many to a task as make 16 groups; those of a range stay together
+    dealt = runs.repartition(-(-max(1, runs.where("r < 0").count()) // (16 * fan))) if runs.where("r >= 0").isEmpty() else runs.repartition("r")
+    return stored(dealt.mapInPandas(deal, "r int, file string"), "groups-of-runs")
+
+
+def merged_index(spark: SparkSession, folder: str, runs: DataFrame, ranges: int | None = None) -> DataFrame:
+    """The entries of all runs (path, n, sample); partitions are ranges of (URL key, timestamp, page) in order, each sorted by it.
+
+    The first pass merges whole runs, which are small; later ones merge what groups of runs have in one range. Runs and groups
+    are rows of tables: the driver holds the cuts of the ranges and counts, and a task the paths of its group. No runs give no entries.
     """
-    keys = sorted(k for _, _, sample in runs for k in sample)
-    ranges = max(1, min(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), len(keys)))
-    cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)})
+    cuts = _cuts(runs, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranges = len(cuts) + 1
     bounds = _put(folder, [None, *cuts, None])
 
-    def rows(fs, level: str, r: int, i: int) -> Iterator[tuple]:
-        low, high = (None if k is None else tuple(k) for k in _get(fs, bounds)[r : r + 2])
-        paths = _get(fs, level)  # of all ranges, or by range
-        mine = paths if isinstance(paths, list) else paths[str(r)]
-        return iter(LoserTree(_read_run(fs, p, low, high) for p in mine[i * FAN_IN : (i + 1) * FAN_IN]))
+    def rows(fs, r: int, file: str) -> Iterator[tuple]:
+        low, high = (None, None) if r < 0 else (None if k is None else tuple(k) for k in _get(fs, bounds)[r : r + 2])
+        return iter(LoserTree(_read_run(fs, p, low, high) for p in _get(fs, file)))
 
     def to_run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for x in batch.itertuples():
                 path = posixpath.join(base, f"{uuid.uuid4().hex}.run")
-                _write_run(fs, path, rows(fs, x.level, x.r, x.i))
+                _write_run(fs, path, rows(fs, x.r, x.file))
                 yield pd.DataFrame([(x.r, path)], columns=["r", "path"])
 
     def to_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, _ = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for x in batch.itertuples():
-                merged = rows(fs, x.level, x.r, x.i)
+                merged = rows(fs, x.r, x.file)
                 while held := list(islice(merged, 8 * BATCH)):
                     yield pd.DataFrame(held, columns=NAMES)
 
-    def tasks(level: str, parts: int) -> DataFrame:
-        at = spark.range(ranges * parts).select((F.col("id") / parts).cast("int").alias("r"), (F.col("id") % parts).cast("int").alias("i"))
-        return at.withColumn("level", F.lit(level))
+    def by_range(groups: DataFrame) -> DataFrame:
+        every = F.when(F.col("r") < 0, F.sequence(F.lit(0), F.lit(ranges - 1))).otherwise(F.array("r"))
+        return groups.select(F.explode(every).alias("r"), "file")
 
-    level, parts = _put(folder, [p for p, _, _ in runs]), -(-len(runs) // FAN_IN)
-    while parts > 1:
-        made = tasks(level, parts).repartitionByRange(ranges * parts, "r", "i").mapInPandas(to_run, "r int, path string").collect()  # a row for each task
-        by_range: dict[str, list[str]] = {str(r): [] for r in range(ranges)}
-        for m in made:
-            by_range[str(m["r"])].append(m["path"])
-        level, parts = _put(folder, by_range), -(-parts // FAN_IN)
-    return tasks(level, 1).repartitionByRange(ranges, "r").mapInPandas(to_rows, ENTRY)
+    groups = _groups(runs.select(F.lit(-1).alias("r"), "path"), folder)
+    first, most = True, groups.count()
+    while most > 1:
+        tasks = groups.repartitionByRange(most, "file") if first else by_range(groups).repartitionByRange(ranges, "r", "file")
+        made = stored(tasks.mapInPandas(to_run, "r int, path string"), "merged-runs")
+        groups = _groups(made, folder)
+        first, most = False, groups.groupBy("r").count().agg(F.max("count")).first()[0]
+    return by_range(groups).repartitionByRange(ranges, "r").mapInPandas(to_rows, ENTRY)
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record in the index, from the archives."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record in the index, from the archives; an empty index gives none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = pafs.FileSystem.from_uri(folder)

@@ -394,7 +394,8 @@ def test_index_is_in_global_order(spark, monkeypatch):
     runs = warc.write_archives(df, folder)
     monkeypatch.setattr(warc, "FAN_IN", 2)
     got = [tuple(r) for r in warc.merged_index(spark, folder, runs, ranges=3).collect()]
-    assert got == sorted(got) and len(got) == 60
+    assert got == sorted(got) and len(got) == 60 and runs.count() == 6  # three passes: whole runs, runs by range, rows
+    assert warc.merged_index(spark, folder, runs.limit(0), ranges=3).count() == 0
     one = df.selectExpr("page_id", "'http://one.org/' as url", "html")  # captures of one URL are dealt over ranges, too
     index = warc.merged_index(spark, folder := warc.new_folder(spark, "warc"), warc.write_archives(one, folder), ranges=3)
     sizes = [r["count"] for r in index.groupBy(F.spark_partition_id()).count().collect()]
