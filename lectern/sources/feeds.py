@@ -48,7 +48,7 @@ def _xml(text: Column, schema: str) -> Column:
 
 def _clean(c: Column) -> Column:
     """A text without white space at its ends; blank gives null."""
-    return F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    return F.when(c.rlike(r"\S"), F.regexp_replace(c, r"^\s+|\s+$", ""))
 
 
 def _first(values: Column) -> Column:
@@ -56,11 +56,13 @@ def _first(values: Column) -> Column:
 
 
 def _plain(html: Column) -> Column:
-    """The text of HTML on one line; tags leave no space. Null counts as empty."""
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->|<[^>]*>", "")
+    """The text of HTML on one line; tags leave no space. Null counts as empty. Texts without tags or entities are not searched for them."""
+    bare = F.coalesce(html, F.lit(""))
+    t = F.regexp_replace(bare, r"(?s)<!--.*?-->|<[^>]*>", "")
     for name, char in ENTITIES:
         t = F.regexp_replace(t, f"(?i)&{name};", char)
-    return F.coalesce(collapse(t), F.lit(""))
+    t = F.when(F.contains(bare, F.lit("<")) | F.contains(bare, F.lit("&")), t).otherwise(bare)
+    return F.trim(F.regexp_replace(t, r"\s{2,}|[\t\n\x0B\f\r]", " "))
 
 
 def _alternate(links: Column) -> Column:
@@ -90,13 +92,14 @@ def feed_headers(feeds: DataFrame) -> DataFrame:
 def entries(feeds: DataFrame, *keep: str) -> DataFrame:
     """A row for each entry of feeds (feed_id, feed_url, xml, and the columns to keep), RSS items or Atom entries, in order of pos.
 
-    Entries are cut out of their feed and read by the XML reader, each once. Those without a text go. Without a title an entry has its
-    URL for one; without an id its id is its URL, else a hash of title, text and date.
+    Entries are cut out of their feed and read by the XML reader, each once: the condition on their text is on an exploded column, since
+    Catalyst would copy the reader into a condition on a projected one. Those without a text go. Without a title an entry has its URL
+    for one; without an id its id is its URL, else a hash of title, text and date.
     """
     atom = feed_kind(F.col("xml"), F.lit(None).cast("string")) == "atom"
     items = F.when(atom, F.regexp_extract_all("xml", F.lit(r"(?s)<entry[\s>].*?</entry\s*>"), F.lit(0))).otherwise(F.regexp_extract_all("xml", F.lit(r"(?s)<item[\s>].*?</item\s*>"), F.lit(0)))
     # what needs the whole feed is taken before the explosion, so no row of an entry carries its feed
-    rows = feeds.select("feed_id", "feed_url", *keep, atom.alias("atom"), items.alias("items")).select("feed_id", "feed_url", *keep, "atom", F.posexplode("items").alias("pos", "item"))
+    rows = feeds.select("feed_id", "feed_url", *keep, atom.alias("atom"), items.alias("items")).select("feed_id", "feed_url", *keep, "atom", F.posexplode_outer("items").alias("pos", "item")).where("item is not null")
     is_atom, r, a = F.col("atom"), F.col("_r"), F.col("_a")
     read = rows.withColumns({"_r": F.when(~is_atom, _xml(F.col("item"), _RSS_ITEM)), "_a": F.when(is_atom, _xml(F.col("item"), _ATOM_ENTRY))}).drop("item")
     either = lambda x, y: F.when(is_atom, y).otherwise(x)
@@ -108,8 +111,9 @@ def entries(feeds: DataFrame, *keep: str) -> DataFrame:
     guid = either(_first(r["guid"]), _first(a["id"]))
     out = read.select(
         "feed_id", "feed_url", "atom", "pos", *keep, either(_first(r["title"]), _first(a["title"])).alias("title"), resolve_url(_clean(either(F.get(r["link"], 0), _alternate(a["link"]))), F.col("feed_url")).alias("url"), author.alias("author"),
-        feed_date(said).alias("published_at"), _plain(content).alias("plain_text"), distinct_folded(listed).alias("categories"), guid.alias("guid"),
-    ).where("plain_text <> ''")
+        feed_date(said).alias("published_at"), content.alias("_content"), distinct_folded(listed).alias("categories"), guid.alias("guid"),
+    )
+    out = out.select("*", F.explode(F.array(_plain(F.col("_content")))).alias("plain_text")).drop("_content").where("plain_text <> ''")
     at = F.coalesce("url", F.when(~is_atom, resolve_url(F.col("guid"), F.col("feed_url"))))
     out = out.withColumns({"title": F.coalesce("title", "url", F.lit(UNTITLED_ITEM)), "text_hash": text_hash(F.col("plain_text"), "feed"), "_at": at})
     day = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
