@@ -17,6 +17,7 @@ from lectern.functions.columns import let
 from lectern.functions.dates import page_date
 from lectern.functions.text import author, collapse, html_to_text, page_excerpt, paragraph_html, readable_text, readable_units, text_hash, unescape_js
 from lectern.functions.urls import VIDEO_HOSTS, WECHAT_HOST, hostname, resolve_url
+from lectern.operators.batches import text_batches
 from lectern.operators.filters import CONTENT_ELEMENTS, KIND_CODES, page_kind, unreadable_extract
 from lectern.sources.readable import readable_all
 from lectern.sources.scripts import json_ld
@@ -133,7 +134,7 @@ def extract(pages: DataFrame) -> DataFrame:
     script, or, for videos, their description. The error code is by the page's kind, else for an empty or an unreadable text.
     """
     html = F.coalesce("html", F.lit(""))
-    out = pages.select("page_id", "url", html.alias("html"))
+    out = text_batches(pages).select("page_id", "url", html.alias("html"))
     given = inline_text(F.col("html"), F.col("url"))
     out = metadata(out, "html", "url").withColumn("_given", F.when(given.isNotNull(), paragraph_html(given)))
     out = out.withColumn("_b", readable_block("html", "url", "title", "_given")).select("*", "_b.content_html", "_b.block_score")
