@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.batches import text_batches
+
 #: Quotes and dashes that count as one.
 SINGLE, DOUBLE, DASHES = "‘’‚‛′`´", "“”„‟″«»", "-‐‑‒–—―−"
 #: White space, which is left out of what is searched.
@@ -108,7 +110,7 @@ def anchor_quotes(docs: DataFrame, highlights: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["document_id", "highlight_id", "start", "end"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"document_id {kind}, highlight_id string, start int, end int")
+    return text_batches(rows).mapInPandas(run, f"document_id {kind}, highlight_id string, start int, end int")
 
 
 def exact_anchors(docs: DataFrame, highlights: DataFrame) -> DataFrame:
