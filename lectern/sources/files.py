@@ -21,9 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from lectern.operators.batches import text_batches
+
 COMMIT = "_COMMIT.json"
 #: The name of the list of missing ids in a task's folder, and bytes that a file's name may have.
 MISSING, NAME_BYTES = "~missing-ids.txt", 240
+#: Files and bytes that a batch of read files has at most, but for the last file, which may be of any size.
+READ_FILES, READ_BYTES = 500, 1 << 22
 
 
 @dataclass
@@ -121,7 +125,7 @@ def write_files(files: DataFrame, path: str, missing: DataFrame | None = None, m
     commit says so. mode overwrite removes what earlier commits wrote, append adds to it.
     """
     files.sparkSession.dataSource.register(FilesSource)
-    rows = files.select("name", F.coalesce("body", F.lit("")).alias("body"))
+    rows = text_batches(files).select("name", F.coalesce("body", F.lit("")).alias("body"))
     if missing is not None:
         rows = rows.unionByName(missing.select(F.col("id").cast("string").alias("name"), F.lit(None).cast("string").alias("body")))
     rows.write.format("lectern_files").mode(mode).option("path", path).save()
@@ -137,13 +141,24 @@ def _read(spark: SparkSession, path: str, wanted: bool, names: list[str]) -> Dat
     rows = spark.createDataFrame([(f,) for f in said["folders"]], "folder string")
     dealt = rows.repartition(max(1, len(said["folders"])))
 
+    def gathered(held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([n for n, _ in held], pa.string()), pa.array([d for _, d in held], pa.binary()).cast(pa.string())], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(path)
         for folder in (x for batch in batches for x in batch.column(0).to_pylist()):
             found = [x for x in fs.get_file_info(pafs.FileSelector(posixpath.join(base, folder))) if (posixpath.basename(x.path) == MISSING) == wanted]
+            held, size = [], 0
             for info in sorted(found, key=lambda x: x.path):
                 with fs.open_input_stream(info.path) as f:
-                    yield pa.record_batch([pa.array([posixpath.basename(info.path)]), pa.array([f.read().decode()])], names=names)
+                    data = f.read()
+                held.append((posixpath.basename(info.path), data))
+                size += len(data)
+                if len(held) == READ_FILES or size >= READ_BYTES:
+                    yield gathered(held)
+                    held, size = [], 0
+            if held:
+                yield gathered(held)
 
     return dealt.mapInArrow(run, ", ".join(f"{n} string" for n in names))
 
