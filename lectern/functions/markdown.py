@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,21 +14,32 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 from lectern.functions.columns import let
 from lectern.functions.text import ENTITIES, block_excerpt, text_hash
 
-#: Inline elements and what stands for them, in the order in which they are replaced.
+#: Names of inline elements, the elements and what stands for them, in the order in which they are replaced.
 _INLINE = [
-    (r"(?is)<img\b(?=[^>]*\bsrc=\"([^\"]*)\")(?=[^>]*\balt=\"([^\"]*)\")[^>]*>", "![$2]($1)"), (r"(?is)<img\b[^>]*\bsrc=\"([^\"]*)\"[^>]*>", "![]($1)"),
-    (r"(?is)<(?:strong|b)(?:\s[^>]*)?>\s*(.*?)\s*</(?:strong|b)>", "**$1**"), (r"(?is)<(?:em|i)(?:\s[^>]*)?>\s*(.*?)\s*</(?:em|i)>", "_$1_"), (r"(?is)<(?:del|s)(?:\s[^>]*)?>\s*(.*?)\s*</(?:del|s)>", "~~$1~~"),
-    (r"(?is)<a\b[^>]*\bhref=\"([^\"]*)\"[^>]*>\s*(.*?)\s*</a>", "[$2]($1)"),
+    ("img", r"(?is)<img\b(?=[^>]*\bsrc=\"([^\"]*)\")(?=[^>]*\balt=\"([^\"]*)\")[^>]*>", "![$2]($1)"), ("img", r"(?is)<img\b[^>]*\bsrc=\"([^\"]*)\"[^>]*>", "![]($1)"),
+    ("strong b", r"(?is)<(?:strong|b)(?:\s[^>]*)?>\s*(.*?)\s*</(?:strong|b)>", "**$1**"), ("em i", r"(?is)<(?:em|i)(?:\s[^>]*)?>\s*(.*?)\s*</(?:em|i)>", "_$1_"), ("del s", r"(?is)<(?:del|s)(?:\s[^>]*)?>\s*(.*?)\s*</(?:del|s)>", "~~$1~~"),
+    ("a", r"(?is)<a\b[^>]*\bhref=\"([^\"]*)\"[^>]*>\s*(.*?)\s*</a>", "[$2]($1)"),
 ]
+#: Elements that stand between blank lines.
+_BLOCKS = "p div section article figure figcaption table thead tbody tr"
 #: Signs that stand for the ends of quotes and of preformatted text while other elements are replaced; texts lose them.
 _QUOTE, _CODE, _END = "", "", ""
 
 
-def _untagged(c: Column) -> Column:
-    t = F.regexp_replace(c, r"(?s)<[^>]+>", "")
-    for name, char in [*[e for e in ENTITIES if e[0] != "amp"], ("amp", "&")]:
-        t = F.regexp_replace(t, f"(?i)&{name};", char)
-    return t
+def _if(found: Column, c: Column, then: Callable[[Column], Column]) -> Column:
+    """then(c) where found is true, else c; c is computed once."""
+    return let(c, lambda x: F.when(found, then(x)).otherwise(x))
+
+
+def _untagged(c: Column, source: Column) -> Column:
+    """c without tags, and with entities decoded if source, of which c was made, has any."""
+
+    def decoded(t: Column) -> Column:
+        for name, char in [*[e for e in ENTITIES if e[0] != "amp"], ("amp", "&")]:
+            t = F.regexp_replace(t, f"(?i)&{name};", char)
+        return t
+
+    return _if(F.contains(source, F.lit("&")), F.regexp_replace(c, r"(?s)<[^>]+>", ""), decoded)
 
 
 def _squeezed(c: Column) -> Column:
@@ -52,23 +63,35 @@ def _lists(c: Column) -> Column:
 def html_markdown(html: Column) -> Column:
     """Markdown of clean HTML: headings, paragraphs, lists, quotes, preformatted text, rules, links, images and emphasis; null for null.
 
-    Elements of one kind inside each other count as one; other elements leave their text.
+    Elements of one kind inside each other count as one; other elements leave their text. A kind of elements is only replaced where the
+    text has a tag of it: no replacement makes tags.
     """
-    t = F.regexp_replace(html, f"[{_QUOTE}{_CODE}{_END}]", "")
+    t = F.translate(html, _QUOTE + _CODE + _END, "")
+
+    def has(tags: Column, *names: str) -> Column:
+        return F.arrays_overlap(tags, F.array(*map(F.lit, names)))
+
     # preformatted text first: its lines stay as they are
-    t = F.regexp_replace(t, r"(?is)<pre(?:\s[^>]*)?>\s*(?:<code(?:\s[^>]*)?>)?\n?(.*?)\s*(?:</code>)?\s*</pre>", f"\n\n{_CODE}$1{_END}\n\n")
+    pre = r"(?is)<pre(?:\s[^>]*)?>\s*(?:<code(?:\s[^>]*)?>)?\n?(.*?)\s*(?:</code>)?\s*</pre>"
+    t = let(t, lambda x: F.when(x.rlike("<[Pp][Rr][Ee]"), F.regexp_replace(x, pre, f"\n\n{_CODE}$1{_END}\n\n")).otherwise(x))
 
     def prose(piece: Column) -> Column:
-        p = F.regexp_replace(piece, r"\s+", " ")
-        p = F.regexp_replace(p, r"(?is)<code(?:\s[^>]*)?>(.*?)</code>", "`$1`")
-        for pattern, to in _INLINE:
-            p = F.regexp_replace(p, pattern, to)
-        p = F.regexp_replace(F.regexp_replace(p, r"(?i)\s*<br\s*/?>\s*", "  \n"), r"(?i)<hr\s*/?>", "\n\n---\n\n")
+        return let(F.array_distinct(F.transform(F.regexp_extract_all(piece, F.lit("</?([A-Za-z][A-Za-z0-9]*)"), F.lit(1)), F.lower)), lambda tags: replaced(piece, tags))
+
+    def replaced(piece: Column, tags: Column) -> Column:
+        def each(p: Column, names: str, pattern: str, to: str) -> Column:
+            return _if(has(tags, *names.split()), p, lambda x: F.regexp_replace(x, pattern, to))
+
+        p = F.regexp_replace(piece, r"\s{2,}|[\t\n\x0B\f\r]", " ")
+        p = each(p, "code", r"(?is)<code(?:\s[^>]*)?>(.*?)</code>", "`$1`")
+        for name, pattern, to in _INLINE:
+            p = each(p, name, pattern, to)
+        p = each(each(p, "br", r"(?i)\s*<br\s*/?>\s*", "  \n"), "hr", r"(?i)<hr\s*/?>", "\n\n---\n\n")
         for level in range(1, 7):
-            p = F.regexp_replace(p, rf"(?is)<h{level}(?:\s[^>]*)?>\s*(.*?)\s*</h{level}>", f"\n\n{'#' * level} $1\n\n")
-        p = _lists(p)
-        p = F.regexp_replace(p, r"(?is)\s*</?(?:p|div|section|article|figure|figcaption|table|thead|tbody|tr)(?:\s[^>]*)?>\s*", "\n\n")
-        p = F.regexp_replace(p, r"(?is)<blockquote(?:\s[^>]*)?>\s*(.*?)\s*</blockquote>", f"\n\n{_QUOTE}$1{_END}\n\n")
+            p = each(p, f"h{level}", rf"(?is)<h{level}(?:\s[^>]*)?>\s*(.*?)\s*</h{level}>", f"\n\n{'#' * level} $1\n\n")
+        p = _if(has(tags, "li", "ul", "ol"), p, _lists)
+        p = each(p, _BLOCKS, rf"(?is)\s*</?(?:{_BLOCKS.replace(' ', '|')})(?:\s[^>]*)?>\s*", "\n\n")
+        p = each(p, "blockquote", r"(?is)<blockquote(?:\s[^>]*)?>\s*(.*?)\s*</blockquote>", f"\n\n{_QUOTE}$1{_END}\n\n")
 
         def quote(x: Column) -> Column:
             return F.when(x.startswith(_QUOTE), F.regexp_replace(_squeezed(F.translate(x, _QUOTE + _END, "")), "(?m)^", "> ")).otherwise(x)
@@ -78,7 +101,7 @@ def html_markdown(html: Column) -> Column:
 
     def piece(x: Column) -> Column:
         code = F.concat(F.lit("```\n"), F.translate(x, _CODE + _END, ""), F.lit("\n```"))
-        return _untagged(F.when(x.startswith(_CODE), code).otherwise(prose(x)))
+        return _untagged(F.when(x.startswith(_CODE), code).otherwise(prose(x)), x)
 
     pieces = F.split(t, f"(?={_CODE})|(?<={_END})")
     marked = F.transform(pieces, lambda x: F.struct(x.startswith(_CODE).alias("code"), let(x, piece).alias("t")))

@@ -35,7 +35,7 @@ def _dated(docs: DataFrame) -> DataFrame:
 
 def _ends(c: Column) -> Column:
     """A text without white space at its ends; blank gives null."""
-    return F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    return F.when(c.rlike(r"\S"), F.regexp_replace(c, r"^\s+|\s+$", ""))
 
 
 def front_matter(exported_at: str) -> Column:
@@ -88,9 +88,9 @@ def highlight_sections(highlights: DataFrame) -> DataFrame:
 
 def notes(docs: DataFrame, highlights: DataFrame, exported_at: str) -> DataFrame:
     """id, name and body of each document's note: front matter, summary (if it has one), highlights and text."""
-    out = _dated(docs).join(highlight_sections(highlights), "id", "left")
+    out = _dated(docs).join(highlight_sections(highlights), "id", "left").withColumn("_body", markdown_body())  # used twice, found once
     summary = F.concat(F.lit(f"{SUMMARY_HEADING}\n\n"), _ends(F.col("ai_summary")))
-    text = F.coalesce(F.nullif(markdown_body(), F.lit("")), F.lit(NO_BODY))
+    text = F.when(F.col("_body") == "", NO_BODY).otherwise(F.col("_body"))
     body = F.concat_ws(
         "\n\n", note_matter(exported_at), summary, F.coalesce("section", F.lit(f"{HIGHLIGHTS_HEADING}\n\n{NO_HIGHLIGHTS}")), F.concat(F.lit(f"{BODY_HEADING}\n\n"), text)
     )

@@ -43,3 +43,44 @@ def test_plain_text_of_entries(spark):
     df = spark.createDataFrame([(k, x) for k, x in enumerate(cases)], "k int, x string").select("k", feeds._plain(F.col("x")).alias("x"), feeds._clean(F.col("x")).alias("c")).orderBy("k").collect()
     assert [r["x"] for r in df] == ["a b", "a b", "a b", "a b", "ab", "a & b c", "<b>", "", "", "", "a b c"]
     assert [r["c"] for r in df] == ["a\tb", "a \n b", "a  b", "a b", "<p>a</p><!-- x -->b", "a &AMP; b&nbsp;&nbsp;c", "&lt;b&gt;", None, None, None, "a\x0bb\r\nc"]
+
+
+def test_files_are_read_in_batches_and_bodies_are_ranked_by_name_alone(spark, documents, monkeypatch, tmp_path):
+    ranked = []
+    numbered = document_queries.dedupe.numbered
+    monkeypatch.setattr(document_queries.dedupe, "numbered", lambda rows, *a: ranked.append(rows.columns) or numbered(rows, *a))
+    got = registry.queries()["export_note_files"](spark, documents)
+    assert got.count() == got.select("name").distinct().count() == 120 and ranked == [["id", "base"]]
+    from lectern.sources import files
+
+    path = f"file://{tmp_path}/many"
+    df = spark.range(1200).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), F.repeat(F.lit("é"), F.col("id").cast("int")).alias("body")).coalesce(1)
+    files.write_files(df, path)
+    back = files.read_files(spark, path)
+    assert sorted((r["name"], r["body"]) for r in back.collect()) == sorted((r["name"], r["body"]) for r in df.collect())
+    sizes = back.mapInArrow(lambda bs: (b.slice(0, 1).select([0]).set_column(0, "name", [str(b.num_rows)]) for b in bs), "name string").collect()
+    assert sum(int(r["name"]) for r in sizes) == 1200 and len(sizes) < 10
+
+
+@pytest.mark.parametrize("name", ["page_extract", "quote_anchor_folded", "export_html_files"])
+def test_batches_of_whole_texts_are_small(spark, documents, name):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.createDataFrame([(1, "https://a.org", "<p>x</p>")], "page_id long, url string, html string").write.parquet(f"{documents}/pages.parquet")
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        registry.queries()[name](spark, documents)
+        assert int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_markdown_of_tags_in_any_case(spark):
+    from lectern.functions.markdown import html_markdown
+
+    cases = {
+        "<H3>a</H3><P>b <STRONG>c</STRONG> &AMP;lt; d</P>": "### a\n\nb **c** &lt; d", "<PRE>x\n  y</PRE>": "```\nx\n  y\n```", "a\n\tb": "a b", "<Ol><Li>a</Li><Li>b</Li></Ol>": "1. a\n2. b",
+        "a<BR/>b<hr>c": "a  \nb\n\n---\n\nc", "</div>a</DIV>b": "a\n\nb",
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "h string").select("h", html_markdown(F.col("h")).alias("m")).collect()
+    assert {r["h"]: r["m"] for r in got} == cases
