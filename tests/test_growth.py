@@ -84,3 +84,16 @@ def test_markdown_of_tags_in_any_case(spark):
     }
     got = spark.createDataFrame([(k,) for k in cases], "h string").select("h", html_markdown(F.col("h")).alias("m")).collect()
     assert {r["h"]: r["m"] for r in got} == cases
+
+
+def test_reading_states_fold_rows(spark, tmp_path):
+    """Events come as rows, not as a table for each document; empty progress, ties and late events included."""
+    from lectern.streaming import jobs, reading
+
+    assert "pd." not in __import__("inspect").getsource(reading.ReadingStates)
+    events = [(1, 1, 10, "open", None), (1, 2, 20, "progress", 40.0), (1, 3, 15, "progress", 90.0), (2, 4, 5, "progress", float("nan")), (2, 5, 4, "progress", 7.0), (3, 6, 9, "read", None), (3, 7, 8, "open", None), (3, 8, 7, "open", None), (4, 10, 3, "progress", 150.0), (4, 9, 3, "progress", 1.0), (5, 11, 2, "other", 3.0)]
+    df = spark.createDataFrame(events, "document_id long, event_id long, s long, kind string, progress double").select("document_id", "event_id", F.timestamp_seconds("s").alias("ts"), "kind", "progress")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    reading.fold_reading_states(jobs.file_stream(spark, f"{tmp_path}/in", df.schema), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    got = sorted(tuple(r) for r in reading.current_states(spark, f"{tmp_path}/out").collect())
+    assert got == [(1, 10_000_000, 40.0, "READING"), (2, None, 0.0, "UNREAD"), (3, 7_000_000, 100.0, "READ"), (4, None, 100.0, "UNREAD"), (5, None, 0.0, "UNREAD")]
