@@ -47,8 +47,8 @@ def _xml(text: Column, schema: str) -> Column:
 
 
 def _clean(c: Column) -> Column:
-    """A text without white space at its ends; blank gives null."""
-    return F.when(c.rlike(r"\S"), F.regexp_replace(c, r"^\s+|\s+$", ""))
+    """A text without white space at its ends; blank gives null. The end is \\z, since $ is also before a last line separator, as U+0085 is one."""
+    return F.when(c.rlike(r"\S"), F.regexp_replace(c, r"^\s+|\s+\z", ""))
 
 
 def _first(values: Column) -> Column:
