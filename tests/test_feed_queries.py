@@ -26,7 +26,7 @@ def write(spark, folder, rows):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["feed_entries"])
+@pytest.mark.parametrize("name", ["feed_entries", "feed_entries_whole"])
 def test_texts_that_feeds_cannot_hold(spark, tmp_path, name):
     """Null and blank texts are entries of the SQL too; no character is added or lost. One source has null texts alone."""
     rows = [(k, t, s) for k, (s, t) in enumerate((s, t) for s in ("a", "bc") for t in TEXTS * 3)] + [(1000, None, "none"), (1001, None, "none")]
