@@ -34,7 +34,7 @@ def test_texts_that_feeds_cannot_hold(spark, tmp_path, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["feed_sync_alone"])
+@pytest.mark.parametrize("name", ["feed_sync_alone", "feed_sync_totals"])
 def test_sync_of_odd_texts_and_keys(spark, tmp_path, name):
     """Null and blank texts are stored and repeated as others are; ids may be negative, and a source may be null, empty or written like a sign."""
     texts = TEXTS + [f"text {k}" for k in range(60)]
